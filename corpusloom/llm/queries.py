@@ -46,10 +46,25 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"), n_shards=24)
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm import quality
+
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm.hmm import language_model_scores
+
+    return language_model_scores(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": op3_exact_dedup,
     "op6_bpe": op6_bpe,
     "op7_sharding": op7_sharding,
+    "op9_quality": op9_quality,
+    "op10_language_model": op10_language_model,
 }
 
 ORACLE_SQL: dict[str, str] = {
