@@ -43,3 +43,23 @@ def require(df: DataFrame, columns: Sequence[str]) -> None:
     missing = [c for c in columns if c not in df.columns]
     if missing:
         raise ValueError(f"columns {missing} are missing; there are {df.columns}")
+
+
+def join_hot(rows: DataFrame, facts: DataFrame, key: str, weight: str, spread: Column, heavy: int = 1000) -> DataFrame:
+    """``rows`` left-joined to ``facts`` by ``key``, safe for keys that hold a large part of the rows.
+
+    ``facts`` has one row per key; ``weight`` is its number of ``rows``. Fewer than ``heavy``
+    keys can hold more than 1/``heavy`` of the rows each: their facts are broadcast, and their
+    rows are dealt by ``spread`` in the shuffled join for the other keys.
+    """
+    total = facts.agg(F.sum(weight)).first()[0] or 0
+    others = [c for c in facts.columns if c != key]
+    is_heavy = F.col(weight) * heavy > total
+    hot = facts.where(is_heavy).select(F.col(key).alias("_hot"), F.struct(*others).alias("_hot_facts"))
+    light = facts.where(~is_heavy).select(F.col(key).cast("string").alias("_light"), F.struct(*others).alias("_light_facts"))
+    marked = rows.join(F.broadcast(hot), rows[key] == F.col("_hot"), "left")
+    own = F.concat(F.lit("\0#"), F.coalesce(spread.cast("string"), F.lit("")))
+    marked = marked.withColumn("_find", F.when(F.col("_hot_facts").isNull() & F.col(key).isNotNull(), F.col(key).cast("string")).otherwise(own))
+    found = marked.join(light, F.col("_find") == F.col("_light"), "left")
+    facts_of = F.coalesce("_hot_facts", "_light_facts")
+    return found.select(*[F.col(c) for c in rows.columns], *[facts_of[c].alias(c) for c in others])

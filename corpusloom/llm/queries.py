@@ -7,6 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusloom.llm import license_scan
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -17,6 +19,12 @@ def tokenizer_path() -> str:
     return importlib.import_module("public_tokenizers").path("word_bpe_49k.json")
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm.license_scan import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusloom.llm.exact_dedup import exact_dedup
 
@@ -60,6 +68,7 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_license_scan": op2_license_scan,
     "op3_exact_dedup": op3_exact_dedup,
     "op6_bpe": op6_bpe,
     "op7_sharding": op7_sharding,
@@ -68,5 +77,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_license_scan": license_scan.duckdb_sql(),
     "op3_exact_dedup": OP3_SQL,
 }
