@@ -6,6 +6,7 @@ import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corpusloom.llm import license_scan
 
@@ -19,6 +20,14 @@ def tokenizer_path() -> str:
     return importlib.import_module("public_tokenizers").path("word_bpe_49k.json")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and pages; a row has a doc_id or a page_id."""
+    from corpusloom.llm.language_id import identify
+
+    found = identify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages"))
+    return found.select(F.when(F.col("kind") == "document", F.col("id")).alias("doc_id"), F.when(F.col("kind") == "page", F.col("id")).alias("page_id"), "language", F.round("posterior", 6).alias("posterior"), "text_language", "kept")
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusloom.llm.license_scan import scan
 
@@ -54,6 +63,12 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"), n_shards=24)
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm.decontaminate import find_leaks
+
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusloom.llm import quality
 
@@ -68,10 +83,12 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op2_license_scan": op2_license_scan,
     "op3_exact_dedup": op3_exact_dedup,
     "op6_bpe": op6_bpe,
     "op7_sharding": op7_sharding,
+    "op8_decontamination": op8_decontamination,
     "op9_quality": op9_quality,
     "op10_language_model": op10_language_model,
 }
