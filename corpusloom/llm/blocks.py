@@ -14,6 +14,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.ipc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -55,7 +57,7 @@ def unseal(payload: bytes) -> pa.Table:
 def text_pieces(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.RecordBatch]:
     """``batch`` in slices of about ``limit`` bytes of text."""
     start, size = 0, 0
-    lengths = pa.compute.binary_length(batch.column(column)).to_pylist()
+    lengths = pc.binary_length(batch.column(column)).to_pylist()
     for row, length in enumerate(lengths):
         size += length or 0
         if size >= limit:
