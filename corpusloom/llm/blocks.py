@@ -108,12 +108,15 @@ def ask(blocks: DataFrame, questions_of: Callable[[pa.Table, int], Iterable[tupl
     return blocks.mapInArrow(ask_task, QUESTIONS).repartition(n, "bucket")
 
 
-def resolve(blocks: DataFrame, answers: DataFrame, resolve_block: Callable[[pa.Table, list[tuple[int, bytes]]], pa.Table], schema: str) -> DataFrame:
-    """Each block with the answers to its questions, (bucket, answer), through ``resolve_block``."""
+def resolve(blocks: DataFrame, answers: DataFrame, resolve_block: Callable[..., pa.Table], schema: str, numbered: bool = False) -> DataFrame:
+    """Each block with the answers to its questions, (bucket, answer), through ``resolve_block``.
+
+    With ``numbered`` the block's number goes before the other two arguments.
+    """
 
     def both(left: pa.Table, right: pa.Table) -> pa.Table:
         replies = [(k, unsqueeze(a)) for k, a in zip(right.column("bucket").to_pylist(), right.column("answer").to_pylist())]
-        out = [resolve_block(unseal(p.as_buffer()), replies) for p in left.column("payload")]
+        out = [resolve_block(*([k] if numbered else []), unseal(p.as_buffer()), replies) for k, p in zip(left.column("block").to_pylist(), left.column("payload"))]
         return pa.concat_tables(out)
 
     answers = answers.repartition(partitions(blocks.sparkSession), "block")
