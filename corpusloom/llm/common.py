@@ -17,19 +17,29 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """``df`` written to the reliable checkpoint folder, its lineage cut.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``; only a session without one
-    (a local test) gets a folder of its own here.
+    Only a local session without one (a test) gets a folder of its own here.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        configured = sc.getConf().get("spark.checkpoint.dir")
-        if configured is None and not sc.master.startswith("local["):
+    found = sc.getConf().get("spark.checkpoint.dir")
+    if found is None:
+        current = sc._jsc.sc().getCheckpointDir()
+        if current.isDefined():
+            return current.get()
+        if not sc.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="checkpoints-"))
+        found = tempfile.mkdtemp(prefix="checkpoints-")
+        sc.setCheckpointDir(found)
+    return found
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """``df`` written to the reliable checkpoint folder, its lineage cut."""
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
