@@ -146,7 +146,9 @@ def box_inside(box: Column, width: Column, height: Column) -> Column:
 def highlight_url(book: Column, page: Column, box: Column, text: Column) -> Column:
     """The address of a highlighted page, null without a book or page."""
     snippet = F.substring(F.array_join(words(text), " "), 1, 600)
-    quoted = F.replace(F.replace(F.url_encode(snippet), F.lit("+"), F.lit("%20")), F.lit("%2F"), F.lit("/"))
+    quoted = F.url_encode(snippet)
+    for form, percent in (("+", "%20"), ("%2F", "/"), ("*", "%2A"), ("%7E", "~")):
+        quoted = F.replace(quoted, F.lit(form), F.lit(percent))
     boxed = F.when(plausible_box(box), F.concat(F.lit("&bbox="), F.array_join(F.transform(box, lambda v: v.cast("string")), ","))).otherwise("")
     said = F.when(F.coalesce(text, F.lit("")) != "", F.concat(F.lit("&text="), quoted)).otherwise("")
     return F.when((F.coalesce(book, F.lit("")) != "") & page.isNotNull(), F.concat(F.lit("/highlight?book_id="), book, F.lit("&page="), page.cast("string"), boxed, said))

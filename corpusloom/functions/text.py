@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -74,6 +75,11 @@ def _precomposed() -> tuple[str, str]:
 FOLD_FROM, FOLD_TO = _precomposed()
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is made once, also where ``use`` has it inside another lambda."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def words(text: Column) -> Column:
     """The words of a text: what Unicode white space separates."""
     return F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
@@ -82,24 +88,27 @@ def words(text: Column) -> Column:
 def fold(text: Column) -> Column:
     """Latin letters without their marks, modifier letters dropped, curly quotes straight."""
     plain = F.regexp_replace(F.translate(text, FOLD_FROM, FOLD_TO), COMBINING, "")
-    return F.translate(plain, "’‘" + MODIFIERS, "''")
+    return F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(plain, "’‘" + MODIFIERS, "''")).otherwise(text)
 
 
 def fold_arabic(text: Column) -> Column:
     """Arabic text without vowel marks, with variant letters made one."""
-    return F.translate(F.regexp_replace(text, ARABIC_MARKS, ""), LETTERS_FROM, LETTERS_TO)
+    folded = F.translate(F.regexp_replace(text, ARABIC_MARKS, ""), LETTERS_FROM, LETTERS_TO)
+    return F.when(text.rlike(ARABIC), folded).otherwise(text)
 
 
-def token(text: Column) -> Column:
-    """A token as overlap compares it.
+def normal(text: Column) -> Column:
+    """A text as overlap compares it: each word stripped at its ends, lower case, folded.
 
-    Arabic letters are folded, which the decomposition of the original order would prevent.
+    Arabic letters are folded too, which the decomposition of the original order would
+    prevent. Whole texts are rewritten at once, not word by word.
     """
-    return fold_arabic(fold(F.lower(F.btrim(text, F.lit(EDGE_CHARACTERS)))))
+    edge = "[" + "".join("\\" + c if c in "[]-" else c for c in EDGE_CHARACTERS) + "]+"
+    return fold_arabic(fold(F.lower(F.regexp_replace(text, rf"(?U)(?<!\S){edge}|{edge}(?!\S)", ""))))
 
 
 def tokens(text: Column) -> Column:
-    return F.filter(F.transform(words(text), token), lambda t: t != "")
+    return words(normal(text))
 
 
 def _stopwords() -> list[str]:
@@ -114,12 +123,12 @@ def query_terms(question: Column) -> Column:
 
 
 def haystack(text: Column) -> Column:
-    return F.array_join(F.transform(words(text), token), " ")
+    return normal(text)
 
 
 def overlap(terms: Column, hay: Column) -> Column:
     """The part of the terms that occur in the text, 0 without terms."""
-    found = F.size(F.filter(terms, lambda t: F.contains(hay, t)))
+    found = let(hay, lambda h: F.size(F.filter(terms, lambda t: F.contains(h, t))))
     return F.when(F.size(terms) > 0, found / F.size(terms)).otherwise(F.lit(0.0))
 
 
@@ -135,8 +144,7 @@ ENTITY_BOOST = 0.15
 
 
 def entity_boost(names: Column, text: Column) -> Column:
-    folded = F.lower(fold_arabic(text))
-    found = F.size(F.filter(names, lambda e: F.contains(folded, e)))
+    found = let(F.lower(fold_arabic(text)), lambda t: F.size(F.filter(names, lambda e: F.contains(t, e))))
     return F.when(F.size(names) > 0, ENTITY_BOOST * found / F.size(names)).otherwise(F.lit(0.0))
 
 

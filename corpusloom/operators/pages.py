@@ -29,16 +29,19 @@ def footer_number(text: Column) -> Column:
 
     found = F.flatten(F.transform(F.filter(edge, plain), lambda x: F.regexp_extract_all(F.translate(x, DIGITS_FROM, DIGITS_TO), F.lit(STANDALONE), F.lit(1))))
     numbers = F.filter(F.transform(found, lambda n: n.cast("int")), lambda n: n >= 1)
-    repeats = F.transform(F.array_distinct(numbers), lambda n: F.struct(F.size(F.filter(numbers, lambda m: m == n)).alias("n"), (-F.array_position(numbers, n)).alias("first"), n.alias("v")))
-    most = F.array_max(repeats)
-    return F.when(most["n"] > 1, most["v"]).otherwise(F.when(F.size(numbers) > 0, F.element_at(numbers, -1)))
+
+    def chosen(own: Column) -> Column:
+        repeats = F.transform(F.array_distinct(own), lambda n: F.struct(F.size(F.filter(own, lambda m: m == n)).alias("n"), (-F.array_position(own, n)).alias("first"), n.alias("v")))
+        return T.let(F.array_max(repeats), lambda most: F.when(most["n"] > 1, most["v"]).otherwise(F.when(F.size(own) > 0, F.element_at(own, -1))))
+
+    return T.let(numbers, chosen)
 
 
 def modal_offset(pages: DataFrame) -> DataFrame:
     """(doc_id, offset, reliable): the commonest printed minus physical number; ties go to the first seen."""
     known = pages.where("printed IS NOT NULL").withColumn("offset", F.col("printed") - F.col("physical"))
     counts = known.groupBy("doc_id", "offset").agg(F.count("*").alias("n"), F.min("physical").alias("first"))
-    best = Window.partitionBy("doc_id").orderBy(F.desc("n"), "first")
+    best = Window.partitionBy("doc_id").orderBy(F.desc("n"), "first", "offset")
     total = F.sum("n").over(Window.partitionBy("doc_id"))
     ranked = counts.withColumn("place", F.row_number().over(best)).withColumn("total", total)
     return ranked.where("place = 1").select("doc_id", "offset", (F.col("n") >= F.greatest(F.lit(1), F.floor(F.col("total") * 0.8))).alias("reliable"))
@@ -56,7 +59,7 @@ def impute(pages: DataFrame) -> DataFrame:
 
 def violations(pages: DataFrame) -> DataFrame:
     """(doc_id, violations): printed numbers below the last one before them."""
-    order = Window.partitionBy("doc_id").orderBy("physical")
+    order = Window.partitionBy("doc_id").orderBy("physical", "printed")
     known = pages.where("printed IS NOT NULL").withColumn("down", F.col("printed") < F.lag("printed").over(order))
     return known.groupBy("doc_id").agg(F.count_if("down").alias("violations"))
 

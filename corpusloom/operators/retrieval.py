@@ -119,7 +119,9 @@ def above_floor(scored: DataFrame) -> DataFrame:
 
 
 def grams(tokens: Column, n: int = NGRAM) -> Column:
-    return F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.array_join(F.slice(tokens, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    """The runs of ``n`` tokens, each as one text."""
+    none = F.array().cast("array<string>")
+    return T.let(tokens, lambda own: F.when(F.size(own) >= n, F.transform(F.sequence(F.lit(1), F.size(own) - n + 1), lambda i: F.array_join(F.slice(own, i, n), " "))).otherwise(none))
 
 
 def coverage(own: Column, kept: Column) -> Column:

@@ -110,7 +110,7 @@ def _chunked(repeat: bool):
 
 def ranges(words: DataFrame, every_line: bool = False, repeat: bool = False) -> DataFrame:
     """The word ranges [from_idx, to_idx) of the chunks of every document."""
-    own = layout.lines(words if "line" in words.columns else layout.number_lines(words))
+    own = layout.lines(words if "line" in words.columns else layout.number_lines(words)).persist()
     own = layout.number_paragraphs(own, every_line)
     own = layout.split_before(own).withColumnRenamed("part", "hadith")
     own = layout.split_after(own).withColumnRenamed("part", "ayah")
@@ -150,7 +150,8 @@ def page_boxes(own: DataFrame) -> DataFrame:
 
 def chunks(words: DataFrame, every_line: bool = False, repeat: bool = False) -> DataFrame:
     """Passages with their id, text, pages, boxes, offsets and chapter."""
-    words = layout.number_lines(words) if "line" not in words.columns else words
+    # Lines, ranges and chapters are all made from the numbered words: they are kept meanwhile.
+    words = (layout.number_lines(words) if "line" not in words.columns else words).persist()
     own = chunk_words(words, ranges(words, every_line, repeat))
     texts = own.groupBy("doc_id", "chunk_no").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda w: w["text"]), " ").alias("text"),

@@ -26,10 +26,10 @@ def ranked(questions: DataFrame, passages: DataFrame, vectors: DataFrame, own: D
     first = retrieval.keyword_leg(questions.select("q", F.col("primary").alias("question")), own, k)
     second = retrieval.keyword_leg(questions.where("secondary IS NOT NULL").select("q", F.col("secondary").alias("question")), own, k)
     keyword = retrieval.merge_keyword_legs(first, second, k).join(named, "id")
-    fused = retrieval.fuse(vector, keyword)
+    fused = retrieval.fuse(vector, keyword).persist()  # both the ranking and the gate read it
     scored = retrieval.above_floor(retrieval.score(fused, questions.select("q", "question", "other")))
     placed = scored.join(passages.select("id", "book", "page_start", "page_end"), "id")
-    return fused, retrieval.suppress(placed)
+    return fused, retrieval.suppress(placed).persist()
 
 
 def answered(questions: DataFrame, passages: DataFrame, vectors: DataFrame, own: DataFrame, models: Models | None = None) -> DataFrame:

@@ -20,7 +20,7 @@ DIMENSIONS = 64
 def hashed_vector(text: Column, dimensions: int = DIMENSIONS) -> Column:
     """Term frequencies of a text hashed into a vector."""
     places = F.transform(T.tokens(text), lambda t: F.pmod(F.xxhash64(t), F.lit(dimensions)))
-    return F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda n: F.size(F.filter(places, lambda p: p == n)).cast("double") + F.when(n == 0, 1e-6).otherwise(0.0))
+    return T.let(places, lambda own: F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda n: F.size(F.filter(own, lambda p: p == n)).cast("double") + F.when(n == 0, 1e-6).otherwise(0.0)))
 
 
 def same(text: Column) -> Column:
