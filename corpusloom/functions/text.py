@@ -87,14 +87,22 @@ def words(text: Column) -> Column:
 
 def fold(text: Column) -> Column:
     """Latin letters without their marks, modifier letters dropped, curly quotes straight."""
-    plain = F.regexp_replace(F.translate(text, FOLD_FROM, FOLD_TO), COMBINING, "")
-    return F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(plain, "’‘" + MODIFIERS, "''")).otherwise(text)
+
+    def folded(t: Column) -> Column:
+        plain = F.regexp_replace(F.translate(t, FOLD_FROM, FOLD_TO), COMBINING, "")
+        return F.when(t.rlike(r"[^\x00-\x7F]"), F.translate(plain, "’‘" + MODIFIERS, "''")).otherwise(t)
+
+    return let(text, folded)
 
 
 def fold_arabic(text: Column) -> Column:
     """Arabic text without vowel marks, with variant letters made one."""
-    folded = F.translate(F.regexp_replace(text, ARABIC_MARKS, ""), LETTERS_FROM, LETTERS_TO)
-    return F.when(text.rlike(ARABIC), folded).otherwise(text)
+
+    def folded(t: Column) -> Column:
+        plain = F.translate(F.regexp_replace(t, ARABIC_MARKS, ""), LETTERS_FROM, LETTERS_TO)
+        return F.when(t.rlike(ARABIC), plain).otherwise(t)
+
+    return let(text, folded)
 
 
 def normal(text: Column) -> Column:

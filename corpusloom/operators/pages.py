@@ -10,7 +10,7 @@ from corpusloom.functions import text as T
 # Digits of other scripts, words of a printing date, and a number that stands alone.
 DIGITS_FROM, DIGITS_TO = "٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹", "01234567890123456789"
 DATE_WORDS = ["سنة", "عام", "طبع", "طبعة", "مـ"]
-STANDALONE = r"(?:^|[\s\-–—\[(])([0-9]{1,4})(?:$|[\s\-–—\])])"
+STANDALONE = r"[\s\-–—\[(]([0-9]{1,4})[\s\-–—\])]"
 
 
 def footer_number(text: Column) -> Column:
@@ -27,7 +27,7 @@ def footer_number(text: Column) -> Column:
             dated = dated | F.contains(line, F.lit(word))
         return (F.size(T.words(line)) <= 4) & ~dated
 
-    found = F.flatten(F.transform(F.filter(edge, plain), lambda x: F.regexp_extract_all(F.translate(x, DIGITS_FROM, DIGITS_TO), F.lit(STANDALONE), F.lit(1))))
+    found = F.flatten(F.transform(F.filter(edge, plain), lambda x: F.regexp_extract_all(F.concat(F.lit(" "), F.translate(x, DIGITS_FROM, DIGITS_TO), F.lit(" ")), F.lit(STANDALONE), F.lit(1))))
     numbers = F.filter(F.transform(found, lambda n: n.cast("int")), lambda n: n >= 1)
 
     def chosen(own: Column) -> Column:

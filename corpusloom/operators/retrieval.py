@@ -84,9 +84,8 @@ def keyword_leg(questions: DataFrame, own: DataFrame, k: int = 20, strict: bool
 def merge_keyword_legs(first: DataFrame, second: DataFrame, k: int = 20) -> DataFrame:
     """Hits of the first query, then those only the second has, up to ``k``."""
     both = first.withColumn("leg", F.lit(1)).unionByName(second.withColumn("leg", F.lit(2)))
-    seen = both.withColumn("n", F.row_number().over(Window.partitionBy("q", "id").orderBy("leg"))).where("n = 1").drop("n", "rank")
-    again = both.select("q", "id", "leg", F.col("rank").alias("leg_rank"))
-    return _top(seen.join(again, ["q", "id", "leg"]), k, F.col("leg"), F.col("leg_rank")).drop("leg", "leg_rank")
+    seen = both.withColumn("n", F.row_number().over(Window.partitionBy("q", "id").orderBy("leg"))).where("n = 1")
+    return _top(seen.withColumnRenamed("rank", "leg_rank"), k, F.col("leg"), F.col("leg_rank")).drop("n", "leg", "leg_rank")
 
 
 def fuse(vector: DataFrame, keyword: DataFrame) -> DataFrame:
@@ -97,9 +96,9 @@ def fuse(vector: DataFrame, keyword: DataFrame) -> DataFrame:
     """
     both = vector.select("q", "id", "text", "rank", "score", F.lit(1).alias("leg")).unionByName(keyword.select("q", "id", "text", "rank", F.lit(None).cast("double").alias("score"), F.lit(2).alias("leg")))
     first = F.min(F.struct("leg", "rank", "id"))
-    fused = both.groupBy("q", "text").agg(F.sum(1.0 / (F.col("rank") - 1 + RRF)).alias("rrf"), first.alias("first"))
-    top = both.groupBy("q").agg(F.coalesce(F.max("score"), F.lit(0.0)).alias("top_vector"))
-    return fused.join(top, "q").select("q", "text", F.col("first.id").alias("id"), "rrf", F.col("first.leg").alias("leg"), F.col("first.rank").alias("leg_rank"), "top_vector")
+    fused = both.groupBy("q", "text").agg(F.sum(1.0 / (F.col("rank") - 1 + RRF)).alias("rrf"), first.alias("first"), F.max("score").alias("best"))
+    top = F.coalesce(F.max("best").over(Window.partitionBy("q")), F.lit(0.0))
+    return fused.select("q", "text", F.col("first.id").alias("id"), "rrf", F.col("first.leg").alias("leg"), F.col("first.rank").alias("leg_rank"), top.alias("top_vector"))
 
 
 def score(fused: DataFrame, questions: DataFrame) -> DataFrame:

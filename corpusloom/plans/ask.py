@@ -15,8 +15,10 @@ def enriched(questions: DataFrame, models: Models) -> DataFrame:
     """(q, question) with language, other form, keyword query and vector; bad lengths are left out."""
     rows = questions.where(F.length("question").between(1, 4096))
     rows = rows.withColumn("language", T.script_language(F.col("question"))).withColumn("other", models.translate(F.col("question")))
+    # Each leg and every later step starts from these rows: they are made once.
     primary, secondary = T.keyword_queries(F.col("question"), F.col("other"), F.col("question"))
-    return rows.withColumn("primary", primary).withColumn("secondary", secondary).withColumn("vector", models.embed(T.embedding_text(F.col("question"), F.col("other"))))
+    rows = rows.withColumn("primary", primary).withColumn("secondary", secondary)
+    return rows.withColumn("vector", models.embed(T.embedding_text(F.col("question"), F.col("other")))).persist()
 
 
 def ranked(questions: DataFrame, passages: DataFrame, vectors: DataFrame, own: DataFrame, k: int = 20) -> tuple[DataFrame, DataFrame]:

@@ -24,6 +24,6 @@ def passages(page_texts: DataFrame, every_line: bool = False) -> DataFrame:
 
 
 def indexes(own: DataFrame, models: Models | None = None) -> tuple[DataFrame, DataFrame]:
-    """(vectors, postings) of passages."""
+    """(vectors, postings) of passages; both are kept, as a question's plan reads them several times."""
     models = models or Models()
-    return own.select("id", models.embed(F.col("text")).alias("vector")), retrieval.postings(own)
+    return own.select("id", models.embed(F.col("text")).alias("vector")).persist(), retrieval.postings(own).persist()

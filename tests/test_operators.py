@@ -1,0 +1,220 @@
+"""Layout, passages, page numbers, retrieval, citations, catalogue and state."""
+
+import random
+from datetime import datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+from corpusloom.operators import catalog, citations, layout, pages, retrieval, segment, state
+from corpusloom.plans import ask, ingest, models
+from corpusloom.sources import readers, sinks
+
+FOOTERS = [("body\n7", 7), ("body\n- 42 -", 42), ("body\n[ 15 ]", 15), ("body\n— 99 —", 99), ("Title 7\nbody of the page in many words", 7), ("x y z w v\n٧", 7), ("a\n- ٣٤ -", 34), ("9\nbody of the page in words\n9", 9), ("body\n12345", None), (None, None), ("", None), ("one\n" * 8 + "in the 55 body of a page\n" + "last line has many words here\n" * 6, None), ("طبعة 1990\nbody text of many more words", None)]
+
+
+def test_footer_numbers(spark):
+    table = spark.createDataFrame([(n, t) for n, (t, _) in enumerate(FOOTERS)], "n int, t string")
+    assert [r["v"] for r in table.select("n", pages.footer_number(F.col("t")).alias("v")).orderBy("n").collect()] == [v for _, v in FOOTERS]
+
+
+def test_page_numbers(spark):
+    known = [(1, p, p - 6) for p in range(7, 17) if p != 9] + [(1, 9, None)] + [(2, p, None) for p in range(10)]
+    table = spark.createDataFrame(known, "doc_id long, physical int, printed int")
+    assert [tuple(r) for r in pages.modal_offset(table).collect()] == [(1, -6, True)]
+    filled = {(r["doc_id"], r["physical"]): (r["printed"], r["imputed"]) for r in pages.impute(table).collect()}
+    assert filled[1, 9] == (3, True) and filled[1, 7] == (1, False) and filled[2, 0] == (None, False)
+    report = {r["doc_id"]: r for r in pages.report(table).collect()}
+    assert report[1]["acceptable"] and report[1]["violations"] == 0 and not report[2]["acceptable"]
+
+
+def text_pages(spark, *texts):
+    return spark.createDataFrame([(1, n + 1, t) for n, t in enumerate(texts)], "doc_id long, page int, text string")
+
+
+def test_layout(spark):
+    words = layout.number_lines(layout.text_words(text_pages(spark, "one two\n\nthree", "four"))).orderBy("idx").collect()
+    assert [(r["text"], r["x0"], r["y0"], r["para_start"], r["line"]) for r in words] == [("one", 0.0, 0.0, False, 0), ("two", 35.0, 0.0, False, 0), ("three", 0.0, 72.0, True, 1), ("four", 0.0, 0.0, False, 2)]
+
+
+def test_paragraphs(spark):
+    own = layout.lines(layout.number_lines(layout.text_words(text_pages(spark, "a b\nc d\n\ne f\nالخلاف:\ng h\nlabel: content."))))
+    assert [r["paragraph"] for r in layout.number_paragraphs(own).orderBy("line").collect()] == [0, 0, 1, 2, 2, 2]
+
+
+def test_strategies_and_splits(spark):
+    rows = [(1, n, t) for n, t in enumerate(["intro", "حديث رقم 1", "x", "حديث رقم 2"])] + [(2, n, t) for n, t in enumerate(["a ﴾", "b", "c﴾", "d"])] + [(3, n, "a:") for n in range(3)] + [(4, 0, "t")]
+    table = spark.createDataFrame(rows, "doc_id long, line int, line_text string")
+    assert {r["doc_id"]: r["strategy"] for r in layout.strategy(table).collect()} == {1: "hadith", 2: "quran", 3: "fiqh", 4: "fallback"}
+    assert [r["part"] for r in layout.split_before(table.where("doc_id = 1")).orderBy("line").collect()] == [0, 0, 0, 1]
+    assert [r["part"] for r in layout.split_after(table.where("doc_id = 2")).orderBy("line").collect()] == [0, 1, 1, 2]
+
+
+def test_packing():
+    chunks = segment.pack([5] * 200)
+    assert 2 <= len(chunks) <= 10 and all((b - a) * 5 <= 420 for a, b in chunks)
+    overlapping = segment.pack([3] * 300)
+    assert len(overlapping) >= 3 and all(b[0] < a[1] for a, b in zip(overlapping, overlapping[1:]))
+    assert segment.pack([]) == [] and segment.pack([500, 10]) == [(0, 1), (1, 2)]
+    assert segment.sentence_pieces(0, 1000, [100, 430, 440, 900]) == [(0, 431), (431, 901), (901, 1000)]
+    assert segment.merged([(0, 100), (100, 200)], {99}) == [[(0, 100), (100, 200)]]
+    assert segment.merged([(0, 200), (200, 250)], {199}) == [[(0, 200)], [(200, 250)]]
+    assert segment.merged([(0, 220), (220, 440)], set()) == [[(0, 220)], [(220, 440)]]
+
+
+@pytest.mark.parametrize("every_line", [False, True])
+def test_chunks_cover_the_text(spark, every_line):
+    rng = random.Random(1)
+    texts = ["\n".join(" ".join("w" + "abcdefghij"[rng.randrange(10)] + "klmnopqrst"[rng.randrange(10)] + "." * (rng.random() < 0.1) for _ in range(rng.randrange(5, 60))) for _ in range(40)) for _ in range(2)]
+    words = layout.text_words(text_pages(spark, *texts))
+    own = segment.chunks(words, every_line).collect()
+    all_words = " ".join(texts).split()
+    assert all(r["token_count"] <= 900 and len(r["text"].split()) == r["token_count"] for r in own)
+    joined = " ".join(all_words)
+    covered = [False] * len(all_words)
+    for r in own:
+        at = joined.find(r["text"])
+        assert at >= 0
+        start = joined[:at].count(" ")
+        covered[start : start + r["token_count"]] = [True] * r["token_count"]
+        pieces = [r["text"][o["start_char"] : o["end_char"] + 1] for o in r["page_offsets"]]
+        assert "".join(pieces) == r["text"] and len(r["page_bboxes"]) == len(r["page_offsets"])
+    assert all(covered)
+
+
+def test_vector_leg(spark):
+    rng = random.Random(2)
+    points = [(n, [rng.gauss(0, 1) for _ in range(8)]) for n in range(60)]
+    table = spark.createDataFrame(points, "id long, vector array<double>")
+    found = retrieval.vector_leg(table.where("id < 5").withColumnRenamed("id", "q"), table, 7).collect()
+    norm = lambda v: sum(x * x for x in v) ** 0.5
+    for q in range(5):
+        best = sorted(((-round(sum(a * b for a, b in zip(points[q][1], v)) / norm(points[q][1]) / norm(v), 6), n) for n, v in points))[:7]
+        assert [r["id"] for r in sorted(found, key=lambda r: r["rank"]) if r["q"] == q] == [n for _, n in best]
+
+
+def test_fusion_scores(spark):
+    vector = spark.createDataFrame([(1, 10, "a", 1, 0.9), (1, 11, "b", 2, 0.8), (1, 12, "a", 3, 0.7)], "q long, id long, text string, rank int, score double")
+    keyword = spark.createDataFrame([(1, 13, "b", 1), (1, 14, "c", 2)], "q long, id long, text string, rank int")
+    fused = {r["text"]: r for r in retrieval.fuse(vector, keyword).collect()}
+    assert fused["a"]["id"] == 10 and abs(fused["a"]["rrf"] - (1 / 60 + 1 / 62)) < 1e-12
+    assert fused["b"]["id"] == 11 and abs(fused["b"]["rrf"] - (1 / 61 + 1 / 60)) < 1e-12 and fused["c"]["top_vector"] == 0.9
+
+
+@pytest.mark.parametrize(("rrf", "overlap", "final"), [(0.0167, 1.0, 0.5167), (0.0159, 0.75, 0.3909), (0.0164, 0.5, 0.2664)])
+def test_worked_scores(spark, rrf, overlap, final):
+    words = ["alpha", "beta", "gamma", "delta"]
+    table = spark.createDataFrame([(1, " ".join(words[: int(4 * overlap)]), 1, rrf, 1, 1, 0.5)], "q long, text string, id long, rrf double, leg int, leg_rank int, top_vector double")
+    asked = spark.createDataFrame([(1, " ".join(words), None)], "q long, question string, other string")
+    assert round(retrieval.score(table, asked).first()["score"], 4) == final
+
+
+def test_suppression(spark):
+    shared = " ".join(f"t{n}" for n in range(30))
+    rows = [(1, 1, f"{shared} one", 0.9, "b1", 1, 2), (1, 2, f"{shared} two", 0.8, "b1", 2, 3), (1, 3, f"{shared} three", 0.7, "b1", 9, 9), (1, 4, f"{shared} four", 0.6, "b2", 1, 2), (1, 5, f"{shared} five", 0.5, None, 1, 2)]
+    table = spark.createDataFrame(rows, "q long, id long, text string, score double, book string, page_start int, page_end int").selectExpr("*", "1 AS leg", "1 AS leg_rank")
+    assert [r["id"] for r in retrieval.suppress(table).orderBy("rank").collect()] == [1, 3, 4, 5]
+
+
+def test_alignment():
+    claim = ["alpha", "beta", "gamma"]
+    text = "⟨Page 3⟩ alpha x beta ⟨Page 4⟩ gamma alpha beta gamma"
+    assert citations.common_length(claim, ["alpha", "x", "gamma"]) == 2
+    matched = citations.align(claim, text)
+    assert len(matched) == 3 and all(m[1] for m in matched)
+    assert citations.dense_page(text, matched, [1, 1, 1], claim) == 4
+    assert citations.align(claim, "alpha only") == [] and citations.align([], text) == []
+    assert citations.same_token("محمود", "محمودية") and not citations.same_token("ab", "abc")
+
+
+def passage(text, book="B", page=5, offsets=(), printed=None):
+    return {"text": text, "annotated": text, "book_name": book, "page_start": page, "page_end": page, "printed_page_start": printed, "printed_page_end": None, "page_offsets": [dict(zip(("page", "start_char", "end_char", "printed_page_num"), o)) for o in offsets]}
+
+
+def test_resolving():
+    two = passage("⟨Page 5⟩ the seal of all prophets ⟨Page 6⟩ the brick and the corner", offsets=[(5, 0, 20, None), (6, 21, 50, None)])
+    other = passage("⟨Page 9⟩ nothing to see", "C", 9, [(9, 0, 9, None), (10, 10, 20, None)])
+    assert citations.resolve("He is the brick and the corner [P1, Page 5].", [two, other]) == "He is the brick and the corner [B, Page 6]."
+    assert citations.resolve("Zzz [P1, Page 5; P7] and [P2]", [two, other]) == "Zzz [B, Page 5] and [C, Page 9]"
+    assert citations.claim_page([passage("x", printed=12)], 0, None, []) == 12
+
+
+def test_boxes():
+    words = [("l1", w, [10.0 * n, 0.0, 10.0 * n + 8, 10.0]) for n, w in enumerate(["a", "b", "c"])] + [("l2", "d", [0.0, 20.0, 8.0, 30.0])]
+    assert citations.locate_box(words, ["a", "b", "c", "d"], rtl=False) == [0.0, 0.0, 28.0, 30.0]
+    assert citations.locate_box(words, ["a", "b"], rtl=False) is None and citations.locate_box(words, ["x", "y", "z"]) is None
+
+
+def test_catalogue(spark):
+    books = spark.createDataFrame([(1, "b", None), (2, "a", 5), (3, "c", 4)], "id long, title string, pages int")
+    assert [r["id"] for r in catalog.list_page(books, "pages", "id", ("pages",)).collect()] == [3, 2, 1]
+    assert [r["id"] for r in catalog.list_page(books, "pages", "id", ("pages",), descending=True).collect()] == [1, 2, 3]
+    with pytest.raises(ValueError, match="cannot sort"):
+        catalog.list_page(books, "secret", "id", ("pages",))
+    defaults = catalog.settings(spark.createDataFrame([(1, "mine", None)], "id int, product_name string, color string"), product_name="default", color="blue")
+    assert [tuple(r) for r in defaults.collect()] == [("mine", "blue")]
+    assert [tuple(r) for r in catalog.set_status(books, "id", 2, title="new").orderBy("id").collect()][1] == (2, "new", 5)
+
+
+def test_login_limiter(spark):
+    minute = 60_000_000
+    tries = [(1, n * minute, True) for n in range(6)] + [(1, 16 * minute, True), (2, 0, True), (2, 1, False), (2, 2, True)]
+    found = {(r["key"], r["at"]): r["blocked"] for r in state.login_limiter(spark.createDataFrame(tries, "key long, at long, failed boolean")).collect()}
+    assert found[1, 5 * minute] and not found[1, 4 * minute] and not found[1, 16 * minute] and not found[2, 2]
+
+
+def test_weeks(spark):
+    days = [datetime(2021, 1, 1 + n) for n in range(31)] + [datetime(2024, 1, 1), datetime(2023, 12, 31), datetime(2023, 1, 1)]
+    table = spark.createDataFrame([(d,) for d in days], "d timestamp")
+    assert [r["w"] for r in table.select("d", state.week_of_year(F.col("d")).alias("w")).collect()] == [int(d.strftime("%W")) for d in days]
+
+
+def test_readers(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(b"%PDF-1.7 x")
+    (tmp_path / "b.pdf").write_bytes(b"nope!")
+    own = readers.blobs(spark, str(tmp_path))
+    assert [r["path"].rsplit("/", 1)[1] for r in readers.valid_pdf(own).select("path").collect()] == ["a.pdf"]
+    header = "level\tpage_num\tblock_num\tpar_num\tline_num\tword_num\tleft\ttop\twidth\theight\tconf\ttext\n"
+    (tmp_path / "o.tsv").write_text(header + "5\t1\t1\t1\t1\t1\t300\t600\t150\t75\t96.5\tword\n5\t1\t1\t1\t1\t2\t0\t0\t10\t10\t-1\tbad\n5\t1\t1\t1\t1\t3\t0\t0\t10\t10\t90\t \n")
+    assert [tuple(r) for r in readers.ocr_words(spark, str(tmp_path / "o.tsv")).collect()] == [(1, "1-1-1", 1, "word", 72.0, 144.0, 108.0, 162.0)]
+    split = readers.split_response(spark.createDataFrame([(1, "one---two", 2), (2, "a\nb\nc\nd\ne", 2), (3, "x", 3)], "id long, text string, expected int"))
+    assert sorted(tuple(r) for r in split.collect()) == [(1, 0, "one"), (1, 1, "--two"), (2, 0, "a\nb"), (2, 1, "c\nd\ne"), (3, 0, "x"), (3, 1, ""), (3, 2, "")]
+
+
+def test_answer_stream(spark):
+    table = spark.createDataFrame([(1, "two words", True, [1])], "q long, answer string, no_result boolean, sources array<int>")
+    assert [(r["n"], r["kind"]) for r in sinks.answer_tokens(table).orderBy("n").collect()] == [(0, "token"), (1, "token"), (2, "no_result"), (3, "sources"), (4, "done")]
+
+
+def test_providers():
+    assert models.provider_order(["a", "b", "c"], {"a": "k", "c": "k", "b": None}) == ["a", "c"]
+    calls = []
+
+    class Busy(Exception):
+        status = 429
+
+    def failing(name, errors, text=""):
+        def call():
+            calls.append(name)
+            if errors:
+                raise errors.pop(0)
+            return text
+
+        return name, call
+
+    assert models.call_chain([failing("a", [Busy(), Busy()], "yes")]) == "yes" and calls == ["a"] * 3
+    assert models.call_chain([failing("b", [ValueError()], "no"), failing("c", [], ""), failing("d", [], "last")]) == "last"
+    with pytest.raises(ValueError, match="x"):
+        models.call_chain([failing("e", [ValueError("x")])])
+
+
+def test_questions_are_answered(spark):
+    rng = random.Random(8)
+    texts = [" ".join(f"word{rng.randrange(3000)}" for _ in range(90)) + "." for _ in range(12)]
+    table = spark.createDataFrame([(n, 1, t) for n, t in enumerate(texts)], "doc_id long, page int, text string")
+    own = ingest.passages(table).withColumn("book", F.col("doc_id").cast("string")).withColumn("printed_page_start", F.lit(None).cast("int")).withColumn("printed_page_end", F.lit(None).cast("int")).persist()
+    vectors, postings = ingest.indexes(own)
+    asked = spark.createDataFrame([(1, " ".join(texts[4].split()[10:30])), (2, "entirely unrelated gibberish"), (3, "")], "q long, question string")
+    found = {r["q"]: r for r in ask.answered(asked, own, vectors, postings).collect()}
+    assert set(found) == {1, 2} and found[1]["decision"] == "generate" and "[4, Page 1]" in found[1]["answer"] and found[1]["sources"][0]["book_name"] == "4"
+    assert found[2]["no_result"] and found[2]["sources"] == []
