@@ -9,7 +9,7 @@ only; the same expressions make the digests of the known texts.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import require, text_or_empty
@@ -77,26 +77,35 @@ KNOWN = [
 ]
 
 
-def canonical(text: Column) -> Column:
-    """The canonical form of a text."""
-    out = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, " ")
+#: The digest of nothing, which no known text has.
+NOTHING = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
+
+
+def with_digest(df: DataFrame, text: str, name: str) -> DataFrame:
+    """``df`` with the SHA-256 of the canonical form of a column.
+
+    Each step is a projection of its own, so that what a step uses twice is made once, and
+    the result is never null, so that no join adds a null test that would make it again.
+    """
+    low = df.withColumn("_form", F.lower(F.col(text)))
+    form = F.col("_form")
+    marked = F.contains(form, F.lit("copyright")) | F.contains(form, F.lit("(c)")) | F.contains(form, F.lit("©"))
+    out = F.when(marked, F.regexp_replace(form, COPYRIGHT_LINE, " ")).otherwise(form)
     for one, other in SPELLINGS:
         if one != other:
             out = F.replace(out, F.lit(one), F.lit(other))
-    return F.trim(F.regexp_replace(out, PUNCTUATION, " "))
-
-
-def digest(text: Column) -> Column:
-    """SHA-256 of the canonical form; null where nothing is left of the text."""
-    form = canonical(text)
-    return F.when(form != "", F.sha2(form, 256))
+    out = F.trim(F.regexp_replace(out, PUNCTUATION, " "))
+    return low.withColumn(name, F.coalesce(F.sha2(out, 256), F.lit(NOTHING))).drop("_form")
 
 
 def known_digests(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
     """(digest, license), one row per distinct digest; of several licences the first by name."""
     rows = F.array(*[F.struct(F.lit(name).alias("license"), F.lit(text).alias("text")) for name, text in (KNOWN if known is None else known)])
     listed = spark.range(1).select(F.inline(rows)) if (KNOWN if known is None else known) else spark.range(0).selectExpr("'' AS license", "'' AS text")
-    return listed.select(digest(F.col("text")).alias("known"), "license").where("known IS NOT NULL").groupBy("known").agg(F.min("license").alias("license"))
+    # A test of both columns: one of the digest alone would be inferred for the documents' side
+    # of the join and make their digests twice.
+    some = F.concat("known", "license") != F.concat(F.lit(NOTHING), F.col("license"))
+    return with_digest(listed, "text", "known").where(some).groupBy("known").agg(F.min("license").alias("license"))
 
 
 def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -107,8 +116,8 @@ def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     ``notices`` names their licences, sorted. ``known`` is a table (known, license) of
     digests, the built-in catalogue unless given.
 
-    A null text counts as empty; a text of which nothing is left in canonical form has a null
-    digest and matches nothing. Notices are gathered by ``doc_id``, so rows that repeat one
+    A null text counts as empty; a text of which nothing is left in canonical form has the
+    digest of the empty text and matches nothing. Notices are gathered by ``doc_id``, so rows that repeat one
     share them; rows with a null ``doc_id`` have none of their own reported. Very long texts
     are scanned whole, an empty table gives an empty result, other columns are not read.
     """
@@ -119,9 +128,9 @@ def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
         catalogue = F.broadcast(catalogue)
     text = text_or_empty()
     units = F.array_distinct(F.concat(F.split(text, "\n"), F.split(text, "\n[ \t]*\n")))
-    parts = docs.select("doc_id", F.explode(units).alias("unit")).where("trim(unit) <> ''").select("doc_id", digest(F.col("unit")).alias("known"))
+    parts = with_digest(docs.select("doc_id", F.explode(units).alias("unit")), "unit", "known").select("doc_id", "known")
     hits = parts.join(catalogue, "known").groupBy(F.col("doc_id").alias("hit_id")).agg(F.countDistinct("known").alias("n_notices"), F.array_join(F.array_sort(F.collect_set("license")), ",").alias("notices"))
-    whole = docs.select("doc_id", digest(text).alias("text_digest"))
+    whole = with_digest(docs.select("doc_id", text.alias("whole")), "whole", "text_digest").select("doc_id", "text_digest")
     whole = whole.join(catalogue.withColumnRenamed("known", "text_digest"), "text_digest", "left")
     found = whole.join(hits, whole["doc_id"] == hits["hit_id"], "left")
     return found.select("doc_id", "text_digest", "license", F.coalesce("n_notices", F.lit(0)).cast("long").alias("n_notices"), F.coalesce("notices", F.lit("")).alias("notices"))
@@ -146,7 +155,7 @@ WITH known AS (SELECT sha256(form) AS known, min(license) AS license FROM (SELEC
 units AS (SELECT DISTINCT doc_id, unnest(list_concat(string_split(coalesce(text, ''), chr(10)), string_split_regex(coalesce(text, ''), '\\n[ \\t]*\\n'))) AS unit FROM documents),
 forms AS (SELECT doc_id, {canonical_sql('unit')} AS form FROM units),
 hits AS (SELECT doc_id, count(DISTINCT known) AS n, array_to_string(list_sort(list(DISTINCT license)), ',') AS notices FROM forms JOIN known ON sha256(form) = known WHERE form <> '' GROUP BY doc_id),
-whole AS (SELECT doc_id, CASE WHEN form <> '' THEN sha256(form) END AS text_digest FROM (SELECT doc_id, {canonical_sql("coalesce(text, '')")} AS form FROM documents))
+whole AS (SELECT doc_id, sha256(form) AS text_digest FROM (SELECT doc_id, {canonical_sql("coalesce(text, '')")} AS form FROM documents))
 SELECT w.doc_id, w.text_digest, k.license, coalesce(h.n, 0) AS n_notices, coalesce(h.notices, '') AS notices
 FROM whole w LEFT JOIN known k ON w.text_digest = k.known LEFT JOIN hits h ON h.doc_id = w.doc_id
 """
