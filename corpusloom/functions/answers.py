@@ -93,7 +93,7 @@ def needs_consistency_check(answer: Column) -> Column:
 
 def claim_sentence(prefix: Column) -> Column:
     """The sentence that ends where a citation begins."""
-    parts = F.filter(F.transform(F.split(prefix, SENTENCE_BOUNDARY), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(prefix, SENTENCE_BOUNDARY), lambda x: F.trim(x)), lambda p: p != "")
     return F.when(F.size(parts) > 0, F.trim(F.regexp_replace(F.element_at(parts, -1), BRACKET, " "))).otherwise(F.trim(prefix))
 
 

@@ -48,7 +48,7 @@ def answered(questions: DataFrame, passages: DataFrame, vectors: DataFrame, own:
     lists = best.join(facts, "id").groupBy("q").agg(F.array_sort(F.collect_list(entry)).alias("passages"))
     rows = asked.join(gated, "q").join(lists, "q", "left")
     rows = rows.withColumn("answer", F.when(F.col("decision") == "generate", models.generate(F.col("question"), F.col("passages"))))
-    rows = citations.resolve_citations(rows)
+    rows = citations.resolve_citations(rows.persist())
     final = A.without_placeholders(F.col("resolved"))
     rows = rows.withColumn("final", final).withColumn("no_result", (F.col("decision") != "generate") | A.says_nothing_found(F.col("final")))
     text = F.when(F.col("no_result"), A.refusal(F.col("language"), F.col("decision") == "no_result")).otherwise(models.rewrite(F.col("final"), F.col("language")))

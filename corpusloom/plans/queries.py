@@ -601,7 +601,6 @@ def known_items(spark: SparkSession, d: str) -> DataFrame:
 QUERIES["known_items"] = known_items
 
 
-@query()
 def answers(spark, d):
     """Questions answered from document passages by both legs, with decision, answer and sources."""
     own = ingest.passages(_page_texts(spark, d), every_line=True).withColumn("book", F.col("doc_id").cast("string")).withColumn("printed_page_start", F.lit(None).cast("int")).withColumn("printed_page_end", F.lit(None).cast("int"))

@@ -211,8 +211,8 @@ def test_providers():
 def test_questions_are_answered(spark):
     rng = random.Random(8)
     texts = [" ".join(f"word{rng.randrange(3000)}" for _ in range(90)) + "." for _ in range(12)]
-    table = spark.createDataFrame([(n, 1, t) for n, t in enumerate(texts)], "doc_id long, page int, text string")
-    own = ingest.passages(table).withColumn("book", F.col("doc_id").cast("string")).withColumn("printed_page_start", F.lit(None).cast("int")).withColumn("printed_page_end", F.lit(None).cast("int")).persist()
+    rows = [(str(n), t, str(n), 1, 1, [(0, len(t) - 1, 1, None)], None, None) for n, t in enumerate(texts)]
+    own = spark.createDataFrame(rows, "id string, text string, book string, page_start int, page_end int, page_offsets array<struct<start_char:bigint,end_char:bigint,page:int,printed_page_num:int>>, printed_page_start int, printed_page_end int")
     vectors, postings = ingest.indexes(own)
     asked = spark.createDataFrame([(1, " ".join(texts[4].split()[10:30])), (2, "entirely unrelated gibberish"), (3, "")], "q long, question string")
     found = {r["q"]: r for r in ask.answered(asked, own, vectors, postings).collect()}
