@@ -1,13 +1,12 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-The n-grams of the test items are looked up in every document. One pass counts in how many
-documents each occurs; an item keeps those that are rare beside its own usual one, so common
-phrases seed nothing and yet every item keeps seeds, however often it leaked. A second pass
-aligns the item with the passage around its seeds; the local alignment score, divided by the
-score of the item against itself, finds copies with words replaced, inserted or left out.
+The n-grams of the test items are looked up in every document. Each one found seeds an
+alignment of the item with the passage around it, however common it is; a passage with too
+few words of the item to reach the score is not aligned. The local alignment score, divided
+by the score of the item against itself, finds copies with words replaced, inserted or left out.
 
-Documents are never shuffled. What the tasks get is the benchmark, in blocks of at most
-``BLOCK_WORDS`` words; a larger benchmark takes more passes.
+Documents are never shuffled and are read once for each block of the benchmark. What the
+tasks get is the benchmark, in blocks of at most ``BLOCK_WORDS`` words.
 """
 
 from __future__ import annotations
@@ -25,9 +24,6 @@ from corpusloom.llm.common import require, text_or_empty
 
 #: Words in a seed.
 SEED = 4
-#: A seed is rare if its documents number at most RARE_TIMES the item's lower quartile plus RARE_MORE.
-RARE_TIMES = 8
-RARE_MORE = 16
 #: Scores of the alignment, and the part of an item's own score that makes a leak.
 MATCH, MISMATCH, GAP = 2, -1, -1
 LEAK = 0.5
@@ -87,21 +83,17 @@ class Benchmark:
         vocabulary: dict[str, int] = {}
         items = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_of(text)], dtype=np.int64) for _, text in rows]
         made = cls([r[0] for r in rows], items, vocabulary)
-        made.index(None)
+        made.index()
         return made
 
-    def index(self, rare: dict[int, np.ndarray] | None) -> None:
-        """Set up the seeds: all, or those of each length and item that ``rare`` has."""
+    def index(self) -> None:
+        """Set up the seeds."""
         by_length: dict[int, list[np.ndarray]] = {}
         for n, item in enumerate(self.items):
             if len(item):
                 size = min(SEED, len(item))
                 codes = seed_codes(item, size)
-                offsets = np.arange(len(codes))
-                if rare is not None:
-                    keep = np.isin(offsets, rare[n])
-                    codes, offsets = codes[keep], offsets[keep]
-                by_length.setdefault(size, []).append(np.stack([codes, np.full(len(codes), n), offsets]))
+                by_length.setdefault(size, []).append(np.stack([codes, np.full(len(codes), n), np.arange(len(codes))]))
         self.codes, self.bounds, self.places = {}, {}, {}
         for size, parts in by_length.items():
             table = np.concatenate(parts, axis=1)
@@ -152,22 +144,6 @@ def _lots(batch: pa.RecordBatch, column: int, vocabulary: dict[str, int]) -> Ite
         yield start, np.concatenate(numbers), np.array(bounds)
 
 
-def _frequencies(benchmark: Benchmark):
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = {size: np.zeros(len(codes), dtype=np.int64) for size, codes in benchmark.codes.items()}
-        for batch in batches:
-            for _, words, bounds in _lots(batch, 0, benchmark.vocabulary):
-                for size, at, seed in benchmark.seeds_in(words):
-                    rows = np.searchsorted(bounds, at, "right")
-                    pairs = np.unique(rows * len(benchmark.codes[size]) + seed)
-                    totals[size] += np.bincount(pairs % len(benchmark.codes[size]), minlength=len(benchmark.codes[size]))
-        for size, counts in totals.items():
-            found = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), size, dtype=np.int32)), pa.array(found.astype(np.int32)), pa.array(counts[found])], names=["size", "seed", "n"])
-
-    return count
-
-
 def _hits_of(benchmark: Benchmark, words: np.ndarray, bounds: np.ndarray, leak: float) -> Iterator[tuple[int, int, float, int, int]]:
     """(row, item, score, start, end) of each item that leaked into each of some rows."""
     starts: list[np.ndarray] = []
@@ -191,6 +167,8 @@ def _hits_of(benchmark: Benchmark, words: np.ndarray, bounds: np.ndarray, leak:
             last, n = seeds[2, n], n + 1
         slack = len(own) // 2 + 2
         low, high = max(bounds[row], first - slack), min(bounds[row + 1] - 1, last + len(own) + slack)
+        if np.isin(words[low:high], own).sum() < leak * len(own):  # the score is at most MATCH for each of these
+            continue
         score, start, end = smith_waterman(own, words[low:high])
         part = score / (MATCH * len(own))
         if part >= leak and part > best.get((row, item), (0.0, 0, 0))[0]:
@@ -199,8 +177,8 @@ def _hits_of(benchmark: Benchmark, words: np.ndarray, bounds: np.ndarray, leak:
         yield int(row), int(item), part, start, end
 
 
-def benchmark_blocks(benchmark: DataFrame, docs: DataFrame) -> list[Benchmark]:
-    """The test items with their rare seeds, in blocks of a bounded size."""
+def benchmark_blocks(benchmark: DataFrame) -> list[Benchmark]:
+    """The test items with their seeds, in blocks of a bounded size."""
     require(benchmark, ["item_id", "text"])
     blocks: list[Benchmark] = []
     rows, size = [], 0
@@ -211,16 +189,6 @@ def benchmark_blocks(benchmark: DataFrame, docs: DataFrame) -> list[Benchmark]:
             blocks.append(Benchmark.of(rows))
             rows, size = [], 0
     blocks.append(Benchmark.of(rows))
-    for block in blocks:
-        counted = docs.select(text_or_empty().alias("text")).mapInArrow(_frequencies(block), "size int, seed int, n long").groupBy("size", "seed").agg(F.sum("n").alias("n")).collect()
-        frequency = {(r["size"], r["seed"]): r["n"] for r in counted}
-        rare = {}
-        for n, item in enumerate(block.items):
-            if len(item):
-                own = min(SEED, len(item))
-                counts = np.array([frequency.get((own, int(k)), 0) for k in np.searchsorted(block.codes[own], seed_codes(item, own))])
-                rare[n] = np.flatnonzero(counts <= RARE_TIMES * np.sort(counts)[len(counts) // 4] + RARE_MORE)
-        block.index(rare)
     return blocks
 
 
@@ -235,7 +203,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, leak: float = LEAK) -> Dat
     """
     require(docs, ["doc_id", "text"])
     found = None
-    for block in benchmark_blocks(benchmark, docs):
+    for block in benchmark_blocks(benchmark):
 
         def hits(batches: Iterator[pa.RecordBatch], block: Benchmark = block) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -253,7 +221,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, leak: float = LEAK) -> Dat
     """``docs`` without the rows that hold a test item, columns unchanged; cases as in ``find_leaks``."""
     require(docs, ["doc_id", "text"])
     at = docs.columns.index("text")
-    for block in benchmark_blocks(benchmark, docs):
+    for block in benchmark_blocks(benchmark):
 
         def clean(batches: Iterator[pa.RecordBatch], block: Benchmark = block) -> Iterator[pa.RecordBatch]:
             for batch in batches:

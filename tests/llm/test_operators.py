@@ -266,6 +266,21 @@ def test_decontamination_against_full_alignment(spark):
     assert clean == set(range(62)) - {x[0] for x in found}
 
 
+def test_decontamination_of_copies_in_hundreds_of_documents(spark):
+    rng = random.Random(12)
+    edited, partial = words(rng, 38, 5000).split(), words(rng, 40, 5000)
+    item = " ".join(edited)
+    for n in (9, 19, 29):
+        edited[n] = "changed"
+    texts = [f"{words(rng, 20)} {' '.join(edited)} {words(rng, 5)}" for _ in range(300)]
+    texts += [f"{words(rng, 20)} {' '.join(partial.split()[:26])} {words(rng, 5)}" for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(0, item), (1, partial)], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs, bench).collect()}
+    assert found == {(n, n // 300) for n in range(600)}
+    assert decontaminate.drop_leaks(docs, bench).count() == 0
+
+
 def brute_hmm(p, sequence):
     v, log = None, 0.0
     for n, c in enumerate(sequence):
