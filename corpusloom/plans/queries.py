@@ -564,7 +564,7 @@ def claim_token_weights(spark, d):
 @query()
 def claim_page(spark, d):
     """A claim taken from the second half of each document, located in its page-marked text."""
-    own = table(spark, d, "documents").where("n_chars < 4000").select("doc_id", "text", (F.length("text") / 2).cast("int").alias("half"))
+    own = table(spark, d, "documents").select("doc_id", "text", (F.length("text") / 2).cast("int").alias("half"))
     offsets = F.array(F.struct(F.lit(1).alias("page"), F.lit(0).alias("start_char"), (F.col("half") - 1).alias("end_char"), F.lit(None).cast("int").alias("printed_page_num")), F.struct(F.lit(2).alias("page"), F.col("half").alias("start_char"), (F.length("text") - 1).alias("end_char"), F.lit(None).cast("int").alias("printed_page_num")))
     claim = F.expr("substring(text, half + 20, 60)")
     return citations.claim_pages(own.select("doc_id", claim.alias("claim"), A.annotated(F.col("text"), offsets).alias("annotated"))).select("doc_id", "page", "matched")

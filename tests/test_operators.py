@@ -127,6 +127,16 @@ def test_alignment():
     assert citations.same_token("محمود", "محمودية") and not citations.same_token("ab", "abc")
 
 
+def test_claims_of_whole_documents(spark, tmp_path):
+    from corpusloom.plans.queries import QUERIES
+
+    text = lambda n: " ".join(f"word{k}" for k in range(n))
+    rows = [(0, text(60), 360), (1, text(20_000), 200_000), (2, text(60), None), (3, None, None), (4, "", 0)]
+    spark.createDataFrame(rows, "doc_id long, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r["doc_id"]: (r["page"], r["matched"] > 3) for r in QUERIES["claim_page"](spark, str(tmp_path)).collect()}
+    assert found == {0: (2, True), 1: (2, True), 2: (2, True), 3: (None, False), 4: (None, False)}
+
+
 def passage(text, book="B", page=5, offsets=(), printed=None):
     return {"text": text, "annotated": text, "book_name": book, "page_start": page, "page_end": page, "printed_page_start": printed, "printed_page_end": None, "page_offsets": [dict(zip(("page", "start_char", "end_char", "printed_page_num"), o)) for o in offsets]}
 
