@@ -204,7 +204,7 @@ def _aligned(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame
     return both.select("leader", "member", "leader_words", "member_words").mapInArrow(_verify(similarity), _PAIRS)
 
 
-#: Members of a bucket that one task may compare with one another.
+#: Texts in a block of a bucket; a task compares one block with another.
 BUCKET = 4096
 #: Bins of the hashed word counts whose difference bounds the edit distance from below.
 BINS = 64
@@ -216,13 +216,19 @@ def _bins(words: np.ndarray) -> np.ndarray:
 
 def _compare(similarity: float):
     def compare(table: pa.Table) -> pa.Table:
-        """Links between the unlinked members of a bucket and all that came with them."""
-        digests, packed, open_ = (table.column(c).to_pylist() for c in ("digest", "words", "open"))
+        """Links between the unlinked members of a bucket and all that came with them.
+
+        Members that match the leader are one class from the start.
+        """
+        digests, packed, open_, matched = (table.column(c).to_pylist() for c in ("digest", "words", "open", "matched"))
         order = sorted(range(len(digests)), key=lambda n: (not open_[n], digests[n]))
         words = [np.frombuffer(B.unsqueeze(packed[n]), np.uint32) for n in order]
         lengths = np.array([len(w) for w in words])
         bins = np.array([_bins(w) for w in words]).reshape(len(words), BINS)
         root = list(range(len(words)))
+        of_leader = [n for n in range(len(words)) if matched[order[n]]]
+        for n in of_leader:
+            root[n] = of_leader[0]
 
         def find(n: int) -> int:
             while root[n] != n:
@@ -250,32 +256,23 @@ def _remaining(members: DataFrame, checked: DataFrame, words: DataFrame, similar
     """Links that the leaders of the buckets did not show.
 
     ``members`` has key, size, leader and digest. What was not linked to its leader is
-    compared with all of its bucket, or in a bucket of more than ``BUCKET`` texts with what
-    else was not linked there, in one task each; as long as more than ``BUCKET`` texts of one
-    bucket are unlinked, they are first aligned with a further leader.
+    compared with all of its bucket. A bucket of more than ``BUCKET`` texts is compared in
+    blocks: each task has one block of the unlinked texts and one of the whole bucket.
     """
     unlinked = members.join(checked.where(~F.col("linked")).select("leader", F.col("member").alias("digest")), ["leader", "digest"]).select("key", "size", "digest")
     unlinked = checkpoint(unlinked)
-    links = None
-    turn = 0
-    while True:
-        counts = unlinked.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("digest", F.lit(turn)), "digest")).alias("next")).where(F.col("n") > BUCKET)
-        giants = checkpoint(counts.select("key", "n", F.col("next.digest").alias("leader")))
-        if giants.isEmpty():
-            break
-        again = join_hot(unlinked, giants, "key", "n", F.hex("digest"))
-        tried = checkpoint(_aligned(again.where("leader IS NOT NULL AND leader <> digest").select("leader", F.col("digest").alias("member")).distinct(), words, similarity))
-        new = tried.where("linked").select("leader", "member")
-        links = new if links is None else links.unionByName(new)
-        gone = again.join(new.withColumnRenamed("member", "digest"), ["leader", "digest"], "left_semi").select("key", "digest").unionByName(giants.select("key", F.col("leader").alias("digest")))
-        unlinked = checkpoint(unlinked.join(gone, ["key", "digest"], "left_anti"))
-        turn += 1
-    small = unlinked.where(F.col("size") <= BUCKET).select("key").distinct()
-    own = unlinked.select("key", "digest", F.lit(True).alias("open"))
-    whole = members.where(F.col("size") <= BUCKET).join(small, "key", "left_semi").select("key", "digest", F.lit(False).alias("open")).unionByName(own)
-    sets = whole.groupBy("key", "digest").agg(F.max("open").alias("open"))
-    found = sets.join(words, "digest").groupBy("key").applyInArrow(_compare(similarity), "leader binary, member binary")
-    return found if links is None else found.unionByName(links)
+    blocks = lambda n: F.ceil(F.col(n) / BUCKET).cast("long")
+    counts = checkpoint(unlinked.groupBy("key").agg(F.first("size").alias("n"), F.count("*").alias("n_open")).select("key", "n", blocks("n_open").alias("lefts"), blocks("n").alias("rights")))
+    of_open = unlinked.select("key", "digest", F.lit(True).alias("open"))
+    known = members.select("key", "digest").join(of_open, ["key", "digest"], "left").select("key", "digest", F.coalesce("open", F.lit(False)).alias("open"))
+    dealt = checkpoint(join_hot(known, counts, "key", "n", F.hex("digest")).where("lefts IS NOT NULL"))
+    hashed = F.xxhash64("digest", "key")
+    task = lambda a, b: F.concat_ws(":", "key", a, b).alias("task")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias("other")
+    left = dealt.where("open").select("key", "digest", F.pmod(hashed, "lefts").alias("own"), each("rights")).select(task("own", "other"), "digest", F.lit(True).alias("open"), F.lit(False).alias("matched"))
+    right = dealt.select("key", "digest", "open", F.pmod(hashed, "rights").alias("own"), each("lefts")).select(task("other", "own"), "digest", F.lit(False).alias("open"), (~F.col("open")).alias("matched"))
+    sets = left.unionByName(right).groupBy("task", "digest").agg(F.max("open").alias("open"), F.min("matched").alias("matched"))
+    return sets.join(words, "digest").groupBy("task").applyInArrow(_compare(similarity), "leader binary, member binary")
 
 
 def components(edges: DataFrame) -> DataFrame:

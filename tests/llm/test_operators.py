@@ -216,6 +216,35 @@ def test_large_buckets_are_compared_whole(spark, monkeypatch):
     assert sorted((r["doc_id"], r["class_id"]) for r in near_dedup.near_duplicates(table).collect()) == expected
 
 
+def test_giant_buckets_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BUCKET", 4)
+    rng = random.Random(10)
+    texts = []
+    for _ in range(4):
+        own = words(rng, 60, 90000).split()
+        for n in range(5):  # each is near the one before; from the third on, not near the first
+            own[n * 8 : n * 8 + 8] = words(rng, 8, 90000).split()
+            texts.append(" ".join(own))
+    digests = [near_dedup._digest(t.split(), t) for t in texts]
+    hashes = [near_dedup.word_hashes(t.split(), {}) for t in texts]
+    near = lambda a, b: near_dedup.similar(hashes[a], hashes[b], near_dedup.SIMILARITY)
+    table = spark.createDataFrame([(t,) for t in texts], "text string")
+    packed = table.mapInArrow(near_dedup._words, near_dedup._WORDS)
+    members = spark.createDataFrame([("k", len(texts), bytearray(digests[2]), bytearray(d)) for d in digests], "key string, size long, leader binary, digest binary")
+    checked = spark.createDataFrame([(bytearray(digests[2]), bytearray(d), near(2, n)) for n, d in enumerate(digests) if n != 2], "leader binary, member binary, linked boolean")
+    links = {(digests.index(bytes(r["leader"])), digests.index(bytes(r["member"]))) for r in near_dedup._remaining(members, checked, packed, near_dedup.SIMILARITY).collect()}
+    links |= {(2, n) for n in range(len(texts)) if n != 2 and near(2, n)}
+
+    def classes(pairs):
+        root = list(range(len(texts)))
+        for a, b in pairs:
+            root = [root[a] if r == root[b] else r for r in root]
+        return {frozenset(n for n in range(len(texts)) if root[n] == r) for r in root}
+
+    assert all(near(a, b) for a, b in links)
+    assert classes(links) == classes([(a, b) for a in range(len(texts)) for b in range(a) if near(a, b)])
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(bytearray([n]), bytearray([n + 1])) for n in range(1, 60) if n % 10], "a binary, b binary")
     found = {r["node"][0]: r["root"][0] for r in near_dedup.components(edges).collect()}
