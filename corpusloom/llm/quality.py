@@ -76,16 +76,16 @@ def _dictionary(texts: list[bytes]) -> bytes:
         return b"".join(pieces)[-DICTIONARY_BYTES:]
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
-    """Bias and slopes by Newton's method, lightly regularised."""
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, ...]:
+    """Bias and slopes of weighted rows by Newton's method, lightly regularised."""
     if not len(x):
         return (0.0, 0.0, 0.0)
     features = np.hstack([np.ones((len(x), 1)), x])
     w = np.zeros(features.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(features @ w, -30, 30)))
-        gradient = features.T @ (p - y) + 1e-3 * w
-        hessian = (features * (p * (1 - p))[:, None]).T @ features + 1e-3 * np.eye(len(w))
+        gradient = features.T @ (weight * (p - y)) + 1e-3 * w
+        hessian = (features * (weight * p * (1 - p))[:, None]).T @ features + 1e-3 * np.eye(len(w))
         step = np.linalg.solve(hessian, gradient)
         w = w - np.clip(step, -20, 20)
         if np.abs(step).max() < 1e-8:
@@ -103,8 +103,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, n_bytes: in
     """Learn from a bounded sample of the labelled rows that are not held out.
 
     Per label the ``rows`` ids smallest by hash are drawn, then as many whole texts as fit
-    ``n_bytes``; half of each make the dictionary, half the calibration. Rows without a label
-    or with conflicting labels teach nothing.
+    ``n_bytes``; half of each make the dictionary, half the calibration, whose rows are weighted so that
+    the labels have their shares of all learnable rows. Rows without a label or with
+    conflicting labels teach nothing.
     """
     require(docs, ["doc_id", "text"])
     require(labels, ["doc_id", "quality"])
@@ -124,7 +125,11 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, n_bytes: in
     sizes = Sizes(good, bad)
     x = np.array([sizes.evidence(t) for label in (0, 1) for t in parts[label, 1]])
     y = np.array([float(label) for label in (0, 1) for t in parts[label, 1]])
-    return QualityModel(good, bad, _logistic(x, y))
+    known = docs.where(F.col("doc_id").isNotNull()).select("doc_id")
+    counts = {r["low"]: r["count"] for r in sure.where(F.col("low").isin(0, 1)).join(known, "doc_id", "left_semi").groupBy("low").count().collect()}
+    share = {label: counts.get(label, 0) / max(1, sum(counts.values())) for label in (0, 1)}
+    weight = np.array([share[label] * len(y) / len(parts[label, 1]) for label in (0, 1) for t in parts[label, 1]])
+    return QualityModel(good, bad, _logistic(x, y, weight))
 
 
 def score(docs: DataFrame, model: QualityModel) -> DataFrame:

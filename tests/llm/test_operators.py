@@ -216,6 +216,14 @@ def test_large_buckets_are_compared_whole(spark, monkeypatch):
     assert sorted((r["doc_id"], r["class_id"]) for r in near_dedup.near_duplicates(table).collect()) == expected
 
 
+def test_quality_keeps_the_share_of_labels_where_the_sample_is_capped(spark):
+    rng = random.Random(13)
+    table = spark.createDataFrame([(n, words(rng, 40)) for n in range(900)], "doc_id long, text string")
+    labels = spark.createDataFrame([(n, int(n % 7 > 0)) for n in range(900)], "doc_id long, quality int")
+    found = [r["score"] for r in quality.score(table, quality.fit(table, labels, rows=60)).collect()]
+    assert sum(found) / len(found) > 0.75
+
+
 def test_giant_buckets_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BUCKET", 4)
     rng = random.Random(10)
