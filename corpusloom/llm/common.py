@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,19 +17,14 @@ def text_or_empty(column: str = "text") -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``.
-
-    Only a local session without one (a test) gets a folder of its own here.
-    """
+    """The session's ``spark.checkpoint.dir``; where it is unset, a folder in the warehouse, which is shared too."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir")
     if found is None:
         current = sc._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
-        if not sc.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="checkpoints-")
+        found = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
         sc.setCheckpointDir(found)
     return found
 
@@ -43,6 +37,20 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a file or folder of the shared file system."""
+    own = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(own, True)
+
+
+def forget(*done: DataFrame) -> None:
+    """Delete the files of checkpoints that nothing reads any more."""
+    for df in done:
+        file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+        if file.isDefined():
+            delete(df.sparkSession, file.get())
+
+
 def partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -55,16 +63,26 @@ def require(df: DataFrame, columns: Sequence[str]) -> None:
         raise ValueError(f"columns {missing} are missing; there are {df.columns}")
 
 
-def join_hot(rows: DataFrame, facts: DataFrame, key: str, weight: str, spread: Column, heavy: int = 1000) -> DataFrame:
+#: Facts of up to this many keys are broadcast whole.
+FEW_KEYS = 20_000
+
+
+def join_hot(rows: DataFrame, facts: DataFrame, key: str, weight: str, spread: Column, heavy: int = 1000, few: int = FEW_KEYS) -> DataFrame:
     """``rows`` left-joined to ``facts`` by ``key``, safe for keys that hold a large part of the rows.
 
-    ``facts`` has one row per key; ``weight`` is its number of ``rows``. Fewer than ``heavy``
-    keys can hold more than 1/``heavy`` of the rows each: their facts are broadcast, and their
-    rows are dealt by ``spread`` in the shuffled join for the other keys.
+    ``facts`` has one row per key; ``weight`` is its number of ``rows``. Up to ``few`` facts
+    are broadcast. Beyond that, fewer than ``heavy`` keys can hold more than 1/``heavy`` of the
+    rows each: their facts are broadcast, and their rows are dealt by ``spread`` in the
+    shuffled join for the other keys. ``spread`` should differ between rows and must not
+    change when a task is repeated.
     """
-    total = facts.agg(F.sum(weight)).first()[0] or 0
+    total, n = facts.agg(F.sum(weight), F.count("*")).first()
     others = [c for c in facts.columns if c != key]
-    is_heavy = F.col(weight) * heavy > total
+    if n <= few:
+        own = facts.select(F.col(key).alias("_hot"), F.struct(*others).alias("_hot_facts"))
+        found = rows.join(F.broadcast(own), rows[key] == F.col("_hot"), "left")
+        return found.select(*[F.col(c) for c in rows.columns], *[F.col("_hot_facts")[c].alias(c) for c in others])
+    is_heavy = F.col(weight) * heavy > (total or 0)
     hot = facts.where(is_heavy).select(F.col(key).alias("_hot"), F.struct(*others).alias("_hot_facts"))
     light = facts.where(~is_heavy).select(F.col(key).cast("string").alias("_light"), F.struct(*others).alias("_light_facts"))
     marked = rows.join(F.broadcast(hot), rows[key] == F.col("_hot"), "left")

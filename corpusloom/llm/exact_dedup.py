@@ -9,13 +9,16 @@ Texts are equal when they are identical once white space is deleted. Three steps
    fits; then the table compares complete contents. The spill files belong to one task
    attempt: they are deleted when it ends and nothing else reads them, so a lost executor
    costs a repetition of the task and nothing more.
-3. The groups (digest, row that stays, size) are joined to the rows by digest. Groups above
-   1/``HEAVY`` of all rows, of which there are at most ``HEAVY``, are broadcast, so no task
-   of the shuffled join gets a hot key.
+3. The groups (digest, row that stays, size) are joined to the rows by digest, safely for
+   groups that hold a large part of all rows.
+
+To drop copies, the records carry the whole best row of their group through the first two
+steps, so exactly one row of each group comes out and no join by id is needed.
 """
 
 from __future__ import annotations
 
+import hashlib
 import pickle
 import shutil
 import tempfile
@@ -25,27 +28,30 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from corpusloom.llm.common import checkpoint, partitions, require, text_or_empty
+from corpusloom.llm.blocks import text_pieces
+from corpusloom.llm.common import FEW_KEYS, checkpoint, join_hot, partitions, require, text_or_empty
 
 #: Bytes of content in a table before a task flushes (first step) or spills (second step).
 TABLE_BYTES = 64 << 20
 #: Spill files per level: the fan-out of one recursive partitioning.
 FAN_OUT_BITS = 4
-#: A group with more than this part of all rows is joined by broadcast.
-HEAVY = 1000
 
 RECORDS = "digest binary, content binary, best_chars long, best_id long, n_rows long"
 GROUPS = "digest binary, keep_id long, group_size long"
 
-Record = tuple[bytes, bytes, int, int | None, int]
+#: digest, content, code points of the best row, its id, rows, and if rows are carried, that row.
+Record = tuple
 
 
-def better(chars: int, doc_id: int | None, than_chars: int, than_id: int | None) -> bool:
-    """Whether a row goes before another: more code points, then the smaller id, null last."""
-    if chars != than_chars:
-        return chars > than_chars
-    return doc_id is not None and (than_id is None or doc_id < than_id)
+def better(record: Record, than: Record) -> bool:
+    """Whether a row goes before another: more code points, then the smaller id, null last, then the row itself."""
+    if record[2] != than[2]:
+        return record[2] > than[2]
+    if record[3] != than[3]:
+        return record[3] is not None and (than[3] is None or record[3] < than[3])
+    return tuple(record[5:]) < tuple(than[5:])
 
 
 class ContentTable:
@@ -57,22 +63,21 @@ class ContentTable:
         self.n_bytes = 0
 
     def add(self, record: Record) -> None:
-        digest, content, chars, doc_id, rows = record
+        digest, content = record[:2]
         mask = len(self.slots) - 1
         at = int.from_bytes(digest[8:16], "big") & mask
         while (found := self.slots[at]) >= 0:
             entry = self.entries[found]
             if entry[1] == content:
-                if better(chars, doc_id, entry[2], entry[3]):
-                    entry[2], entry[3] = chars, doc_id
-                entry[4] += rows
+                rows = entry[4] + record[4]
+                if better(record, entry):
+                    entry[:] = record
+                entry[4] = rows
                 return
-            if entry[0] == digest:
-                raise ValueError("two different texts have one digest")
             at = (at + 1) & mask
         self.slots[at] = len(self.entries)
-        self.entries.append([digest, content, chars, doc_id, rows])
-        self.n_bytes += len(content) + 200
+        self.entries.append(list(record))
+        self.n_bytes += len(content) + sum(map(len, record[5:])) + 200
         if len(self.entries) * 2 > len(self.slots):
             self._grow()
 
@@ -191,37 +196,80 @@ def exact_groups(docs: DataFrame, table_bytes: int = TABLE_BYTES) -> tuple[DataF
     return keyed.select("doc_id", digest.alias("digest")), merged
 
 
-def exact_dedup(docs: DataFrame, table_bytes: int = TABLE_BYTES, heavy: int = HEAVY) -> DataFrame:
+def exact_dedup(docs: DataFrame, table_bytes: int = TABLE_BYTES, few: int = FEW_KEYS) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
     The row with the most code points in the original text, then the smallest ``doc_id``,
     stays. A null text counts as empty, and empty texts are equal to one another. A null
     ``doc_id`` goes last among ties. Rows that repeat both text and ``doc_id`` count in
-    ``group_size`` and are marked alike. An empty table gives an empty result; columns
-    other than ``doc_id`` and ``text`` are neither read nor returned.
+    ``group_size`` and are marked alike. Texts are compared whole, however long. An empty
+    table gives an empty result; columns other than ``doc_id`` and ``text`` are neither read
+    nor returned.
     """
     rows, groups = exact_groups(docs, table_bytes)
-    groups = checkpoint(groups)
-    total = groups.agg(F.sum("group_size")).first()[0] or 0
-    is_heavy = F.col("group_size") * heavy > total
-    hot = groups.where(is_heavy).select(F.col("digest").alias("hot_digest"), F.col("keep_id").alias("hot_keep"), F.col("group_size").alias("hot_size"))
-    light = groups.where(~is_heavy).select(F.col("digest").alias("light_digest"), F.col("keep_id").alias("light_keep"), F.col("group_size").alias("light_size"))
-    marked = rows.join(F.broadcast(hot), rows.digest == F.col("hot_digest"), "left")
-    own = F.concat(F.lit("#"), F.coalesce(F.col("doc_id"), F.lit(0)).cast("string")).cast("binary")
-    marked = marked.withColumn("find", F.when(F.col("hot_size").isNull(), F.col("digest")).otherwise(own))
-    found = marked.join(light, F.col("find") == F.col("light_digest"), "left")
-    keep = F.when(F.col("hot_size").isNull(), F.col("light_keep")).otherwise(F.col("hot_keep"))
-    return found.select(
-        "doc_id",
-        keep.alias("keep_id"),
-        F.coalesce("hot_size", "light_size").alias("group_size"),
-        F.col("doc_id").eqNullSafe(keep).alias("kept"),
-        F.lower(F.hex("digest")).alias("text_sha256"),
-    )
-
-
-def drop_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose text another row has, columns unchanged."""
-    _, groups = exact_groups(docs)
-    keep = groups.select(F.col("keep_id").alias("_keep_id"))
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["_keep_id"]), "left_semi")
+    # The running number deals the rows of hot groups; written down, it is the same in a repeated task.
+    rows = checkpoint(rows.withColumn("row", F.monotonically_increasing_id()))
+    found = join_hot(rows, checkpoint(groups), "digest", "group_size", F.col("row"), few=few)
+    return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def _with_row(text: str | None, doc_id: int | None, row: bytes) -> Record:
+    content = (text or "").encode().translate(None, b"\t\n\v\f\r ")
+    return hashlib.sha256(content).digest(), content, len(text or ""), doc_id, 1, row
+
+
+def drop_copies(docs: DataFrame, table_bytes: int = TABLE_BYTES) -> DataFrame:
+    """``docs`` with one row of each set of equal texts, columns unchanged.
+
+    The row that stays is that of ``exact_dedup``; among rows that tie in code points and
+    ``doc_id`` (repeated or null ids) exactly one stays, the same one in every run. A null
+    text counts as empty and is kept as it is if its row stays.
+    """
+    require(docs, ["doc_id", "text"])
+    at_text, at_id = docs.columns.index("text"), docs.columns.index("doc_id")
+    schema = to_arrow_schema(docs.schema)
+
+    def merge_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def records() -> Iterator[Record]:
+            for batch in batches:
+                for piece in text_pieces(batch, "text", 4 << 20):
+                    for row in zip(*[c.to_pylist() for c in piece.columns]):
+                        yield _with_row(row[at_text], row[at_id], pickle.dumps(row, protocol=5))
+
+        table = ContentTable()
+        for record in records():
+            table.add(record)
+            if table.n_bytes > table_bytes:
+                yield from rows_of(table.entries)
+                table = ContentTable()
+        yield from rows_of(table.entries)
+
+    def rows_of(entries: list[list]) -> Iterator[pa.RecordBatch]:
+        for start in range(0, len(entries), 256):
+            part = entries[start : start + 256]
+            yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in part], pa.binary()), pa.array([e[5] for e in part], pa.binary())], names=["digest", "row"])
+
+    def keep_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def records() -> Iterator[Record]:
+            for batch in batches:
+                for value in batch.column(1):
+                    own = value.as_py()
+                    row = pickle.loads(own)
+                    yield _with_row(row[at_text], row[at_id], own)
+
+        folder = Path(tempfile.mkdtemp(prefix="grace-"))
+        try:
+            part, size = [], 0
+            for entry in grace(records(), folder, table_bytes):
+                part.append(pickle.loads(entry[5]))
+                size += len(entry[5])
+                if size > 4 << 20:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part), schema)], schema=schema)
+                    part, size = [], 0
+            if part:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part), schema)], schema=schema)
+        finally:
+            shutil.rmtree(folder, ignore_errors=True)
+
+    merged = docs.mapInArrow(merge_task, "digest binary, row binary").repartition(partitions(docs.sparkSession), "digest")
+    return merged.mapInArrow(keep_task, docs.schema)

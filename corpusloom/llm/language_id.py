@@ -18,15 +18,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from corpusloom.llm.common import checkpoint, join_hot, require, text_or_empty
+from corpusloom.llm.common import checkpoint, forget, join_hot, require, text_or_empty
 
-#: Text models: labelled rows and bytes learnt from per language, languages at most.
-SAMPLE_ROWS = 1500
+#: Text models: labelled rows and bytes learnt from per language. A model takes ``BUCKETS``
+#: numbers a language; more languages than this are refused, none is left out.
+SAMPLE_ROWS = 1000
 SAMPLE_BYTES = 4 << 20
-LANGUAGES = 64
+LANGUAGES = 1024
 #: Hashed byte trigrams, and the pseudo-count of each.
 BUCKETS = 1 << 15
 PSEUDO = 0.05
@@ -34,8 +36,6 @@ PSEUDO = 0.05
 TEMPER = 0.3
 #: Pseudo-rows that a host has from its domain and a domain from the corpus.
 STRENGTH = 5.0
-#: Address suffixes told apart; the others count as one.
-SUFFIXES = 64
 #: Prior probability that a text is in no known language, and the posterior a row needs.
 UNKNOWN = 0.001
 ACCEPT = 0.5
@@ -50,7 +50,7 @@ class TextModel:
 
     def likelihoods(self, text: bytes) -> np.ndarray:
         grams = trigrams(text)
-        return TEMPER * self.logs[:, grams].sum(axis=1) if len(grams) else np.zeros(len(self.languages))
+        return TEMPER * self.logs[:, grams].sum(axis=1, dtype=np.float64) if len(grams) else np.zeros(len(self.languages))
 
 
 def trigrams(text: bytes) -> np.ndarray:
@@ -65,24 +65,30 @@ _LETTERS = bytes(n if n >= 128 or chr(n).isalpha() else 32 for n in range(256))
 
 
 def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, n_bytes: int = SAMPLE_BYTES) -> TextModel:
-    """A text model from a bounded sample of the rows that have a ``lang``."""
+    """A text model of every ``lang`` from a bounded sample of its rows.
+
+    Per language the ``rows`` rows smallest by a hash of id and text are drawn, of these as many whole
+    texts as fit ``n_bytes``. Rows that repeat id and text teach once.
+    """
     require(docs, ["doc_id", "text", "lang"])
-    own = docs.where(F.col("lang").isNotNull() & (F.col("lang") != UND))
-    languages = sorted(r["lang"] for r in own.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect())
+    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text_or_empty())
+    own = docs.where(F.col("lang").isNotNull() & (F.col("lang") != UND)).select("lang", key.alias("key"), text_or_empty().alias("text"))
+    order = Window.partitionBy("lang").orderBy("key")
+    drawn = own.select("lang", "key", F.octet_length("text").alias("n")).withColumn("place", F.row_number().over(order)).where(F.col("place") <= rows)
+    drawn = drawn.withColumn("used", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("used") <= n_bytes)
+    drawn = checkpoint(drawn.select("lang", "key").distinct())
+    languages = sorted(r["lang"] for r in own.select("lang").distinct().limit(LANGUAGES + 1).collect())
+    if len(languages) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
     counts = np.full((len(languages) + 1, BUCKETS), PSEUDO)
-    for n, language in enumerate(languages):
-        drawn = own.where(F.col("lang") == language).select("doc_id", F.octet_length(text_or_empty()).alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).collect()
-        left, chosen = n_bytes, []
-        for r in drawn:
-            if r["n"] <= left:
-                left -= r["n"]
-                chosen.append(r["doc_id"])
-        if chosen:
-            for r in own.where((F.col("lang") == language) & F.col("doc_id").isin(chosen)).select(text_or_empty().alias("text")).collect():
-                counts[n] += np.bincount(trigrams(r["text"].encode()), minlength=BUCKETS)
+    number = {language: n for n, language in enumerate(languages)}
+    # At most ``rows`` keys a language are broadcast, and one text comes back for each.
+    texts = own.join(F.broadcast(drawn), ["lang", "key"], "left_semi").groupBy("lang", "key").agg(F.min("text").alias("text"))
+    for r in texts.toLocalIterator():
+        counts[number[r["lang"]]] += np.bincount(trigrams(r["text"].encode()), minlength=BUCKETS)
     logs = np.log(counts / counts.sum(axis=1, keepdims=True))
     logs[-1] = -math.log(BUCKETS)
-    return TextModel((*languages, UND), logs)
+    return TextModel((*languages, UND), logs.astype(np.float32))
 
 
 def html_evidence(pages: DataFrame) -> DataFrame:
@@ -101,14 +107,19 @@ def document_evidence(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").alias("id"), text_or_empty().alias("text"), F.lit("").alias("declared"), host.cast("string").alias("host"))
 
 
-def _likelihoods(model: TextModel):
+def _with_likelihoods(rows: DataFrame, model: TextModel) -> DataFrame:
+    """``rows`` with ``text_log``, the log likelihoods of the binary column ``text``, in its place."""
+    at = rows.columns.index("text")
+    kept = [c for c in rows.columns if c != "text"]
+
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [model.likelihoods(t.as_buffer().to_pybytes()) for t in batch.column(4)]
+            own = [model.likelihoods(t.as_buffer().to_pybytes()) for t in batch.column(at)]
             own = [(x - x.max()).tolist() for x in own]
-            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in range(4)], pa.array(own, pa.list_(pa.float64()))], names=["kind", "id", "declared", "host", "text_log"])
+            others = [batch.column(n) for n in range(batch.num_columns) if n != at]
+            yield pa.RecordBatch.from_arrays([*others, pa.array(own, pa.list_(pa.float64()))], names=[*kept, "text_log"])
 
-    return of
+    return rows.mapInArrow(of, StructType([*[rows.schema[c] for c in kept], StructField("text_log", ArrayType(DoubleType()))]))
 
 
 def _softmax(logs: Column) -> Column:
@@ -117,67 +128,98 @@ def _softmax(logs: Column) -> Column:
     return F.transform(powers, lambda x: x / F.aggregate(powers, F.lit(0.0), lambda a, b: a + b))
 
 
-def _rates(rows: DataFrame, key: Column, n: int, keys: int) -> dict[str, list[float]]:
-    """Log P(key | language) of the most frequent keys, smoothed; "" stands for all others."""
-    sums = rows.where(key != "").groupBy(key.alias("key")).agg(F.count("*").alias("rows"), *[F.sum(F.col("own")[k]).alias(f"l{k}") for k in range(n)]).orderBy(F.desc("rows"), "key").limit(keys).collect()
-    table = np.array([[r[f"l{k}"] for k in range(n)] for r in sums]).reshape(len(sums), n) + 0.5
-    logs = np.log(table / (table.sum(axis=0, keepdims=True) + 0.5))
-    return {r["key"]: logs[i].tolist() for i, r in enumerate(sums)}
+def _evidence(rows: DataFrame) -> DataFrame:
+    return rows.select("kind", F.col("id").cast("long").alias("id"), "declared", "host", text_or_empty().cast("binary").alias("text"))
 
 
-def _looked_up(rates: dict[str, list[float]], key: Column, n: int) -> Column:
-    if not rates:
-        return F.array(*[F.lit(0.0)] * n)
-    table = F.create_map(*[x for k, logs in rates.items() for x in (F.lit(k), F.array(*[F.lit(v) for v in logs]))])
-    return F.coalesce(table[key], F.array(*[F.lit(0.0)] * n))
+def _own(model: TextModel) -> Column:
+    """The posterior by text alone."""
+    n = len(model.languages)
+    flat = F.array(*[F.lit(math.log((1 - UNKNOWN) / max(n - 1, 1)))] * (n - 1), F.lit(math.log(UNKNOWN)))
+    return _softmax(F.zip_with("text_log", flat, lambda a, b: a + b))
 
 
-def fuse(evidence: DataFrame, model: TextModel) -> DataFrame:
-    """kind, id, language, posterior, text_language and kept of every row of ``evidence``.
+def _log_rates(sums: DataFrame, key: str, n: int) -> DataFrame:
+    """(key, ``rates``): log P(key | language) of every key from (key, rows, sums), smoothed by half a row."""
+    total = sums.agg(F.count("*"), *[F.sum(F.col("sums")[k]) for k in range(n)]).first()
+    whole = F.array(*[F.lit(float((x or 0.0) + 0.5 * max(total[0], 1))) for x in total[1:]])
+    return sums.select(key, "rows", F.zip_with("sums", whole, lambda a, b: F.log((a + 0.5) / b)).alias("rates"))
 
-    ``evidence`` has kind, id, text, declared ("" for none) and host (null for none); the
-    functions above make it. A row without letters has no text evidence and takes what its
-    markup, address and host say if they say enough, else it is rejected as ``und``. Repeated
-    rows count each time in their host's prior; a null id is no obstacle; texts are read
-    whole; an empty table gives an empty result.
-    """
+
+@dataclass(frozen=True)
+class Context:
+    """What hosts, address suffixes and markup say about languages, from all rows of the evidence."""
+
+    model: TextModel
+    corpus: list[float]
+    #: host, host_rows, host_sums, domain_rows, domain_sums, suffix_rates.
+    hosts: DataFrame
+    #: declared, declared_rates.
+    declared: DataFrame
+
+
+def context(scored: DataFrame, model: TextModel) -> Context:
+    """The grouped aggregation behind the priors; ``scored`` has kind, id, declared, host and text_log."""
     n = len(model.languages)
-    zero = F.array(*[F.lit(0.0)] * n)
-    rows = evidence.select("kind", F.col("id").cast("long").alias("id"), "declared", "host", text_or_empty().cast("binary").alias("text"))
-    scored = checkpoint(rows.mapInArrow(_likelihoods(model), "kind string, id long, declared string, host string, text_log array<double>"))
-    flat = F.array(*[F.lit(math.log((1 - UNKNOWN) / max(n - 1, 1)))] * (n - 1), F.lit(math.log(UNKNOWN)))
+    rows = scored.withColumn("own", _own(model))
+    sums = [F.sum(F.col("own")[k]) for k in range(n)]
     address = F.col("host").contains(".")
     domain = F.when(address, F.concat_ws(".", F.slice(F.split("host", r"\."), -2, 2))).otherwise(F.lit("-"))
     suffix = F.when(address, F.element_at(F.split("host", r"\."), -1)).otherwise("")
-    scored = scored.withColumn("own", _softmax(F.zip_with("text_log", flat, lambda a, b: a + b)))
-    scored = scored.withColumn("suffix", F.coalesce(suffix, F.lit("")))
-    sums = [F.sum(F.col("own")[k]) for k in range(n)]
-    hosts = scored.where("host IS NOT NULL").groupBy("host").agg(F.count("*").alias("host_rows"), F.array(*sums).alias("host_sums")).withColumn("domain", domain)
-    domains = hosts.groupBy("domain").agg(F.sum("host_rows").alias("domain_rows"), F.array(*[F.sum(F.col("host_sums")[k]) for k in range(n)]).alias("domain_sums"))
-    facts = checkpoint(join_hot(hosts, domains, "domain", "domain_rows", F.col("host")).drop("domain"))
-    total, *all_sums = scored.agg(F.count("*"), *sums).first()
+    hosts = checkpoint(rows.where("host IS NOT NULL").groupBy("host").agg(F.count("*").alias("host_rows"), F.array(*sums).alias("host_sums")).withColumn("domain", domain).withColumn("suffix", suffix))
+    of_hosts = [F.sum(F.col("host_sums")[k]) for k in range(n)]
+    domains = checkpoint(hosts.groupBy("domain").agg(F.sum("host_rows").alias("domain_rows"), F.count("*").alias("domain_hosts"), F.array(*of_hosts).alias("domain_sums")))
+    suffixes = checkpoint(hosts.where("suffix <> ''").groupBy("suffix").agg(F.count("*").alias("rows"), F.array(*of_hosts).alias("sums")))
+    suffixes = checkpoint(_log_rates(suffixes, "suffix", n).withColumnsRenamed({"rows": "suffix_hosts", "rates": "suffix_rates"}))
+    facts = join_hot(join_hot(hosts, domains, "domain", "domain_hosts", F.col("host")), suffixes, "suffix", "suffix_hosts", F.col("host"))
+    facts = checkpoint(facts.drop("domain", "domain_hosts", "suffix", "suffix_hosts"))
+    declared = checkpoint(rows.where("declared <> ''").groupBy("declared").agg(F.count("*").alias("rows"), F.array(*sums).alias("sums")))
+    declared = checkpoint(_log_rates(declared, "declared", n).select("declared", F.col("rates").alias("declared_rates")))
+    total, *all_sums = rows.agg(F.count("*"), *sums).first()
     corpus = [((x or 0.0) + STRENGTH / n) / ((total or 0) + STRENGTH) for x in all_sums]
-    suffixes = _rates(scored, F.col("suffix"), n, SUFFIXES)
-    declared = _rates(scored, F.col("declared"), n, LANGUAGES)
-    joined = join_hot(scored, facts, "host", "host_rows", F.col("id"))
-    # Without the row itself: what its domain says, then what its host says.
-    domain_prior = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: (F.get("domain_sums", k) - F.get("own", k) + STRENGTH * F.get(F.array(*[F.lit(x) for x in corpus]), k)) / (F.col("domain_rows") - 1 + STRENGTH))
-    joined = joined.withColumn("domain_prior", F.when(F.col("host").isNull() | (F.col("domain_rows") < 1), F.array(*[F.lit(x) for x in corpus])).otherwise(domain_prior))
+    return Context(model, corpus, facts, declared)
+
+
+def judge(scored: DataFrame, known: Context, spread: Column) -> DataFrame:
+    """``scored`` (declared, host, text_log and others) with language, posterior, text_language and kept.
+
+    A row's own share is taken out of what its host and domain say. ``spread`` deals the rows of hot hosts.
+    """
+    n = len(known.model.languages)
+    zero, corpus = F.array(*[F.lit(0.0)] * n), F.array(*[F.lit(x) for x in known.corpus])
+    joined = join_hot(scored.withColumn("own", _own(known.model)), known.hosts, "host", "host_rows", spread)
+    joined = joined.join(F.broadcast(known.declared), "declared", "left")  # codes of two or three letters: at most 18252
+    domain_prior = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: (F.get("domain_sums", k) - F.get("own", k) + STRENGTH * F.get(corpus, k)) / (F.col("domain_rows") - 1 + STRENGTH))
+    joined = joined.withColumn("domain_prior", F.when(F.col("host").isNull() | (F.col("domain_rows") < 1), corpus).otherwise(domain_prior))
     host_prior = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: (F.coalesce(F.get("host_sums", k) - F.get("own", k), F.lit(0.0)) + STRENGTH * F.get("domain_prior", k)) / (F.coalesce(F.col("host_rows") - 1, F.lit(0)) + STRENGTH))
     joined = joined.withColumn("prior", F.transform(host_prior, lambda x: F.log(F.greatest(x, F.lit(1e-6)))))
-    parts = [F.col("text_log"), F.col("prior"), _looked_up(suffixes, F.col("suffix"), n), _looked_up(declared, F.col("declared"), n)]
-    fused = parts[0]
-    for part in parts[1:]:
+    fused = F.col("text_log")
+    for part in (F.col("prior"), F.coalesce("suffix_rates", zero), F.coalesce("declared_rates", zero)):
         fused = F.zip_with(fused, part, lambda a, b: a + b)
     said = joined.withColumn("posterior_all", _softmax(fused))
-    names = F.array(*[F.lit(x) for x in model.languages])
+    names = F.array(*[F.lit(x) for x in known.model.languages])
     best = F.array_max("posterior_all")
-    empty = F.col("text_log") == zero
-    text_language = F.when(~empty, F.get(names, F.array_position("own", F.array_max("own")).cast("int") - 1))
-    said = said.select("kind", "id", F.get(names, F.array_position("posterior_all", best).cast("int") - 1).alias("language"), best.alias("posterior"), F.coalesce(text_language, F.lit(UND)).alias("text_language"))
+    text_language = F.when(F.col("text_log") != zero, F.get(names, F.array_position("own", F.array_max("own")).cast("int") - 1))
+    others = [c for c in scored.columns if c not in ("declared", "host", "text_log")]
+    # Of languages that are equally likely the first by name is said.
+    said = said.select(*others, F.get(names, F.array_position("posterior_all", best).cast("int") - 1).alias("language"), best.alias("posterior"), F.coalesce(text_language, F.lit(UND)).alias("text_language"))
     return said.withColumn("kept", (F.col("language") != UND) & (F.col("posterior") >= ACCEPT))
 
 
+def fuse(evidence: DataFrame, model: TextModel) -> DataFrame:
+    """kind, id, language, posterior, text_language and kept of every row of ``evidence``.
+
+    ``evidence`` has kind, id, text, declared ("" for none) and host (null for none); the
+    functions above make it. A row without letters has no text evidence and takes what its
+    markup, address and host say if they say enough, else it is rejected as ``und``. Of languages
+    that tie the first by name is given. Repeated rows count each time in their host's prior; a
+    null id is no obstacle; texts are read whole, however long; an empty table gives an empty
+    result; further columns, whatever their names, are not read.
+    """
+    scored = checkpoint(_with_likelihoods(_evidence(evidence), model).withColumn("row", F.monotonically_increasing_id()))
+    return judge(scored, context(scored, model), F.col("row")).drop("row")
+
+
 def identify_documents(docs: DataFrame, model: TextModel | None = None) -> DataFrame:
     """``fuse`` over documents alone."""
     return fuse(document_evidence(docs).withColumn("kind", F.lit("document")), model or fit(docs))
@@ -192,7 +234,15 @@ def identify(docs: DataFrame, pages: DataFrame, model: TextModel | None = None)
 def keep_known(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows that are in no known language, columns unchanged.
 
-    Rejected rows are dropped by their ``doc_id``; a row with a null ``doc_id`` stays.
+    Each row is judged by its own text and source, so null or repeated ids and repeated rows
+    make no difference; other cases as in ``fuse``.
     """
-    rejected = identify_documents(docs).where(~F.col("kept")).select(F.col("id").alias("_rejected"))
-    return docs.join(rejected, docs["doc_id"] == rejected["_rejected"], "left_anti")
+    model = fit(docs)
+    scored = checkpoint(_with_likelihoods(_evidence(document_evidence(docs).withColumn("kind", F.lit("document"))), model))
+    known = context(scored, model)
+    forget(scored)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    host = F.col("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")
+    rows = docs.select(whole.alias("all"), F.lit("").alias("declared"), host.alias("host"), text_or_empty().cast("binary").alias("text"))
+    kept = judge(_with_likelihoods(rows, model), known, F.xxhash64("all.doc_id", "text_log")).where("kept").select("all.*")
+    return kept.to(docs.schema)

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import blocks as B
-from corpusloom.llm.common import checkpoint, join_hot, require, text_or_empty
+from corpusloom.llm.common import FEW_KEYS, checkpoint, forget, join_hot, require, text_or_empty
 from corpusloom.llm.decontaminate import words_of
 
 #: Words in a k-mer, k-mers in a sketch, sketches of a text.
@@ -152,7 +152,7 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> boo
     return edit_distance(a, b, most) <= most
 
 
-_SKETCHED = "doc_id long, digest binary, sketches array<long>"
+_SKETCHED = "key string, doc_id long, text_hash long, digest binary, n_words long, sketches array<long>"
 _WORDS = "digest binary, words binary"
 _PAIRS = "leader binary, member binary, linked boolean"
 
@@ -165,14 +165,16 @@ def _digest(words: list[str], text: str) -> bytes:
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cache: dict[str, int] = {}
     for batch in batches:
-        digests, all_sketches = [], []
-        for text in batch.column(1).to_pylist():
+        digests, lengths, all_sketches = [], [], []
+        for text in batch.column(3).to_pylist():
             words = words_of(text)
             digests.append(_digest(words, text))
+            lengths.append(len(words))
             all_sketches.append(sketches(word_hashes(words, cache)))
             if len(cache) > 500_000:
                 cache.clear()
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(all_sketches, pa.list_(pa.int64()))], names=["doc_id", "digest", "sketches"])
+        arrays = [*(batch.column(n) for n in range(3)), pa.array(digests, pa.binary()), pa.array(lengths, pa.int64()), pa.array(all_sketches, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(arrays, names=["key", "doc_id", "text_hash", "digest", "n_words", "sketches"])
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,8 +206,9 @@ def _aligned(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame
     return both.select("leader", "member", "leader_words", "member_words").mapInArrow(_verify(similarity), _PAIRS)
 
 
-#: Texts in a block of a bucket; a task compares one block with another.
+#: Texts, and words of texts, in a block of a bucket; a task compares one block with another.
 BUCKET = 4096
+BUCKET_WORDS = 4 << 20
 #: Bins of the hashed word counts whose difference bounds the edit distance from below.
 BINS = 64
 
@@ -255,14 +258,16 @@ def _compare(similarity: float):
 def _remaining(members: DataFrame, checked: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
     """Links that the leaders of the buckets did not show.
 
-    ``members`` has key, size, leader and digest. What was not linked to its leader is
-    compared with all of its bucket. A bucket of more than ``BUCKET`` texts is compared in
-    blocks: each task has one block of the unlinked texts and one of the whole bucket.
+    ``members`` has key, size, n_words of the text and of the bucket, leader and digest. What was
+    not linked to its leader is compared with all of its bucket. A bucket of more than
+    ``BUCKET`` texts or ``BUCKET_WORDS`` words is compared in blocks: each task has one block of
+    the unlinked texts and one of the whole bucket.
     """
-    unlinked = members.join(checked.where(~F.col("linked")).select("leader", F.col("member").alias("digest")), ["leader", "digest"]).select("key", "size", "digest")
+    unlinked = members.join(checked.where(~F.col("linked")).select("leader", F.col("member").alias("digest")), ["leader", "digest"]).select("key", "size", "bucket_words", "n_words", "digest")
     unlinked = checkpoint(unlinked)
-    blocks = lambda n: F.ceil(F.col(n) / BUCKET).cast("long")
-    counts = checkpoint(unlinked.groupBy("key").agg(F.first("size").alias("n"), F.count("*").alias("n_open")).select("key", "n", blocks("n_open").alias("lefts"), blocks("n").alias("rights")))
+    blocks = lambda n, words: F.ceil(F.greatest(F.col(n) / BUCKET, F.col(words) / BUCKET_WORDS)).cast("long")
+    open_ = unlinked.groupBy("key").agg(F.first("size").alias("n"), F.first("bucket_words").alias("words"), F.count("*").alias("n_open"), F.sum("n_words").alias("words_open"))
+    counts = checkpoint(open_.select("key", "n", blocks("n_open", "words_open").alias("lefts"), blocks("n", "words").alias("rights")))
     of_open = unlinked.select("key", "digest", F.lit(True).alias("open"))
     known = members.select("key", "digest").join(of_open, ["key", "digest"], "left").select("key", "digest", F.coalesce("open", F.lit(False)).alias("open"))
     dealt = checkpoint(join_hot(known, counts, "key", "n", F.hex("digest")).where("lefts IS NOT NULL"))
@@ -290,48 +295,114 @@ def components(edges: DataFrame) -> DataFrame:
         low = checkpoint(large.groupBy("v").agg(F.min("u").alias("m"), F.count("*").alias("n")))
         joined = join_hot(large, low, "v", "n", F.hex("u"))
         small = joined.where("u <> m").select(F.col("u").alias("v"), F.col("m").alias("u")).unionByName(low.select("v", F.col("m").alias("u"))).where("u <> v").distinct()
-        stars = checkpoint(small)
+        old, stars = stars, checkpoint(small)
+        forget(old, least, large, low)
         now = tuple(stars.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first())
         if now == before:
             return stars.select(F.col("v").alias("node"), F.col("u").alias("root"))
         before = now
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, class_id, class_size and kept of every row.
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Rows with ``key``, which rows of one id and one text share, ahead of their columns."""
+    text_hash = F.xxhash64(text_or_empty())
+    return docs.select(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), text_hash).alias("key"), text_hash.alias("text_hash"), "*")
 
-    Rows of a class are linked, directly or in a chain, by an edit distance of their words of
-    at most ``1 - similarity`` of the longer text; ``class_id`` is the smallest ``doc_id`` of
-    the class, which is the one that is kept, and ``class_size`` its number of rows. Words are
-    compared without case and punctuation. A null text counts as empty; texts without any
-    word are alike only if identical. A null ``doc_id`` goes last; rows that repeat
-    ``doc_id`` and text are marked alike; texts are compared whole; an empty table gives an
-    empty result. Other columns are not read.
+
+def _sketched(docs: DataFrame) -> DataFrame:
+    """Digest and sketches of every row, with a number of its own; written down."""
+    rows = _keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")))
+    return checkpoint(rows.select("key", "doc_id", "text_hash", "text").mapInArrow(_sketch, _SKETCHED).withColumn("row", F.monotonically_increasing_id()))
+
+
+def _nodes(docs: DataFrame, sketched: DataFrame, similarity: float) -> DataFrame:
+    """The distinct texts (digest, n_rows, first) with the class of each (class_first, class_size).
+
+    ``first`` is (no id, doc_id, text_hash) of a text's first row; a class has that of its first
+    text. Written down.
     """
-    require(docs, ["doc_id", "text"])
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    sketched = checkpoint(rows.mapInArrow(_sketch, _SKETCHED))
-    texts = checkpoint(sketched.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n_rows"), F.first("sketches").alias("sketches")))
-    entries = texts.select("digest", F.posexplode("sketches").alias("no", "value")).select("digest", F.concat_ws(":", "no", "value").alias("key"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "digest", "key"))
+    texts = checkpoint(sketched.groupBy("digest").agg(first.alias("first"), F.count("*").alias("n_rows"), F.first("n_words").alias("n_words"), F.first("sketches").alias("sketches")))
+    entries = texts.select("digest", "n_words", F.posexplode("sketches").alias("no", "value")).select("digest", "n_words", F.concat_ws(":", "no", "value").alias("key"))
     # Each bucket draws its own leader, so a text meets up to ``SKETCHES`` different ones.
     drawn = F.struct(F.xxhash64("digest", "key").alias("at"), "digest")
-    buckets = checkpoint(entries.groupBy("key").agg(F.count("*").alias("size"), F.min(drawn).alias("leader")).where("size > 1").select("key", "size", F.col("leader.digest").alias("leader")))
+    buckets = entries.groupBy("key").agg(F.count("*").alias("size"), F.sum("n_words").alias("bucket_words"), F.min(drawn).alias("leader")).where("size > 1")
+    buckets = checkpoint(buckets.select("key", "size", "bucket_words", F.col("leader.digest").alias("leader")))
     members = checkpoint(join_hot(entries, buckets, "key", "size", F.hex("digest")).where("leader IS NOT NULL"))
     pairs = checkpoint(members.where("leader <> digest").select("leader", F.col("digest").alias("member")).distinct())
     involved = pairs.select(F.col("leader").alias("digest")).unionByName(pairs.select(F.col("member").alias("digest"))).distinct()
-    ids = involved.join(texts, "digest").select(F.col("first_id").alias("_id"))
-    words = checkpoint(rows.join(ids, rows["doc_id"].eqNullSafe(ids["_id"]), "left_semi").select("text").mapInArrow(_words, _WORDS).dropDuplicates(["digest"]))
+    wanted = involved.join(texts, "digest").select("first.key")
+    rows = _keyed(docs.select("doc_id", text_or_empty().alias("text"))).select("key", "text")
+    words = checkpoint(_one_of_each(rows, wanted, sketched, F.struct("text"), F.lit(0)).select("text").mapInArrow(_words, _WORDS).dropDuplicates(["digest"]))
     checked = checkpoint(_aligned(pairs, words, similarity))
-    links = checked.where("linked").select("leader", "member").unionByName(_remaining(members, checked, words, similarity))
+    links = checkpoint(checked.where("linked").select("leader", "member").unionByName(_remaining(members, checked, words, similarity)))
+    forget(buckets, members, pairs, words, checked)
     found = components(links.select(F.col("leader").alias("a"), F.col("member").alias("b")))
-    nodes = checkpoint(texts.select("digest", "first_id", "n_rows").join(found, texts["digest"] == found["node"], "left").select("digest", "first_id", "n_rows", F.coalesce("root", "digest").alias("root")))
-    classes = checkpoint(nodes.groupBy("root").agg(F.min("first_id").alias("class_id"), F.sum("n_rows").alias("class_size"), F.count("*").alias("n_texts")))
-    facts = checkpoint(join_hot(nodes, classes, "root", "n_texts", F.hex("digest")).select("digest", "n_rows", "class_id", "class_size"))
-    out = join_hot(sketched.select("doc_id", "digest"), facts, "digest", "n_rows", F.col("doc_id"))
-    return out.select("doc_id", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+    nodes = checkpoint(texts.select("digest", "first", "n_rows").join(found, texts["digest"] == found["node"], "left").select("digest", "first", "n_rows", F.coalesce("root", "digest").alias("root")))
+    classes = checkpoint(nodes.groupBy("root").agg(F.min("first").alias("class_first"), F.sum("n_rows").alias("class_size"), F.count("*").alias("n_texts")))
+    out = checkpoint(join_hot(nodes, classes, "root", "n_texts", F.hex("digest")).select("digest", "n_rows", "first", "class_first", "class_size"))
+    forget(texts, links, nodes, classes)
+    return out
+
+
+def _one_of_each(rows: DataFrame, wanted: DataFrame, counted: DataFrame, what: Column, order: Column) -> DataFrame:
+    """``what`` (a struct) of one row of ``rows`` for each key of ``wanted``, the first by ``order``.
+
+    ``counted`` has a row with ``key`` for each of ``rows``. Keys that many rows share are looked
+    up by broadcast and merged in the tasks that read them, so no task gets them all.
+    """
+    counts = checkpoint(counted.groupBy("key").agg(F.count("*").alias("n")))
+    total, most = counts.agg(F.sum("n"), F.max("n")).first()
+    own = wanted.select("key").distinct()
+    if (most or 0) <= 1:
+        out = _semi(rows, own).select(what.alias("own")).select("own.*")
+        return out
+    is_hot = (F.col("n") * 1000 > total) & (F.col("n") > 1)
+    hot = counts.where(is_hot).select("key")
+    few = F.broadcast(hot.join(own, "key", "left_semi"))
+    rest = rows.join(F.broadcast(hot), "key", "left_anti")
+    tied = own.join(counts.where((F.col("n") > 1) & ~is_hot), "key", "left_semi")
+    single = own.join(counts.where("n > 1"), "key", "left_anti")
+    many = _semi(rest, tied).unionByName(rows.join(few, "key", "left_semi"))
+    merged = many.groupBy("key").agg(F.min_by(what, order).alias("own")).select("own.*")
+    return _semi(rest, single).select(what.alias("own")).select("own.*").unionByName(merged)
+
+
+def _semi(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """``rows`` with one of ``keys``, which are broadcast if they are few."""
+    keys = checkpoint(keys)
+    return rows.join(F.broadcast(keys) if keys.count() <= FEW_KEYS else keys, "key", "left_semi")
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, class_id, class_size and kept of every row.
+
+    Rows of a class are linked, directly or in a chain, by an edit distance of their words of
+    at most ``1 - similarity`` of the longer text; ``class_id`` is the smallest ``doc_id`` of
+    the class, which is the one that is kept, and ``class_size`` its number of rows. Words are
+    compared without case and punctuation. A null text counts as empty; texts without any
+    word are alike only if identical. A null ``doc_id`` goes last; of rows of one class with the
+    same ``doc_id`` and different texts one is kept; rows that repeat ``doc_id`` and text are
+    marked alike; texts are compared whole, however long; an empty table gives an empty result.
+    Other columns are not read.
+    """
+    require(docs, ["doc_id", "text"])
+    sketched = _sketched(docs)
+    nodes = _nodes(docs, sketched, similarity)
+    facts = nodes.select("digest", "n_rows", F.col("class_first.doc_id").alias("class_id"), F.col("class_first.key").alias("kept_key"), "class_size")
+    out = join_hot(sketched.select("row", "key", "doc_id", "digest"), facts, "digest", "n_rows", F.col("row"))
+    return out.select("doc_id", "class_id", "class_size", (F.col("key") == F.col("kept_key")).alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` with one row of each class, columns unchanged."""
-    gone = near_duplicates(docs, similarity).where(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+    """``docs`` with exactly one row of each class, columns unchanged.
+
+    The row is the one that ``near_duplicates`` keeps; of rows that repeat ``doc_id`` and text (null
+    ids too) the one whose columns come first as JSON. Other cases as in ``near_duplicates``.
+    """
+    require(docs, ["doc_id", "text"])
+    sketched = _sketched(docs)
+    wanted = _nodes(docs, sketched, similarity).select("class_first.key")
+    rows = _keyed(docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("all"))).select("key", "all")
+    kept = _one_of_each(rows, wanted, sketched, F.col("all"), F.to_json("all"))
+    return kept.to(docs.schema) if kept.schema != docs.schema else kept

@@ -65,8 +65,8 @@ def test_exact_dedup(docs, rows, table_bytes):
         keep = min(group, key=better)[0]
         for r in group:
             expected[r[0], keep, len(group), r[0] == keep, hashlib.sha256(text.encode()).hexdigest()] += 1
-    for heavy in (1000, 1):
-        assert Counter(tuple(r) for r in exact_dedup.exact_dedup(docs, table_bytes, heavy).collect()) == expected
+    for few in (exact_dedup.FEW_KEYS, 0):
+        assert Counter(tuple(r) for r in exact_dedup.exact_dedup(docs, table_bytes, few).collect()) == expected
 
 
 def test_grace_recursion(tmp_path):
@@ -224,8 +224,9 @@ def test_quality_keeps_the_share_of_labels_where_the_sample_is_capped(spark):
     assert sum(found) / len(found) > 0.75
 
 
-def test_giant_buckets_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "BUCKET", 4)
+@pytest.mark.parametrize(("bound", "value"), [("BUCKET", 4), ("BUCKET_WORDS", 200)])
+def test_giant_buckets_against_brute_force(spark, monkeypatch, bound, value):
+    monkeypatch.setattr(near_dedup, bound, value)
     rng = random.Random(10)
     texts = []
     for _ in range(4):
@@ -238,7 +239,7 @@ def test_giant_buckets_against_brute_force(spark, monkeypatch):
     near = lambda a, b: near_dedup.similar(hashes[a], hashes[b], near_dedup.SIMILARITY)
     table = spark.createDataFrame([(t,) for t in texts], "text string")
     packed = table.mapInArrow(near_dedup._words, near_dedup._WORDS)
-    members = spark.createDataFrame([("k", len(texts), bytearray(digests[2]), bytearray(d)) for d in digests], "key string, size long, leader binary, digest binary")
+    members = spark.createDataFrame([("k", len(texts), 60 * len(texts), 60, bytearray(digests[2]), bytearray(d)) for d in digests], "key string, size long, bucket_words long, n_words long, leader binary, digest binary")
     checked = spark.createDataFrame([(bytearray(digests[2]), bytearray(d), near(2, n)) for n, d in enumerate(digests) if n != 2], "leader binary, member binary, linked boolean")
     links = {(digests.index(bytes(r["leader"])), digests.index(bytes(r["member"]))) for r in near_dedup._remaining(members, checked, packed, near_dedup.SIMILARITY).collect()}
     links |= {(2, n) for n in range(len(texts)) if n != 2 and near(2, n)}
