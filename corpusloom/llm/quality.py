@@ -1,12 +1,11 @@
 """Quality by compression.
 
 Two zstandard dictionaries are trained, one on text labelled good and one on text labelled
-bad. A document that compresses better with the good dictionary is likelier good: the
-difference of its two compressed sizes, divided by its compressed size without a dictionary,
-is the main evidence. Text that repeats itself compresses to next to nothing with either, so
-the normalised difference between its own length and its size without a dictionary is taken
-beside it. A logistic curve fitted on labelled rows kept out of the dictionaries turns the
-two into a probability. Only the text is ever an input of a score.
+bad. A document is compressed with each, in pieces so short that the dictionary and not the
+document's own repetitions decides, and without any. The difference of the sizes with the two
+dictionaries, normalised once by the size without a dictionary and once by the length, is the
+evidence. A logistic curve fitted on labelled rows kept out of the dictionaries turns it into
+a probability. Only the text is ever an input of a score.
 """
 
 from __future__ import annotations
@@ -18,10 +17,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import require, text_or_empty
+from corpusloom.llm.common import checkpoint, require, text_or_empty
 
 #: The bound on what is learnt from: rows of each label, and bytes of text of each label.
 SAMPLE_ROWS = 3000
@@ -30,7 +29,9 @@ SAMPLE_BYTES = 12 << 20
 DICTIONARY_BYTES = 112 << 10
 PIECE_BYTES = 2048
 LEVEL = 3
-#: Added to a length, so that the frame of a short text weighs little.
+#: Bytes of a document compressed at once, and what is added to its length, so that the frame
+#: of a short text weighs little.
+BLOCK_BYTES = 512
 SHORT = 64
 
 SCORES = "doc_id long, held_out boolean, score double, predicted int"
@@ -63,9 +64,10 @@ class Sizes:
                 self.compressors.append(self.compressors[0])
 
     def evidence(self, text: bytes) -> tuple[float, ...]:
-        """The normalised differences: between the dictionaries, and from the text's own length."""
-        plain, good, bad = (len(c.compress(text)) for c in self.compressors)
-        return (bad - good) / plain, math.log(plain / (len(text) + SHORT))
+        """The difference between the dictionaries, by the size without one and by the length."""
+        blocks = [text[n : n + BLOCK_BYTES] for n in range(0, len(text), BLOCK_BYTES)] or [b""]
+        plain, good, bad = (sum(len(c.compress(block)) for block in blocks) for c in self.compressors)
+        return (bad - good) / plain, (bad - good) / (len(text) + SHORT)
 
 
 def _dictionary(texts: list[bytes]) -> bytes:
@@ -110,22 +112,21 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, n_bytes: in
     require(docs, ["doc_id", "text"])
     require(labels, ["doc_id", "quality"])
     sure = labels.where(F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.min("quality").alias("low"), F.max("quality").alias("high")).where("low = high")
-    drawn = {r["doc_id"]: label for label in (0, 1) for r in sure.where(F.col("low") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select("doc_id").collect()}
-    texts = docs.select("doc_id", text_or_empty().alias("text")).where(F.col("doc_id").isin(list(drawn))) if drawn else docs.limit(0)
-    left, chosen = {0: n_bytes, 1: n_bytes}, []
-    for row in texts.select("doc_id", F.octet_length("text").alias("n")).orderBy(F.xxhash64("doc_id")).collect():
-        if row["n"] <= left[drawn[row["doc_id"]]]:
-            left[drawn[row["doc_id"]]] -= row["n"]
-            chosen.append(row["doc_id"])
-    found = {r["doc_id"]: r["text"].encode() for r in texts.where(F.col("doc_id").isin(chosen)).collect()} if chosen else {}
+    by_label = [sure.where(F.col("low") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for label in (0, 1)]
+    drawn = checkpoint(by_label[0].unionByName(by_label[1]).select("doc_id", F.col("low").alias("label")))
+    # At most ``rows`` ids a label are broadcast. Of rows that repeat an id the least text is taken.
+    texts = checkpoint(docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")))
+    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    chosen = texts.select("doc_id", "label", F.sum(F.octet_length("text")).over(order).alias("used")).where(F.col("used") <= n_bytes).select("doc_id", "label")
+    collected = texts.join(F.broadcast(chosen), ["doc_id", "label"], "left_semi").collect()
     parts: dict[tuple[int, int], list[bytes]] = {(label, half): [] for label in (0, 1) for half in (0, 1)}
-    for n, doc_id in enumerate(sorted(found)):
-        parts[drawn[doc_id], n % 2].append(found[doc_id])
+    for n, r in enumerate(sorted(collected)):
+        parts[r["label"], n % 2].append(r["text"].encode())
     good, bad = _dictionary(parts[1, 0]), _dictionary(parts[0, 0])
     sizes = Sizes(good, bad)
     x = np.array([sizes.evidence(t) for label in (0, 1) for t in parts[label, 1]])
     y = np.array([float(label) for label in (0, 1) for t in parts[label, 1]])
-    known = docs.where(F.col("doc_id").isNotNull()).select("doc_id")
+    known = docs.select("doc_id").where(F.col("doc_id").isNotNull())
     counts = {r["low"]: r["count"] for r in sure.where(F.col("low").isin(0, 1)).join(known, "doc_id", "left_semi").groupBy("low").count().collect()}
     share = {label: counts.get(label, 0) / max(1, sum(counts.values())) for label in (0, 1)}
     weight = np.array([share[label] * len(y) / len(parts[label, 1]) for label in (0, 1) for t in parts[label, 1]])

@@ -370,6 +370,38 @@ def test_quality_learns(spark):
     assert sorted((r["doc_id"] or -1, r["score"]) for r in again.collect()) == sorted((r["doc_id"] or -1, r["score"]) for r in found)
 
 
+def test_quality_sizes_and_scores(spark):
+    """Evidence and scores as plain zstandard gives them."""
+    import math
+
+    import zstandard
+
+    rng = random.Random(14)
+    texts = [words(rng, rng.randrange(1, 400)) if n % 2 else "| ".join(f"z{rng.randrange(30)}" for _ in range(80)) for n in range(200)]
+    rows = [*enumerate(texts), (7, "other text of a repeated id"), (None, "x"), (900, None), (901, ""), (902, words(rng, 60_000))]
+    docs = spark.createDataFrame([(i, t, 1, 0.5) for i, t in rows], "doc_id long, text string, label int, score double")
+    labels = spark.createDataFrame([(n, n % 2, 0) for n in range(150)], "doc_id long, quality int, toxic int")
+    model = quality.fit(docs, labels)
+    assert model == quality.fit(docs.repartition(5), labels.repartition(3))
+
+    def size(text, data):
+        own = zstandard.ZstdCompressionDict(data) if data else None
+        total = 0
+        for n in range(0, max(len(text), 1), 512):
+            made = zstandard.ZstdCompressor(level=3, dict_data=own, write_content_size=False, write_checksum=False, write_dict_id=False)
+            total += len(made.compress(text[n : n + 512]))
+        return total
+
+    found = Counter((r["doc_id"], round(r["score"], 9)) for r in quality.score(docs, model).collect())
+    expected = Counter()
+    for i, t in rows:
+        own = (t or "").encode()
+        plain, good, bad = (size(own, d) for d in (b"", model.good, model.bad))
+        z = model.weights[0] + model.weights[1] * (bad - good) / plain + model.weights[2] * (bad - good) / (len(own) + 64)
+        expected[i, round(1 / (1 + math.exp(-max(-30, min(30, z)))), 9)] += 1
+    assert found == expected
+
+
 def test_license_scan(spark):
     texts = ["Some text\nReleased under the MIT Licence.\nmore", "Copyright (c) 2020 A. Person\nReleased under the MIT License", "licensed under the apache licence version 2 0", "© 1999 X\n" + license_scan.KNOWN[-2][1].upper(), "Released under the MIT License. And more", None, "", "...", "x " * 40000]
     docs = spark.createDataFrame([*enumerate(texts), (None, texts[0])], "doc_id long, text string").selectExpr("*", "1 AS known", "2 AS license")
