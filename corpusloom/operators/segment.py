@@ -7,7 +7,9 @@ joined back by the engine.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -23,31 +25,24 @@ RANGES = "doc_id long, chunk_no int, from_idx int, to_idx int"
 
 
 def pack(lengths: list[int]) -> list[tuple[int, int]]:
-    """Chunks as ranges of paragraphs [from, to): full ones restart some paragraphs back.
+    """Chunks as ranges of paragraphs [from, to), each found by binary search over running totals.
 
-    A paragraph over the target is a chunk of its own here.
+    A chunk takes what fits the target, at least one paragraph. A chunk of ``LEAST`` words or
+    more is overlapped by the next: that begins with the paragraph ahead of the shortest tail of
+    ``OVERLAP`` words, but never with the same paragraph again.
     """
+    total = [0, *accumulate(lengths)]
     out, start = [], 0
     while start < len(lengths):
-        if lengths[start] > TARGET:
-            out.append((start, start + 1))
-            start += 1
-            continue
-        end, size = start, 0
-        while end < len(lengths) and size + lengths[end] <= TARGET:
-            size += lengths[end]
-            end += 1
-        out.append((start, end))
-        if end >= len(lengths):
+        fits = bisect_right(total, total[start] + TARGET) - 1
+        out.append((start, max(fits, start + 1)))
+        if fits == len(lengths):
             break
-        if size < LEAST:
-            start = end
-            continue
-        back, seen = end - 1, 0
-        while back > start and seen < OVERLAP:
-            seen += lengths[back]
-            back -= 1
-        start = max(back, start + 1)
+        if fits > start and total[fits] - total[start] >= LEAST:
+            tail = bisect_right(total, total[fits] - OVERLAP) - 1
+            start = max(tail - 1, start + 1)
+        else:
+            start = out[-1][1]
     return out
 
 

@@ -4,6 +4,8 @@ import random
 from datetime import datetime
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from corpusloom.operators import catalog, citations, layout, pages, retrieval, segment, state
@@ -149,10 +151,33 @@ def test_resolving():
     assert citations.claim_page([passage("x", printed=12)], 0, None, []) == 12
 
 
-def test_boxes():
-    words = [("l1", w, [10.0 * n, 0.0, 10.0 * n + 8, 10.0]) for n, w in enumerate(["a", "b", "c"])] + [("l2", "d", [0.0, 20.0, 8.0, 30.0])]
-    assert citations.locate_box(words, ["a", "b", "c", "d"], rtl=False) == [0.0, 0.0, 28.0, 30.0]
-    assert citations.locate_box(words, ["a", "b"], rtl=False) is None and citations.locate_box(words, ["x", "y", "z"]) is None
+def test_boxes(spark):
+    words = [("b", 1, "l1", w, 10.0 * n, 0.0, 10.0 * n + 8, 10.0) for n, w in enumerate(["a", "b", "c"])] + [("b", 1, "l2", "d", 0.0, 20.0, 8.0, 30.0), ("b", 1, "l2", "!!", 500.0, 20.0, 508.0, 30.0)]
+    page = spark.createDataFrame(words, "book string, page int, line string, text string, x0 double, y0 double, x1 double, y1 double")
+    asked = spark.createDataFrame([(1, "b", 1, "A b, c d"), (2, "b", 1, "a b"), (3, "b", 1, "x y z"), (4, "b", 2, "a b c"), (5, "b", 1, None), (6, "b", 1, "b c d")], "q long, book string, page int, snippet string")
+    found = {r["q"]: tuple(r)[1:] for r in citations.snippet_boxes(asked, page, rtl=False).collect()}
+    assert found == {1: (0.0, 0.0, 28.0, 30.0), 6: (0.0, 0.0, 28.0, 30.0)}
+    assert {r["q"] for r in citations.snippet_boxes(asked, page).collect()} == set()  # from the right: c b a d
+    assert citations.snippet_places(["a", "b", "c", "a"], ["a", "a", "b", "c", "a"]) == [0, 2, 3, 4]
+
+
+def plain_common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for k, y in enumerate(b):
+            new.append(row[k] + 1 if x == y else max(row[k + 1], new[k]))
+        row = new
+    return row[-1]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from("abcde"), max_size=9), st.lists(st.sampled_from("abcdef"), max_size=20))
+def test_alignments_are_longest(claim, passage):
+    pairs = citations._matches(claim, passage).pairs()
+    assert len(pairs) == citations.common_length(claim, passage) == plain_common(claim, passage)
+    assert all(claim[a] == passage[b] for a, b in pairs)
+    assert all(x[0] < y[0] and x[1] < y[1] for x, y in zip(pairs, pairs[1:]))
 
 
 def test_catalogue(spark):
