@@ -67,14 +67,14 @@ def text_pieces(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.R
         yield batch.slice(start)
 
 
-def _packer(column: str, block_bytes: int):
+def _packer(column: str, block_bytes: int, make: Callable[[list[pa.RecordBatch]], bytes]):
     def pack_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         held: list[pa.RecordBatch] = []
         size = 0
 
         def closed() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([seal(held)], pa.binary())], schema=_BLOCK_SCHEMA)
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([make(held)], pa.binary())], schema=_BLOCK_SCHEMA)
 
         for batch in batches:
             for piece in text_pieces(batch, column, block_bytes):
@@ -89,26 +89,29 @@ def _packer(column: str, block_bytes: int):
     return pack_task
 
 
-def pack(docs: DataFrame, column: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Blocks of ``docs``, dealt by block number so that every user of them shares one exchange."""
-    return docs.mapInArrow(_packer(column, block_bytes), BLOCKS).repartition(partitions(docs.sparkSession), "block")
+def pack(docs: DataFrame, column: str = "text", block_bytes: int = BLOCK_BYTES, make: Callable[[list[pa.RecordBatch]], bytes] = seal) -> DataFrame:
+    """Blocks of ``docs``, dealt by block number so that every user of them shares one exchange.
+
+    ``make`` turns the rows of a block into its payload, which ``read`` of the functions below turns back.
+    """
+    return docs.mapInArrow(_packer(column, block_bytes, make), BLOCKS).repartition(partitions(docs.sparkSession), "block")
 
 
-def ask(blocks: DataFrame, questions_of: Callable[[pa.Table, int], Iterable[tuple[int, bytes, bytes]]]) -> DataFrame:
+def ask(blocks: DataFrame, questions_of: Callable[..., Iterable[tuple[int, bytes, bytes]]], read: Callable = unseal) -> DataFrame:
     """The questions of each block, (bucket, asked, given), dealt by bucket."""
     n = partitions(blocks.sparkSession)
 
     def ask_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
-                rows = [(block, bucket, squeeze(asked), squeeze(given)) for bucket, asked, given in questions_of(unseal(payload.as_buffer()), n)]
+                rows = [(block, bucket, squeeze(asked), squeeze(given)) for bucket, asked, given in questions_of(read(payload.as_buffer()), n)]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _QUESTION_SCHEMA)], schema=_QUESTION_SCHEMA)
 
     return blocks.mapInArrow(ask_task, QUESTIONS).repartition(n, "bucket")
 
 
-def resolve(blocks: DataFrame, answers: DataFrame, resolve_block: Callable[..., pa.Table], schema: str, numbered: bool = False) -> DataFrame:
+def resolve(blocks: DataFrame, answers: DataFrame, resolve_block: Callable[..., pa.Table], schema: str, numbered: bool = False, read: Callable = unseal) -> DataFrame:
     """Each block with the answers to its questions, (bucket, answer), through ``resolve_block``.
 
     With ``numbered`` the block's number goes before the other two arguments.
@@ -116,7 +119,7 @@ def resolve(blocks: DataFrame, answers: DataFrame, resolve_block: Callable[...,
 
     def both(left: pa.Table, right: pa.Table) -> pa.Table:
         replies = [(k, unsqueeze(a)) for k, a in zip(right.column("bucket").to_pylist(), right.column("answer").to_pylist())]
-        out = [resolve_block(*([k] if numbered else []), unseal(p.as_buffer()), replies) for k, p in zip(left.column("block").to_pylist(), left.column("payload"))]
+        out = [resolve_block(*([k] if numbered else []), read(p.as_buffer()), replies) for k, p in zip(left.column("block").to_pylist(), left.column("payload"))]
         return pa.concat_tables(out)
 
     answers = answers.repartition(partitions(blocks.sparkSession), "block")

@@ -7,27 +7,35 @@ whole training corpus, so the model has a probability for every text:
 
     P(text) = P(classes of its tokens by the HMM) * product of P(token | its class)
 
-Counts of the unbounded vocabulary are answered block by block (``blocks``); the parameters
-of the HMM have a fixed size and go to every task. Each Baum-Welch iteration runs over all
-training documents: tasks add up expected counts, a grouped sum merges them, and the driver
-normalises. Long documents are cut into segments whose transfer matrices are multiplied, so
-the recursions stay exact and still run over many segments at once.
+Counts of the unbounded vocabulary are answered block by block (``blocks``); a document is split
+into words once, when its block is made. The parameters of the HMM have a fixed size and go to
+every task. They start from the pairs of neighbouring classes of all training documents, counted
+by a grouped sum over coarser classes: the driver fits the states to that table, whose size is
+fixed. Each Baum-Welch iteration then runs over all training documents: tasks add up expected
+counts, a grouped sum merges them, and the driver normalises, until the likelihood settles.
+Long documents are cut into segments whose transfer matrices are multiplied, so the
+recursions stay exact and still run over many segments at once.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
+import pickle
 import zlib
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm import blocks as B
-from corpusloom.llm.common import checkpoint, require, text_or_empty
+from corpusloom.llm.common import checkpoint, partitions, require, text_or_empty
 
 #: Hidden states, word classes of their own, and shared classes.
 STATES = 6
@@ -35,12 +43,16 @@ TOP = 2048
 SHARED = 512
 END = TOP + SHARED
 CLASSES = END + 1
-#: Baum-Welch iterations over all training documents.
-ITERATIONS = 3
-#: The start of the iterations comes from a bounded sample: documents, bytes each, iterations.
-SEED_DOCUMENTS = 400
-SEED_BYTES = 32 << 10
-SEED_ITERATIONS = 25
+#: Baum-Welch iterations over all training documents at most; they end once one gains less than
+#: ``SETTLED`` (natural logarithm, per token).
+ITERATIONS = 10
+SETTLED = 0.005
+#: Coarse classes that the states are first fitted to: top words and endings; fits, and steps of each.
+COARSE_TOP = 256
+COARSE_SHARED = 128
+COARSE = COARSE_TOP + COARSE_SHARED + 1
+STARTS = 4
+START_STEPS = 120
 #: Tokens in a segment, and in what a task works on at once.
 SEGMENT = 96
 AT_ONCE = 400_000
@@ -60,14 +72,6 @@ class Parameters:
     transition: np.ndarray
     emission: np.ndarray  # states by classes
 
-    @classmethod
-    def start(cls, weights: np.ndarray, seed: int = 5) -> Parameters:
-        """Sticky states whose emissions are the overall class weights, disturbed at random."""
-        rng = np.random.default_rng(seed)
-        emission = (weights + EMISSION_PRIOR) * rng.gamma(1.0, 1.0, (STATES, CLASSES))
-        transition = np.full((STATES, STATES), 0.1 / STATES) + np.eye(STATES) * 0.9
-        return cls(np.full(STATES, 1 / STATES), transition, emission / emission.sum(axis=1, keepdims=True))
-
     @classmethod
     def from_counts(cls, counts: np.ndarray) -> Parameters:
         initial = counts[:STATES] + TRANSITION_PRIOR
@@ -144,9 +148,9 @@ class Segments:
         return before, log, order
 
     def expected(self, p: Parameters) -> np.ndarray:
-        """Expected counts of starts, transitions and emissions over all sequences."""
+        """Expected counts of starts, transitions and emissions over all sequences; ``log`` gets their log probabilities."""
         x, scale = self.transfers(p)
-        before, _, order = self._through(p, x, scale)
+        before, self.log, order = self._through(p, x, scale)
         n, per = len(self.starts), np.diff(self.bounds)
         after = np.empty((n, STATES))  # backward vectors at the end of each segment
         w = np.ones((len(per), STATES))
@@ -195,40 +199,61 @@ def shared_class(word: bytes) -> int:
     return TOP + zlib.crc32(word[-3:]) % SHARED
 
 
-def _tokens(table: pa.Table) -> Iterator[list[bytes]]:
-    for text in table.column("text"):
-        yield text.as_buffer().to_pybytes().lower().split()
+@dataclass
+class Block:
+    """Documents as numbers of the distinct words of their block."""
+
+    ids: list[int | None]
+    held_out: list[bool]
+    lengths: np.ndarray
+    flat: np.ndarray
+    words: list[bytes]
+    #: For each word the bucket that answers for it.
+    buckets: np.ndarray
 
+    def train_counts(self) -> np.ndarray:
+        learnt = np.repeat(~np.array(self.held_out, dtype=bool), self.lengths)
+        return np.bincount(self.flat[learnt], minlength=len(self.words))
 
-def _asked(table: pa.Table, n: int) -> dict[int, dict[bytes, int]]:
-    """By bucket the distinct words of a block, sorted, with their training counts."""
-    counts: Counter[bytes] = Counter()
-    for held_out, words in zip(table.column("held_out").to_pylist(), _tokens(table)):
-        if held_out:
-            counts.update(dict.fromkeys(words, 0))
-        else:
-            counts.update(words)
-    out: dict[int, dict[bytes, int]] = {}
-    for word in sorted(counts):
-        out.setdefault(zlib.crc32(word) % n, {})[word] = counts[word]
-    return out
 
+def _maker(n: int):
+    def make(batches: list[pa.RecordBatch]) -> bytes:
+        number: defaultdict[bytes, int] = defaultdict(count().__next__)
+        ids, held_out, parts = [], [], []
+        for batch in batches:
+            ids += batch.column(0).to_pylist()
+            held_out += batch.column(1).to_pylist()
+            for text in batch.column(2):
+                words = text.as_buffer().to_pybytes().lower().split()
+                parts.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
+        buckets = np.fromiter((zlib.crc32(w) % n for w in number), np.int32, len(number))
+        block = (ids, held_out, np.array([len(x) for x in parts]), np.concatenate(parts), b"\n".join(number), buckets)
+        return B.squeeze(pickle.dumps(block, protocol=5))
+
+    return make
 
-def _questions(table: pa.Table, n: int) -> Iterator[tuple[int, bytes, bytes]]:
-    for bucket, words in _asked(table, n).items():
-        yield bucket, b"\n".join(words), np.array([n, *words.values()], dtype=np.uint64).tobytes()
+
+def _read(payload) -> Block:
+    ids, held_out, lengths, flat, words, buckets = pickle.loads(B.unsqueeze(memoryview(payload)))
+    return Block(ids, held_out, lengths, flat, words.split(b"\n") if len(buckets) else [], buckets)
+
+
+def _questions(block: Block, n: int) -> Iterator[tuple[int, bytes, bytes]]:
+    counts = block.train_counts()
+    for bucket in np.unique(block.buckets).tolist():
+        own = np.flatnonzero(block.buckets == bucket)
+        yield bucket, b"\n".join([block.words[k] for k in own]), counts[own].astype(np.uint64).tobytes()
 
 
 def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts over the corpus for all that was asked; summaries go under negative block numbers."""
     totals: dict[bytes, int] = {}
-    questions: list[tuple[int, int, bytes, int]] = []
+    questions: list[tuple[int, int, bytes]] = []
     for batch in batches:
         for block, bucket, asked, given in zip(*[c.to_pylist() for c in batch.columns]):
-            n, *counts = np.frombuffer(B.unsqueeze(given), dtype=np.uint64).tolist()
-            for word, count in zip(B.unsqueeze(asked).split(b"\n"), counts):
-                totals[word] = totals.get(word, 0) + count
-            questions.append((block, bucket, asked, n))
+            for word, n in zip(B.unsqueeze(asked).split(b"\n"), np.frombuffer(B.unsqueeze(given), dtype=np.uint64).tolist()):
+                totals[word] = totals.get(word, 0) + n
+            questions.append((block, bucket, asked))
     if not questions:
         return
 
@@ -236,13 +261,14 @@ def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), B.ANSWER_SCHEMA)], schema=B.ANSWER_SCHEMA)
 
     by_class = np.zeros((2, SHARED), dtype=np.int64)
-    for word, count in totals.items():
-        if count:
-            by_class[:, shared_class(word) - TOP] += (count, 1)
-    top = sorted(((c, w) for w, c in totals.items() if c), key=lambda x: (-x[0], x[1]))[:TOP]
-    yield batch_of([(-1, 0, by_class.tobytes()), (-2, 0, b"\n".join(b"%d %s" % x for x in top))])
-    for block, bucket, asked, n in questions:
-        answer = np.array([n, *[totals[w] for w in B.unsqueeze(asked).split(b"\n")]], dtype=np.uint64)
+    for word, n in totals.items():
+        if n:
+            by_class[:, shared_class(word) - TOP] += (n, 1)
+    top = heapq.nsmallest(TOP, ((-n, w) for w, n in totals.items() if n))
+    task = TaskContext.get().partitionId()
+    yield batch_of([(-1, task, by_class.tobytes()), (-2, task, b"\n".join(b"%d %s" % (-n, w) for n, w in top))])
+    for block, bucket, asked in questions:
+        answer = np.array([totals[w] for w in B.unsqueeze(asked).split(b"\n")], dtype=np.uint64)
         yield batch_of([(block, bucket, B.squeeze(answer.tobytes()))])
 
 
@@ -255,9 +281,9 @@ def _class_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _top_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for blob in batch.column(2).to_pylist():
+        for task, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             pairs = [x.split(b" ", 1) for x in blob.split(b"\n") if x]
-            yield pa.RecordBatch.from_arrays([pa.array([p[1] for p in pairs], pa.binary()), pa.array([int(p[0]) for p in pairs], pa.int64())], names=["word", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([task] * len(pairs), pa.int32()), pa.array([p[1] for p in pairs], pa.binary()), pa.array([int(p[0]) for p in pairs], pa.int64())], names=["task", "word", "n"])
 
 
 @dataclass(frozen=True)
@@ -277,29 +303,20 @@ class Vocabulary:
 
 
 def _coder(vocabulary: Vocabulary):
-    def code_block(table: pa.Table, answers: list[tuple[int, bytes]]) -> pa.Table:
-        index: dict[bytes, int] = {}
-        counts: list[np.ndarray] = []
-        if answers:
-            n = int(np.frombuffer(answers[0][1], dtype=np.uint64)[0])
-            asked = _asked(table, n)
-            for bucket, answer in answers:
-                for word in asked[bucket]:
-                    index[word] = len(index)
-                counts.append(np.frombuffer(answer, dtype=np.uint64)[1:])
-        count = np.concatenate(counts).astype(np.float64) if counts else np.zeros(0)
-        if len(count) != len(index):
-            raise ValueError("a block and the answers to its questions differ")
-        classes = np.fromiter((c if (c := vocabulary.top.get(w)) is not None else shared_class(w) for w in index), np.int64, len(index))
+    def code_block(block: Block, answers: list[tuple[int, bytes]]) -> pa.Table:
+        seen = np.zeros(len(block.words))
+        for bucket, answer in answers:
+            seen[block.buckets == bucket] = np.frombuffer(answer, dtype=np.uint64)
+        classes = np.fromiter((c if (c := vocabulary.top.get(w)) is not None else shared_class(w) for w in block.words), np.int64, len(block.words))
         shared = np.maximum(classes - TOP, 0)
-        within = np.where(classes < TOP, 0.0, np.log10((count + 0.5) / (vocabulary.shared_tokens[shared] + 0.5 * (vocabulary.shared_words[shared] + 1))))
-        base, end = vocabulary.base(count), float(vocabulary.base(np.array([vocabulary.documents]))[0])
-        rows = []
-        for doc_id, held_out, words in zip(table.column("doc_id").to_pylist(), table.column("held_out").to_pylist(), _tokens(table)):
-            at = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
-            own = np.append(classes[at], END).astype(np.uint16)
-            known = int((count[at] > 0).sum()) + (vocabulary.documents > 0)
-            rows.append((doc_id, held_out, len(own), known, float(base[at].sum()) + end, float(within[at].sum()), B.squeeze(own.tobytes())))
+        within = np.where(classes < TOP, 0.0, np.log10((seen + 0.5) / (vocabulary.shared_tokens[shared] + 0.5 * (vocabulary.shared_words[shared] + 1))))
+        base, end = vocabulary.base(seen), float(vocabulary.base(np.array([vocabulary.documents]))[0])
+        narrow, rows, start = classes.astype(np.uint16), [], 0
+        for doc_id, held_out, n in zip(block.ids, block.held_out, block.lengths.tolist()):
+            at = block.flat[start : start + n]
+            start += n
+            known = int((seen[at] > 0).sum()) + (vocabulary.documents > 0)
+            rows.append((doc_id, held_out, n + 1, known, float(base[at].sum()) + end, float(within[at].sum()), B.squeeze(np.append(narrow[at], np.uint16(END)).tobytes())))
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _CODED_SCHEMA)], schema=_CODED_SCHEMA)
 
     return code_block
@@ -323,11 +340,32 @@ def _lots(batches: Iterator[pa.RecordBatch], train: bool) -> Iterator[tuple[list
         yield rows, sequences
 
 
+def _pairs(coarse: np.ndarray):
+    """Counts of pairs of neighbouring coarse classes in training documents."""
+
+    def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COARSE * COARSE, dtype=np.int64)
+        for _, sequences in _lots(batches, train=True):
+            flat = coarse[np.concatenate(sequences)]
+            inner = np.ones(len(flat), dtype=bool)
+            inner[np.cumsum([len(x) for x in sequences]) - 1] = False  # an end has no successor
+            inner = np.flatnonzero(inner)
+            total += np.bincount(flat[inner] * COARSE + flat[inner + 1], minlength=len(total))
+        cells = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), pa.array(total[cells])], names=["cell", "n"])
+
+    return count_pairs
+
+
 def _expect(p: Parameters):
+    """Expected counts by cell; after the last the log probability, and the number of tokens."""
+
     def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(N_CELLS)
+        total = np.zeros(N_CELLS + 2)
         for _, sequences in _lots(batches, train=True):
-            total += Segments(sequences).expected(p)
+            segments = Segments(sequences)
+            total[:N_CELLS] += segments.expected(p)
+            total[N_CELLS:] += (segments.log.sum(), len(segments.flat))
         cells = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), pa.array(total[cells])], names=["cell", "value"])
 
@@ -350,35 +388,73 @@ def coded(docs: DataFrame) -> tuple[DataFrame, Vocabulary]:
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1, F.lit(False))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), text_or_empty().cast("binary").alias("text"))
     documents = rows.where(~F.col("held_out")).count()
-    blocks = B.pack(rows)
-    answers = checkpoint(B.ask(blocks, _questions).mapInArrow(_totals, B.ANSWERS))
+    n = partitions(docs.sparkSession)
+    blocks = B.pack(rows, make=_maker(n))
+    answers = checkpoint(B.ask(blocks, _questions, _read).mapInArrow(_totals, B.ANSWERS))
     shared = {r["shared"]: (r["n"], r["v"]) for r in answers.where("block = -1").mapInArrow(_class_rows, "shared long, n long, v long").groupBy("shared").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()}
-    top = answers.where("block = -2").mapInArrow(_top_rows, "word binary, n long").orderBy(F.desc("n"), "word").limit(TOP)
-    top = checkpoint(top).collect()  # merged in a task: the driver gets TOP rows, not TOP of each task
+    # The top words of the tasks are merged in two steps, of as many lists each; the driver gets TOP rows.
+    lists = answers.where("block = -2").mapInArrow(_top_rows, "task int, word binary, n long").withColumn("part", F.pmod("task", F.lit(max(1, math.isqrt(n)))))
+    best = F.row_number().over(Window.partitionBy("part").orderBy(F.desc("n"), "word"))
+    top = lists.withColumn("place", best).where(F.col("place") <= TOP).select("word", "n").orderBy(F.desc("n"), "word").limit(TOP)
+    top = checkpoint(top).collect()
     by_class = np.array([shared.get(k, (0, 0)) for k in range(SHARED)], dtype=np.float64)
     tokens, words = int(by_class[:, 0].sum()) + documents, int(by_class[:, 1].sum()) + (documents > 0)
     for row in top:
         by_class[shared_class(bytes(row["word"])) - TOP] -= (row["n"], 1)
     vocabulary = Vocabulary({bytes(r["word"]): n for n, r in enumerate(top)}, np.array([r["n"] for r in top], dtype=np.float64), by_class[:, 0], by_class[:, 1], documents, tokens, words)
-    return checkpoint(B.resolve(blocks, answers.where("block >= 0"), _coder(vocabulary), CODED)), vocabulary
+    return checkpoint(B.resolve(blocks, answers.where("block >= 0"), _coder(vocabulary), CODED, read=_read)), vocabulary
+
+
+def _coarse(vocabulary: Vocabulary) -> np.ndarray:
+    """The coarse class of each class."""
+    out = np.empty(CLASSES, dtype=np.int64)
+    out[TOP:END] = COARSE_TOP + np.arange(SHARED) % COARSE_SHARED
+    out[:TOP] = np.minimum(np.arange(TOP), COARSE_TOP - 1)
+    for word, n in vocabulary.top.items():
+        if n >= COARSE_TOP:
+            out[n] = out[shared_class(word)]
+    out[END] = COARSE - 1
+    return out
 
 
-def _seeded(rows: DataFrame, vocabulary: Vocabulary) -> Parameters:
-    """Where the iterations begin: Baum-Welch on a bounded sample of training documents."""
+def fit_pairs(pairs: np.ndarray, seed: int) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+    """States fitted to a table of pairs of neighbours: log likelihood, their shares, transitions and emissions."""
+    rng = np.random.default_rng(seed)
+    share, transition = np.full(STATES, 1 / STATES), rng.random((STATES, STATES)) + 0.5
+    emission = (pairs.sum(axis=0) + pairs.sum(axis=1) + 0.1) * rng.gamma(1.0, 1.0, (STATES, len(pairs)))
+    transition /= transition.sum(axis=1, keepdims=True)
+    emission /= emission.sum(axis=1, keepdims=True)
+    log = 0.0
+    for _ in range(START_STEPS):
+        first = share[:, None] * emission
+        second = transition @ emission
+        chance = np.maximum(first.T @ second, 1e-300)
+        ratio = pairs / chance
+        log = float((pairs * np.log(chance)).sum())
+        moves = transition * (first @ ratio @ emission.T) + 0.1
+        of_first = first * (second @ ratio.T)
+        of_second = emission * ((first.T @ transition).T @ ratio)
+        share = of_first.sum(axis=1) + 0.1
+        emission = of_first + of_second + 1e-3
+        share, transition, emission = share / share.sum(), moves / moves.sum(axis=1, keepdims=True), emission / emission.sum(axis=1, keepdims=True)
+    return log, share, transition, emission
+
+
+def start(rows: DataFrame, vocabulary: Vocabulary) -> Parameters:
+    """Where the iterations begin: states fitted to the pairs of classes of all training documents."""
     weights = np.zeros(CLASSES)
     weights[: len(vocabulary.top_counts)] = vocabulary.top_counts
     weights[TOP:END] = vocabulary.shared_tokens
     weights[END] = vocabulary.documents
-    p = Parameters.start(weights)
-    sample = rows.where(~F.col("held_out") & (F.octet_length("classes") <= SEED_BYTES)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SEED_DOCUMENTS).select("classes")
-    sequences = [np.frombuffer(B.unsqueeze(bytes(r["classes"])), dtype=np.uint16) for r in checkpoint(sample).collect()]
-    if sequences:
-        segments = Segments(sequences)
-        for _ in range(SEED_ITERATIONS):
-            counts = segments.expected(p)
-            counts[STATES + STATES * STATES :] += (0.2 * p_total(counts) * weights / max(weights.sum(), 1.0) / STATES * np.ones((STATES, 1))).ravel()
-            p = Parameters.from_counts(counts)
-    return p
+    weights += EMISSION_PRIOR
+    coarse = _coarse(vocabulary)
+    pairs = np.zeros(COARSE * COARSE)
+    found = rows.mapInArrow(_pairs(coarse), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    pairs[found.column("cell").to_numpy()] = found.column("n").to_numpy()
+    fits = [fit_pairs(pairs.reshape(COARSE, COARSE), seed) for seed in range(STARTS)]
+    _, share, transition, emission = max(fits, key=lambda fit: fit[0])
+    fine = emission[:, coarse] * weights / np.bincount(coarse, weights, COARSE)[coarse]
+    return Parameters(share, transition, fine / fine.sum(axis=1, keepdims=True))
 
 
 def p_total(counts: np.ndarray) -> float:
@@ -386,21 +462,29 @@ def p_total(counts: np.ndarray) -> float:
     return float(counts[STATES + STATES * STATES :].sum())
 
 
+def train(rows: DataFrame, vocabulary: Vocabulary, iterations: int = ITERATIONS, settled: float = SETTLED) -> Parameters:
+    """Baum-Welch over all training documents until the likelihood settles, at most some iterations."""
+    p, before = start(rows, vocabulary), None
+    for _ in range(iterations):
+        sums = rows.mapInArrow(_expect(p), "cell int, value double").groupBy("cell").agg(F.sum("value").alias("value")).toArrow()
+        counts = np.zeros(N_CELLS + 2)
+        counts[sums.column("cell").to_numpy()] = sums.column("value").to_numpy()
+        p = Parameters.from_counts(counts[:N_CELLS])
+        now = counts[N_CELLS] / max(counts[N_CELLS + 1], 1.0)
+        if before is not None and now - before < settled:
+            break
+        before = now
+    return p
+
+
 def language_model_scores(docs: DataFrame, iterations: int = ITERATIONS) -> DataFrame:
     """Train on the rows whose crc32(doc_id as text) mod 5 is not 1 and score every row.
 
     Returns doc_id, held_out, n_tokens, n_known (tokens seen in training), train_tokens,
     base_score (the smoothed unigram model) and score (the HMM), both log10 probabilities of
-    the whole text. A null text counts as empty and has one token, its end; a row with a null
-    ``doc_id`` is trained on; repeated rows count each time; an empty table gives an empty
-    result, and with no training rows the model is flat. Other columns are not read.
+    the whole text, however long. A null text counts as empty and has one token, its end; a row
+    with a null ``doc_id`` is trained on; repeated rows count each time; an empty table gives an
+    empty result, and with no training rows the model is flat. Other columns are not read.
     """
     rows, vocabulary = coded(docs)
-    p = _seeded(rows, vocabulary)
-    for _ in range(iterations):
-        sums = rows.mapInArrow(_expect(p), "cell int, value double").groupBy("cell").agg(F.sum("value").alias("value")).collect()
-        counts = np.zeros(N_CELLS)
-        for r in sums:
-            counts[r["cell"]] = r["value"]
-        p = Parameters.from_counts(counts)
-    return rows.mapInArrow(_scorer(p, vocabulary.tokens), SCORES)
+    return rows.mapInArrow(_scorer(train(rows, vocabulary, iterations), vocabulary.tokens), SCORES)

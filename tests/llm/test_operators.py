@@ -328,20 +328,79 @@ def brute_hmm(p, sequence):
     return log
 
 
+def brute_expected(p, sequence):
+    """Counts by the forward and backward vectors of every place, one place at a time."""
+    n = len(sequence)
+    alpha, beta = np.zeros((n, hmm.STATES)), np.ones((n, hmm.STATES))
+    for t, c in enumerate(sequence):
+        alpha[t] = (p.initial if t == 0 else alpha[t - 1] @ p.transition) * p.emission[:, c]
+        alpha[t] /= alpha[t].sum()
+    for t in range(n - 2, -1, -1):
+        beta[t] = p.transition @ (p.emission[:, sequence[t + 1]] * beta[t + 1])
+        beta[t] /= beta[t].sum()
+    moves, emitted = np.zeros((hmm.STATES, hmm.STATES)), np.zeros((hmm.STATES, hmm.CLASSES))
+    for t, c in enumerate(sequence):
+        gamma = alpha[t] * beta[t]
+        emitted[:, c] += gamma / gamma.sum()
+        if t:
+            both = alpha[t - 1][:, None] * p.transition * (p.emission[:, c] * beta[t])[None, :]
+            moves += both / both.sum()
+    first = alpha[0] * beta[0]
+    return np.concatenate([first / first.sum(), moves.ravel(), emitted.ravel()])
+
+
+def random_parameters(rng):
+    counts = rng.random(hmm.N_CELLS)
+    return hmm.Parameters.from_counts(counts)
+
+
 def test_hmm_recursions():
     rng = np.random.default_rng(1)
-    p = hmm.Parameters.start(rng.random(hmm.CLASSES))
+    p = random_parameters(rng)
     sequences = [rng.integers(0, hmm.CLASSES, n) for n in (1, 3, hmm.SEGMENT, hmm.SEGMENT + 1, 2 * hmm.SEGMENT + 5, 700)]
     segments = hmm.Segments(sequences)
     assert np.allclose(segments.likelihoods(p), [brute_hmm(p, s) for s in sequences])
     counts = segments.expected(p)
-    total = sum(map(len, sequences))
-    assert np.isclose(counts[: hmm.STATES].sum(), len(sequences)) and np.isclose(hmm.p_total(counts), total)
-    assert np.isclose(counts[hmm.STATES : hmm.STATES + hmm.STATES**2].sum(), total - len(sequences))
+    assert np.allclose(counts, sum(brute_expected(p, s) for s in sequences))
+    assert np.allclose(segments.log, segments.likelihoods(p)) and np.isclose(hmm.p_total(counts), sum(map(len, sequences)))
     better = hmm.Parameters.from_counts(counts)
     assert segments.likelihoods(better).sum() > segments.likelihoods(p).sum()
 
 
+def test_hmm_starts_from_pairs():
+    """Two kinds of words that alternate are told apart."""
+    pairs = np.zeros((8, 8))
+    pairs[:4, 4:], pairs[4:, :4] = 50, 50
+    log, share, transition, emission = max(hmm.fit_pairs(pairs, seed) for seed in range(3))
+    assert log > 1600 * np.log(1 / 32) - 20 and np.allclose(emission.sum(axis=1), 1) and np.isclose(share.sum(), 1)
+    kinds = emission[:, :4].sum(axis=1)
+    assert ((kinds > 0.95) | (kinds < 0.05)).all()
+
+
+def test_language_model_scores_by_brute_force(docs, rows):
+    coded, vocabulary = hmm.coded(docs)
+    p = hmm.train(coded, vocabulary, 2)
+    counts = Counter(t for r in rows if r[0] is None or zlib.crc32(str(r[0]).encode()) % 5 != 1 for t in (r[1] or "").encode().lower().split())
+    top = sorted(counts, key=lambda w: (-counts[w], w))[: hmm.TOP]
+    assert list(vocabulary.top) == top
+    tokens, kinds = Counter(), Counter()
+    for w in set(counts) - set(top):
+        tokens[hmm.shared_class(w)] += counts[w]
+        kinds[hmm.shared_class(w)] += 1
+    expected = Counter()
+    for r in rows:
+        own, within = [], 0.0
+        for w in (r[1] or "").encode().lower().split():
+            if w in vocabulary.top:
+                own.append(top.index(w))
+            else:
+                own.append(c := hmm.shared_class(w))
+                within += np.log10((counts[w] + 0.5) / (tokens[c] + 0.5 * (kinds[c] + 1)))
+        expected[r[0], round(brute_hmm(p, [*own, hmm.END]) / np.log(10) + within, 3)] += 1
+    found = coded.mapInArrow(hmm._scorer(p, vocabulary.tokens), hmm.SCORES).collect()
+    assert Counter((r["doc_id"], round(r["score"], 3)) for r in found) == expected
+
+
 def test_language_model(docs, rows):
     held = lambda r: r[0] is not None and zlib.crc32(str(r[0]).encode()) % 5 == 1
     tokens = [[*re.findall(rb"[^\x20\x09-\x0d]+", (r[1] or "").encode().lower()), None] for r in rows]
