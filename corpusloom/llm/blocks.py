@@ -12,6 +12,7 @@ its own share of the words, whatever the size of the corpus.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from functools import cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -33,12 +34,18 @@ _BLOCK_SCHEMA = pa.schema([("block", pa.int64()), ("payload", pa.binary())])
 _QUESTION_SCHEMA = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("asked", pa.binary()), ("given", pa.binary())])
 
 
+@cache
+def _codecs() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    """Made once in a process: for short data, making them takes longer than using them."""
+    return zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+
+
 def squeeze(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(data)
+    return _codecs()[0].compress(data)
 
 
 def unsqueeze(data: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(data)
+    return _codecs()[1].decompress(data)
 
 
 def seal(batches: list[pa.RecordBatch]) -> bytes:

@@ -14,6 +14,7 @@ import hashlib
 import os
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,6 +27,7 @@ DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 TOKENS = "doc_id long, ids array<int>, decoded string"
 
 
+@cache
 def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -36,8 +38,9 @@ def _tokenizer(path: str):
     return tokenizer
 
 
+@cache
 def _pieces(path: str) -> list[str]:
-    """Piece by id."""
+    """The table of pieces by id, read once in a process."""
     tokenizer = _tokenizer(path)
     return [tokenizer.id_to_token(n) or "" for n in range(max(tokenizer.get_vocab(with_added_tokens=True).values(), default=-1) + 1)]
 
@@ -119,7 +122,7 @@ def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 
     ``tokenizer_path`` names a tokenizer file that every executor can open. A null text counts
     as empty and an empty text has no ids; repeated rows and null ids are coded like any
-    other; an empty table gives an empty result. Other columns are not read.
+    other; texts are coded whole, however long; an empty table gives an empty result. Other columns are not read.
     """
     return _coded(docs, tokenizer_path, digest=False)
 

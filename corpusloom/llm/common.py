@@ -64,7 +64,7 @@ def require(df: DataFrame, columns: Sequence[str]) -> None:
 
 
 #: Facts of up to this many keys are broadcast whole.
-FEW_KEYS = 20_000
+FEW_KEYS = 1000
 
 
 def join_hot(rows: DataFrame, facts: DataFrame, key: str, weight: str, spread: Column, heavy: int = 1000, few: int = FEW_KEYS) -> DataFrame:

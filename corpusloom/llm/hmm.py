@@ -81,6 +81,8 @@ class Parameters:
 
 
 N_CELLS = STATES + STATES * STATES + STATES * CLASSES
+#: Sums rows of vectors over states by a product, which is much faster than a sum over a short axis.
+_ONES = np.ones(STATES)
 
 
 class Segments:
@@ -170,7 +172,7 @@ class Segments:
             if t == 0:
                 moved = np.where(self.first[:a, None], alpha[:a], moved)
             alpha = moved * emission[self.flat[self.starts[:a] + t]]
-            alpha /= alpha.sum(axis=1, keepdims=True)
+            alpha /= (alpha @ _ONES)[:, None]
             alphas.append(alpha)
         starts, moves, emitted = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((STATES, CLASSES))
         beta = after.copy()
@@ -178,19 +180,19 @@ class Segments:
             a = self.active[t]
             classes = self.flat[self.starts[:a] + t]
             gamma = alphas[t] * beta[:a]
-            gamma /= gamma.sum(axis=1, keepdims=True)
+            gamma /= (gamma @ _ONES)[:, None]
             for state in range(STATES):
                 emitted[state] += np.bincount(classes, gamma[:, state], CLASSES)
             weighted = emission[classes] * beta[:a]
             if t == 0:
                 starts += gamma[self.first[:a]].sum(axis=0)
             source = alphas[t - 1][:a] if t else before
-            inner = np.ones(a, dtype=bool) if t else ~self.first[:a]
-            source, target = source[inner], weighted[inner]
-            norm = np.einsum("ni,ij,nj->n", source, p.transition, target)
+            inner = None if t else ~self.first[:a]
+            source, target = (source, weighted) if t else (source[inner], weighted[inner])
+            norm = ((source @ p.transition) * target) @ _ONES
             moves += p.transition * (source.T @ (target / norm[:, None]))
-            beta[:a] = weighted @ p.transition.T
-            beta[:a] /= beta[:a].sum(axis=1, keepdims=True)
+            back = weighted @ p.transition.T
+            beta[:a] = back / (back @ _ONES)[:, None]
         return np.concatenate([starts, moves.ravel(), emitted.ravel()])
 
 
@@ -322,30 +324,35 @@ def _coder(vocabulary: Vocabulary):
     return code_block
 
 
-def _lots(batches: Iterator[pa.RecordBatch], train: bool) -> Iterator[tuple[list[tuple], list[np.ndarray]]]:
-    """Rows and their class sequences, some hundred thousand tokens at a time."""
+def _lots(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[tuple[list[pa.RecordBatch], list[np.ndarray]]]:
+    """Rows and the class sequences in one of their columns, some hundred thousand tokens at a time."""
     rows, sequences, size = [], [], 0
     for batch in batches:
-        for row in zip(*[c.to_pylist() for c in batch.columns]):
-            if train and row[1]:
-                continue
-            own = np.frombuffer(B.unsqueeze(row[6]), dtype=np.uint16)
-            rows.append(row)
+        first = 0
+        for n, packed in enumerate(batch.column(at), 1):
+            own = np.frombuffer(B.unsqueeze(packed.as_buffer()), dtype=np.uint16)
             sequences.append(own)
             size += len(own)
             if size >= AT_ONCE:
-                yield rows, sequences
-                rows, sequences, size = [], [], 0
+                yield [*rows, batch.slice(first, n - first)], sequences
+                rows, sequences, size, first = [], [], 0, n
+        if first < batch.num_rows:
+            rows.append(batch.slice(first))
     if rows:
         yield rows, sequences
 
 
+def _learnt(rows: DataFrame) -> DataFrame:
+    """The class sequences of the training documents."""
+    return rows.where(~F.col("held_out")).select("classes")
+
+
 def _pairs(coarse: np.ndarray):
     """Counts of pairs of neighbouring coarse classes in training documents."""
 
     def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COARSE * COARSE, dtype=np.int64)
-        for _, sequences in _lots(batches, train=True):
+        for _, sequences in _lots(batches, 0):
             flat = coarse[np.concatenate(sequences)]
             inner = np.ones(len(flat), dtype=bool)
             inner[np.cumsum([len(x) for x in sequences]) - 1] = False  # an end has no successor
@@ -362,7 +369,7 @@ def _expect(p: Parameters):
 
     def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(N_CELLS + 2)
-        for _, sequences in _lots(batches, train=True):
+        for _, sequences in _lots(batches, 0):
             segments = Segments(sequences)
             total[:N_CELLS] += segments.expected(p)
             total[N_CELLS:] += (segments.log.sum(), len(segments.flat))
@@ -374,10 +381,13 @@ def _expect(p: Parameters):
 
 def _scorer(p: Parameters, tokens: int):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, sequences in _lots(batches, train=False):
+        for rows, sequences in _lots(batches, 6):
             logs = Segments(sequences).likelihoods(p) / np.log(10)
-            out = [(r[0], r[1], r[2], r[3], tokens, r[4], float(log) + r[5]) for r, log in zip(rows, logs)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _SCORE_SCHEMA)], schema=_SCORE_SCHEMA)
+            whole = pa.Table.from_batches(rows).combine_chunks()
+            column = lambda name: whole.column(name).combine_chunks()
+            scores = logs + column("within").to_numpy()
+            known = [column(name) for name in ("doc_id", "held_out", "n_tokens", "n_known")]
+            yield pa.RecordBatch.from_arrays([*known, pa.array(np.full(len(logs), tokens)), column("base_score"), pa.array(scores)], schema=_SCORE_SCHEMA)
 
     return score
 
@@ -449,7 +459,7 @@ def start(rows: DataFrame, vocabulary: Vocabulary) -> Parameters:
     weights += EMISSION_PRIOR
     coarse = _coarse(vocabulary)
     pairs = np.zeros(COARSE * COARSE)
-    found = rows.mapInArrow(_pairs(coarse), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    found = _learnt(rows).mapInArrow(_pairs(coarse), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     pairs[found.column("cell").to_numpy()] = found.column("n").to_numpy()
     fits = [fit_pairs(pairs.reshape(COARSE, COARSE), seed) for seed in range(STARTS)]
     _, share, transition, emission = max(fits, key=lambda fit: fit[0])
@@ -466,7 +476,7 @@ def train(rows: DataFrame, vocabulary: Vocabulary, iterations: int = ITERATIONS,
     """Baum-Welch over all training documents until the likelihood settles, at most some iterations."""
     p, before = start(rows, vocabulary), None
     for _ in range(iterations):
-        sums = rows.mapInArrow(_expect(p), "cell int, value double").groupBy("cell").agg(F.sum("value").alias("value")).toArrow()
+        sums = _learnt(rows).mapInArrow(_expect(p), "cell int, value double").groupBy("cell").agg(F.sum("value").alias("value")).toArrow()
         counts = np.zeros(N_CELLS + 2)
         counts[sums.column("cell").to_numpy()] = sums.column("value").to_numpy()
         p = Parameters.from_counts(counts[:N_CELLS])

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import blocks as B
-from corpusloom.llm.common import FEW_KEYS, checkpoint, forget, join_hot, require, text_or_empty
+from corpusloom.llm.common import checkpoint, forget, join_hot, require, text_or_empty
 from corpusloom.llm.decontaminate import words_of
 
 #: Words in a k-mer, k-mers in a sketch, sketches of a text.
@@ -355,23 +355,16 @@ def _one_of_each(rows: DataFrame, wanted: DataFrame, counted: DataFrame, what: C
     total, most = counts.agg(F.sum("n"), F.max("n")).first()
     own = wanted.select("key").distinct()
     if (most or 0) <= 1:
-        out = _semi(rows, own).select(what.alias("own")).select("own.*")
-        return out
+        return rows.join(own, "key", "left_semi").select(what.alias("own")).select("own.*")
     is_hot = (F.col("n") * 1000 > total) & (F.col("n") > 1)
     hot = counts.where(is_hot).select("key")
     few = F.broadcast(hot.join(own, "key", "left_semi"))
     rest = rows.join(F.broadcast(hot), "key", "left_anti")
     tied = own.join(counts.where((F.col("n") > 1) & ~is_hot), "key", "left_semi")
     single = own.join(counts.where("n > 1"), "key", "left_anti")
-    many = _semi(rest, tied).unionByName(rows.join(few, "key", "left_semi"))
+    many = rest.join(tied, "key", "left_semi").unionByName(rows.join(few, "key", "left_semi"))
     merged = many.groupBy("key").agg(F.min_by(what, order).alias("own")).select("own.*")
-    return _semi(rest, single).select(what.alias("own")).select("own.*").unionByName(merged)
-
-
-def _semi(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """``rows`` with one of ``keys``, which are broadcast if they are few."""
-    keys = checkpoint(keys)
-    return rows.join(F.broadcast(keys) if keys.count() <= FEW_KEYS else keys, "key", "left_semi")
+    return rest.join(single, "key", "left_semi").select(what.alias("own")).select("own.*").unionByName(merged)
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
