@@ -46,7 +46,7 @@ CLASSES = END + 1
 #: Baum-Welch iterations over all training documents at most; they end once one gains less than
 #: ``SETTLED`` (natural logarithm, per token).
 ITERATIONS = 10
-SETTLED = 0.005
+SETTLED = 0.01
 #: Coarse classes that the states are first fitted to: top words and endings; fits, and steps of each.
 COARSE_TOP = 256
 COARSE_SHARED = 128
@@ -229,15 +229,18 @@ def _maker(n: int):
                 words = text.as_buffer().to_pybytes().lower().split()
                 parts.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
         buckets = np.fromiter((zlib.crc32(w) % n for w in number), np.int32, len(number))
-        block = (ids, held_out, np.array([len(x) for x in parts]), np.concatenate(parts), b"\n".join(number), buckets)
+        flat = np.concatenate(parts)
+        # Words are numbered as they come, so common ones have small numbers, and the high halves compress to little.
+        halves = (flat & 0xFFFF).astype(np.uint16), (flat >> 16).astype(np.uint16)
+        block = (ids, held_out, np.array([len(x) for x in parts]), *halves, b"\n".join(number), buckets)
         return B.squeeze(pickle.dumps(block, protocol=5))
 
     return make
 
 
 def _read(payload) -> Block:
-    ids, held_out, lengths, flat, words, buckets = pickle.loads(B.unsqueeze(memoryview(payload)))
-    return Block(ids, held_out, lengths, flat, words.split(b"\n") if len(buckets) else [], buckets)
+    ids, held_out, lengths, low, high, words, buckets = pickle.loads(B.unsqueeze(memoryview(payload)))
+    return Block(ids, held_out, lengths, low | high.astype(np.int32) << 16, words.split(b"\n") if len(buckets) else [], buckets)
 
 
 def _questions(block: Block, n: int) -> Iterator[tuple[int, bytes, bytes]]:
