@@ -21,9 +21,10 @@ GAP_TIMES, GAP_MORE = 1.5, 6.0
 def text_lines(pages: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, page, raw, line_text, y, para_start): the lines of page texts that hold words.
 
-    A line is 18 points high, an empty one 54 and begins a paragraph with the next.
+    A line is 18 points high, an empty one 54 and begins a paragraph with the next. Texts are
+    dealt by document once; the windows of this and the next steps need no further exchange.
     """
-    raw = pages.select("doc_id", "page", F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("raw", "line_text"))
+    raw = pages.select("doc_id", "page", text).repartition("doc_id").select("doc_id", "page", F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("raw", "line_text"))
     raw = raw.withColumn("line_text", F.trim(T.without_markup(F.col("line_text"))))
     order = Window.partitionBy("doc_id", "page").orderBy("raw")
     height = F.when(F.col("line_text") == "", PARAGRAPH_GAP).otherwise(LINE_HEIGHT)
@@ -44,6 +45,11 @@ def text_words(pages: DataFrame, text: str = "text") -> DataFrame:
     return own.select("doc_id", (F.row_number().over(book) - 1).alias("idx"), "page", "text", "x0", F.col("y").alias("y0"), "x1", (F.col("y") + LINE_HEIGHT).alias("y1"), (F.col("para_start") & (F.col("pos") == 0)).alias("para_start"))
 
 
+def page_words(text: Column) -> Column:
+    """The words of a page text, without markup, in order."""
+    return F.flatten(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda line: T.words(T.without_markup(line))))
+
+
 def word_index(words: DataFrame, *order: str) -> DataFrame:
     """``idx``: the running number of a word in its document."""
     return words.withColumn("idx", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order)) - 1)

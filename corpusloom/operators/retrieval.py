@@ -14,6 +14,7 @@ from corpusloom.functions import text as T
 
 #: Questions are broadcast to the corpus up to this many at once; more are taken in blocks.
 QUESTIONS_AT_ONCE = 10_000
+TERMS_AT_ONCE = 200_000
 RRF = 60
 NGRAM, COVERAGE = 6, 0.12
 FLOOR, TOP = 0.10, 8
@@ -34,47 +35,85 @@ def _top(scored: DataFrame, k: int, *order: Column) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(*order))).where(F.col("rank") <= k)
 
 
-def vector_leg(questions: DataFrame, points: DataFrame, k: int = 20, scope: str | None = None) -> DataFrame:
+def vector_leg(questions: DataFrame, points: DataFrame, k: int = 20, scope: str | None = None, book: str | None = None) -> DataFrame:
     """(q, id, score, rank): the ``k`` points nearest to each question by cosine.
 
     Questions (q, vector) are a stated set and are broadcast in blocks of
     ``QUESTIONS_AT_ONCE``; points (id, vector) are never shuffled, only the ``k`` best of each
     partition are. With ``scope`` both sides have that column and a question sees its own
-    scope alone, before the best are taken.
+    scope alone, before the best are taken; with ``book`` it sees one book alone where its own
+    column of that name is not null.
     """
-    asked = questions.withColumn("vector", unit(F.col("vector"))).withColumnRenamed("vector", "q_vector")
-    near = points.withColumn("vector", unit(F.col("vector")))
+    columns = [c for c in (scope, book) if c]
+    asked = questions.select("q", unit(F.col("vector")).alias("q_vector"), *[F.col(c).alias(f"q_{c}") for c in columns])
+    near = points.select("id", unit(F.col("vector")).alias("vector"), *columns)
     n = asked.count()
     found = None
     for block in range(max(1, -(-n // QUESTIONS_AT_ONCE))):
         part = asked if n <= QUESTIONS_AT_ONCE else asked.where(F.pmod(F.xxhash64("q"), F.lit(-(-n // QUESTIONS_AT_ONCE))) == block)
-        pairs = near.join(F.broadcast(part), scope) if scope else near.crossJoin(F.broadcast(part))
-        scored = pairs.select("q", "id", F.round(dot(F.col("vector"), F.col("q_vector")), 6).alias("score"))
+        pairs = near.join(F.broadcast(part), near[scope] == F.col(f"q_{scope}")) if scope else near.crossJoin(F.broadcast(part))
+        scored = _in_book(pairs, book).select("q", "id", F.round(dot(F.col("vector"), F.col("q_vector")), 6).alias("score"))
         best = _top(scored, k, F.desc("score"), F.col("id"))
         found = best if found is None else found.unionByName(best)
     return found
 
 
-def postings(passages: DataFrame) -> DataFrame:
-    """(term, id, tf) of the words of passages as overlap compares them."""
-    return passages.select("id", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"))
+def _in_book(rows: DataFrame, book: str | None) -> DataFrame:
+    return rows.where(F.col(f"q_{book}").isNull() | (F.col(f"q_{book}") == F.col(book))) if book else rows
 
 
-def document_frequency(own: DataFrame) -> DataFrame:
-    return own.groupBy("term").agg(F.count("*").alias("df"))
+def question_terms(questions: DataFrame) -> DataFrame:
+    """(q, term, ...) of (q, question, ...): the distinct content words."""
+    return questions.withColumn("term", F.explode(F.array_distinct(T.query_terms(F.col("question"))))).drop("question")
 
 
-def keyword_leg(questions: DataFrame, own: DataFrame, k: int = 20, strict: bool = False) -> DataFrame:
+def _among(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """``rows`` with one of some terms; up to ``TERMS_AT_ONCE`` terms are broadcast."""
+    distinct = terms.select("term").distinct()
+    few = distinct.limit(TERMS_AT_ONCE + 1).count() <= TERMS_AT_ONCE
+    return rows.join(F.broadcast(distinct) if few else distinct, "term", "left_semi")
+
+
+def postings(passages: DataFrame, *scopes: str, terms: DataFrame | None = None) -> DataFrame:
+    """(term, id, tf, scopes) of the words of passages as overlap compares them.
+
+    With ``terms`` only those that some question has, dropped where they are read: what is
+    shuffled then follows the matches, not the corpus.
+    """
+    words = passages.select("id", *scopes, F.explode(T.tokens(F.col("text"))).alias("term"))
+    words = words if terms is None else _among(words, terms)
+    return words.groupBy("term", "id", *scopes).agg(F.count("*").alias("tf"))
+
+
+def refreshed_postings(stored: DataFrame, passages: DataFrame, touched: DataFrame, *scopes: str, book: str = "book") -> DataFrame:
+    """Stored postings with those of touched books made again; ``passages`` needs only those books.
+
+    Postings carry ``book`` among their scopes. A book without passages loses its postings.
+    """
+    books = touched.select(book).distinct()
+    return stored.join(books, book, "left_anti").unionByName(postings(passages.join(books, book, "left_semi"), *scopes))
+
+
+def document_frequency(own: DataFrame, *scopes: str) -> DataFrame:
+    return own.groupBy("term", *scopes).agg(F.count("*").alias("df"))
+
+
+def keyword_leg(questions: DataFrame, own: DataFrame, k: int = 20, strict: bool = False, scope: str | None = None, book: str | None = None) -> DataFrame:
     """(q, id, tier, matched, tf, rank): passages by how many of the rarest terms they hold.
 
     Questions are (q, question), ``own`` is ``postings``. Terms are ordered from the rarest;
     a passage's tier is the largest p such that it holds the p rarest, which is what dropping
-    the commonest term again and again finds. ``strict`` leaves tier 0 out.
+    the commonest term again and again finds. ``strict`` leaves tier 0 out. ``scope`` and ``book``
+    as in ``vector_leg``: both tables have the columns, and rarity counts within the scope.
     """
-    terms = questions.select("q", F.explode(F.array_distinct(T.query_terms(F.col("question")))).alias("term"))
-    frequency = own.join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    placed = terms.join(frequency, "term").withColumn("pos", F.row_number().over(Window.partitionBy("q").orderBy("df", "term")))
-    hits = placed.join(own, "term").withColumn("n", F.row_number().over(Window.partitionBy("q", "id").orderBy("pos")))
+    columns = [c for c in (scope, book) if c]
+    scopes = [scope] if scope else []
+    terms = question_terms(questions.select("q", "question", *scopes, *([F.col(book).alias(f"q_{book}")] if book else [])))
+    matched = _among(own.select("term", "id", "tf", *columns), terms)
+    # A count over tf, so that both uses of the postings are one exchange.
+    frequency = matched.groupBy("term", *scopes).agg(F.count_if(F.col("tf") > 0).alias("df"))
+    placed = terms.join(frequency, ["term", *scopes]).withColumn("pos", F.row_number().over(Window.partitionBy("q").orderBy("df", "term")))
+    hits = _in_book(placed.join(matched, ["term", *scopes]), book).withColumn("n", F.row_number().over(Window.partitionBy("q", "id").orderBy("pos")))
     tier = F.max(F.when(F.col("n") == F.col("pos"), F.col("pos")).otherwise(0))
     scored = hits.groupBy("q", "id").agg(tier.alias("tier"), F.count("*").alias("matched"), F.sum("tf").alias("tf"))
     scored = scored.where("tier > 0") if strict else scored

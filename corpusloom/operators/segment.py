@@ -164,6 +164,16 @@ def fixed_chunks(words: DataFrame, size: int = CEILING) -> DataFrame:
     return words.withColumn("chunk_no", F.floor(F.col("idx") / size).cast("int"))
 
 
+def fixed_slices(texts: DataFrame, size: int = CEILING) -> DataFrame:
+    """(doc_id, chunk_no, token_count, text): slices of ``size`` words of whole texts (doc_id, text).
+
+    Each text is cut in its own row; nothing is shuffled.
+    """
+    own = texts.select("doc_id", layout.page_words(F.col("text")).alias("words")).where(F.size("words") > 0)
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size("words") - 1) / size).cast("int")), lambda n: F.slice("words", n * size + 1, F.lit(size)))
+    return own.select("doc_id", F.posexplode(cut).alias("chunk_no", "part")).select("doc_id", "chunk_no", F.size("part").cast("long").alias("token_count"), F.array_join("part", " ").alias("text"))
+
+
 def chunk_statistics(own: DataFrame) -> DataFrame:
     """Number, total, mean and largest size of the chunks of each document."""
     return own.groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.sum("token_count").alias("n_tokens"), F.round(F.avg("token_count"), 4).alias("avg_tokens"), F.max("token_count").alias("max_tokens"))

@@ -253,7 +253,24 @@ def _questions(spark, d) -> DataFrame:
 
 @query(f"WITH {_KEYWORD} SELECT q, id, tier, matched, tf, rank FROM keyword")
 def keyword_top20(spark, d):
-    return retrieval.keyword_leg(_questions(spark, d), retrieval.postings(_passages(spark, d)))
+    asked = _questions(spark, d)
+    return retrieval.keyword_leg(asked, retrieval.postings(_passages(spark, d), terms=retrieval.question_terms(asked)))
+
+
+@query(f"""
+WITH scoped AS (SELECT term, id, source, count(*) AS tf FROM (SELECT doc_id AS id, source, unnest({_TOKENS}) AS term FROM documents) GROUP BY 1, 2, 3),
+asked AS (SELECT item_id AS q, source, CASE WHEN item_id % 2 = 0 THEN lang END AS lang, text FROM benchmark JOIN (SELECT doc_id, source, lang FROM documents) ON doc_id = item_id),
+terms AS (SELECT DISTINCT q, source, lang, unnest({_TERMS}) AS term FROM asked),
+placed AS (SELECT q, source, lang, term, row_number() OVER (PARTITION BY q ORDER BY df, term) AS pos FROM terms JOIN (SELECT term, source, count(*) AS df FROM scoped GROUP BY 1, 2) USING (term, source)),
+hits AS (SELECT q, id, pos, tf, row_number() OVER (PARTITION BY q, id ORDER BY pos) AS n FROM placed p JOIN scoped USING (term, source) JOIN documents d ON d.doc_id = id WHERE p.lang IS NULL OR p.lang = d.lang),
+scored AS (SELECT q, id, max(CASE WHEN n = pos THEN pos ELSE 0 END) AS tier, count(*) AS matched, CAST(sum(tf) AS BIGINT) AS tf FROM hits GROUP BY 1, 2)
+SELECT q, id, tier, matched, tf, row_number() OVER (PARTITION BY q ORDER BY tier DESC, matched DESC, tf DESC, id) AS rank FROM scored QUALIFY rank <= 20
+""")
+def keyword_scoped(spark, d):
+    """Each question sees its tenant's passages alone, and one in two a single book of it; languages stand for books."""
+    own = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "source", "lang", F.coalesce("text", F.lit("")).alias("text"))
+    asked = _questions(spark, d).join(own.select(F.col("id").alias("q"), "source", F.when(F.col("id") % 2 == 0, F.col("lang")).alias("lang")), "q")
+    return retrieval.keyword_leg(asked, retrieval.postings(own, "source", "lang", terms=retrieval.question_terms(asked)), scope="source", book="lang")
 
 
 def _points(spark, d) -> DataFrame:
@@ -341,7 +358,23 @@ def _ranked(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     return asked, fused, retrieval.suppress(scored.join(books, "id"))
 
 
-@query()
+_GRAMS = "CASE WHEN len(t) >= 6 THEN list_transform(range(1, len(t) - 4), lambda i: array_to_string(t[i:i+5], ' ')) ELSE [] END"
+_KEPT = f"""
+{_SCORED},
+ranked AS (SELECT q, id, score, leg, leg_rank, row_number() OVER (PARTITION BY q ORDER BY score DESC, leg, leg_rank, id) AS n FROM graded WHERE overlap > 0 AND score >= 0.1),
+grams AS (SELECT doc_id AS id, source AS book, {_GRAMS} AS g FROM (SELECT doc_id, source, {_TOKENS} AS t FROM documents)),
+clash AS (SELECT a.q, a.n, list(b.n) AS higher FROM ranked a JOIN grams ga ON ga.id = a.id JOIN ranked b ON a.q = b.q AND b.n < a.n JOIN grams gb ON gb.id = b.id
+          WHERE ga.book = gb.book AND ga.book <> '' AND len(ga.g) > 0 AND len(list_filter(ga.g, lambda x: list_contains(gb.g, x))) / len(ga.g) >= 0.12 GROUP BY 1, 2),
+fold AS (SELECT DISTINCT q, 0::BIGINT AS n, []::BIGINT[] AS kept FROM ranked
+         UNION ALL SELECT r.q, r.n, CASE WHEN higher IS NOT NULL AND len(list_intersect(kept, higher)) > 0 THEN kept ELSE list_append(kept, r.n) END FROM fold f JOIN ranked r ON r.q = f.q AND r.n = f.n + 1 LEFT JOIN clash c ON c.q = r.q AND c.n = r.n),
+last AS (SELECT q, arg_max(kept, n) AS kept FROM fold GROUP BY 1)
+"""
+
+
+@query(f"""
+WITH RECURSIVE {_KEPT}
+SELECT q, CAST(list_position(kept, n) AS INTEGER) AS rank, id, round(score, 4) AS score, book FROM ranked JOIN last USING (q) JOIN grams USING (id) WHERE list_contains(kept, n) AND list_position(kept, n) <= 8
+""")
 def suppressed_top8(spark, d):
     return _ranked(spark, d)[2].select("q", "rank", "id", F.round("score", 4).alias("score"), "book")
 
@@ -355,19 +388,18 @@ def quality_gate(spark, d):
     return retrieval.gate(asked, ranked, fused).select("q", "decision")
 
 
-_GRAMS = "CASE WHEN len(t) >= 6 THEN list_transform(range(1, len(t) - 4), lambda i: array_to_string(t[i:i+5], ' ')) ELSE [] END"
-
-
 @query(f"""
-WITH t AS (SELECT doc_id, source, {_TOKENS} AS t FROM documents), g AS (SELECT doc_id, source, {_GRAMS} AS g FROM t)
-SELECT a.doc_id AS kept, b.doc_id AS lower, round(len(list_filter(b.g, lambda x: list_contains(a.g, x))) / len(b.g), 6) AS coverage
-FROM g a JOIN g b ON a.source = b.source AND b.doc_id > a.doc_id AND b.doc_id - a.doc_id <= 40 WHERE len(b.g) > 0
+WITH {_KEYWORD}, g AS (SELECT doc_id AS id, source, {_GRAMS} AS g FROM (SELECT doc_id, source, {_TOKENS} AS t FROM documents))
+SELECT a.q, a.id AS kept, b.id AS lower, round(len(list_filter(y.g, lambda x: list_contains(z.g, x))) / len(y.g), 6) AS coverage
+FROM keyword a JOIN keyword b ON a.q = b.q AND a.rank < b.rank JOIN g z ON z.id = a.id JOIN g y ON y.id = b.id WHERE z.source = y.source AND len(y.g) > 0
 """)
-def ngram_coverage(spark, d):
-    own = table(spark, d, "documents").select("doc_id", "source", retrieval.grams(T.tokens(F.col("text"))).alias("g"))
-    other = own.select(F.col("doc_id").alias("lower"), F.col("source").alias("s"), F.col("g").alias("h"))
-    near = own.join(other, (F.col("source") == F.col("s")) & (F.col("lower") > F.col("doc_id")) & (F.col("lower") - F.col("doc_id") <= 40)).where(F.size("h") > 0)
-    return near.select(F.col("doc_id").alias("kept"), "lower", F.round(retrieval.coverage(F.col("h"), F.col("g")), 6).alias("coverage"))
+def hit_coverage(spark, d):
+    """What part of a hit a better hit of the same book covers; a question has at most twenty hits."""
+    own = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "source", retrieval.grams(T.tokens(F.col("text"))).alias("g"))
+    hits = keyword_top20(spark, d).select("q", "rank", "id").join(own, "id")
+    lower = hits.select("q", F.col("rank").alias("lower_rank"), F.col("id").alias("lower"), "source", F.col("g").alias("h"))
+    both = hits.join(lower, ["q", "source"]).where((F.col("rank") < F.col("lower_rank")) & (F.size("h") > 0))
+    return both.select("q", F.col("id").alias("kept"), "lower", F.round(retrieval.coverage(F.col("h"), F.col("g")), 6).alias("coverage"))
 
 
 # Layout and passages ------------------------------------------------------------------------
@@ -404,12 +436,32 @@ def bbox_union(spark, d):
 
 @query(f"WITH {_WORDS} SELECT doc_id, CAST(floor(idx / 900) AS INTEGER) AS chunk_no, count(*) AS token_count, sha256(string_agg(text, ' ' ORDER BY idx)) AS digest FROM boxed GROUP BY 1, 2")
 def fixed_ceiling_chunks(spark, d):
-    own = segment.fixed_chunks(layout.text_words(_page_texts(spark, d)))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda w: w["text"]), " ")
-    return own.groupBy("doc_id", "chunk_no").agg(F.count("*").alias("token_count"), F.sha2(text, 256).alias("digest"))
+    return segment.fixed_slices(table(spark, d, "documents")).select("doc_id", "chunk_no", "token_count", F.sha2("text", 256).alias("digest"))
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {_WORDS},
+line AS (SELECT doc_id, raw, min(idx) AS a, max(idx) + 1 AS b FROM boxed GROUP BY 1, 2),
+para AS (SELECT doc_id, list(a ORDER BY a) || [max(b)] AS t, count(*) AS n FROM line GROUP BY 1),
+ends AS (SELECT doc_id, list(idx ORDER BY idx) AS e FROM boxed WHERE regexp_matches(text, '[.۔!?؟]$') GROUP BY 1),
+pack AS (SELECT doc_id, 0::BIGINT AS first, len(list_filter(t, lambda x: x <= t[1] + 420)) - 1 AS fits FROM para
+         UNION ALL SELECT doc_id, nxt, len(list_filter(t, lambda x: x <= t[nxt + 1] + 420)) - 1 FROM (
+           SELECT doc_id, t, n, fits, CASE WHEN fits > first AND t[fits + 1] - t[first + 1] >= 200 THEN greatest(len(list_filter(t, lambda x: x <= t[fits + 1] - 63)) - 2, first + 1) ELSE greatest(fits, first + 1) END AS nxt FROM pack JOIN para USING (doc_id)
+         ) WHERE fits < n AND nxt < n),
+whole AS (SELECT doc_id, first, t[first + 1] AS a, t[greatest(fits, first + 1) + 1] AS b, fits = first AS long FROM pack JOIN para USING (doc_id)),
+cut AS (SELECT doc_id, first, a, b, a AS start, coalesce(list_min(list_filter(e, lambda x: x >= a + 419 AND x < b)) + 1, b) AS stop FROM whole LEFT JOIN ends USING (doc_id) WHERE long
+        UNION ALL SELECT c.doc_id, first, a, b, stop, coalesce(list_min(list_filter(e, lambda x: x >= stop + 419 AND x < b)) + 1, b) FROM cut c LEFT JOIN ends USING (doc_id) WHERE stop < b),
+piece AS (SELECT doc_id, first, a, b FROM whole WHERE NOT long UNION ALL SELECT doc_id, first, start, stop FROM cut),
+part AS (SELECT doc_id, a, b, row_number() OVER (PARTITION BY doc_id ORDER BY first, a) AS n FROM (SELECT doc_id, first, unnest(range(a, b, 900)) AS a, b AS until FROM piece) x, LATERAL (SELECT least(x.a + 900, until) AS b)),
+fold AS (SELECT doc_id, n, a, b, 0::BIGINT AS chunk_no, b - a AS size FROM part WHERE n = 1
+         UNION ALL SELECT doc_id, m, x, y, chunk_no + CASE WHEN j THEN 0 ELSE 1 END, CASE WHEN j THEN size ELSE 0 END + y - x FROM (
+           SELECT f.doc_id, p.n AS m, p.a AS x, p.b AS y, chunk_no, size, (size < 150 OR NOT coalesce(list_contains(e, f.b - 1), false)) AND size + p.b - p.a <= 420 AS j FROM fold f JOIN part p ON p.doc_id = f.doc_id AND p.n = f.n + 1 LEFT JOIN ends ON ends.doc_id = f.doc_id)),
+held AS (SELECT DISTINCT doc_id, chunk_no, unnest(range(a, b)) AS idx FROM fold),
+chunk AS (SELECT doc_id, chunk_no, count(*) AS token_count, string_agg(text, ' ' ORDER BY idx) AS text FROM held JOIN boxed USING (doc_id, idx) GROUP BY 1, 2),
+hashed AS (SELECT *, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode(lower(trim(regexp_replace(strip_accents(text), '\\s+', ' ', 'g'))) || '|1|1')) AS h FROM chunk)
+SELECT doc_id, CAST(chunk_no AS INTEGER) AS chunk_no, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', (position(substr(h, 17, 1) IN '0123456789abcdef') - 1) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS id,
+       token_count, 1 AS page_start, 1 AS page_end, sha256(text) AS digest FROM hashed
+""")
 def packed_chunks(spark, d):
     return segment.chunks(layout.text_words(_page_texts(spark, d)), every_line=True).select("doc_id", "chunk_no", "id", "token_count", "page_start", "page_end", F.sha2("text", 256).alias("digest"))
 
@@ -579,9 +631,16 @@ def passage_format(spark, d):
     return table(spark, d, "documents").select("doc_id", F.sha2(A.truncated(F.col("text")), 256).alias("shown"), A.highlight_url(F.col("source"), F.lit(1), box, F.col("text")).alias("url"))
 
 
-@query("SELECT page_id, n AS page, trim(array_to_string(l[n * greatest(1, len(l) // 3) + 1 : CASE WHEN n = 2 THEN len(l) ELSE (n + 1) * greatest(1, len(l) // 3) END], chr(10))) AS text FROM (SELECT page_id, string_split(trim(replace(html, '<p>', chr(10))), chr(10)) AS l FROM pages WHERE NOT regexp_matches(html, '---+')), (VALUES (0), (1), (2)) v(n)")
+@query("""
+WITH r AS (SELECT page_id, replace(html, '<p>', CASE WHEN page_id % 3 = 0 THEN '**Page 2**' WHEN page_id % 3 = 1 THEN '----' ELSE chr(10) END) AS t FROM pages),
+m AS (SELECT page_id, t, string_split(regexp_replace(t, '(\\*\\*Page\\s+\\d+\\*\\*|\\[Page\\s+\\d+\\]|---+)', chr(1) || '\\1', 'g'), chr(1)) AS cut, string_split(trim(t), chr(10)) AS l FROM r)
+SELECT page_id, n AS page, CASE WHEN regexp_matches(t, '\\*\\*Page\\s+\\d+\\*\\*|\\[Page\\s+\\d+\\]|---+') THEN coalesce(trim(CASE WHEN n > 0 THEN substr(cut[n + 1], 2) ELSE cut[1] END), '')
+       ELSE trim(array_to_string(l[n * greatest(1, len(l) // 3) + 1 : CASE WHEN n = 2 THEN len(l) ELSE (n + 1) * greatest(1, len(l) // 3) END], chr(10))) END AS text FROM m, (VALUES (0), (1), (2)) v(n)
+""")
 def response_split(spark, d):
-    rows = table(spark, d, "pages").where(~F.col("html").rlike("---+")).select(F.col("page_id").alias("id"), F.replace("html", F.lit("<p>"), F.lit("\n")).alias("text"), F.lit(3).alias("expected"))
+    """Pages as answers over three images: with separators of two kinds, or with none."""
+    mark = F.when(F.col("page_id") % 3 == 0, F.lit("**Page 2**")).when(F.col("page_id") % 3 == 1, F.lit("----")).otherwise(F.lit("\n"))
+    rows = table(spark, d, "pages").select(F.col("page_id").alias("id"), F.replace("html", F.lit("<p>"), mark).alias("text"), F.lit(3).alias("expected"))
     return split_response(rows).select(F.col("id").alias("page_id"), "page", "text")
 
 
@@ -591,7 +650,8 @@ def response_split(spark, d):
 def known_items(spark: SparkSession, d: str) -> DataFrame:
     """Benchmark questions against passages of the documents: the eight best by keywords and overlap."""
     own = ingest.passages(_page_texts(spark, d), every_line=True).select(F.concat_ws(":", "doc_id", "chunk_no").alias("id"), "doc_id", "text")
-    hits = retrieval.keyword_leg(_questions(spark, d), retrieval.postings(own))
+    asked = _questions(spark, d)
+    hits = retrieval.keyword_leg(asked, retrieval.postings(own, terms=retrieval.question_terms(asked)))
     rows = hits.join(own, "id").join(_questions(spark, d).select("q", T.query_terms(F.col("question")).alias("terms")), "q")
     rows = rows.withColumn("overlap", T.overlap(F.col("terms"), T.haystack(F.col("text"))))
     place = Window.partitionBy("q").orderBy(F.desc("overlap"), "rank")
