@@ -80,13 +80,27 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-#: Unicode white space; written out, as the flag that gives white space this meaning is many times slower.
-SPACE = "[\\s\\x1c-\\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+#: Unicode white space beyond ASCII.
+WIDE_SPACES = "\u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def beyond_ascii(text: Column) -> Column:
+    """Whether a text has any character beyond ASCII, by its lengths alone."""
+    return F.length(text) != F.octet_length(text)
+
+
+def split_words(text: Column) -> Column:
+    """A text cut at Unicode white space; the first and last part may be empty.
+
+    Rarer spaces become plain ones first: an expression that matches them all is many times slower.
+    """
+    plain = let(text, lambda t: F.when(beyond_ascii(t), F.translate(t, WIDE_SPACES, " " * len(WIDE_SPACES))).otherwise(t))
+    return F.split(plain, r"[\s\x1c-\x1f]+")
 
 
 def words(text: Column) -> Column:
     """The words of a text: what Unicode white space separates."""
-    return F.filter(F.split(text, SPACE), lambda w: w != "")
+    return F.filter(split_words(text), lambda w: w != "")
 
 
 def fold(text: Column) -> Column:
@@ -94,7 +108,7 @@ def fold(text: Column) -> Column:
 
     def folded(t: Column) -> Column:
         plain = F.regexp_replace(F.translate(t, FOLD_FROM, FOLD_TO), COMBINING, "")
-        return F.when(t.rlike(r"[^\x00-\x7F]"), F.translate(plain, "’‘" + MODIFIERS, "''")).otherwise(t)
+        return F.when(beyond_ascii(t), F.translate(plain, "’‘" + MODIFIERS, "''")).otherwise(t)
 
     return let(text, folded)
 
@@ -104,7 +118,7 @@ def fold_arabic(text: Column) -> Column:
 
     def folded(t: Column) -> Column:
         plain = F.translate(F.regexp_replace(t, ARABIC_MARKS, ""), LETTERS_FROM, LETTERS_TO)
-        return F.when(t.rlike(ARABIC), plain).otherwise(t)
+        return F.when(beyond_ascii(t) & t.rlike(ARABIC), plain).otherwise(t)
 
     return let(text, folded)
 
@@ -115,7 +129,7 @@ def normal(text: Column) -> Column:
     Arabic letters are folded too, which the decomposition of the original order would
     prevent. Words are stripped one by one, the rest is done to whole texts.
     """
-    stripped = F.transform(F.split(text, SPACE), lambda w: F.btrim(w, F.lit(EDGE_CHARACTERS)))
+    stripped = F.transform(split_words(text), lambda w: F.btrim(w, F.lit(EDGE_CHARACTERS)))
     return fold_arabic(fold(F.lower(F.array_join(stripped, " "))))
 
 
