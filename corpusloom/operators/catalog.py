@@ -78,10 +78,13 @@ def stale(running: DataFrame, beats: DataFrame, key: str, now: Column) -> DataFr
 
 
 def upsert(stored: DataFrame, new: DataFrame, *keys: str) -> DataFrame:
-    """``stored`` with the rows of ``new`` in place of those with their keys; of equals the latest ``ingested``."""
-    both = stored.unionByName(new)
-    order = Window.partitionBy(*keys).orderBy(F.desc("ingested"))
-    return both.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    """``stored`` with the rows of ``new`` in place of those with their keys; of equals the latest ``ingested``.
+
+    Of rows ingested at the same moment a new one goes before a stored one, then the greatest by its columns.
+    """
+    both = stored.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
+    order = Window.partitionBy(*keys).orderBy(F.desc("ingested"), F.desc("_new"), F.desc(F.to_json(F.struct(*stored.columns))))
+    return both.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n", "_new")
 
 
 def delete_by(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
@@ -111,6 +114,21 @@ def set_status(rows: DataFrame, key: str, value: object, **changes: object) -> D
     return rows
 
 
+def preview(text: Column, length: int = 200) -> Column:
+    """The beginning of a text, as lists show it."""
+    return F.substring(text, 1, length)
+
+
+def attributes_missing(stored: Column, wanted: Column) -> Column:
+    """What an index still lacks of the attributes that are wanted; empty if it has them all."""
+    return F.array_except(wanted, F.coalesce(stored, F.array().cast("array<string>")))
+
+
+def attributes_merged(stored: Column, wanted: Column) -> Column:
+    """The attributes of an index and those wanted, each once, sorted."""
+    return F.array_sort(F.array_union(F.coalesce(stored, F.array().cast("array<string>")), wanted))
+
+
 def duplicates(rows: DataFrame, *keys: str) -> DataFrame:
     """Keys that should be unique and are not."""
     return rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")

@@ -63,10 +63,12 @@ def login_limiter(events: DataFrame) -> DataFrame:
     """(key, at, failed, blocked): each try in turn against a window that opens at the first failure.
 
     ``events`` has key, at (microseconds) and failed; five failures within 15 minutes block,
-    a success before that closes the window. A key's tries stream through one task in order.
+    a success before that closes the window. A key's tries stream through one task in order,
+    tries of one moment by ``event_id`` where there is one, else failures first.
     """
-    own = events.select(F.col("key").cast("long").alias("key"), F.col("at").cast("long").alias("at"), "failed")
-    return own.repartition("key").sortWithinPartitions("key", "at").mapInPandas(_limiter, "key long, at long, failed boolean, blocked boolean")
+    tie = F.col("event_id") if "event_id" in events.columns else F.when(F.col("failed"), 0).otherwise(1)
+    own = events.select(F.col("key").cast("long").alias("key"), F.col("at").cast("long").alias("at"), "failed", tie.cast("long").alias("tie"))
+    return own.repartition("key").sortWithinPartitions("key", "at", "tie").mapInPandas(_limiter, "key long, at long, failed boolean, blocked boolean")
 
 
 def cached_answers(asked: DataFrame, stored: DataFrame, now: Column, hours: int = 24) -> DataFrame:

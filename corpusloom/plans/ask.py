@@ -21,12 +21,20 @@ def enriched(questions: DataFrame, models: Models) -> DataFrame:
     return rows.withColumn("vector", models.embed(T.embedding_text(F.col("question"), F.col("other")))).persist()
 
 
-def ranked(questions: DataFrame, passages: DataFrame, vectors: DataFrame, own: DataFrame, k: int = 20) -> tuple[DataFrame, DataFrame]:
-    """(fused, ranked): candidates of both legs, and the best after scoring and suppression."""
-    named = passages.select("id", "text")
-    vector = retrieval.vector_leg(questions.select("q", "vector"), vectors, k).join(named, "id")
-    first = retrieval.keyword_leg(questions.select("q", F.col("primary").alias("question")), own, k)
-    second = retrieval.keyword_leg(questions.where("secondary IS NOT NULL").select("q", F.col("secondary").alias("question")), own, k)
+#: The note ahead of an answer whose passages disagree.
+DISAGREEMENT = "\u26a0\ufe0f Note: the source passages contain a disagreement on this point. Each passage's claim is stated separately below.\n\n"
+
+
+def ranked(questions: DataFrame, passages: DataFrame, vectors: DataFrame, own: DataFrame, k: int = 20, scope: str | None = "tenant", book: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(fused, ranked): candidates of both legs, and the best after scoring and suppression.
+
+    Both legs see a question's own ``scope`` alone, and one book alone where ``book`` names a
+    column and the question has a value in it.
+    """
+    named, columns = passages.select("id", "text"), [c for c in (scope, book) if c]
+    vector = retrieval.vector_leg(questions.select("q", "vector", *columns), vectors, k, scope, book).join(named, "id")
+    first = retrieval.keyword_leg(questions.select("q", F.col("primary").alias("question"), *columns), own, k, scope=scope, book=book)
+    second = retrieval.keyword_leg(questions.where("secondary IS NOT NULL").select("q", F.col("secondary").alias("question"), *columns), own, k, scope=scope, book=book)
     keyword = retrieval.merge_keyword_legs(first, second, k).join(named, "id")
     fused = retrieval.fuse(vector, keyword).persist()  # both the ranking and the gate read it
     scored = retrieval.above_floor(retrieval.score(fused, questions.select("q", "question", "other")))
@@ -34,14 +42,15 @@ def ranked(questions: DataFrame, passages: DataFrame, vectors: DataFrame, own: D
     return fused, retrieval.suppress(placed).persist()
 
 
-def answered(questions: DataFrame, passages: DataFrame, vectors: DataFrame, own: DataFrame, models: Models | None = None) -> DataFrame:
-    """(q, decision, answer, language, no_result, sources) of every question.
+def answered(questions: DataFrame, passages: DataFrame, vectors: DataFrame, own: DataFrame, models: Models | None = None, scope: str | None = "tenant", book: str | None = None) -> DataFrame:
+    """(q, decision, answer, language, needs_rewrite, no_result, sources) of every question.
 
     ``passages`` has id, text, book, page_start, page_end, page_offsets and printed pages.
+    Questions, vectors and postings have the column ``scope``; None stands for a corpus of one tenant.
     """
     models = models or Models()
     asked = enriched(questions, models)
-    fused, best = ranked(asked, passages, vectors, own)
+    fused, best = ranked(asked, passages, vectors, own, scope=scope, book=book)
     gated = retrieval.gate(asked, best, fused)
     facts = passages.select("id", "page_offsets", "printed_page_start", "printed_page_end")
     entry = F.struct("rank", "id", "text", F.col("book").alias("book_name"), "page_start", "page_end", "page_offsets", "printed_page_start", "printed_page_end", "score")
@@ -49,8 +58,11 @@ def answered(questions: DataFrame, passages: DataFrame, vectors: DataFrame, own:
     rows = asked.join(gated, "q").join(lists, "q", "left")
     rows = rows.withColumn("answer", F.when(F.col("decision") == "generate", models.generate(F.col("question"), F.col("passages"))))
     rows = citations.resolve_citations(rows.persist())
+    checked = A.needs_consistency_check(F.col("answer")) & F.upper(F.trim(models.check(F.col("question"), F.col("answer"), F.col("passages")))).startswith("CONTRADICT")
     final = A.without_placeholders(F.col("resolved"))
-    rows = rows.withColumn("final", final).withColumn("no_result", (F.col("decision") != "generate") | A.says_nothing_found(F.col("final")))
-    text = F.when(F.col("no_result"), A.refusal(F.col("language"), F.col("decision") == "no_result")).otherwise(models.rewrite(F.col("final"), F.col("language")))
+    rows = rows.withColumn("final", F.concat(F.when(checked, DISAGREEMENT).otherwise(""), final))
+    rows = rows.withColumn("needs_rewrite", F.coalesce(T.answer_language(F.col("final")) != F.col("language"), F.lit(False)))
+    rows = rows.withColumn("no_result", (F.col("decision") != "generate") | A.says_nothing_found(F.col("final")))
+    text = F.when(F.col("no_result"), A.refusal(F.col("language"), F.col("decision") == "no_result")).otherwise(F.when(F.col("needs_rewrite"), models.rewrite(F.col("final"), F.col("language"))).otherwise(F.col("final")))
     sources = F.transform(F.coalesce("passages", F.array().cast(rows.schema["passages"].dataType)), lambda p: F.struct(p["rank"], p["id"], p["book_name"], p["page_start"], p["page_end"], p["score"], A.highlight_url(p["book_name"], p["page_start"], F.lit(None).cast("array<double>"), p["text"]).alias("highlight_url")))
-    return rows.select("q", "decision", text.alias("answer"), "language", "no_result", F.when(F.col("no_result"), F.slice(sources, 1, 0)).otherwise(sources).alias("sources"))
+    return rows.select("q", "decision", text.alias("answer"), "language", "needs_rewrite", "no_result", F.when(F.col("no_result"), F.slice(sources, 1, 0)).otherwise(sources).alias("sources"))

@@ -23,7 +23,7 @@ def passages(page_texts: DataFrame, every_line: bool = False) -> DataFrame:
     return segment.chunks(words, every_line)
 
 
-def indexes(own: DataFrame, models: Models | None = None) -> tuple[DataFrame, DataFrame]:
-    """(vectors, postings) of passages; both are kept, as a question's plan reads them several times."""
+def indexes(own: DataFrame, models: Models | None = None, *scopes: str) -> tuple[DataFrame, DataFrame]:
+    """(vectors, postings) of passages, with scopes such as the tenant; both are kept, as a question's plan reads them several times."""
     models = models or Models()
-    return own.select("id", models.embed(F.col("text")).alias("vector")).persist(), retrieval.postings(own).persist()
+    return own.select("id", *scopes, models.embed(F.col("text")).alias("vector")).persist(), retrieval.postings(own, *scopes).persist()

@@ -34,19 +34,27 @@ def extract(question: Column, passages: Column) -> Column:
     return F.when(best.isNotNull(), F.concat(said, F.lit(" [P1, Page "), best["page_start"].cast("string"), F.lit("]")))
 
 
+def agrees(question: Column, answer: Column, passages: Column) -> Column:
+    return F.lit("CONSISTENT")
+
+
 @dataclass(frozen=True)
 class Models:
     embed: Callable[[Column], Column] = hashed_vector
     translate: Callable[[Column], Column] = same
     generate: Callable[[Column, Column], Column] = extract
     rewrite: Callable[[Column, Column], Column] = field(default=lambda answer, language: answer)
+    #: Whether the passages that an answer cites agree: a verdict that begins with CONTRADICT if not.
+    check: Callable[[Column, Column, Column], Column] = agrees
 
 
 def with_cached_vectors(questions: DataFrame, cache: DataFrame, embed: Callable[[Column], Column] = hashed_vector) -> DataFrame:
     """``vector`` for each question: from the cache (key, vector), computed only where missing."""
     keyed = questions.withColumn("key", F.sha2(F.lower(F.trim("question")), 256))
-    joined = keyed.join(cache.withColumnRenamed("vector", "_cached"), "key", "left")
-    return joined.withColumn("vector", F.coalesce("_cached", embed(F.col("question")))).drop("_cached", "key")
+    # Only questions that are not cached go through the model at all.
+    known = keyed.join(cache.select("key", "vector"), "key").drop("key")
+    missing = keyed.join(cache.select("key"), "key", "left_anti").drop("key")
+    return known.unionByName(missing.withColumn("vector", embed(F.col("question"))))
 
 
 def provider_order(wanted: list[str], keys: dict[str, str | None]) -> list[str]:

@@ -163,9 +163,15 @@ def rate_sliding(spark, d):
     return state.rate(table(spark, d, "events"), "ts", "1 hour", "30 minutes")
 
 
-@query()
+@query("""
+WITH RECURSIVE t AS (SELECT user_id AS key, epoch_us(ts) AS moment, event_type = 'error' AS failed, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+s AS (SELECT key, n, moment, failed, false AS blocked, CASE WHEN failed THEN moment ELSE 0 END AS opened, CASE WHEN failed THEN 1 ELSE 0 END AS failures FROM t WHERE n = 1
+      UNION ALL SELECT key, n, moment, failed, live >= 5, CASE WHEN failed AND live = 0 THEN moment ELSE opened END, CASE WHEN failed THEN live + 1 WHEN live >= 5 THEN live ELSE 0 END
+      FROM (SELECT t.key, t.n, t.moment, t.failed, s.opened, CASE WHEN t.moment - s.opened >= 900000000 THEN 0 ELSE s.failures END AS live FROM s JOIN t ON t.key = s.key AND t.n = s.n + 1))
+SELECT key, moment AS "at", failed, blocked FROM s
+""")
 def login_blocked_windows(spark, d):
-    tries = table(spark, d, "events").select(F.col("user_id").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), (F.col("event_type") == "error").alias("failed"))
+    tries = table(spark, d, "events").select("event_id", F.col("user_id").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), (F.col("event_type") == "error").alias("failed"))
     return state.login_limiter(tries)
 
 
@@ -402,6 +408,21 @@ def hit_coverage(spark, d):
     return both.select("q", F.col("id").alias("kept"), "lower", F.round(retrieval.coverage(F.col("h"), F.col("g")), 6).alias("coverage"))
 
 
+@query(f"""
+WITH RECURSIVE {_KEPT}, best AS (SELECT q, max(score) AS best FROM ranked GROUP BY 1), top AS (SELECT q, max(score) AS top FROM legs GROUP BY 1),
+named AS (SELECT q, string_agg(book || ':' || id, ', ' ORDER BY list_position(kept, n)) AS names FROM ranked JOIN last USING (q) JOIN grams USING (id) WHERE list_contains(kept, n) AND list_position(kept, n) <= 8 GROUP BY 1),
+gated AS (SELECT item_id AS q, best IS NOT NULL AND (best >= 0.3 OR coalesce(top, 0) >= 0.65) AS good FROM benchmark LEFT JOIN best ON best.q = item_id LEFT JOIN top ON top.q = item_id)
+SELECT q, CASE WHEN good THEN 'generate' ELSE 'retry' END AS decision, CASE WHEN good THEN coalesce(names, '') ELSE '' END AS sources FROM gated LEFT JOIN named USING (q)
+""")
+def answer_sources(spark, d):
+    """What a question is answered from: the decision and, if it is answered, its sources in order."""
+    asked, fused, ranked = _ranked(spark, d)
+    named = F.array_sort(F.collect_list(F.struct("rank", F.concat_ws(":", "book", "id").alias("name"))))
+    sources = ranked.groupBy("q").agg(F.array_join(F.transform(named, lambda s: s["name"]), ", ").alias("sources"))
+    gated = retrieval.gate(asked, ranked, fused).join(sources, "q", "left")
+    return gated.select("q", "decision", F.when(F.col("decision") == "generate", F.coalesce("sources", F.lit(""))).otherwise("").alias("sources"))
+
+
 # Layout and passages ------------------------------------------------------------------------
 
 _RAW = """
@@ -644,6 +665,94 @@ def response_split(spark, d):
     return split_response(rows).select(F.col("id").alias("page_id"), "page", "text")
 
 
+# Arabic and Urdu, of which the tables hold none: literal rows ---------------------------------
+
+_SAID = [
+    "الْمَوْسُوعَةُ الفِقْهِيَّةُ الكويتية", "إنَّ أبا حنيفة قال في الهداية", "حدثنا ابن عمر عن محمود بن صدر الشريعة", "وقاية الرواية في مسائل الهداية",
+    "یہ کتاب فقہ حنفی کی ہے اور اس میں مسائل ہیں", "Sharḥ al-Wiqāya ʿalā l-Hidāya", "ما هو حكم الصلاة عند الكوفي", "الـحـديـث ٧ من الباب", "What is the ruling of the prayer?", "12 34", "",
+]
+
+
+def _said(spark) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(_SAID)), "id int, text string")
+
+
+_SAID_SQL = "said(id, text) AS (VALUES " + ", ".join(f"({n}, '" + t.replace("'", "''") + "')" for n, t in enumerate(_SAID)) + ")"
+_COUNT = lambda characters: f"length(text) - length(regexp_replace(text, '[{characters}]', '', 'g'))"
+
+
+@query(f"""
+WITH {_SAID_SQL}, marked AS (SELECT id, text, regexp_replace(text, '[\\x{{064B}}-\\x{{0652}}\\x{{0670}}\\x{{0640}}]', '', 'g') AS bare FROM said)
+SELECT id, translate(bare, 'أإآىةؤئ', 'ااايهوي') AS folded,
+       lower(trim(regexp_replace(translate(regexp_replace(strip_accents(text), '[\\x{{064B}}-\\x{{0655}}\\x{{0670}}\\x{{0640}}ʿʾʼʻ]', '', 'g'), 'أإآىةؤئ', 'ااايهوي'), '\\s+', ' ', 'g'))) AS for_id,
+       lower(regexp_replace(translate(regexp_replace(text, '[\\x{{064B}}-\\x{{0652}}\\x{{0670}}\\x{{0640}}،؛؟٠-٩]', '', 'g'), 'أإآىةؤئ', 'ااايهوي'), '[^\\x{{0621}}-\\x{{064A}}\\x{{0671}}-\\x{{06FF}}A-Za-z0-9]', '', 'g')) AS highlighted
+FROM marked
+""")
+def arabic_forms(spark, d):
+    """The three written forms that Arabic text is compared in."""
+    return _said(spark).select("id", T.fold_arabic(F.col("text")).alias("folded"), T.for_id(F.col("text")).alias("for_id"), T.highlight_token(F.col("text")).alias("highlighted"))
+
+
+@query(f"""
+WITH {_SAID_SQL}, n AS (SELECT id, text, {_COUNT("A-Za-z")} AS latin, {_COUNT("؀-ۿ")} AS arabic, {_COUNT("ٹ-ڀڈ-ڏڑ-ۿـئؤٱ")} AS urdu FROM said)
+SELECT id, CASE WHEN regexp_matches(text, '[ٹ-ۿݐ-ݿ]') OR len(list_intersect(string_split(text, ' '), ['ہے', 'کا', 'کی', 'کے', 'سے', 'میں', 'اور', 'یہ', 'اس'])) > 0 THEN 'ur' WHEN latin > 0 AND latin >= arabic THEN 'en' ELSE 'ar' END AS asked_in,
+       CASE WHEN arabic = 0 THEN 'en' WHEN urdu >= greatest(3, floor(arabic / 10)) THEN 'ur' WHEN latin > arabic THEN 'en' ELSE 'ar' END AS answered_in FROM n
+""")
+def script_languages(spark, d):
+    """The language of questions and of answers, by script."""
+    return _said(spark).select("id", T.script_language(F.col("text")).alias("asked_in"), T.answer_language(F.col("text")).alias("answered_in"))
+
+
+@query(f"""
+WITH {_SAID_SQL}, w AS (SELECT id, list_filter(list_transform(string_split(text, ' '), lambda x: translate(regexp_replace(trim(x, '.,;:!?()[]"''«»،؛؟*#-'), '[\\x{{064B}}-\\x{{0652}}\\x{{0670}}\\x{{0640}}]', '', 'g'), 'أإآىةؤئ', 'ااايهوي')), lambda x: regexp_matches(x, '^[؀-ۿ]')) AS w FROM said)
+SELECT id, coalesce(array_to_string(list_filter(w, lambda x: NOT list_contains({_quoted(T._stopwords())}, x) AND NOT regexp_full_match(x, '[0-9٠-٩]+')), ' '), '') AS terms FROM w WHERE id NOT IN (5, 8, 9)
+""")
+def arabic_terms(spark, d):
+    """The content words of Arabic and Urdu questions."""
+    return _said(spark).where("id NOT IN (5, 8, 9)").select("id", F.array_join(T.query_terms(F.col("text")), " ").alias("terms"))
+
+
+@query("SELECT id, n, CAST(boost AS DOUBLE) AS boost FROM (VALUES (0, 0, 0.0), (1, 0, 0.0), (2, 3, 0.15), (3, 0, 0.0), (4, 0, 0.0), (5, 0, 0.0), (6, 1, 0.0), (7, 0, 0.0), (8, 0, 0.0), (9, 0, 0.0), (10, 0, 0.0)) v(id, n, boost)")
+def entity_names(spark, d):
+    """Names in questions, and what a passage that names the same earns."""
+    names = T.entities(F.col("text"))
+    passage = F.lit("قال ابن عمر: روى محمود بن صدر الشريعه")
+    return _said(spark).select("id", F.size(names).alias("n"), F.round(T.entity_boost(names, passage), 6).alias("boost"))
+
+
+# Boxes and sizes -------------------------------------------------------------------------------
+
+
+@query(f"WITH {_WORDS} SELECT doc_id, CAST(floor(idx / 900) AS INTEGER) AS chunk_no, 1 AS page, min(x0) AS x0, min(y) AS y0, max(x0 + length(text) * 10) AS x1, max(y + 18) AS y1 FROM boxed GROUP BY 1, 2")
+def page_boxes(spark, d):
+    return segment.page_boxes(segment.fixed_chunks(layout.text_words(_page_texts(spark, d))))
+
+
+@query(f"WITH {_WORDS}, c AS (SELECT doc_id, floor(idx / 900) AS chunk_no, count(*) AS n FROM boxed GROUP BY 1, 2) SELECT doc_id, count(*) AS n_chunks, CAST(sum(n) AS BIGINT) AS n_tokens, round(avg(n), 4) AS avg_tokens, max(n) AS max_tokens FROM c GROUP BY 1")
+def chunk_statistics(spark, d):
+    return segment.chunk_statistics(segment.fixed_slices(table(spark, d, "documents")))
+
+
+@query(f"WITH {_WORDS}, l AS (SELECT doc_id, raw, max(y + 18) - min(y) AS h, count(*) AS n FROM boxed GROUP BY 1, 2), s AS (SELECT doc_id, list(h ORDER BY h) FILTER (n >= 2) AS h FROM l GROUP BY 1) SELECT doc_id, h[len(h) // 2 + 1] AS median_height FROM s")
+def line_heights(spark, d):
+    return layout.median_line_height(layout.lines(layout.number_lines(layout.text_words(_page_texts(spark, d)))))
+
+
+@query("SELECT doc_id, substr(text, 1, 200) AS preview FROM documents")
+def previews(spark, d):
+    return table(spark, d, "documents").select("doc_id", catalog.preview(F.col("text")).alias("preview"))
+
+
+@query("""
+WITH a AS (SELECT source, list_sort(list(DISTINCT lang)) AS stored FROM documents GROUP BY 1)
+SELECT source, array_to_string(list_sort(list_distinct(list_concat(stored, ['en', 'ur']))), ',') AS merged, array_to_string(list_sort(list_filter(['en', 'ur'], lambda x: NOT list_contains(stored, x))), ',') AS missing FROM a
+""")
+def index_attributes(spark, d):
+    own = table(spark, d, "documents").groupBy("source").agg(F.collect_set("lang").alias("stored"))
+    wanted = F.array(F.lit("en"), F.lit("ur"))
+    return own.select("source", F.array_join(catalog.attributes_merged(F.col("stored"), wanted), ",").alias("merged"), F.array_join(F.array_sort(catalog.attributes_missing(F.col("stored"), wanted)), ",").alias("missing"))
+
+
 # Flagship --------------------------------------------------------------------------------------
 
 
@@ -664,7 +773,11 @@ QUERIES["known_items"] = known_items
 def answers(spark, d):
     """Questions answered from document passages by both legs, with decision, answer and sources."""
     own = ingest.passages(_page_texts(spark, d), every_line=True).withColumn("book", F.col("doc_id").cast("string")).withColumn("printed_page_start", F.lit(None).cast("int")).withColumn("printed_page_end", F.lit(None).cast("int"))
-    own = own.withColumn("id", F.concat_ws(":", "doc_id", "chunk_no")).persist()
-    vectors, postings_ = ingest.indexes(own)
-    out = ask.answered(_questions(spark, d), own, vectors, postings_)
-    return out.select("q", "decision", "answer", "language", "no_result", F.to_json("sources").alias("sources"))
+    own = own.withColumn("id", F.concat_ws(":", "doc_id", "chunk_no")).join(table(spark, d, "documents").select("doc_id", F.col("source").alias("tenant")), "doc_id").persist()
+    vectors, postings_ = ingest.indexes(own, None, "tenant")
+    asked = _questions(spark, d).join(table(spark, d, "documents").select(F.col("doc_id").alias("q"), F.col("source").alias("tenant")), "q")
+    out = ask.answered(asked, own, vectors, postings_)
+    return out.select("q", "decision", "answer", "language", "needs_rewrite", "no_result", F.to_json("sources").alias("sources"))
+
+
+QUERIES["answers"] = answers

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,13 +28,60 @@ def blob_or_null(wanted: DataFrame, own: DataFrame) -> DataFrame:
     return wanted.join(own.select("path", "content"), "path", "left")
 
 
-def stored_megabytes(own: DataFrame, chunks: Column | None = None) -> DataFrame:
-    """The size of all files in MB, two decimals."""
-    return own.agg(F.round(F.coalesce(F.sum("length"), F.lit(0)) / (1024 * 1024), 2).alias("megabytes"))
+#: Megabytes that a passage stands for where no file sizes are known.
+MEGABYTES_A_CHUNK = 0.05
+
+
+def stored_megabytes(own: DataFrame, n_chunks: int = 0) -> DataFrame:
+    """The size of all files in MB, two decimals; without any file an estimate from the number of passages."""
+    size = F.when(F.count("length") > 0, F.sum("length") / (1024 * 1024)).otherwise(n_chunks * MEGABYTES_A_CHUNK)
+    return own.agg(F.round(size, 2).alias("megabytes"))
+
+
+PDF_WORDS = "path string, page int, line string, word_no int, text string, x0 double, y0 double, x1 double, y1 double"
+
+
+def pdf_words(own: DataFrame, read: Callable[[bytes], Iterable[tuple]]) -> DataFrame:
+    """Words of PDF files through a decoder that a deployment brings.
+
+    ``read`` takes the bytes of one file and gives (page, line, word number, text, box of four); it
+    runs where the file is read. A file that it cannot read gives no row.
+    """
+
+    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"]):
+                try:
+                    rows = [(path, *row) for row in read(bytes(content))]
+                except ValueError:
+                    continue
+                yield pd.DataFrame(rows, columns=["path", "page", "line", "word_no", "text", "x0", "y0", "x1", "y1"])
+
+    return own.select("path", "content").mapInPandas(words, PDF_WORDS)
+
+
+def image_texts(own: DataFrame, recognise: Callable[[bytes], str], tries: int = 10) -> DataFrame:
+    """(path, text, tries) of page images, one request for each; an empty text is asked for again.
+
+    A text that stays empty is the empty string. Files are dealt evenly, as requests take longer than reading.
+    """
+
+    def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for path, content in zip(batch["path"], batch["content"]):
+                text, n = "", 0
+                while not text.strip() and n < tries:
+                    text, n = recognise(bytes(content)) or "", n + 1
+                rows.append((path, text, n))
+            yield pd.DataFrame(rows, columns=["path", "text", "tries"])
+
+    return own.select("path", "content").repartition("path").mapInPandas(texts, "path string, text string, tries int")
 
 
-def valid_pdf(own: DataFrame, name: str = "path") -> DataFrame:
-    """Files with the suffix and the first bytes of a PDF."""
+def valid_pdf(own: DataFrame, name: str = "path", content_type: str | None = None) -> DataFrame:
+    """Files with the suffix, the first bytes and, where a column says one, the content type of a PDF."""
+    own = own.where(F.col(content_type) == "application/pdf") if content_type else own
     return own.where(F.lower(name).endswith(".pdf") & (F.length("content") >= 5) & (F.substring("content", 1, 4) == F.unhex(F.lit("25504446"))))
 
 

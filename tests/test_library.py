@@ -216,6 +216,40 @@ def test_readers(spark, tmp_path):
     assert sorted(tuple(r) for r in split.collect()) == [(1, 0, "one"), (1, 1, "--two"), (2, 0, "a\nb"), (2, 1, "c\nd\ne"), (3, 0, "x"), (3, 1, ""), (3, 2, "")]
 
 
+def test_readers_with_a_decoder(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(b"%PDF-1.7 two words")
+    (tmp_path / "b.pdf").write_bytes(b"broken")
+    own = readers.blobs(spark, str(tmp_path))
+
+    def read(content):
+        if not content.startswith(b"%PDF"):
+            raise ValueError("not a PDF")
+        return [(1, "0", n, w.decode(), 0.0, 0.0, 1.0, 1.0) for n, w in enumerate(content.split()[1:])]
+
+    assert [(r["page"], r["text"]) for r in readers.pdf_words(own, read).orderBy("word_no").collect()] == [(1, "two"), (1, "words")]
+    texts = {r["path"].rsplit("/", 1)[1]: (r["text"], r["tries"]) for r in readers.image_texts(own, lambda c: "" if c == b"broken" else "seen", 3).collect()}
+    assert texts == {"a.pdf": ("seen", 1), "b.pdf": ("", 3)}
+    none = own.where("length < 0")
+    assert readers.stored_megabytes(none, 7).first()["megabytes"] == 0.35 and readers.stored_megabytes(own).first()["megabytes"] == 0.0
+    assert readers.valid_pdf(own.withColumn("kind", F.lit("text/plain")), content_type="kind").count() == 0
+
+
+def test_postings_are_refreshed(spark):
+    own = spark.createDataFrame([(1, "b1", "alpha beta"), (2, "b2", "beta beta"), (3, "b3", "gamma")], "id long, book string, text string")
+    stored = retrieval.postings(own, "book")
+    changed = spark.createDataFrame([(1, "b1", "alpha"), (2, "b2", "delta")], "id long, book string, text string")
+    touched = spark.createDataFrame([("b2",), ("b3",)], "book string")
+    found = {(r["term"], r["id"], r["book"], r["tf"]) for r in retrieval.refreshed_postings(stored, changed, touched, "book").collect()}
+    assert found == {("alpha", 1, "b1", 1), ("beta", 1, "b1", 1), ("delta", 2, "b2", 1)}
+
+
+def test_cached_vectors_are_not_made_again(spark):
+    asked = spark.createDataFrame([(1, " Known "), (2, "new")], "q long, question string")
+    cache = asked.where("q = 1").select(F.sha2(F.lower(F.trim("question")), 256).alias("key"), F.array(F.lit(1.0)).alias("vector"))
+    raised = F.udf(lambda t: [2.0] if t == "new" else 1 / 0, "array<double>")
+    assert {r["q"]: r["vector"] for r in models.with_cached_vectors(asked, cache, raised).collect()} == {1: [1.0], 2: [2.0]}
+
+
 def test_answer_stream(spark):
     table = spark.createDataFrame([(1, "two words", True, [1])], "q long, answer string, no_result boolean, sources array<int>")
     assert [(r["n"], r["kind"]) for r in sinks.answer_tokens(table).orderBy("n").collect()] == [(0, "token"), (1, "token"), (2, "no_result"), (3, "sources"), (4, "done")]
@@ -248,8 +282,16 @@ def test_questions_are_answered(spark):
     texts = [" ".join(f"word{rng.randrange(3000)}" for _ in range(90)) + "." for _ in range(12)]
     rows = [(str(n), t, str(n), 1, 1, [(0, len(t) - 1, 1, None)], None, None) for n, t in enumerate(texts)]
     own = spark.createDataFrame(rows, "id string, text string, book string, page_start int, page_end int, page_offsets array<struct<start_char:bigint,end_char:bigint,page:int,printed_page_num:int>>, printed_page_start int, printed_page_end int")
-    vectors, postings = ingest.indexes(own)
-    asked = spark.createDataFrame([(1, " ".join(texts[4].split()[10:30])), (2, "entirely unrelated gibberish"), (3, "")], "q long, question string")
-    found = {r["q"]: r for r in ask.answered(asked, own, vectors, postings).collect()}
-    assert set(found) == {1, 2} and found[1]["decision"] == "generate" and "[4, Page 1]" in found[1]["answer"] and found[1]["sources"][0]["book_name"] == "4"
+    own = own.withColumn("tenant", (F.col("id").cast("int") % 2).cast("string"))
+    vectors, postings = ingest.indexes(own, None, "tenant", "book")
+    said = " ".join(texts[4].split()[10:30])
+    asked = spark.createDataFrame([(1, said, "0", None), (2, "entirely unrelated gibberish", "0", None), (3, "", "0", None), (4, said, "1", None), (5, said, "0", "4"), (6, said, "0", "2")], "q long, question string, tenant string, book string")
+    contradicted = models.Models(check=lambda q, a, p: F.lit("contradicts"), generate=lambda q, p: F.lit("One [P1, Page 1] and two [P1; P2]"))
+    found = {r["q"]: r for r in ask.answered(asked, own, vectors, postings, book="book").collect()}
+    tenants = lambda r: {int(s["book_name"]) % 2 for s in r["sources"]}
+    assert tenants(found[1]) == {0} and tenants(found[4]) <= {1} and not any(s["book_name"] == "4" for s in found[4]["sources"])
+    assert {s["book_name"] for s in found[5]["sources"]} == {"4"} and {s["book_name"] for s in found[6]["sources"]} <= {"2"}
+    noted = {r["q"]: r for r in ask.answered(asked.where("q = 1"), own, vectors, postings, contradicted).collect()}
+    assert noted[1]["answer"].startswith(ask.DISAGREEMENT)
+    assert set(found) == {1, 2, 4, 5, 6} and not found[1]["needs_rewrite"] and found[1]["decision"] == "generate" and "[4, Page 1]" in found[1]["answer"] and found[1]["sources"][0]["book_name"] == "4"
     assert found[2]["no_result"] and found[2]["sources"] == []
