@@ -170,19 +170,25 @@ def coverage(own: Column, kept: Column) -> Column:
 def suppress(ranked: DataFrame, top: int = TOP) -> DataFrame:
     """The best passages without those that repeat a better one of the same book and pages.
 
-    ``ranked`` has q, id, text, score, book, page_start, page_end, at most a few dozen rows a
-    question; they are folded in order of score, as each is compared with what was kept.
+    ``ranked`` has q, id, text, score, book, page_start, page_end, leg, leg_rank, at most a few dozen
+    rows a question. What part of a passage a better one covers is found by joining the n-grams of
+    a question's passages; the fold over a question, as each passage is compared with those that
+    were kept, then sees numbers alone.
     """
-    rows = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("by"), "leg", "leg_rank", "id", "text", "score", "book", "page_start", "page_end", grams(T.tokens(F.col("text"))).alias("grams"))))
-    per = ranked.groupBy("q").agg(rows.alias("rows"))
-    kind = per.schema["rows"].dataType.simpleString()
-
-    def repeats(kept: Column, r: Column) -> Column:
-        same = lambda a: (a["book"] == r["book"]) & (a["page_start"] <= r["page_end"]) & (r["page_start"] <= a["page_end"]) & (coverage(r["grams"], a["grams"]) >= COVERAGE)
-        return F.coalesce(F.exists(kept, same), F.lit(False)) & (F.coalesce(r["book"], F.lit("")) != "")
-
-    kept = F.aggregate("rows", F.array().cast(kind), lambda acc, r: F.when(repeats(acc, r), acc).otherwise(F.concat(acc, F.array(r))))
-    return per.select("q", F.posexplode(F.slice(kept, 1, top)).alias("place", "r")).select("q", (F.col("place") + 1).alias("rank"), "r.id", "r.text", "r.score", "r.book", "r.page_start", "r.page_end")
+    order = Window.partitionBy("q").orderBy(F.desc("score"), "leg", "leg_rank", "id")
+    numbered = ranked.withColumn("n", F.row_number().over(order))
+    shared = numbered.where("book <> ''").select("q", "book", "n", "page_start", "page_end", grams(T.tokens(F.col("text"))).alias("grams"))
+    each = shared.select("q", "book", "n", "page_start", "page_end", F.size("grams").alias("size"), F.explode("grams").alias("gram"))
+    lower = each.groupBy("q", "book", "gram", "n", "page_start", "page_end", "size").agg(F.count("*").alias("times"))
+    better = lower.select("q", "book", "gram", F.col("n").alias("higher"), F.col("page_start").alias("from"), F.col("page_end").alias("to"))
+    met = lower.join(better, ["q", "book", "gram"]).where("higher < n AND from <= page_end AND page_start <= to")
+    covered = met.groupBy("q", "n", "higher", "size").agg(F.sum("times").alias("times")).where(F.col("times") / F.col("size") >= COVERAGE)
+    clashes = covered.groupBy("q", "n").agg(F.collect_list("higher").alias("clashes"))
+    rows = numbered.select("q", "n").join(clashes, ["q", "n"], "left").select("q", "n", F.coalesce("clashes", F.array().cast("array<int>")).alias("clashes"))
+    per = rows.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("n", "clashes"))).alias("rows"))
+    kept = F.aggregate("rows", F.array().cast("array<int>"), lambda acc, r: F.when(F.arrays_overlap(acc, r["clashes"]), acc).otherwise(F.concat(acc, F.array(r["n"]))))
+    places = per.select("q", F.posexplode(F.slice(kept, 1, top)).alias("place", "n"))
+    return places.join(numbered, ["q", "n"]).select("q", (F.col("place") + 1).alias("rank"), "id", "text", "score", "book", "page_start", "page_end")
 
 
 def gate(questions: DataFrame, ranked: DataFrame, fused: DataFrame, retries: Column | None = None) -> DataFrame:
