@@ -3,7 +3,9 @@
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,3 +77,29 @@ def test_empty(spark):
     docs = spark.createDataFrame([], SCHEMA)
     for made in (exact_dedup.drop_copies(docs), near_dedup.drop_near_copies(docs), language_id.keep_known(docs)):
         assert made.schema == docs.schema and made.count() == 0
+
+
+def test_recall_against_all_pairs(spark):
+    """Links between different texts of a corpus, against the alignment of all pairs."""
+    folder = Path("/root/testdata/sf0.01")
+    if not folder.exists():
+        pytest.skip("no test data")
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    texts = {}
+    for r in docs.collect():
+        texts.setdefault(tuple(near_dedup.words_of(r["text"] or "")), r["doc_id"])
+    words = [np.array(near_dedup.word_hashes(list(t), {}), dtype=np.uint32) for t in texts]
+    ids, lengths = list(texts.values()), np.array([len(w) for w in words])
+    bins = np.array([near_dedup._bins(w) for w in words])
+    classes = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(docs).collect()}
+    links = found = 0
+    for n in range(len(words)):
+        longer = np.maximum(lengths[n + 1 :], lengths[n])
+        apart = bins[n + 1 :] - bins[n]
+        least = np.maximum(np.maximum(apart, 0).sum(axis=1), np.maximum(-apart, 0).sum(axis=1))
+        for k in np.flatnonzero(least <= 0.2 * longer) + n + 1:
+            if lengths[n] and near_dedup.similar(words[n], words[k]):
+                links += 1
+                found += classes[ids[n]] == classes[ids[k]]
+    print(f"{found} of {links} links")
+    assert links > 30 and found >= 0.9 * links
