@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm import queries
 from corpusloom.llm.bpe import encode_digests
-from corpusloom.llm.common import shared_folder
+from corpusloom.llm.common import delete, shared_folder
 from corpusloom.llm.decontaminate import drop_leaks
 from corpusloom.llm.exact_dedup import drop_copies
 from corpusloom.llm.language_id import keep_known
@@ -58,10 +58,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over ``documents``; what is between them is kept in the shared folder."""
+    """The stages over ``documents``; what is between them goes through the shared folder.
+
+    What a stage wrote is deleted once the next has written; the last of them is read by the result.
+    """
     docs = queries.table(spark, sf_dir, "documents")
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder, read = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if read:
+            delete(spark, read)
+        read = f"{folder}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)
