@@ -3,13 +3,13 @@
 A text is put into a canonical form: lower case, copyright lines dropped, equivalent spellings
 made one, punctuation and white space reduced to single spaces. Its SHA-256 is then looked up
 among the digests of known licence texts and notices by a hash join. The units compared are
-entire texts: the document, each of its paragraphs and each of its lines. Built-in functions
-only; the same expressions make the digests of the known texts.
+entire texts: the document, each of its lines, and each run of as many paragraphs as a known
+text may have. Built-in functions only; the same expressions make the digests of the known texts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import require, text_or_empty
@@ -26,7 +26,6 @@ SPELLINGS = [
     ("authorisation", "authorization"),
     ("favour", "favor"),
     ("behaviour", "behavior"),
-    ("merchantability", "merchantability"),
     ("non-infringement", "noninfringement"),
     ("sub-license", "sublicense"),
     ("copyright holder", "copyright owner"),
@@ -77,6 +76,10 @@ KNOWN = [
 ]
 
 
+#: What stands between paragraphs, and the most paragraphs of a known text.
+BLANK_LINE = "\n[ \t]*\n"
+PARAGRAPHS = max(text.count("\n\n") + 1 for _, text in KNOWN)
+
 #: The digest of nothing, which no known text has.
 NOTHING = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
 
@@ -108,31 +111,44 @@ def known_digests(spark: SparkSession, known: list[tuple[str, str]] | None = Non
     return with_digest(listed, "text", "known").where(some).groupBy("known").agg(F.min("license").alias("license"))
 
 
-def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
+def _units(text: Column, paragraphs: int) -> Column:
+    """The lines of a text and its runs of one to some paragraphs, each once."""
+    single = F.split(text, BLANK_LINE)
+
+    def runs(n: int) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.size(single) - n + 1), lambda k: F.array_join(F.slice(single, k, n), "\n\n"))
+        return F.when(F.size(single) >= n, each).otherwise(F.array().cast("array<string>"))
+
+    return F.array_distinct(F.concat(F.split(text, "\n"), single, *[runs(n) for n in range(2, paragraphs + 1)]))
+
+
+def scan(docs: DataFrame, known: DataFrame | None = None, paragraphs: int = PARAGRAPHS) -> DataFrame:
     """doc_id, text_digest, license, n_notices and notices of every row.
 
     ``license`` is set where the entire text of the row is a known licence text;
-    ``n_notices`` counts the distinct known texts among its paragraphs and lines and
-    ``notices`` names their licences, sorted. ``known`` is a table (known, license) of
-    digests, the built-in catalogue unless given.
+    ``n_notices`` counts the distinct known texts among its lines and runs of up to ``paragraphs``
+    paragraphs, and ``notices`` names their licences, sorted. ``known`` is a table (known, license)
+    of digests, the built-in catalogue unless given; of several licences of a digest the first by
+    name counts.
 
     A null text counts as empty; a text of which nothing is left in canonical form has the
-    digest of the empty text and matches nothing. Notices are gathered by ``doc_id``, so rows that repeat one
-    share them; rows with a null ``doc_id`` have none of their own reported. Very long texts
-    are scanned whole, an empty table gives an empty result, other columns are not read.
+    digest of the empty text and matches nothing. Every row, also one with a null or repeated
+    ``doc_id``, has the notices of its own text. Very long texts are scanned whole, an empty table
+    gives an empty result, other columns are not read.
     """
     require(docs, ["doc_id", "text"])
     spark = docs.sparkSession
-    catalogue = known_digests(spark) if known is None else known
+    catalogue = known_digests(spark) if known is None else known.groupBy("known").agg(F.min("license").alias("license"))
     if known is None or known.limit(BROADCAST_TEXTS + 1).count() <= BROADCAST_TEXTS:
         catalogue = F.broadcast(catalogue)
     text = text_or_empty()
-    units = F.array_distinct(F.concat(F.split(text, "\n"), F.split(text, "\n[ \t]*\n")))
-    parts = with_digest(docs.select("doc_id", F.explode(units).alias("unit")), "unit", "known").select("doc_id", "known")
-    hits = parts.join(catalogue, "known").groupBy(F.col("doc_id").alias("hit_id")).agg(F.countDistinct("known").alias("n_notices"), F.array_join(F.array_sort(F.collect_set("license")), ",").alias("notices"))
-    whole = with_digest(docs.select("doc_id", text.alias("whole")), "whole", "text_digest").select("doc_id", "text_digest")
+    # Rows of one id and one text have the same notices.
+    own = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.xxhash64(text))
+    parts = with_digest(docs.select(own.alias("own"), F.explode(_units(text, paragraphs)).alias("unit")), "unit", "known").select("own", "known")
+    hits = parts.join(catalogue, "known").groupBy(F.col("own").alias("hit")).agg(F.countDistinct("known").alias("n_notices"), F.array_join(F.array_sort(F.collect_set("license")), ",").alias("notices"))
+    whole = with_digest(docs.select("doc_id", own.alias("own"), text.alias("whole")), "whole", "text_digest").select("doc_id", "own", "text_digest")
     whole = whole.join(catalogue.withColumnRenamed("known", "text_digest"), "text_digest", "left")
-    found = whole.join(hits, whole["doc_id"] == hits["hit_id"], "left")
+    found = whole.join(hits, whole["own"] == hits["hit"], "left")
     return found.select("doc_id", "text_digest", "license", F.coalesce("n_notices", F.lit(0)).cast("long").alias("n_notices"), F.coalesce("notices", F.lit("")).alias("notices"))
 
 
@@ -149,13 +165,15 @@ def duckdb_sql() -> str:
                 out = f"replace({out}, {quoted(one)}, {quoted(other)})"
         return f"trim(regexp_replace({out}, {quoted(PUNCTUATION)}, ' ', 'g'))"
 
+    single = "string_split_regex(coalesce(text, ''), '\\n[ \\t]*\\n')"
+    runs = "".join(f", list_transform(range(1, len({single}) - {n - 2}), lambda k: array_to_string({single}[k : k + {n - 1}], chr(10) || chr(10)))" for n in range(2, PARAGRAPHS + 1))
     values = ", ".join(f"({quoted(name)}, {quoted(text)})" for name, text in KNOWN)
     return f"""
 WITH known AS (SELECT sha256(form) AS known, min(license) AS license FROM (SELECT license, {canonical_sql('text')} AS form FROM (VALUES {values}) AS k(license, text)) WHERE form <> '' GROUP BY 1),
-units AS (SELECT DISTINCT doc_id, unnest(list_concat(string_split(coalesce(text, ''), chr(10)), string_split_regex(coalesce(text, ''), '\\n[ \\t]*\\n'))) AS unit FROM documents),
-forms AS (SELECT doc_id, {canonical_sql('unit')} AS form FROM units),
-hits AS (SELECT doc_id, count(DISTINCT known) AS n, array_to_string(list_sort(list(DISTINCT license)), ',') AS notices FROM forms JOIN known ON sha256(form) = known WHERE form <> '' GROUP BY doc_id),
-whole AS (SELECT doc_id, sha256(form) AS text_digest FROM (SELECT doc_id, {canonical_sql("coalesce(text, '')")} AS form FROM documents))
+units AS (SELECT DISTINCT own, unnest(list_concat(string_split(coalesce(text, ''), chr(10)), {single}{runs})) AS unit FROM (SELECT md5(coalesce(text, '')) AS own, text FROM documents)),
+forms AS (SELECT own, {canonical_sql('unit')} AS form FROM units),
+hits AS (SELECT own, count(DISTINCT known) AS n, array_to_string(list_sort(list(DISTINCT license)), ',') AS notices FROM forms JOIN known ON sha256(form) = known WHERE form <> '' GROUP BY own),
+whole AS (SELECT doc_id, own, sha256(form) AS text_digest FROM (SELECT doc_id, md5(coalesce(text, '')) AS own, {canonical_sql("coalesce(text, '')")} AS form FROM documents))
 SELECT w.doc_id, w.text_digest, k.license, coalesce(h.n, 0) AS n_notices, coalesce(h.notices, '') AS notices
-FROM whole w LEFT JOIN known k ON w.text_digest = k.known LEFT JOIN hits h ON h.doc_id = w.doc_id
+FROM whole w LEFT JOIN known k ON w.text_digest = k.known LEFT JOIN hits h ON h.own = w.own
 """

@@ -472,16 +472,26 @@ def test_license_scan(spark):
     assert {found[n]["text_digest"] for n in (5, 6, 7)} == {license_scan.NOTHING} and found[5]["license"] is None
 
 
+def test_licences_inside_texts(spark):
+    mit, isc = license_scan.KNOWN[24][1], license_scan.KNOWN[25][1]
+    texts = [f"Title\n\n{mit}\n\nThe end", f"{isc.upper()}\n \n{mit}", mit.split("\n\n")[0], f"Title\n\n{mit.replace('notice and', 'notice or')}"]
+    docs = spark.createDataFrame([(None, t) for t in texts] + [(1, texts[0])], "doc_id long, text string")
+    found = sorted((r["notices"], r["n_notices"]) for r in license_scan.scan(docs).collect())
+    assert found == [("", 0), ("", 0), ("ISC,MIT", 2), ("MIT", 1), ("MIT", 1)]
+    digest = license_scan.known_digests(spark, [("A", "some words")])
+    assert [r["license"] for r in license_scan.scan(spark.createDataFrame([(1, "Some words!")], "doc_id long, text string"), digest.unionByName(digest)).collect()] == ["A"]
+
+
 def test_license_scan_is_the_sql(spark, tmp_path):
     import duckdb
 
     rng = random.Random(1)
-    lines = [text for _, text in license_scan.KNOWN[:20]]
-    texts = ["\n".join(rng.choice([*lines, "plain text", "© 2001 me", ""]) for _ in range(4)) for _ in range(60)] + [None, ""]
-    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "d"))
+    lines = [text for _, text in license_scan.KNOWN]
+    texts = ["\n".join(rng.choice([*lines, "plain text", "© 2001 me", ""]) for _ in range(9)) for _ in range(90)] + [None, ""]
+    spark.createDataFrame([*enumerate(texts), *((None, t) for t in texts[:9]), *((3, t) for t in texts[:4])], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "d"))
     own = duckdb.connect()
     own.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d/*.parquet'")
-    assert sorted(own.execute(license_scan.duckdb_sql()).fetchall()) == sorted(tuple(r) for r in license_scan.scan(spark.read.parquet(str(tmp_path / "d"))).collect())
+    assert sorted(map(str, own.execute(license_scan.duckdb_sql()).fetchall())) == sorted(str(tuple(r)) for r in license_scan.scan(spark.read.parquet(str(tmp_path / "d"))).collect())
 
 
 def test_language_id(spark):
