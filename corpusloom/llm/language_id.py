@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
@@ -114,16 +115,20 @@ def document_evidence(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").alias("id"), text_or_empty().alias("text"), F.lit("").alias("declared"), host.cast("string").alias("host"))
 
 
-def _with_likelihoods(rows: DataFrame, model: TextModel) -> DataFrame:
-    """``rows`` with ``text_log``, the log likelihoods of the binary column ``text``, in its place."""
-    at = rows.columns.index("text")
+def _with_likelihoods(rows: DataFrame, model: TextModel, field: int | None = None) -> DataFrame:
+    """``rows`` with ``text_log``, the log likelihoods of the binary column ``text``, in its place.
+
+    With ``field`` the text is that field of the struct column ``all``, which stays; null is empty.
+    """
+    at = rows.columns.index("text" if field is None else "all")
     kept = [c for c in rows.columns if c != "text"]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [model.likelihoods(t.as_buffer().to_pybytes()) for t in batch.column(at)]
+            texts = batch.column(at) if field is None else pc.struct_field(batch.column(at), [field])
+            own = [model.likelihoods(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in texts]
             own = [(x - x.max()).tolist() for x in own]
-            others = [batch.column(n) for n in range(batch.num_columns) if n != at]
+            others = [batch.column(n) for n in range(batch.num_columns) if n != at or field is not None]
             yield pa.RecordBatch.from_arrays([*others, pa.array(own, pa.list_(pa.float64()))], names=[*kept, "text_log"])
 
     return rows.mapInArrow(of, StructType([*[rows.schema[c] for c in kept], StructField("text_log", ArrayType(DoubleType()))]))
@@ -250,6 +255,7 @@ def keep_known(docs: DataFrame) -> DataFrame:
     forget(scored)
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     host = F.col("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")
-    rows = docs.select(whole.alias("all"), F.lit("").alias("declared"), host.alias("host"), text_or_empty().cast("binary").alias("text"))
-    kept = judge(_with_likelihoods(rows, model), known, F.xxhash64("all.doc_id", "text_log")).where("kept").select("all.*")
+    # The text goes to the tasks within the row alone, not a second time beside it.
+    rows = docs.select(whole.alias("all"), F.lit("").alias("declared"), host.alias("host"))
+    kept = judge(_with_likelihoods(rows, model, docs.columns.index("text")), known, F.xxhash64("all.doc_id", "text_log")).where("kept").select("all.*")
     return kept.to(docs.schema)
