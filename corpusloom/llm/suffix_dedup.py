@@ -8,7 +8,9 @@ No task sorts the suffixes of the corpus, only those that can have an equal else
 50-byte string is dealt by its *anchor*, the smallest by hash of its 24-byte substrings, so
 equal strings meet; and blocks of documents first ask which of their anchors occur in another
 document at all. For the others nothing is sent. Neighbouring strings with one anchor travel
-as one *context*. Sorting goes in two steps: contexts that equal a context of a smaller
+as one *context*; where an anchor has very many contexts, each of its strings travels alone and
+is dealt by all of its bytes, so that a hot anchor is shared out among all tasks and a block
+sends a string once. Sorting goes in two steps: contexts that equal a context of a smaller
 document, as in the inside of a long repeat, are settled first (their strings all start in
 that document, so whatever else equals them equals the smaller document's too); then every
 50-byte suffix of what is left, where the anchor has more than one document left, is sorted.
@@ -32,6 +34,10 @@ LENGTH = 50
 ANCHOR = 24
 SHALLOW = 24
 WINDOW = LENGTH - ANCHOR + 1
+#: Contexts after which the strings of an anchor are dealt one by one. A block reports up to
+#: ``MOST`` of its contexts of an anchor, so others have contexts of few blocks or few contexts.
+HOT_CONTEXTS = 4096
+MOST = 127
 #: Strings whose anchors are computed at once.
 CHUNK = 1 << 22
 #: Bits of an anchor's hash; the rest of the word holds its position.
@@ -48,10 +54,10 @@ def _words_at(buffer: np.ndarray) -> np.ndarray:
     return np.ndarray((len(buffer) - 7,), ">u8", buffer.data, 0, (1,))
 
 
-def _hash(words: np.ndarray, at: slice | np.ndarray, size: int) -> np.ndarray:
-    """A hash of the ``ANCHOR`` bytes at some positions."""
+def _hash(words: np.ndarray, at: slice | np.ndarray, size: int, length: int = ANCHOR) -> np.ndarray:
+    """A hash of the ``length`` bytes at some positions, a multiple of 8."""
     total = np.zeros(size, dtype=np.uint64)
-    for n in range(0, ANCHOR, 8):
+    for n in range(0, length, 8):
         own = words[at.start + n : at.stop + n] if isinstance(at, slice) else words[at + n]
         total += own.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15 + 2 * 0x632BE59BD9B4E019 * n & 0xFFFFFFFFFFFFFFFF | 1)
     total = (total ^ (total >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -228,7 +234,7 @@ def _laid_out(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _asked(table: pa.Table, n: int) -> tuple[tuple, np.ndarray, np.ndarray, np.ndarray]:
-    """The anchors of a block; its distinct hashes by bucket, with how many documents (up to 2) have each."""
+    """The anchors of a block; its distinct hashes by bucket, with the contexts of each (up to ``MOST``), twice that and one if several documents have it."""
     buffer, bounds, ids = _laid_out(table)
     made = anchors(buffer, bounds)
     hashed, owner = made[0], ids[made[1]]
@@ -237,44 +243,47 @@ def _asked(table: pa.Table, n: int) -> tuple[tuple, np.ndarray, np.ndarray, np.n
     edges = np.flatnonzero(new)
     distinct = hashed[by][edges]
     several = np.maximum.reduceat(owner[by], edges) != np.minimum.reduceat(owner[by], edges) if len(edges) else new
+    seen = (np.minimum(np.diff(np.append(edges, len(by))), MOST) * 2 + several).astype(np.uint8)
     bucket = (distinct % np.uint64(n)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
-    return (buffer, bounds, ids, made), distinct[order], bucket[order], several[order]
+    return (buffer, bounds, ids, made), distinct[order], bucket[order], seen[order]
 
 
 def _questions(table: pa.Table, n: int) -> Iterator[tuple[int, bytes, bytes]]:
-    _, distinct, bucket, several = _asked(table, n)
+    _, distinct, bucket, seen = _asked(table, n)
     edges = np.append(np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])), len(bucket)) if len(bucket) else []
     for low, high in zip(edges, edges[1:]):
         own = distinct[low:high]
         steps = np.diff(own, prepend=np.uint64(0))
         small = steps.max() < 1 << 32
         data = steps.astype(np.uint32 if small else np.uint64).tobytes()
-        yield int(bucket[low]), bytes([int(small)]) + data, n.to_bytes(4, "big") + np.packbits(several[low:high]).tobytes()
+        yield int(bucket[low]), bytes([int(small)]) + data, n.to_bytes(4, "big") + seen[low:high].tobytes()
 
 
-def _elsewhere(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A bit for each anchor asked about: whether more than one document has it."""
+def _elsewhere(batches: Iterator[pa.RecordBatch], hot_contexts: int) -> Iterator[pa.RecordBatch]:
+    """For each anchor asked about 1 if more than one document has it, 2 if it has very many contexts besides, else 0."""
     rows = []
     for batch in batches:
         rows += zip(*[c.to_pylist() for c in batch.columns])
     if not rows:
         return
-    hashes, weights = [], []
+    hashes, seen = [], []
     for _, _, asked, given in rows:
         asked, given = B.unsqueeze(asked), B.unsqueeze(given)
         own = np.cumsum(np.frombuffer(asked[1:], np.uint32 if asked[0] else np.uint64).astype(np.uint64))
         hashes.append(own)
-        weights.append(np.unpackbits(np.frombuffer(given[4:], np.uint8))[: len(own)] + np.uint8(1))
-    flat, weight = np.concatenate(hashes), np.concatenate(weights)
+        seen.append(np.frombuffer(given[4:], np.uint8))
+    flat, given = np.concatenate(hashes), np.concatenate(seen)
     by = np.argsort(flat, kind="stable")
     new = np.concatenate([[True], flat[by][1:] != flat[by][:-1]])
-    total = np.add.reduceat(weight[by].astype(np.int64), np.flatnonzero(new))
-    many = np.empty(len(flat), dtype=bool)
-    many[by] = (total > 1)[np.cumsum(new) - 1]
+    edges, given = np.flatnonzero(new), given[by].astype(np.int64)
+    many = np.add.reduceat((given & 1) + 1, edges) > 1
+    hot = many & (np.add.reduceat(given >> 1, edges) > hot_contexts)
+    said = np.empty(len(flat), dtype=np.uint8)
+    said[by] = (many.astype(np.uint8) + hot)[np.cumsum(new) - 1]
     at = 0
     for (block, bucket, _, given), own in zip(rows, hashes):
-        answer = B.unsqueeze(given)[:4] + np.packbits(many[at : at + len(own)]).tobytes()
+        answer = B.unsqueeze(given)[:4] + said[at : at + len(own)].tobytes()
         at += len(own)
         yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([bucket], pa.int32()), pa.array([B.squeeze(answer)], pa.binary())], schema=B.ANSWER_SCHEMA)
 
@@ -283,6 +292,13 @@ _CONTEXT = np.dtype([("doc", "<i8"), ("at", "<u4"), ("count", "u1"), ("shift", "
 _RUN = np.dtype([("at", "<u8"), ("count", "<u4")])
 
 
+def _among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which of ``values`` are in ``ordered``."""
+    if not len(ordered):
+        return np.zeros(len(values), dtype=bool)
+    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
+
+
 def _contexts(block: int, table: pa.Table, answers: list[tuple[int, bytes]]) -> pa.Table:
     """The contexts of a block whose anchor another document has, by bucket; what the block settles itself under -1."""
     schema = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("asked", pa.binary()), ("given", pa.binary())])
@@ -290,19 +306,32 @@ def _contexts(block: int, table: pa.Table, answers: list[tuple[int, bytes]]) ->
         return schema.empty_table()
     n = int.from_bytes(answers[0][1][:4], "big")
     (buffer, bounds, ids, made), distinct, bucket, _ = _asked(table, n)
-    many = np.zeros(len(distinct), dtype=bool)
+    said = np.zeros(len(distinct), dtype=np.uint8)
     for own, answer in answers:
         low, high = np.searchsorted(bucket, [own, own + 1])
-        many[low:high] = np.unpackbits(np.frombuffer(answer[4:], np.uint8))[: high - low]
-    wanted = np.sort(distinct[many])
+        said[low:high] = np.frombuffer(answer[4:], np.uint8)
     hashed, doc, start, count, place = made
-    if not len(wanted):
+    if not said.any():
         return schema.empty_table()
-    keep = wanted[np.minimum(np.searchsorted(wanted, hashed), len(wanted) - 1)] == hashed
+    wanted, hottest = np.sort(distinct[said > 0]), np.sort(distinct[said > 1])
+    keep = _among(hashed, wanted)
     hashed, doc, start, count, place = hashed[keep], ids[doc[keep]], start[keep], count[keep], place[keep]
     done = settled(buffer, start, count, doc)
-    rows = [(block, -1, B.squeeze(np.rec.fromarrays([start[done], count[done]], dtype=_RUN).tobytes()), b"")]
+    here = [np.rec.fromarrays([start[done], count[done]], dtype=_RUN)]
     hashed, doc, start, count, shift = hashed[~done], doc[~done], start[~done], count[~done], (place - start)[~done]
+    hot = _among(hashed, hottest)
+    if hot.any():
+        reach = count[hot]
+        offset = np.arange(reach.sum()) - np.repeat(np.cumsum(reach) - reach, reach)
+        doc_of, at, shift_of = np.repeat(doc[hot], reach), np.repeat(start[hot], reach) + offset, np.repeat(shift[hot], reach) - offset
+        ones = np.ones(len(at), dtype=np.int64)
+        done = settled(buffer, at, ones, doc_of)
+        here.append(np.rec.fromarrays([at[done], ones[done]], dtype=_RUN))
+        # The last eight bytes overlap those before, so that whole words cover the string.
+        words, at, doc_of, shift_of, ones = _words_at(buffer), at[~done], doc_of[~done], shift_of[~done], ones[~done]
+        whole = _hash(words, at, len(at), LENGTH // 8 * 8) + words[at + LENGTH - 8].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        hashed, doc, start, count, shift = (np.concatenate([x[~hot], y]) for x, y in zip((hashed, doc, start, count, shift), (whole ^ (whole >> np.uint64(32)), doc_of, at, ones, shift_of)))
+    rows = [(block, -1, B.squeeze(np.concatenate(here).tobytes()), b"")]
     to = (hashed % np.uint64(n)).astype(np.int64)
     by = np.argsort(to, kind="stable")
     edges = np.append(np.flatnonzero(np.concatenate([[True], to[by][1:] != to[by][:-1]])), len(by)) if len(by) else []
@@ -382,27 +411,28 @@ def _kept(table: pa.Table, answers: list[tuple[int, bytes]]) -> pa.Table:
     return pa.table({"doc_id": table.column("doc_id"), "text": pa.array(texts, pa.binary())})
 
 
-def _resolved(docs: DataFrame, of_block, schema: str, block_bytes: int) -> DataFrame:
+def _resolved(docs: DataFrame, of_block, schema: str, block_bytes: int, hot_contexts: int) -> DataFrame:
     require(docs, ["doc_id", "text"])
     blocks = B.pack(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("text")), block_bytes=block_bytes)
-    elsewhere = B.ask(blocks, _questions).mapInArrow(_elsewhere, B.ANSWERS)
+    elsewhere = B.ask(blocks, _questions).mapInArrow(lambda batches: _elsewhere(batches, hot_contexts), B.ANSWERS)
     contexts = B.resolve(blocks, elsewhere, _contexts, B.QUESTIONS, numbered=True)
     own = F.when(F.col("bucket") < 0, F.concat(F.lit("b"), F.col("block").cast("string"))).otherwise(F.col("bucket").cast("string"))
     runs = contexts.withColumn("to", own).repartition(partitions(docs.sparkSession), "to").drop("to").mapInArrow(_sorted, B.ANSWERS)
     return B.resolve(blocks, runs, of_block, schema)
 
 
-def repeated_spans(docs: DataFrame, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
+def repeated_spans(docs: DataFrame, block_bytes: int = B.BLOCK_BYTES, hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row.
 
     Texts are bytes in UTF-8 and matches never cross documents. A null text counts as empty;
     texts of fewer than 50 bytes lose nothing; a null ``doc_id`` counts as larger than any
-    other; rows of one ``doc_id`` do not remove anything from one another. An empty table
+    other; rows of one ``doc_id`` do not remove anything from one another. Where a 24-byte anchor
+    has more than ``hot_contexts`` contexts its strings are dealt one by one, with the same result. Texts may be very long. An empty table
     gives an empty result, and columns other than doc_id and text are not read.
     """
-    return _resolved(docs, _spans, SPANS, block_bytes)
+    return _resolved(docs, _spans, SPANS, block_bytes, hot_contexts)
 
 
-def remove_repeats(docs: DataFrame, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, block_bytes: int = B.BLOCK_BYTES, hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
     """doc_id and the bytes that stay of every row; cases as in ``repeated_spans``."""
-    return _resolved(docs, _kept, KEPT, block_bytes)
+    return _resolved(docs, _kept, KEPT, block_bytes, hot_contexts)

@@ -139,9 +139,20 @@ def brute_spans(rows):
     return out
 
 
+@pytest.mark.parametrize("hot_contexts", [suffix_dedup.HOT_CONTEXTS, 3, 0])
 @pytest.mark.parametrize("block_bytes", [blocks.BLOCK_BYTES, 900])
-def test_suffix_dedup(docs, rows, block_bytes):
-    assert Counter(tuple(r) for r in suffix_dedup.repeated_spans(docs, block_bytes).collect()) == brute_spans(rows)
+def test_suffix_dedup(docs, rows, block_bytes, hot_contexts):
+    assert Counter(tuple(r) for r in suffix_dedup.repeated_spans(docs, block_bytes, hot_contexts).collect()) == brute_spans(rows)
+
+
+def test_suffix_dedup_deals_hot_anchors(spark):
+    phrase = "the very same phrase of the whole corpus"
+    rows = [(n, f"{n * 7919 % 1000:05d} {n % 11} words before {phrase} words after {n % 7} {n * 104729 % 1000:05d}") for n in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = brute_spans(rows)
+    assert sum(n for _, _, n, _, _ in expected.elements()) > 10000
+    for hot in (5, suffix_dedup.HOT_CONTEXTS):
+        assert Counter(tuple(r) for r in suffix_dedup.repeated_spans(docs, 2000, hot).collect()) == expected
 
 
 def test_kept_bytes_match_their_digest(docs):
