@@ -34,10 +34,12 @@ LENGTH = 50
 ANCHOR = 24
 SHALLOW = 24
 WINDOW = LENGTH - ANCHOR + 1
-#: Contexts after which the strings of an anchor are dealt one by one. A block reports up to
-#: ``MOST`` of its contexts of an anchor, so others have contexts of few blocks or few contexts.
-HOT_CONTEXTS = 4096
-MOST = 127
+#: Contexts after which the strings of an anchor are dealt one by one: as many contexts as a task
+#: sorts in some 100 MB. A block reports up to ``MOST`` of its contexts of an anchor.
+HOT_CONTEXTS = 1 << 16
+MOST = (1 << 15) - 1
+#: Strings of hot anchors that a block compares with one another at once.
+HOT_STRINGS = 1 << 18
 #: Strings whose anchors are computed at once.
 CHUNK = 1 << 22
 #: Bits of an anchor's hash; the rest of the word holds its position.
@@ -243,7 +245,7 @@ def _asked(table: pa.Table, n: int) -> tuple[tuple, np.ndarray, np.ndarray, np.n
     edges = np.flatnonzero(new)
     distinct = hashed[by][edges]
     several = np.maximum.reduceat(owner[by], edges) != np.minimum.reduceat(owner[by], edges) if len(edges) else new
-    seen = (np.minimum(np.diff(np.append(edges, len(by))), MOST) * 2 + several).astype(np.uint8)
+    seen = (np.minimum(np.diff(np.append(edges, len(by))), MOST) * 2 + several).astype(np.uint16)
     bucket = (distinct % np.uint64(n)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     return (buffer, bounds, ids, made), distinct[order], bucket[order], seen[order]
@@ -272,7 +274,7 @@ def _elsewhere(batches: Iterator[pa.RecordBatch], hot_contexts: int) -> Iterator
         asked, given = B.unsqueeze(asked), B.unsqueeze(given)
         own = np.cumsum(np.frombuffer(asked[1:], np.uint32 if asked[0] else np.uint64).astype(np.uint64))
         hashes.append(own)
-        seen.append(np.frombuffer(given[4:], np.uint8))
+        seen.append(np.frombuffer(given[4:], np.uint16))
     flat, given = np.concatenate(hashes), np.concatenate(seen)
     by = np.argsort(flat, kind="stable")
     new = np.concatenate([[True], flat[by][1:] != flat[by][:-1]])
@@ -299,6 +301,28 @@ def _among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
 
 
+def _alone(buffer: np.ndarray, starts: np.ndarray, counts: np.ndarray, docs: np.ndarray, shifts: np.ndarray) -> tuple[tuple, np.ndarray]:
+    """((hash, document, start, 1, shift) of the strings of some contexts, runs of those that a smaller document of the block has)."""
+    words, owner = _words_at(buffer), np.repeat(np.arange(len(starts), dtype=np.int32), counts)
+    offset = (np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)).astype(np.uint8)
+    whole = np.empty(len(owner), dtype=np.uint64)
+    for low in range(0, len(owner), HOT_STRINGS):
+        at = starts[owner[low : low + HOT_STRINGS]] + offset[low : low + HOT_STRINGS]
+        # The last eight bytes overlap those before, so that whole words cover the string.
+        own = _hash(words, at, len(at), LENGTH // 8 * 8) + words[at + LENGTH - 8].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        whole[low : low + HOT_STRINGS] = own ^ (own >> np.uint64(32))
+    parts = len(owner) // HOT_STRINGS + 1
+    gone = np.zeros(len(owner), dtype=bool)
+    for part in range(parts):
+        own = np.flatnonzero(whole % np.uint64(parts) == part)
+        at = starts[owner[own]] + offset[own]
+        gone[own] = settled(buffer, at, np.ones(len(own), dtype=np.int64), docs[owner[own]])
+    at, left = starts[owner] + offset, ~gone
+    owner = owner[left]
+    single = (whole[left], docs[owner], at[left], np.ones(len(owner), dtype=np.int64), shifts[owner] - offset[left])
+    return single, np.rec.fromarrays([at[gone], np.ones(int(gone.sum()), dtype=np.int64)], dtype=_RUN)
+
+
 def _contexts(block: int, table: pa.Table, answers: list[tuple[int, bytes]]) -> pa.Table:
     """The contexts of a block whose anchor another document has, by bucket; what the block settles itself under -1."""
     schema = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("asked", pa.binary()), ("given", pa.binary())])
@@ -321,16 +345,9 @@ def _contexts(block: int, table: pa.Table, answers: list[tuple[int, bytes]]) ->
     hashed, doc, start, count, shift = hashed[~done], doc[~done], start[~done], count[~done], (place - start)[~done]
     hot = _among(hashed, hottest)
     if hot.any():
-        reach = count[hot]
-        offset = np.arange(reach.sum()) - np.repeat(np.cumsum(reach) - reach, reach)
-        doc_of, at, shift_of = np.repeat(doc[hot], reach), np.repeat(start[hot], reach) + offset, np.repeat(shift[hot], reach) - offset
-        ones = np.ones(len(at), dtype=np.int64)
-        done = settled(buffer, at, ones, doc_of)
-        here.append(np.rec.fromarrays([at[done], ones[done]], dtype=_RUN))
-        # The last eight bytes overlap those before, so that whole words cover the string.
-        words, at, doc_of, shift_of, ones = _words_at(buffer), at[~done], doc_of[~done], shift_of[~done], ones[~done]
-        whole = _hash(words, at, len(at), LENGTH // 8 * 8) + words[at + LENGTH - 8].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-        hashed, doc, start, count, shift = (np.concatenate([x[~hot], y]) for x, y in zip((hashed, doc, start, count, shift), (whole ^ (whole >> np.uint64(32)), doc_of, at, ones, shift_of)))
+        single, runs = _alone(buffer, start[hot], count[hot], doc[hot], shift[hot])
+        here.append(runs)
+        hashed, doc, start, count, shift = (np.concatenate([x[~hot], y]) for x, y in zip((hashed, doc, start, count, shift), single))
     rows = [(block, -1, B.squeeze(np.concatenate(here).tobytes()), b"")]
     to = (hashed % np.uint64(n)).astype(np.int64)
     by = np.argsort(to, kind="stable")
