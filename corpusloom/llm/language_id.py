@@ -18,10 +18,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import ArrayType, DoubleType
 
 from corpusloom.llm.common import checkpoint, forget, join_hot, require, text_or_empty
 
@@ -35,6 +35,8 @@ DRAW_FROM = 20
 #: Hashed byte trigrams, and the pseudo-count of each.
 BUCKETS = 1 << 15
 PSEUDO = 0.05
+#: Bytes of a text that are looked at once, so that a long text takes no more memory than this.
+PIECE = 1 << 18
 #: Overlapping trigrams are not independent: what one is worth as evidence.
 TEMPER = 0.3
 #: Pseudo-rows that a host has from its domain and a domain from the corpus.
@@ -52,16 +54,29 @@ class TextModel:
     logs: np.ndarray
 
     def likelihoods(self, text: bytes) -> np.ndarray:
-        grams = trigrams(text)
-        return TEMPER * self.logs[:, grams].sum(axis=1, dtype=np.float64) if len(grams) else np.zeros(len(self.languages))
-
-
-def trigrams(text: bytes) -> np.ndarray:
-    """Hashed trigrams of the letters of a text; ASCII digits and punctuation are left out."""
-    own = np.frombuffer(b" " + b" ".join(text.lower().translate(_LETTERS).split()) + b" ", dtype=np.uint8).astype(np.int64)
-    if len(own) < 3:
-        return np.zeros(0, dtype=np.int64)
-    return ((own[:-2] * 65599 + own[1:-1]) * 65599 + own[2:]) % 1_000_003 % BUCKETS
+        total = np.zeros(len(self.languages))
+        for grams in trigrams(text):
+            if len(grams) < BUCKETS:
+                total += self.logs[:, grams].sum(axis=1, dtype=np.float64)
+            else:
+                total += self.logs @ np.bincount(grams, minlength=BUCKETS).astype(np.float64)
+        return TEMPER * total
+
+
+def trigrams(text: bytes) -> Iterator[np.ndarray]:
+    """Hashed trigrams of the letters of a text, a piece at a time; ASCII digits and punctuation are left out."""
+    # One space stands before, after and between words; two bytes go over from piece to piece.
+    held = np.array([32], dtype=np.int64)
+    for low in range(0, len(text), PIECE):
+        own = np.frombuffer(text[low : low + PIECE].lower().translate(_LETTERS), dtype=np.uint8)
+        letter = own != 32
+        before = np.concatenate([[held[-1] != 32], letter[:-1]])
+        own = np.concatenate([held, own[letter | before].astype(np.int64)])
+        if len(own) > 2:
+            yield ((own[:-2] * 65599 + own[1:-1]) * 65599 + own[2:]) % 1_000_003 % BUCKETS
+        held = own[-2:]
+    if held[-1] != 32 and len(held) == 2:
+        yield ((held[:1] * 65599 + held[1:]) * 65599 + 32) % 1_000_003 % BUCKETS
 
 
 _LETTERS = bytes(n if n >= 128 or chr(n).isalpha() else 32 for n in range(256))
@@ -93,7 +108,8 @@ def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, n_bytes: int = SAMPLE_BYTES) -
     # At most ``rows`` keys a language are broadcast, and one text comes back for each.
     texts = own.join(F.broadcast(drawn), ["lang", "key"], "left_semi").groupBy("lang", "key").agg(F.min("text").alias("text"))
     for r in texts.toLocalIterator():
-        counts[number[r["lang"]]] += np.bincount(trigrams(r["text"].encode()), minlength=BUCKETS)
+        for grams in trigrams(r["text"].encode()):
+            counts[number[r["lang"]]] += np.bincount(grams, minlength=BUCKETS)
     logs = np.log(counts / counts.sum(axis=1, keepdims=True))
     logs[-1] = -math.log(BUCKETS)
     return TextModel((*languages, UND), logs.astype(np.float32))
@@ -115,23 +131,16 @@ def document_evidence(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").alias("id"), text_or_empty().alias("text"), F.lit("").alias("declared"), host.cast("string").alias("host"))
 
 
-def _with_likelihoods(rows: DataFrame, model: TextModel, field: int | None = None) -> DataFrame:
-    """``rows`` with ``text_log``, the log likelihoods of the binary column ``text``, in its place.
-
-    With ``field`` the text is that field of the struct column ``all``, which stays; null is empty.
-    """
-    at = rows.columns.index("text" if field is None else "all")
-    kept = [c for c in rows.columns if c != "text"]
+def _text_log(model: TextModel, text: Column) -> Column:
+    """The log likelihoods of a text by language, the best of them 0; only the text goes to Python. Null is empty."""
 
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(at) if field is None else pc.struct_field(batch.column(at), [field])
+    def of(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in parts:
             own = [model.likelihoods(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in texts]
-            own = [(x - x.max()).tolist() for x in own]
-            others = [batch.column(n) for n in range(batch.num_columns) if n != at or field is not None]
-            yield pa.RecordBatch.from_arrays([*others, pa.array(own, pa.list_(pa.float64()))], names=[*kept, "text_log"])
+            yield pa.array([(x - x.max()).tolist() for x in own], pa.list_(pa.float64()))
 
-    return rows.mapInArrow(of, StructType([*[rows.schema[c] for c in kept], StructField("text_log", ArrayType(DoubleType()))]))
+    # Said not to be deterministic so that no plan scores a text twice.
+    return arrow_udf(of, ArrayType(DoubleType())).asNondeterministic()(text.cast("binary"))
 
 
 def _softmax(logs: Column) -> Column:
@@ -140,8 +149,8 @@ def _softmax(logs: Column) -> Column:
     return F.transform(powers, lambda x: x / F.aggregate(powers, F.lit(0.0), lambda a, b: a + b))
 
 
-def _evidence(rows: DataFrame) -> DataFrame:
-    return rows.select("kind", F.col("id").cast("long").alias("id"), "declared", "host", text_or_empty().cast("binary").alias("text"))
+def _scored(evidence: DataFrame, model: TextModel) -> DataFrame:
+    return evidence.select("kind", F.col("id").cast("long").alias("id"), "declared", "host", _text_log(model, F.col("text")).alias("text_log"))
 
 
 def _own(model: TextModel) -> Column:
@@ -228,7 +237,7 @@ def fuse(evidence: DataFrame, model: TextModel) -> DataFrame:
     null id is no obstacle; texts are read whole, however long; an empty table gives an empty
     result; further columns, whatever their names, are not read.
     """
-    scored = checkpoint(_with_likelihoods(_evidence(evidence), model).withColumn("row", F.monotonically_increasing_id()))
+    scored = checkpoint(_scored(evidence, model).withColumn("row", F.monotonically_increasing_id()))
     return judge(scored, context(scored, model), F.col("row")).drop("row")
 
 
@@ -250,12 +259,11 @@ def keep_known(docs: DataFrame) -> DataFrame:
     make no difference; other cases as in ``fuse``.
     """
     model = fit(docs)
-    scored = checkpoint(_with_likelihoods(_evidence(document_evidence(docs).withColumn("kind", F.lit("document"))), model))
+    scored = checkpoint(_scored(document_evidence(docs).withColumn("kind", F.lit("document")), model))
     known = context(scored, model)
     forget(scored)
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     host = F.col("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")
-    # The text goes to the tasks within the row alone, not a second time beside it.
-    rows = docs.select(whole.alias("all"), F.lit("").alias("declared"), host.alias("host"))
-    kept = judge(_with_likelihoods(rows, model, docs.columns.index("text")), known, F.xxhash64("all.doc_id", "text_log")).where("kept").select("all.*")
+    rows = docs.select(whole.alias("all"), F.lit("").alias("declared"), host.alias("host"), _text_log(model, F.col("text")).alias("text_log"))
+    kept = judge(rows, known, F.xxhash64("all.doc_id", "text_log")).where("kept").select("all.*")
     return kept.to(docs.schema)
