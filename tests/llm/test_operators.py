@@ -160,6 +160,22 @@ def test_kept_bytes_match_their_digest(docs):
     assert kept == Counter(r["kept_sha256"] for r in suffix_dedup.repeated_spans(docs).collect())
 
 
+def test_strings_of_a_hot_anchor_are_spread():
+    import pyarrow as pa
+
+    phrase = "the very same phrase of the whole corpus"
+    texts = [f"{n * 7919 % 1000:05d} {phrase} {n * 104729 % 1000:05d}".encode() for n in range(200)]
+    table, parts = pa.table({"doc_id": list(range(200)), "text": pa.array(texts, pa.binary())}), 16
+    asked = list(suffix_dedup._questions(table, parts))
+    largest = []
+    for said in (1, 2):  # every anchor is known elsewhere; and is hot besides
+        answers = [(bucket, given[:4] + bytes([said]) * ((len(given) - 4) // 2)) for bucket, _, given in asked]
+        sent = [r for r in suffix_dedup._contexts(0, table, answers).to_pylist() if r["bucket"] >= 0]
+        sizes = [len(blocks.unsqueeze(r["given"])) // suffix_dedup._CONTEXT.itemsize for r in sent]
+        largest.append((max(sizes) / sum(sizes), len(sizes)))
+    assert largest[0][0] > 0.2 > 2 * largest[1][0] and largest[1][1] == parts, largest
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.binary(min_size=50, max_size=70).map(lambda b: bytes(x % 2 + 97 for x in b)), min_size=1, max_size=12))
 def test_deep_shallow_sorts(parts):
