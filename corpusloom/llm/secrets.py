@@ -43,7 +43,7 @@ _ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9]+ )?PRIVATE KEY-----((?:\s*[A-Za-z-]+
 _TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
 _RUN64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}={0,2}")
 _RUN16 = re.compile(r"(?<![0-9a-fA-F])[0-9a-fA-F]{32,}")
-#: Bytes of a signature by algorithm: exactly so many, or at least (a negative number).
+#: Bytes of a signature by algorithm: exactly so many, or at least (a negative number) and in whole units of 64, as RSA keys are.
 SIGNATURES = {
     "HS256": 32, "HS384": 48, "HS512": 64, "ES256": 64, "ES384": 96, "ES512": 132, "EdDSA": 64,
     "RS256": -128, "RS384": -128, "RS512": -128, "PS256": -128, "PS384": -128, "PS512": -128,
@@ -182,7 +182,7 @@ def token_algorithm(header: str, payload: str, signature: str) -> str | None:
     signed = decode64(signature) if signature else None
     if size is None or signed is None:
         return None
-    return name if len(signed) == size or (size < 0 and len(signed) >= -size) else None
+    return name if len(signed) == size or (size < 0 and len(signed) >= -size and len(signed) % 64 == 0) else None
 
 
 def base_spans(text: str) -> list[tuple[int, int, str, str]]:
