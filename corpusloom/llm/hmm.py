@@ -45,8 +45,8 @@ END = TOP + SHARED
 CLASSES = END + 1
 #: Baum-Welch iterations over all training documents at most; they end once one gains less than
 #: ``SETTLED`` (natural logarithm, per token).
-ITERATIONS = 10
-SETTLED = 0.01
+ITERATIONS = 40
+SETTLED = 0.005
 #: Coarse classes that the states are first fitted to: top words and endings; fits, and steps of each.
 COARSE_TOP = 256
 COARSE_SHARED = 128
