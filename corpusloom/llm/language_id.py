@@ -86,23 +86,24 @@ def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, n_bytes: int = SAMPLE_BYTES) -
     """A text model of every ``lang`` from a bounded sample of its rows.
 
     Per language the ``rows`` rows smallest by a hash of id and text are drawn, of these as many whole
-    texts as fit ``n_bytes``. Rows that repeat id and text teach once. Only rows whose hash is below
-    a bound go into the draw, some times as many as are drawn, so that its task stays small.
+    texts as fit ``n_bytes``. Rows that repeat id and text are one before anything is drawn or counted. Only
+    hashes below a bound go into the draw, some times as many as are drawn, so that its task stays small.
     """
     require(docs, ["doc_id", "text", "lang"])
     key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text_or_empty())
     own = docs.where(F.col("lang").isNotNull() & (F.col("lang") != UND)).select("lang", key.alias("key"), text_or_empty().alias("text"))
-    counts_of = own.groupBy("lang").agg(F.count("*").alias("n")).limit(LANGUAGES + 1).collect()
+    counts_of = own.groupBy("lang").agg(F.approx_count_distinct("key").alias("n")).limit(LANGUAGES + 1).collect()
     languages = sorted(r["lang"] for r in counts_of)
     if len(languages) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages")
     order = Window.partitionBy("lang").orderBy("key")
     below = {r["lang"]: min(1.0, DRAW_FROM * rows / r["n"]) for r in counts_of}
     bounds = docs.sparkSession.createDataFrame([(lang, min(2**63 - 1, int((2 * part - 1) * 2**63))) for lang, part in below.items()], "lang string, bound long")
-    small = own.select("lang", "key", F.octet_length("text").alias("n")).join(F.broadcast(bounds), "lang").where("key <= bound").drop("bound")
+    small = own.select("lang", "key", F.octet_length("text").alias("n")).join(F.broadcast(bounds), "lang").where("key <= bound")
+    small = small.groupBy("lang", "key").agg(F.min("n").alias("n"))
     drawn = small.withColumn("place", F.row_number().over(order)).where(F.col("place") <= rows)
     drawn = drawn.withColumn("used", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("used") <= n_bytes)
-    drawn = checkpoint(drawn.select("lang", "key").distinct())
+    drawn = checkpoint(drawn.select("lang", "key"))
     counts = np.full((len(languages) + 1, BUCKETS), PSEUDO)
     number = {language: n for n, language in enumerate(languages)}
     # At most ``rows`` keys a language are broadcast, and one text comes back for each.

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from corpusloom.llm import blocks, bpe, decontaminate, exact_dedup, hmm, language_id, license_scan, near_dedup, quality, sharding, suffix_dedup
 
@@ -538,6 +539,63 @@ def test_language_id(spark):
     assert both["page", 1]["language"] == "de" and both["page", 3]["language"] == "en" and ("page", 2) in both
 
 
+def test_repeated_rows_do_not_eat_the_sample(spark):
+    rng = random.Random(12)
+    rows = [(n, " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(20)), "en") for n in range(400)]
+    many = [*rows, *[(None, "the same row again", "en")] * 400]
+    schema = "doc_id long, text string, lang string"
+    drawn = language_id.fit(spark.createDataFrame(rows, schema), rows=100).logs[0]
+    again = language_id.fit(spark.createDataFrame(many, schema).repartition(3), rows=100).logs[0]
+    assert np.count_nonzero(drawn > drawn.min()) > 300
+    # The repeated row is one of the hundred at most: nearly all buckets have what they had.
+    assert np.mean(np.abs(np.exp(drawn) - np.exp(again)) < 1e-4) > 0.99
+    unlike = np.count_nonzero((drawn > drawn.min()) != (again > again.min()))
+    assert unlike < 150  # one text of a hundred gave way to the repeated one
+
+
+def test_fused_posterior_is_that_of_a_plain_program(spark):
+    """Every posterior from the text likelihoods alone, by loops over rows."""
+    rng = random.Random(7)
+    vocabulary = {"en": ["the", "and", "thing"], "de": ["der", "und", "nicht"], "fr": ["le", "avec", "dans"]}
+    hosts = ["a.site.de", "b.site.de", "www.x.com", "y.com", "news", None]
+    rows = [(n, " ".join(rng.choices(vocabulary[lang], k=rng.randrange(0, 6))), lang, rng.choice(hosts)) for n, lang in enumerate(rng.choices(["en", "de", "fr"], k=150))]
+    docs = spark.createDataFrame([*rows, rows[3], (None, None, None, "y.com")], "doc_id long, text string, lang string, source string")
+    markup = [(n, rng.choice(["http://a.site.de/x", "https://y.com", "bad"]), f"<html lang='{rng.choice(['de', 'en', 'xx'])}'><p>{' '.join(rng.choices(vocabulary['de'], k=2))}</p>") for n in range(30)]
+    pages = spark.createDataFrame(markup, "page_id long, url string, html string")
+    model = language_id.fit(docs)
+    evidence = language_id.document_evidence(docs).withColumn("kind", F.lit("document")).unionByName(language_id.html_evidence(pages).withColumn("kind", F.lit("page"))).collect()
+    n, k = len(evidence), len(model.languages)
+    softmax = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    logs = [model.likelihoods((e["text"] or "").encode()) for e in evidence]
+    logs = [x - x.max() for x in logs]
+    flat = np.log([(1 - language_id.UNKNOWN) / (k - 1)] * (k - 1) + [language_id.UNKNOWN])
+    own = [softmax(x + flat) for x in logs]
+    strength, corpus = language_id.STRENGTH, (sum(own) + language_id.STRENGTH / k) / (n + language_id.STRENGTH)
+    domain = lambda h: ".".join(h.split(".")[-2:]) if "." in h else "-"
+    rates = lambda chosen, groups: np.log((sum(own[i] for i in chosen) + 0.5) / (sum(own[i] for i in groups) + 0.5 * len({key[i] for i in groups})))
+    expected = []
+    for i, e in enumerate(evidence):
+        host, fused = e["host"], logs[i].copy()
+        prior = corpus
+        if host is not None:
+            near = [j for j in range(n) if j != i and evidence[j]["host"] is not None and domain(evidence[j]["host"]) == domain(host)]
+            prior = (sum((own[j] for j in near), np.zeros(k)) + strength * corpus) / (len(near) + strength)
+            same = [j for j in near if evidence[j]["host"] == host]
+            prior = (sum((own[j] for j in same), np.zeros(k)) + strength * prior) / (len(same) + strength)
+            if "." in host:
+                key = {j: evidence[j]["host"].split(".")[-1] for j in range(n) if evidence[j]["host"] and "." in evidence[j]["host"]}
+                fused += rates([j for j in key if key[j] == key[i]], list(key))
+        fused += np.log(np.maximum(prior, 1e-6))
+        if e["declared"]:
+            key = {j: evidence[j]["declared"] for j in range(n) if evidence[j]["declared"]}
+            fused += rates([j for j in key if key[j] == key[i]], list(key))
+        posterior = softmax(fused)
+        expected.append((e["kind"], e["id"], model.languages[int(posterior.argmax())], round(float(posterior.max()), 4)))
+    found = [(r["kind"], r["id"], r["language"], round(r["posterior"], 4)) for r in language_id.identify(docs, pages, model).collect()]
+    order = lambda r: repr(r)
+    assert sorted(found, key=order) == sorted(expected, key=order)
+
+
 def test_empty_tables(spark, empty, tokenizer_path):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     bench = spark.createDataFrame([], "item_id long, text string")
