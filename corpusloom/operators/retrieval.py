@@ -23,8 +23,8 @@ FLOOR, TOP = 0.10, 8
 def unit(vector: Column) -> Column:
     """A vector of length 1, in double."""
     wide = F.transform(vector, lambda x: x.cast("double"))
-    norm = F.sqrt(F.aggregate(wide, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(wide, lambda x: x / norm)
+    # The norm is bound once a vector; inside the lambda it would be made again for every element.
+    return T.let(F.sqrt(F.aggregate(wide, F.lit(0.0), lambda a, x: a + x * x)), lambda norm: F.transform(wide, lambda x: x / norm))
 
 
 def dot(a: Column, b: Column) -> Column:

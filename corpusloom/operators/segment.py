@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import ids
 from corpusloom.functions import text as T
 from corpusloom.operators import layout
+from corpusloom.sources.store import stored
 
 CEILING, TARGET, LEAST, OVERLAP, SHORT = 900, 420, 200, 63, 150
 
@@ -105,7 +106,7 @@ def _chunked(repeat: bool):
 
 def ranges(words: DataFrame, every_line: bool = False, repeat: bool = False) -> DataFrame:
     """The word ranges [from_idx, to_idx) of the chunks of every document."""
-    own = layout.lines(words if "line" in words.columns else layout.number_lines(words)).persist()
+    own = stored(layout.lines(words if "line" in words.columns else layout.number_lines(words)))
     own = layout.number_paragraphs(own, every_line)
     own = layout.split_before(own).withColumnRenamed("part", "hadith")
     own = layout.split_after(own).withColumnRenamed("part", "ayah")
@@ -145,9 +146,9 @@ def page_boxes(own: DataFrame) -> DataFrame:
 
 def chunks(words: DataFrame, every_line: bool = False, repeat: bool = False) -> DataFrame:
     """Passages with their id, text, pages, boxes, offsets and chapter."""
-    # Lines, ranges and chapters are all made from the numbered words: they are kept meanwhile.
-    words = (layout.number_lines(words) if "line" not in words.columns else words).persist()
-    own = chunk_words(words, ranges(words, every_line, repeat))
+    # Lines, ranges and chapters are all made from the numbered words, three aggregations from the chunks' words.
+    words = stored(layout.number_lines(words) if "line" not in words.columns else words)
+    own = stored(chunk_words(words, ranges(words, every_line, repeat)))
     texts = own.groupBy("doc_id", "chunk_no").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda w: w["text"]), " ").alias("text"),
         F.count("*").alias("token_count"), F.min_by("page", "idx").alias("page_start"), F.max_by("page", "idx").alias("page_end"), F.min_by("line", "idx").alias("line"),
@@ -169,9 +170,11 @@ def fixed_slices(texts: DataFrame, size: int = CEILING) -> DataFrame:
 
     Each text is cut in its own row; nothing is shuffled.
     """
-    own = texts.select("doc_id", layout.page_words(F.col("text")).alias("words")).where(F.size("words") > 0)
-    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size("words") - 1) / size).cast("int")), lambda n: F.slice("words", n * size + 1, F.lit(size)))
-    return own.select("doc_id", F.posexplode(cut).alias("chunk_no", "part")).select("doc_id", "chunk_no", F.size("part").cast("long").alias("token_count"), F.array_join("part", " ").alias("text"))
+    # The words are bound once inside the generator; as a column of their own they would be made again for the filter and the slices.
+    none = F.array().cast("array<array<string>>")
+    cut = T.let(layout.page_words(F.col("text")), lambda w: F.when(F.size(w) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(w) - 1) / size).cast("int")), lambda n: F.slice(w, n * size + 1, F.lit(size)))).otherwise(none))
+    own = texts.select("doc_id", F.posexplode(cut).alias("chunk_no", "part"))
+    return own.select("doc_id", "chunk_no", F.size("part").cast("long").alias("token_count"), F.array_join("part", " ").alias("text"))
 
 
 def chunk_statistics(own: DataFrame) -> DataFrame:

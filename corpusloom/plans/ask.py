@@ -9,20 +9,21 @@ from corpusloom.functions import answers as A
 from corpusloom.functions import text as T
 from corpusloom.operators import citations, retrieval
 from corpusloom.plans.models import Models
+from corpusloom.sources.store import stored
 
 
 def enriched(questions: DataFrame, models: Models) -> DataFrame:
     """(q, question) with language, other form, keyword query and vector; bad lengths are left out."""
     rows = questions.where(F.length("question").between(1, 4096))
     rows = rows.withColumn("language", T.script_language(F.col("question"))).withColumn("other", models.translate(F.col("question")))
-    # Each leg and every later step starts from these rows: they are made once.
     primary, secondary = T.keyword_queries(F.col("question"), F.col("other"), F.col("question"))
     rows = rows.withColumn("primary", primary).withColumn("secondary", secondary)
-    return rows.withColumn("vector", models.embed(T.embedding_text(F.col("question"), F.col("other")))).persist()
+    # Each leg and every later step starts from these rows.
+    return stored(rows.withColumn("vector", models.embed(T.embedding_text(F.col("question"), F.col("other")))))
 
 
-#: The note ahead of an answer whose passages disagree.
-DISAGREEMENT = "\u26a0\ufe0f Note: the source passages contain a disagreement on this point. Each passage's claim is stated separately below.\n\n"
+# Fixed value: the note ahead of an answer whose passages disagree.
+DISAGREEMENT = "⚠️ Note: the source passages contain a disagreement on this point. Each passage's claim is stated separately below.\n\n"
 
 
 def ranked(questions: DataFrame, passages: DataFrame, vectors: DataFrame, own: DataFrame, k: int = 20, scope: str | None = "tenant", book: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -36,15 +37,18 @@ def ranked(questions: DataFrame, passages: DataFrame, vectors: DataFrame, own: D
     first = retrieval.keyword_leg(questions.select("q", F.col("primary").alias("question"), *columns), own, k, scope=scope, book=book)
     second = retrieval.keyword_leg(questions.where("secondary IS NOT NULL").select("q", F.col("secondary").alias("question"), *columns), own, k, scope=scope, book=book)
     keyword = retrieval.merge_keyword_legs(first, second, k).join(named, "id")
-    fused = retrieval.fuse(vector, keyword).persist()  # both the ranking and the gate read it
+    fused = stored(retrieval.fuse(vector, keyword))  # both the ranking and the gate read it
     scored = retrieval.above_floor(retrieval.score(fused, questions.select("q", "question", "other")))
     placed = scored.join(passages.select("id", "book", "page_start", "page_end"), "id")
-    return fused, retrieval.suppress(placed).persist()
+    return fused, stored(retrieval.suppress(stored(placed)))
 
 
 def answered(questions: DataFrame, passages: DataFrame, vectors: DataFrame, own: DataFrame, models: Models | None = None, scope: str | None = "tenant", book: str | None = None) -> DataFrame:
     """(q, decision, answer, language, needs_rewrite, no_result, sources) of every question.
 
+    The steps are cut at stored tables of a few dozen rows a question; passages, vectors and postings
+    should be stored too, as ``ingest.indexes`` leaves them, for the plan of each step reads them.
+
     ``passages`` has id, text, book, page_start, page_end, page_offsets and printed pages.
     Questions, vectors and postings have the column ``scope``; None stands for a corpus of one tenant.
     """
@@ -57,7 +61,7 @@ def answered(questions: DataFrame, passages: DataFrame, vectors: DataFrame, own:
     lists = best.join(facts, "id").groupBy("q").agg(F.array_sort(F.collect_list(entry)).alias("passages"))
     rows = asked.join(gated, "q").join(lists, "q", "left")
     rows = rows.withColumn("answer", F.when(F.col("decision") == "generate", models.generate(F.col("question"), F.col("passages"))))
-    rows = citations.resolve_citations(rows.persist())
+    rows = stored(citations.resolve_citations(stored(rows)))
     checked = A.needs_consistency_check(F.col("answer")) & F.upper(F.trim(models.check(F.col("question"), F.col("answer"), F.col("passages")))).startswith("CONTRADICT")
     final = A.without_placeholders(F.col("resolved"))
     rows = rows.withColumn("final", F.concat(F.when(checked, DISAGREEMENT).otherwise(""), final))

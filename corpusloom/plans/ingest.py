@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators import layout, pages, retrieval, segment
 from corpusloom.plans.models import Models
+from corpusloom.sources.store import stored
 
 
 def numbered(page_texts: DataFrame) -> DataFrame:
@@ -24,6 +25,7 @@ def passages(page_texts: DataFrame, every_line: bool = False) -> DataFrame:
 
 
 def indexes(own: DataFrame, models: Models | None = None, *scopes: str) -> tuple[DataFrame, DataFrame]:
-    """(vectors, postings) of passages, with scopes such as the tenant; both are kept, as a question's plan reads them several times."""
+    """(vectors, postings) of passages, with scopes such as the tenant, as stored tables; ``own`` should be stored."""
     models = models or Models()
-    return own.select("id", *scopes, models.embed(F.col("text")).alias("vector")).persist(), retrieval.postings(own, *scopes).persist()
+    vectors = own.select("id", *scopes, models.embed(F.col("text")).alias("vector"))
+    return stored(vectors), stored(retrieval.postings(own, *scopes), "term")

@@ -6,9 +6,11 @@ batching, bounded concurrency and retries fits. The defaults need no network.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,9 +20,19 @@ DIMENSIONS = 64
 
 
 def hashed_vector(text: Column, dimensions: int = DIMENSIONS) -> Column:
-    """Term frequencies of a text hashed into a vector."""
-    places = F.transform(T.tokens(text), lambda t: F.pmod(F.xxhash64(t), F.lit(dimensions)))
-    return T.let(places, lambda own: F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda n: F.size(F.filter(own, lambda p: p == n)).cast("double") + F.when(n == 0, 1e-6).otherwise(0.0)))
+    """Term frequencies of a text hashed into a vector; a batch of texts is counted at once, as a model would take it."""
+
+    @F.pandas_udf("array<double>")
+    def counted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for places in batches:
+            rows = []
+            for own in places:
+                row = np.bincount(np.asarray(own, dtype=np.int64), minlength=dimensions).astype(float)
+                row[0] += 1e-6
+                rows.append(row)
+            yield pd.Series(rows, dtype=object)
+
+    return counted(F.transform(T.tokens(F.coalesce(text, F.lit(""))), lambda t: F.pmod(F.xxhash64(t), F.lit(dimensions))))
 
 
 def same(text: Column) -> Column:

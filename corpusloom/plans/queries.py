@@ -18,6 +18,7 @@ from corpusloom.functions import text as T
 from corpusloom.operators import catalog, citations, layout, pages, retrieval, segment, state
 from corpusloom.plans import ask, ingest
 from corpusloom.sources.readers import split_response, table
+from corpusloom.sources.store import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -773,7 +774,7 @@ QUERIES["known_items"] = known_items
 def answers(spark, d):
     """Questions answered from document passages by both legs, with decision, answer and sources."""
     own = ingest.passages(_page_texts(spark, d), every_line=True).withColumn("book", F.col("doc_id").cast("string")).withColumn("printed_page_start", F.lit(None).cast("int")).withColumn("printed_page_end", F.lit(None).cast("int"))
-    own = own.withColumn("id", F.concat_ws(":", "doc_id", "chunk_no")).join(table(spark, d, "documents").select("doc_id", F.col("source").alias("tenant")), "doc_id").persist()
+    own = stored(own.withColumn("id", F.concat_ws(":", "doc_id", "chunk_no")).join(table(spark, d, "documents").select("doc_id", F.col("source").alias("tenant")), "doc_id"))
     vectors, postings_ = ingest.indexes(own, None, "tenant")
     asked = _questions(spark, d).join(table(spark, d, "documents").select(F.col("doc_id").alias("q"), F.col("source").alias("tenant")), "q")
     out = ask.answered(asked, own, vectors, postings_)
