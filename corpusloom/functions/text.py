@@ -52,7 +52,7 @@ SON_OF = r"(?:ابن|بن)\s+" + ARABIC + "+"
 NISBA = r"(?U)^" + ARABIC + r"{4,}(?:ي|وي)\b"
 
 # Signs of Urdu, and of a question about a statement's source.
-URDU_LETTERS = "[ٹ-ۿݐ-ݿ]"
+URDU_LETTERS = r"[ٹ-ۿݐ-ݿ\x{FE70}-\x{FEFF}]"
 URDU_WORDS = r"(?U)\b(?:ہے|کا|کی|کے|سے|میں|اور|یہ|اس|ان|تم|آپ|نے|کو|بھی|ہی|تو|کر|ہو|گی|گے)\b"
 URDU_SPECIFIC = "[ٹ-ڀڈ-ڏڑ-ۿـئؤٱ]"
 SOURCE_QUESTION = (
@@ -133,6 +133,11 @@ def normal(text: Column) -> Column:
     return fold_arabic(fold(F.lower(F.array_join(stripped, " "))))
 
 
+def folded_word(word: Column) -> Column:
+    """One word, its edges stripped, in the form of ``normal``."""
+    return fold_arabic(fold(F.lower(word)))
+
+
 def tokens(text: Column) -> Column:
     return F.filter(F.split(normal(text), " "), lambda w: w != "")
 
@@ -204,7 +209,7 @@ def count_of(text: Column, characters: str) -> Column:
 def script_language(text: Column) -> Column:
     """Language by script: Urdu signs, else whichever of Latin and Arabic letters lead.
 
-    Presentation forms are not taken for Urdu.
+    Of presentation forms only the later block (FE70 to FEFF) counts as Urdu; the earlier one has ligatures of Arabic texts.
     """
     latin, arabic = count_of(text, "[A-Za-z]"), count_of(text, ARABIC)
     return F.when(text.rlike(URDU_LETTERS) | text.rlike(URDU_WORDS), "ur").when((latin > 0) & (latin >= arabic), "en").otherwise("ar")

@@ -11,51 +11,21 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import answers
 from corpusloom.functions import text as T
+from corpusloom.operators import vectors
 
-#: Questions are broadcast to the corpus up to this many at once; more are taken in blocks.
-QUESTIONS_AT_ONCE = 10_000
 TERMS_AT_ONCE = 200_000
 RRF = 60
 NGRAM, COVERAGE = 6, 0.12
 FLOOR, TOP = 0.10, 8
 
 
-def unit(vector: Column) -> Column:
-    """A vector of length 1, in double."""
-    wide = F.transform(vector, lambda x: x.cast("double"))
-    # The norm is bound once a vector; inside the lambda it would be made again for every element.
-    return T.let(F.sqrt(F.aggregate(wide, F.lit(0.0), lambda a, x: a + x * x)), lambda norm: F.transform(wide, lambda x: x / norm))
-
-
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
-
 def _top(scored: DataFrame, k: int, *order: Column) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(*order))).where(F.col("rank") <= k)
 
 
 def vector_leg(questions: DataFrame, points: DataFrame, k: int = 20, scope: str | None = None, book: str | None = None) -> DataFrame:
-    """(q, id, score, rank): the ``k`` points nearest to each question by cosine.
-
-    Questions (q, vector) are a stated set and are broadcast in blocks of
-    ``QUESTIONS_AT_ONCE``; points (id, vector) are never shuffled, only the ``k`` best of each
-    partition are. With ``scope`` both sides have that column and a question sees its own
-    scope alone, before the best are taken; with ``book`` it sees one book alone where its own
-    column of that name is not null.
-    """
-    columns = [c for c in (scope, book) if c]
-    asked = questions.select("q", unit(F.col("vector")).alias("q_vector"), *[F.col(c).alias(f"q_{c}") for c in columns])
-    near = points.select("id", unit(F.col("vector")).alias("vector"), *columns)
-    n = asked.count()
-    found = None
-    for block in range(max(1, -(-n // QUESTIONS_AT_ONCE))):
-        part = asked if n <= QUESTIONS_AT_ONCE else asked.where(F.pmod(F.xxhash64("q"), F.lit(-(-n // QUESTIONS_AT_ONCE))) == block)
-        pairs = near.join(F.broadcast(part), near[scope] == F.col(f"q_{scope}")) if scope else near.crossJoin(F.broadcast(part))
-        scored = _in_book(pairs, book).select("q", "id", F.round(dot(F.col("vector"), F.col("q_vector")), 6).alias("score"))
-        best = _top(scored, k, F.desc("score"), F.col("id"))
-        found = best if found is None else found.unionByName(best)
-    return found
+    """(q, id, score, rank): the ``k`` points nearest to each question by cosine; ``vectors.nearest`` or, for large tables, ``vectors.search``."""
+    return vectors.nearest(questions, points, k, scope, book)
 
 
 def _in_book(rows: DataFrame, book: str | None) -> DataFrame:

@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 from corpusloom.functions import answers as A
 from corpusloom.functions import ids
 from corpusloom.functions import text as T
-from corpusloom.operators import catalog, citations, layout, pages, retrieval, segment, state
+from corpusloom.operators import catalog, citations, layout, pages, ranking, retrieval, segment, state, vectors
 from corpusloom.plans import ask, ingest
 from corpusloom.sources.readers import split_response, table
-from corpusloom.sources.store import stored
+from corpusloom.sources.store import shared_folder, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -264,6 +264,35 @@ def keyword_top20(spark, d):
     return retrieval.keyword_leg(asked, retrieval.postings(_passages(spark, d), terms=retrieval.question_terms(asked)))
 
 
+_RAW_WORDS = """list_transform(string_split_regex(text, '\\s+'), lambda w: strip_accents(lower(trim(w, '.,;:!?()[]"''«»،؛؟*#-'))))"""
+#: Letters beyond ASCII as capitals, which no word has: the edit distance of DuckDB counts bytes.
+_BYTES = lambda w: f"translate({w}, 'ßœæøþðł', 'ABCDEFG')"
+
+
+@query(f"""
+WITH tok AS (SELECT * FROM (SELECT doc_id AS id, generate_subscripts(t, 1) - 1 AS p, unnest(t) AS term FROM (SELECT doc_id, {_RAW_WORDS} AS t FROM documents)) WHERE term <> ''),
+vocabulary AS (SELECT DISTINCT term FROM tok),
+terms AS (SELECT DISTINCT item_id AS q, unnest({_TERMS}) AS asked FROM benchmark),
+wanted AS (SELECT DISTINCT asked, CASE WHEN length(asked) >= 9 THEN 2 WHEN length(asked) >= 5 THEN 1 ELSE 0 END AS most FROM terms),
+near AS (SELECT asked, term, levenshtein({_BYTES("asked")}, {_BYTES("term")}) AS typos FROM wanted JOIN vocabulary ON abs(length(asked) - length(term)) <= most WHERE levenshtein({_BYTES("asked")}, {_BYTES("term")}) <= most),
+occ AS (SELECT asked, id, p, typos FROM tok JOIN near USING (term)),
+held AS (SELECT asked, id, min(typos) AS typos, count(*) AS tf FROM occ GROUP BY 1, 2),
+placed AS (SELECT q, asked, row_number() OVER (PARTITION BY q ORDER BY df, asked) AS pos FROM terms JOIN (SELECT asked, count(*) AS df FROM held GROUP BY 1) USING (asked)),
+hits AS (SELECT q, id, asked, pos, typos, tf, row_number() OVER (PARTITION BY q, id ORDER BY pos) AS n FROM placed JOIN held USING (asked)),
+scored AS (SELECT q, id, max(CASE WHEN n = pos THEN pos ELSE 0 END) AS tier, count(*) AS matched, CAST(sum(typos) AS BIGINT) AS typos, CAST(sum(tf) AS BIGINT) AS tf FROM hits GROUP BY 1, 2),
+close AS (SELECT *, rank() OVER (PARTITION BY q ORDER BY tier DESC, matched DESC, typos) AS r FROM scored QUALIFY r <= 20),
+placeof AS (SELECT h.q, h.id, h.asked, o.p FROM close c JOIN hits h ON h.q = c.q AND h.id = c.id JOIN occ o ON o.asked = h.asked AND o.id = h.id WHERE c.matched > 1),
+last AS (SELECT a.q, a.id, a.p, b.asked, max(b.p) AS l FROM (SELECT DISTINCT q, id, p FROM placeof) a JOIN placeof b ON a.q = b.q AND a.id = b.id AND b.p <= a.p GROUP BY 1, 2, 3, 4),
+stretch AS (SELECT q, id, p, p - min(l) AS width, count(*) AS n FROM last GROUP BY 1, 2, 3),
+span AS (SELECT s.q, s.id, min(width) AS span FROM stretch s JOIN close c ON c.q = s.q AND c.id = s.id AND s.n = c.matched GROUP BY 1, 2)
+SELECT q, id, tier, matched, typos, coalesce(span, 0) AS span, tf, row_number() OVER (PARTITION BY q ORDER BY tier DESC, matched DESC, typos, coalesce(span, 0), tf DESC, id) AS rank FROM close LEFT JOIN span USING (q, id) QUALIFY rank <= 20
+""")
+def keyword_ranked_top20(spark, d):
+    """The keyword leg with typos and proximity: words meet their variants, equals go by the shortest stretch."""
+    own = stored(ranking.positional_postings(_passages(spark, d)), "term")
+    return ranking.ranked_leg(_questions(spark, d), own)
+
+
 @query(f"""
 WITH scoped AS (SELECT term, id, source, count(*) AS tf FROM (SELECT doc_id AS id, source, unnest({_TOKENS}) AS term FROM documents) GROUP BY 1, 2, 3),
 asked AS (SELECT item_id AS q, source, CASE WHEN item_id % 2 = 0 THEN lang END AS lang, text FROM benchmark JOIN (SELECT doc_id, source, lang FROM documents) ON doc_id = item_id),
@@ -299,6 +328,24 @@ def knn_per_label(spark, d):
     return retrieval.vector_leg(points.where("id % 50 = 0").select(F.col("id").alias("q"), "vector", "label"), points, scope="label")
 
 
+@query(f"SELECT a.vec_id AS q, b.vec_id AS id, {_COSINE} AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COSINE} DESC, b.vec_id) AS rank FROM (SELECT * FROM embeddings WHERE vec_id % 50 = 0) a, embeddings b QUALIFY rank <= 20")
+def knn_indexed_top20(spark, d):
+    """``knn_top20`` through the cell index: the nearest cells first, then those that may still hold something better."""
+    points = _points(spark, d)
+    index = vectors.build(points, vectors.new_path(shared_folder(spark)))
+    return vectors.search(points.where("id % 50 = 0").select(F.col("id").alias("q"), "vector"), index, full_scan=0)[0]
+
+
+@query()
+def knn_probed_recall(spark, d):
+    """What the nearest cells alone find of the exact twenty, and the part of all comparisons that takes."""
+    points = _points(spark, d)
+    asked = points.where("id % 50 = 0").select(F.col("id").alias("q"), "vector")
+    index = vectors.build(points, vectors.new_path(shared_folder(spark)))
+    found, share = vectors.search(asked, index, exact=False, full_scan=0)
+    return vectors.recall(found, vectors.nearest(asked, points)).withColumn("scanned_share", F.lit(round(share, 6)))
+
+
 def _candidates(spark, d) -> DataFrame:
     """Questions with the texts of their keyword hits."""
     hits = keyword_top20(spark, d)
