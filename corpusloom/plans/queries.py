@@ -7,6 +7,8 @@ answers, ``embeddings`` for vector points, ``customer`` and ``orders`` for books
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -17,6 +19,7 @@ from corpusloom.functions import ids
 from corpusloom.functions import text as T
 from corpusloom.operators import catalog, citations, layout, pages, ranking, retrieval, segment, state, vectors
 from corpusloom.plans import ask, ingest
+from corpusloom.sources.index_store import IndexStore
 from corpusloom.sources.readers import split_response, table
 from corpusloom.sources.store import shared_folder, stored
 
@@ -244,6 +247,21 @@ def doc_freq(spark, d):
     return retrieval.document_frequency(retrieval.postings(_passages(spark, d)))
 
 
+@query(f"""
+WITH now AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN substr(text, 1, 500) || ' revised' ELSE text END AS text FROM documents WHERE doc_id % 11 <> 0 OR doc_id % 7 = 0)
+SELECT term, id, count(*) AS tf FROM (SELECT doc_id AS id, unnest({_TOKENS}) AS term FROM now) GROUP BY 1, 2
+""")
+def postings_refreshed(spark, d):
+    """Stored postings after an update: one document in seven has been revised, one in eleven is gone."""
+    own = _passages(spark, d)
+    store = IndexStore(spark, f"{shared_folder(spark)}/postings-{uuid.uuid4().hex}", "id", ("term",), buckets=64)
+    store.replace(retrieval.postings(own), own)
+    touched = own.where("id % 7 = 0 OR id % 11 = 0")
+    revised = own.where("id % 7 = 0").withColumn("text", F.concat(F.substring("text", 1, 500), F.lit(" revised")))
+    store.replace(retrieval.postings(revised), touched)
+    return store.read().select("term", "id", "tf")
+
+
 _KEYWORD = f"""
 {_POSTINGS},
 terms AS (SELECT DISTINCT item_id AS q, unnest({_TERMS}) AS term FROM benchmark),
@@ -713,59 +731,91 @@ def response_split(spark, d):
     return split_response(rows).select(F.col("id").alias("page_id"), "page", "text")
 
 
-# Arabic and Urdu, of which the tables hold none: literal rows ---------------------------------
+# Arabic and Urdu, of which the tables hold none: the documents in other letters ----------------
+
+#: What documents are written in instead of Latin letters: two in three all of it, one in three vowels alone.
+_LATIN = "abcdefghijklmnopqrstuvwxyz"
+_IN_ARABIC = "ابأديفإهِجكلمنوةقرستُىؤـئز"
+_IN_URDU = "ابأڈيفإہِجکلمںوپقڑسٹُىؤـےز"
+_VOWELS = "ايِوُﺍ"
+#: Common words, given function words and parts of names before the letters are changed.
+_SAID_AS = [(" of ", " ابن "), (" de ", " ابن "), (" die ", " ابن "), (" the ", " الدين "), (" und ", " الشريعة "), (" la ", " في "), (" le ", " هذه "), (" and ", " هذا ")]
+_SAID_IN_URDU = [(" in ", " ہے "), (" en ", " کی "), (" is ", " گے ")]
 
-_SAID = [
-    "الْمَوْسُوعَةُ الفِقْهِيَّةُ الكويتية", "إنَّ أبا حنيفة قال في الهداية", "حدثنا ابن عمر عن محمود بن صدر الشريعة", "وقاية الرواية في مسائل الهداية",
-    "یہ کتاب فقہ حنفی کی ہے اور اس میں مسائل ہیں", "Sharḥ al-Wiqāya ʿalā l-Hidāya", "ما هو حكم الصلاة عند الكوفي", "الـحـديـث ٧ من الباب", "What is the ruling of the prayer?", "12 34", "",
-]
 
+def _said(spark, d) -> DataFrame:
+    """(doc_id, text) in Arabic letters, in Urdu letters, or mixed, by the id."""
+    text = F.lower(F.coalesce("text", F.lit("")))
+    for word, other in _SAID_AS:
+        text = F.replace(text, F.lit(word), F.lit(other))
+    urdu = text
+    for word, other in _SAID_IN_URDU:
+        urdu = F.replace(urdu, F.lit(word), F.lit(other))
+    kind = F.col("doc_id") % 3
+    said = F.when(kind == 0, F.translate(text, _LATIN, _IN_ARABIC)).when(kind == 1, F.translate(urdu, _LATIN, _IN_URDU)).otherwise(F.translate(text, "aeiouz", _VOWELS))
+    return table(spark, d, "documents").select("doc_id", said.alias("text"))
 
-def _said(spark) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(_SAID)), "id int, text string")
 
+def _replaced(text: str, pairs: list[tuple[str, str]]) -> str:
+    for word, other in pairs:
+        text = f"replace({text}, '{word}', '{other}')"
+    return text
 
-_SAID_SQL = "said(id, text) AS (VALUES " + ", ".join(f"({n}, '" + t.replace("'", "''") + "')" for n, t in enumerate(_SAID)) + ")"
+
+_SAID_SQL = f"""said AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN translate({_replaced("lower(coalesce(text, ''))", _SAID_AS)}, '{_LATIN}', '{_IN_ARABIC}')
+  WHEN 1 THEN translate({_replaced("lower(coalesce(text, ''))", [*_SAID_AS, *_SAID_IN_URDU])}, '{_LATIN}', '{_IN_URDU}') ELSE translate({_replaced("lower(coalesce(text, ''))", _SAID_AS)}, 'aeiouz', '{_VOWELS}') END AS text FROM documents)"""
 _COUNT = lambda characters: f"length(text) - length(regexp_replace(text, '[{characters}]', '', 'g'))"
+_FOLD_ARABIC = lambda t: f"translate(regexp_replace({t}, '[\\x{{064B}}-\\x{{0652}}\\x{{0670}}\\x{{0640}}]', '', 'g'), 'أإآىةؤئ', 'ااايهوي')"
+_NO_WORD = "[^\\p{L}\\p{M}\\p{N}_]"
 
 
 @query(f"""
-WITH {_SAID_SQL}, marked AS (SELECT id, text, regexp_replace(text, '[\\x{{064B}}-\\x{{0652}}\\x{{0670}}\\x{{0640}}]', '', 'g') AS bare FROM said)
-SELECT id, translate(bare, 'أإآىةؤئ', 'ااايهوي') AS folded,
-       lower(trim(regexp_replace(translate(regexp_replace(strip_accents(text), '[\\x{{064B}}-\\x{{0655}}\\x{{0670}}\\x{{0640}}ʿʾʼʻ]', '', 'g'), 'أإآىةؤئ', 'ااايهوي'), '\\s+', ' ', 'g'))) AS for_id,
-       lower(regexp_replace(translate(regexp_replace(text, '[\\x{{064B}}-\\x{{0652}}\\x{{0670}}\\x{{0640}}،؛؟٠-٩]', '', 'g'), 'أإآىةؤئ', 'ااايهوي'), '[^\\x{{0621}}-\\x{{064A}}\\x{{0671}}-\\x{{06FF}}A-Za-z0-9]', '', 'g')) AS highlighted
-FROM marked
+WITH {_SAID_SQL}
+SELECT doc_id, sha256({_FOLD_ARABIC("text")}) AS folded,
+       sha256(lower(trim(regexp_replace(translate(regexp_replace(strip_accents(text), '[\\x{{064B}}-\\x{{0655}}\\x{{0670}}\\x{{0640}}ʿʾʼʻ]', '', 'g'), 'أإآىةؤئ', 'ااايهوي'), '\\s+', ' ', 'g')))) AS for_id,
+       sha256(lower(regexp_replace(translate(regexp_replace(text, '[\\x{{064B}}-\\x{{0652}}\\x{{0670}}\\x{{0640}}،؛؟٠-٩]', '', 'g'), 'أإآىةؤئ', 'ااايهوي'), '[^\\x{{0621}}-\\x{{064A}}\\x{{0671}}-\\x{{06FF}}A-Za-z0-9]', '', 'g'))) AS highlighted
+FROM said
 """)
 def arabic_forms(spark, d):
-    """The three written forms that Arabic text is compared in."""
-    return _said(spark).select("id", T.fold_arabic(F.col("text")).alias("folded"), T.for_id(F.col("text")).alias("for_id"), T.highlight_token(F.col("text")).alias("highlighted"))
+    """The three written forms that Arabic text is compared in, of every document in Arabic or Urdu letters."""
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    text = F.col("text")
+    return _said(spark, d).select("doc_id", digest(T.fold_arabic(text)).alias("folded"), digest(T.for_id(text)).alias("for_id"), digest(T.highlight_token(text)).alias("highlighted"))
 
 
 @query(f"""
-WITH {_SAID_SQL}, n AS (SELECT id, text, {_COUNT("A-Za-z")} AS latin, {_COUNT("؀-ۿ")} AS arabic, {_COUNT("ٹ-ڀڈ-ڏڑ-ۿـئؤٱ")} AS urdu FROM said)
-SELECT id, CASE WHEN regexp_matches(text, '[ٹ-ۿݐ-ݿ]') OR len(list_intersect(string_split(text, ' '), ['ہے', 'کا', 'کی', 'کے', 'سے', 'میں', 'اور', 'یہ', 'اس'])) > 0 THEN 'ur' WHEN latin > 0 AND latin >= arabic THEN 'en' ELSE 'ar' END AS asked_in,
+WITH {_SAID_SQL}, n AS (SELECT doc_id, text, {_COUNT("A-Za-z")} AS latin, {_COUNT("؀-ۿ")} AS arabic, {_COUNT("ٹ-ڀڈ-ڏڑ-ۿـئؤٱ")} AS urdu FROM said)
+SELECT doc_id, CASE WHEN regexp_matches(text, '[\\x{{0679}}-\\x{{06FF}}\\x{{0750}}-\\x{{077F}}\\x{{FE70}}-\\x{{FEFF}}]') OR regexp_matches(' ' || text || ' ', '{_NO_WORD}(?:{"|".join(re.findall("[ء-ے]+", T.URDU_WORDS))}){_NO_WORD}') THEN 'ur' WHEN latin > 0 AND latin >= arabic THEN 'en' ELSE 'ar' END AS asked_in,
        CASE WHEN arabic = 0 THEN 'en' WHEN urdu >= greatest(3, floor(arabic / 10)) THEN 'ur' WHEN latin > arabic THEN 'en' ELSE 'ar' END AS answered_in FROM n
 """)
 def script_languages(spark, d):
-    """The language of questions and of answers, by script."""
-    return _said(spark).select("id", T.script_language(F.col("text")).alias("asked_in"), T.answer_language(F.col("text")).alias("answered_in"))
+    """The language of every document in other letters, as of a question and as of an answer, by script."""
+    return _said(spark, d).select("doc_id", T.script_language(F.col("text")).alias("asked_in"), T.answer_language(F.col("text")).alias("answered_in"))
+
+
+_SAID_TOKENS = f"""list_transform(string_split_regex(text, '\\s+'), lambda w: {_FOLD_ARABIC("strip_accents(lower(trim(w, '.,;:!?()[]\"''«»،؛؟*#-')))")})"""
 
 
 @query(f"""
-WITH {_SAID_SQL}, w AS (SELECT id, list_filter(list_transform(string_split(text, ' '), lambda x: translate(regexp_replace(trim(x, '.,;:!?()[]"''«»،؛؟*#-'), '[\\x{{064B}}-\\x{{0652}}\\x{{0670}}\\x{{0640}}]', '', 'g'), 'أإآىةؤئ', 'ااايهوي')), lambda x: regexp_matches(x, '^[؀-ۿ]')) AS w FROM said)
-SELECT id, coalesce(array_to_string(list_filter(w, lambda x: NOT list_contains({_quoted(T._stopwords())}, x) AND NOT regexp_full_match(x, '[0-9٠-٩]+')), ' '), '') AS terms FROM w WHERE id NOT IN (5, 8, 9)
+WITH {_SAID_SQL}, w AS (SELECT doc_id, list_filter({_SAID_TOKENS}, lambda t: t <> '' AND NOT list_contains({_quoted(T._stopwords())}, t) AND NOT regexp_full_match(t, '\\p{{Nd}}+') AND (regexp_matches(t, '[؀-ۿ]') OR length(t) >= 3)) AS w FROM said)
+SELECT doc_id, len(w) AS n, sha256(array_to_string(w, ' ')) AS terms FROM w
 """)
 def arabic_terms(spark, d):
-    """The content words of Arabic and Urdu questions."""
-    return _said(spark).where("id NOT IN (5, 8, 9)").select("id", F.array_join(T.query_terms(F.col("text")), " ").alias("terms"))
+    """The content words of every document in other letters, read as a question."""
+    return _said(spark, d).select("doc_id", T.query_terms(F.col("text")).alias("w")).select("doc_id", F.size("w").alias("n"), F.sha2(F.array_join("w", " "), 256).alias("terms"))
 
 
-@query("SELECT id, n, CAST(boost AS DOUBLE) AS boost FROM (VALUES (0, 0, 0.0), (1, 0, 0.0), (2, 3, 0.15), (3, 0, 0.0), (4, 0, 0.0), (5, 0, 0.0), (6, 1, 0.0), (7, 0, 0.0), (8, 0, 0.0), (9, 0, 0.0), (10, 0, 0.0)) v(id, n, boost)")
+@query(f"""
+WITH {_SAID_SQL}, found AS (SELECT doc_id, {_FOLD_ARABIC("lower(substr(text, 1, CAST(floor(length(text) / 2) AS BIGINT)))")} AS half,
+  list_concat(list_concat(regexp_extract_all(text, '[؀-ۿ]+\\s+(?:{T.COMPOUND_NAME.split("(?:")[1][:-1]})'), regexp_extract_all(text, '(?:ابن|بن)\\s+[؀-ۿ]+')),
+    list_filter(list_transform(string_split_regex(text, '\\s+'), lambda w: trim(w, '.,;:!?()[]"''«»،؛؟*#-')), lambda w: regexp_matches(w, '^[؀-ۿ]{{4,}}(?:ي|وي)({_NO_WORD}|$)'))) AS names FROM said)
+SELECT doc_id, len(names) AS n, CASE WHEN len(names) > 0 THEN round(0.15 * len(list_filter(names, lambda e: contains(half, lower({_FOLD_ARABIC("e")})))) / len(names), 8) ELSE 0.0 END AS boost FROM found
+""")
 def entity_names(spark, d):
-    """Names in questions, and what a passage that names the same earns."""
-    names = T.entities(F.col("text"))
-    passage = F.lit("قال ابن عمر: روى محمود بن صدر الشريعه")
-    return _said(spark).select("id", F.size(names).alias("n"), F.round(T.entity_boost(names, passage), 6).alias("boost"))
+    """Names in every document in other letters, and what its own first half earns by naming them."""
+    text = F.col("text")
+    named = _said(spark, d).select("doc_id", T.entities(text).alias("names"), F.substr(text, F.lit(1), F.floor(F.length(text) / 2).cast("int")).alias("half"))
+    return named.select("doc_id", F.size("names").alias("n"), F.round(T.entity_boost(F.col("names"), F.col("half")), 8).alias("boost"))
 
 
 # Boxes and sizes -------------------------------------------------------------------------------
