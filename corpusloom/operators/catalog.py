@@ -114,6 +114,11 @@ def set_status(rows: DataFrame, key: str, value: object, **changes: object) -> D
     return rows
 
 
+def with_defaults(rows: DataFrame, **defaults: object) -> DataFrame:
+    """Rows with a default in place of a null in each of some columns."""
+    return rows.select(*[F.coalesce(c, F.lit(defaults[c])).alias(c) if c in defaults else F.col(c) for c in rows.columns])
+
+
 def preview(text: Column, length: int = 200) -> Column:
     """The beginning of a text, as lists show it."""
     return F.substring(text, 1, length)

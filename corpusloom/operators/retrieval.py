@@ -137,6 +137,23 @@ def coverage(own: Column, kept: Column) -> Column:
     return F.when(F.size(own) > 0, F.size(F.filter(own, lambda g: F.array_contains(kept, g))) / F.size(own)).otherwise(F.lit(0.0))
 
 
+def covered(passages: DataFrame, scope: str) -> DataFrame:
+    """(id, size, shared, coverage, best, by_best): what part of each passage's n-grams earlier ones of its scope hold.
+
+    ``passages`` has id, text and ``scope``; earlier is what has a smaller id. ``best`` is the passage that was first to
+    have most of the n-grams, of equals the earliest, null if none are shared; passages without an n-gram have no row.
+    Every n-gram is met with its first holder alone, so work and result grow with the text, not with pairs of passages.
+    """
+    each = passages.select("id", scope, F.explode(grams(T.tokens(F.coalesce("text", F.lit(""))))).alias("gram"))
+    per = each.select("id", scope, F.unhex(F.md5(F.col("gram").cast("binary"))).alias("gram")).groupBy(scope, "gram", "id").agg(F.count("*").alias("n"))
+    first = per.groupBy(F.col(scope).alias("_scope"), F.col("gram").alias("_gram")).agg(F.min("id").alias("first"))
+    met = per.join(first, F.col(scope).eqNullSafe(F.col("_scope")) & (F.col("gram") == F.col("_gram"))).groupBy("id", "first").agg(F.sum("n").alias("n"))
+    earlier = F.col("first") < F.col("id")
+    best = F.max(F.when(earlier, F.struct("n", (-F.col("first")).alias("first"))))
+    out = met.groupBy("id").agg(F.sum("n").alias("size"), F.coalesce(F.sum(F.when(earlier, F.col("n"))), F.lit(0)).alias("shared"), best.alias("b"))
+    return out.select("id", "size", "shared", F.round(F.col("shared") / F.col("size"), 6).alias("coverage"), (-F.col("b.first")).alias("best"), F.round(F.col("b.n") / F.col("size"), 6).alias("by_best"))
+
+
 def suppress(ranked: DataFrame, top: int = TOP) -> DataFrame:
     """The best passages without those that repeat a better one of the same book and pages.
 

@@ -180,3 +180,8 @@ def fixed_slices(texts: DataFrame, size: int = CEILING) -> DataFrame:
 def chunk_statistics(own: DataFrame) -> DataFrame:
     """Number, total, mean and largest size of the chunks of each document."""
     return own.groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.sum("token_count").alias("n_tokens"), F.round(F.avg("token_count"), 4).alias("avg_tokens"), F.max("token_count").alias("max_tokens"))
+
+
+def page_statistics(words: DataFrame) -> DataFrame:
+    """Number of pages with words, and total, mean and largest number of words of a page, of each document."""
+    return words.groupBy("doc_id", "page").agg(F.count("*").alias("n")).groupBy("doc_id").agg(F.count("*").alias("n_pages"), F.sum("n").alias("n_words"), F.round(F.avg("n"), 4).alias("avg_words"), F.max("n").alias("max_words"))

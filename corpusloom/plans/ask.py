@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import answers as A
@@ -12,9 +12,14 @@ from corpusloom.plans.models import Models
 from corpusloom.sources.store import stored
 
 
+def valid_question(question: Column) -> Column:
+    """Whether a question has from 1 to 4096 characters."""
+    return F.length(question).between(1, 4096)
+
+
 def enriched(questions: DataFrame, models: Models) -> DataFrame:
     """(q, question) with language, other form, keyword query and vector; bad lengths are left out."""
-    rows = questions.where(F.length("question").between(1, 4096))
+    rows = questions.where(valid_question(F.col("question")))
     rows = rows.withColumn("language", T.script_language(F.col("question"))).withColumn("other", models.translate(F.col("question")))
     primary, secondary = T.keyword_queries(F.col("question"), F.col("other"), F.col("question"))
     rows = rows.withColumn("primary", primary).withColumn("secondary", secondary)

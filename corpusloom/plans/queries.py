@@ -262,14 +262,14 @@ def postings_refreshed(spark, d):
     return store.read().select("term", "id", "tf")
 
 
-_KEYWORD = f"""
-{_POSTINGS},
+_RANKED_KEYWORD = f"""
 terms AS (SELECT DISTINCT item_id AS q, unnest({_TERMS}) AS term FROM benchmark),
 placed AS (SELECT q, term, row_number() OVER (PARTITION BY q ORDER BY df, term) AS pos FROM terms JOIN (SELECT term, count(*) AS df FROM postings GROUP BY 1) USING (term)),
 hits AS (SELECT q, id, pos, tf, row_number() OVER (PARTITION BY q, id ORDER BY pos) AS n FROM placed JOIN postings USING (term)),
 scored AS (SELECT q, id, max(CASE WHEN n = pos THEN pos ELSE 0 END) AS tier, count(*) AS matched, CAST(sum(tf) AS BIGINT) AS tf FROM hits GROUP BY 1, 2),
 keyword AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY tier DESC, matched DESC, tf DESC, id) AS rank FROM scored QUALIFY rank <= 20)
 """
+_KEYWORD = f"{_POSTINGS}, {_RANKED_KEYWORD}"
 
 
 def _questions(spark, d) -> DataFrame:
@@ -474,6 +474,18 @@ def hit_coverage(spark, d):
     return both.select("q", F.col("id").alias("kept"), "lower", F.round(retrieval.coverage(F.col("h"), F.col("g")), 6).alias("coverage"))
 
 
+@query(f"""
+WITH g AS (SELECT doc_id, source, unnest({_GRAMS}) AS gram FROM (SELECT doc_id, source, {_TOKENS} AS t FROM documents)),
+f AS (SELECT *, min(doc_id) OVER (PARTITION BY source, gram) AS first FROM g),
+per AS (SELECT doc_id, first, count(*) AS n FROM f GROUP BY 1, 2),
+found AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS size, coalesce(CAST(sum(n) FILTER (first < doc_id) AS BIGINT), 0) AS shared, arg_max(first, n * 1000000000 - first) FILTER (first < doc_id) AS best, max(n) FILTER (first < doc_id) AS most FROM per GROUP BY 1)
+SELECT doc_id, size, shared, round(shared / size, 6) AS coverage, best, round(most / size, 6) AS by_best FROM found
+""")
+def source_coverage(spark, d):
+    """What part of a document the documents before it in its source cover, over all documents of every source."""
+    return retrieval.covered(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "source", "text"), "source").withColumnRenamed("id", "doc_id")
+
+
 @query(f"""
 WITH RECURSIVE {_KEPT}, best AS (SELECT q, max(score) AS best FROM ranked GROUP BY 1), top AS (SELECT q, max(score) AS top FROM legs GROUP BY 1),
 named AS (SELECT q, string_agg(book || ':' || id, ', ' ORDER BY list_position(kept, n)) AS names FROM ranked JOIN last USING (q) JOIN grams USING (id) WHERE list_contains(kept, n) AND list_position(kept, n) <= 8 GROUP BY 1),
@@ -494,8 +506,8 @@ def answer_sources(spark, d):
 _RAW = """
 raw AS (SELECT doc_id, generate_subscripts(l, 1) - 1 AS raw, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
 clean AS (SELECT doc_id, raw, trim(translate(regexp_replace(regexp_replace(trim(line), '^[#>*\\-]+\\s*|\\d+[.)]\\s*', '', 'g'), '\\*\\*|__', '', 'g'), '`*#', '')) AS line_text FROM raw),
-placed AS (SELECT *, sum(CASE WHEN line_text = '' THEN 54.0 ELSE 18.0 END) OVER (PARTITION BY doc_id ORDER BY raw) - CASE WHEN line_text = '' THEN 54.0 ELSE 18.0 END AS y FROM clean),
-lines AS (SELECT doc_id, raw, line_text, y FROM placed WHERE line_text <> '')
+stacked AS (SELECT *, sum(CASE WHEN line_text = '' THEN 54.0 ELSE 18.0 END) OVER (PARTITION BY doc_id ORDER BY raw) - CASE WHEN line_text = '' THEN 54.0 ELSE 18.0 END AS y FROM clean),
+lines AS (SELECT doc_id, raw, line_text, y FROM stacked WHERE line_text <> '')
 """
 
 
@@ -526,9 +538,9 @@ def fixed_ceiling_chunks(spark, d):
     return segment.fixed_slices(table(spark, d, "documents")).select("doc_id", "chunk_no", "token_count", F.sha2("text", 256).alias("digest"))
 
 
-@query(f"""
-WITH RECURSIVE {_WORDS},
-line AS (SELECT doc_id, raw, min(idx) AS a, max(idx) + 1 AS b FROM boxed GROUP BY 1, 2),
+_LINES = "line AS (SELECT doc_id, raw, min(idx) AS a, max(idx) + 1 AS b FROM boxed GROUP BY 1, 2)"
+#: Chunks (doc_id, chunk_no, token_count, text) of what ``line`` holds, packed and merged.
+_PACKED = """
 para AS (SELECT doc_id, list(a ORDER BY a) || [max(b)] AS t, count(*) AS n FROM line GROUP BY 1),
 ends AS (SELECT doc_id, list(idx ORDER BY idx) AS e FROM boxed WHERE regexp_matches(text, '[.۔!?؟]$') GROUP BY 1),
 pack AS (SELECT doc_id, 0::BIGINT AS first, len(list_filter(t, lambda x: x <= t[1] + 420)) - 1 AS fits FROM para
@@ -544,7 +556,12 @@ fold AS (SELECT doc_id, n, a, b, 0::BIGINT AS chunk_no, b - a AS size FROM part
          UNION ALL SELECT doc_id, m, x, y, chunk_no + CASE WHEN j THEN 0 ELSE 1 END, CASE WHEN j THEN size ELSE 0 END + y - x FROM (
            SELECT f.doc_id, p.n AS m, p.a AS x, p.b AS y, chunk_no, size, (size < 150 OR NOT coalesce(list_contains(e, f.b - 1), false)) AND size + p.b - p.a <= 420 AS j FROM fold f JOIN part p ON p.doc_id = f.doc_id AND p.n = f.n + 1 LEFT JOIN ends ON ends.doc_id = f.doc_id)),
 held AS (SELECT DISTINCT doc_id, chunk_no, unnest(range(a, b)) AS idx FROM fold),
-chunk AS (SELECT doc_id, chunk_no, count(*) AS token_count, string_agg(text, ' ' ORDER BY idx) AS text FROM held JOIN boxed USING (doc_id, idx) GROUP BY 1, 2),
+chunk AS (SELECT doc_id, chunk_no, count(*) AS token_count, string_agg(text, ' ' ORDER BY idx) AS text FROM held JOIN boxed USING (doc_id, idx) GROUP BY 1, 2)
+"""
+
+
+@query(f"""
+WITH RECURSIVE {_WORDS}, {_LINES}, {_PACKED},
 hashed AS (SELECT *, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode(lower(trim(regexp_replace(strip_accents(text), '\\s+', ' ', 'g'))) || '|1|1')) AS h FROM chunk)
 SELECT doc_id, CAST(chunk_no AS INTEGER) AS chunk_no, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', (position(substr(h, 17, 1) IN '0123456789abcdef') - 1) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS id,
        token_count, 1 AS page_start, 1 AS page_end, sha256(text) AS digest FROM hashed
@@ -854,6 +871,15 @@ def index_attributes(spark, d):
 # Flagship --------------------------------------------------------------------------------------
 
 
+@query(f"""
+WITH RECURSIVE {_WORDS}, {_LINES}, {_PACKED},
+passage AS (SELECT doc_id, doc_id || ':' || chunk_no AS id, text FROM chunk),
+postings AS (SELECT term, id, count(*) AS tf FROM (SELECT id, unnest({_TOKENS}) AS term FROM passage) GROUP BY 1, 2),
+{_RANKED_KEYWORD},
+asked AS (SELECT item_id AS q, {_TERMS} AS terms FROM benchmark),
+overlap AS (SELECT q, p.doc_id, id, rank, tier, matched, CASE WHEN len(terms) > 0 THEN len(list_filter(terms, lambda t: contains(array_to_string({_TOKENS}, ' '), t))) / len(terms) ELSE 0.0 END AS overlap FROM keyword JOIN passage p USING (id) JOIN asked USING (q))
+SELECT q, row_number() OVER (PARTITION BY q ORDER BY overlap DESC, rank) AS place, doc_id, id, round(overlap, 6) AS overlap, tier, matched FROM overlap QUALIFY place <= 8
+""")
 def known_items(spark: SparkSession, d: str) -> DataFrame:
     """Benchmark questions against passages of the documents: the eight best by keywords and overlap."""
     own = ingest.passages(_page_texts(spark, d), every_line=True).select(F.concat_ws(":", "doc_id", "chunk_no").alias("id"), "doc_id", "text")
@@ -865,8 +891,6 @@ def known_items(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(place)).where("place <= 8").select("q", "place", "doc_id", "id", F.round("overlap", 6).alias("overlap"), "tier", "matched")
 
 
-QUERIES["known_items"] = known_items
-
 
 def answers(spark, d):
     """Questions answered from document passages by both legs, with decision, answer and sources."""

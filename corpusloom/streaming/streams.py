@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
+from corpusloom.operators.limits import Limit, admit
 from corpusloom.operators.state import FAILURES, WINDOW_SECONDS
 
 #: Monday: the epoch was a Thursday.
@@ -64,7 +65,8 @@ class _Limiter(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         opened, count = self.state.get() if self.state.exists() else (0, 0)
-        tries = pd.concat(list(rows)).sort_values("at")
+        # Tries of one moment go as in the batch form: failures first.
+        tries = pd.concat(list(rows)).sort_values(["at", "failed"], ascending=[True, False], kind="stable")
         out = []
         for row in tries.itertuples():
             if count and row.at - opened >= WINDOW_SECONDS * 1_000_000:
@@ -98,6 +100,51 @@ def login_limiter(tries: DataFrame, at: str = "ts", late: str = "1 minute") -> D
     return own.groupBy("key").transformWithStateInPandas(_Limiter(), LIMIT_OUT, "Append", "EventTime")
 
 
+BUCKET_OUT = StructType([StructField("key", LongType()), StructField("event_id", LongType()), StructField("at", LongType()), StructField("accepted", BooleanType()), StructField("level", LongType())])
+_BUCKET_STATE = StructType([StructField("level", LongType()), StructField("last", LongType())])
+
+
+class _Bucket(StatefulProcessor):
+    """A leaky bucket; its state goes once it has drained."""
+
+    def __init__(self, limit: Limit) -> None:
+        self.limit = limit
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("bucket", _BUCKET_STATE)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        level, last = self.state.get() if self.state.exists() else (0, None)
+        out = []
+        for row in pd.concat(list(rows)).sort_values(["at", "event_id"]).itertuples():
+            good, level, last = admit(int(level), None if last is None else int(last), int(row.at), self.limit)
+            out.append((key[0], int(row.event_id), int(row.at), good, level))
+        self.state.update((int(level), int(last)))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        # An empty bucket and none admit alike once a whole request more has drained.
+        drained = int(last) + (int(level) + self.limit.one) // self.limit.rate + 1
+        self.handle.registerTimer(drained // 1000 + 1)
+        yield pd.DataFrame(out, columns=BUCKET_OUT.names)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        yield pd.DataFrame([], columns=BUCKET_OUT.names)
+
+    def close(self) -> None:
+        pass
+
+
+def leaky_bucket(requests: DataFrame, limit: Limit, at: str = "ts", late: str = "1 minute") -> DataFrame:
+    """The streaming form of ``operators.limits.leaky_bucket`` for (key, event_id, ts); needs the RocksDB state store.
+
+    Requests of one micro-batch go by time; one that comes after its successors were admitted meets the bucket as it is then.
+    """
+    own = requests.withWatermark(at, late).select(F.col("key").cast("long").alias("key"), F.col("event_id").cast("long").alias("event_id"), F.unix_micros(F.col(at)).alias("at"), F.col(at).alias("event_time"))
+    return own.groupBy("key").transformWithStateInPandas(_Bucket(limit), BUCKET_OUT, "Append", "EventTime")
+
+
 JOB_OUT = StructType([StructField("job", LongType()), StructField("status", StringType()), StructField("started_at", LongType()), StructField("finished_at", LongType())])
 _JOB_STATE = StructType([StructField("status", StringType()), StructField("at", LongType()), StructField("started_at", LongType()), StructField("finished_at", LongType())])
 
