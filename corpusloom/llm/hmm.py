@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm import blocks as B
-from corpusloom.llm.common import checkpoint, partitions, require, text_or_empty
+from corpusloom.llm.common import checkpoint, forget, partitions, require, text_or_empty
 
 #: Hidden states, word classes of their own, and shared classes.
 STATES = 6
@@ -54,7 +54,7 @@ COARSE = COARSE_TOP + COARSE_SHARED + 1
 STARTS = 4
 START_STEPS = 120
 #: Tokens in a segment, and in what a task works on at once.
-SEGMENT = 96
+SEGMENT = 160
 AT_ONCE = 400_000
 #: Added to expected counts.
 EMISSION_PRIOR = 0.01
@@ -103,96 +103,118 @@ class Segments:
         self.bounds = np.concatenate([[0], np.cumsum(per)])
         self.starts, self.sizes, self.first = starts[order], sizes[order], (number == 0)[order]
         self.active = np.searchsorted(-self.sizes, -np.arange(SEGMENT), "left")
-
-    def transfers(self, p: Parameters) -> tuple[np.ndarray, np.ndarray]:
-        """The matrix that takes the forward vector through each segment, scaled, and its log scale."""
-        n = len(self.starts)
-        x = np.broadcast_to(np.eye(STATES), (n, STATES, STATES)).copy()
-        scale = np.zeros(n)
-        emission = np.ascontiguousarray(p.emission.T)
+        # Only sequences of several segments need the matrices of these; most documents are one segment.
+        self.of_several = np.flatnonzero((per > 1)[owner][order])
+
+    def transfers(self, p: Parameters) -> np.ndarray:
+        """The matrix (state before, state after, segment) that takes the forward vector through each segment of a longer sequence, up to a factor."""
+        starts, sizes, first = (x[self.of_several] for x in (self.starts, self.sizes, self.first))
+        active = np.searchsorted(-sizes, -np.arange(SEGMENT), "left")
+        x = np.repeat(np.eye(STATES, dtype=p.transition.dtype)[:, :, None], len(starts), axis=2)
+        onward = np.ascontiguousarray(p.transition.T)
         for t in range(SEGMENT):
-            a = self.active[t]
+            a = active[t]
             if not a:
                 break
-            e = emission[self.flat[self.starts[:a] + t]]
-            step = (x[:a].reshape(-1, STATES) @ p.transition).reshape(a, STATES, STATES)
+            step = np.matmul(onward, x[:, :, :a])
             if t == 0:
-                step[self.first[:a]] = np.eye(STATES)
-            step *= e[:, None, :]
-            if t % 8 == 7 or t == SEGMENT - 1:
-                total = step.sum(axis=(1, 2))
-                step /= total[:, None, None]
-                scale[:a] += np.log(total)
-            x[:a] = step
-        return x, scale
+                step[:, :, first[:a]] = np.eye(STATES)[:, :, None]
+            step *= p.emission.take(self.flat[starts[:a] + t], axis=1)
+            if t % 2 or t == SEGMENT - 1:
+                step /= step.sum(axis=(0, 1))
+            x[:, :, :a] = step
+        return x
 
     def likelihoods(self, p: Parameters) -> np.ndarray:
         """Natural log probability of each sequence, by the scaled forward recursion."""
-        x, scale = self.transfers(p)
-        v, log = self._through(p, x, scale)[:2]
-        return log
+        self._forward(p, self._through(p)[0], keep=False)
+        return self.log
 
-    def _through(self, p: Parameters, x: np.ndarray, scale: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Forward vectors before each segment, log probabilities, and segments' numbers by rank."""
-        before = np.empty((len(self.starts), STATES))
+    def _through(self, p: Parameters) -> tuple[np.ndarray, np.ndarray]:
+        """Forward vectors ahead of each segment, and backward vectors behind it, a column each."""
+        n = len(self.starts)
+        before, after = np.repeat(p.initial[:, None], n, axis=1), np.ones((STATES, n), dtype=p.initial.dtype)
+        if not len(self.of_several):
+            return before, after
+        x = self.transfers(p)
+        at_x = np.full(n, -1)
+        at_x[self.of_several] = np.arange(len(self.of_several))
         per = np.diff(self.bounds)
-        v = np.broadcast_to(p.initial, (len(per), STATES)).copy()
-        log = np.zeros(len(per))
-        order = np.argsort(-per, kind="stable")
+        order = np.argsort(-per, kind="stable")[: int((per > 1).sum())]
+        v = np.repeat(p.initial[:, None], len(per), axis=1)
         for k in range(per.max(initial=0)):
             live = order[: np.searchsorted(-per[order], -k, "left")]
             at = self.place[self.bounds[live] + k]
-            before[at] = v[live]
-            out = np.einsum("ni,nij->nj", v[live], x[at])
-            total = out.sum(axis=1)
-            v[live] = out / total[:, None]
-            log[live] += np.log(total) + scale[at]
-        return before, log, order
-
-    def expected(self, p: Parameters) -> np.ndarray:
-        """Expected counts of starts, transitions and emissions over all sequences; ``log`` gets their log probabilities."""
-        x, scale = self.transfers(p)
-        before, self.log, order = self._through(p, x, scale)
-        n, per = len(self.starts), np.diff(self.bounds)
-        after = np.empty((n, STATES))  # backward vectors at the end of each segment
-        w = np.ones((len(per), STATES))
+            before[:, at] = v[:, live]
+            out = np.einsum("in,ijn->jn", v[:, live], x[:, :, at_x[at]])
+            v[:, live] = out / out.sum(axis=0)
+        w = np.ones((STATES, len(per)), dtype=p.initial.dtype)
         for k in range(per.max(initial=0) - 1, -1, -1):
             live = order[: np.searchsorted(-per[order], -k, "left")]
             at = self.place[self.bounds[live] + k]
-            after[at] = w[live]
-            back = np.einsum("nij,nj->ni", x[at], w[live])
-            w[live] = back / back.sum(axis=1, keepdims=True)
-        emission = np.ascontiguousarray(p.emission.T)
-        alphas, alpha = [], before
+            after[:, at] = w[:, live]
+            back = np.einsum("ijn,jn->in", x[:, :, at_x[at]], w[:, live])
+            w[:, live] = back / back.sum(axis=0)
+        return before, after
+
+    def _forward(self, p: Parameters, before: np.ndarray, keep: bool) -> list[np.ndarray]:
+        """Scaled forward vectors by place in the segments, if they are kept; ``log`` gets the log probabilities of the sequences."""
+        alphas, alpha, scale = [], before, np.zeros(len(self.starts))
+        product, held = np.ones(len(self.starts)), 0
+        onward = np.ascontiguousarray(p.transition.T)
         for t in range(SEGMENT):
             a = self.active[t]
             if not a:
                 break
-            moved = alpha[:a] @ p.transition
+            moved = onward @ alpha[:, :a]
             if t == 0:
-                moved = np.where(self.first[:a, None], alpha[:a], moved)
-            alpha = moved * emission[self.flat[self.starts[:a] + t]]
-            alpha /= (alpha @ _ONES)[:, None]
-            alphas.append(alpha)
+                moved[:, self.first[:a]] = alpha[:, :a][:, self.first[:a]]
+            moved *= p.emission.take(self.flat[self.starts[:a] + t], axis=1)
+            total = moved.sum(axis=0)
+            moved /= total
+            alpha = moved
+            product[:a] *= total
+            held += 1
+            if held == 16:  # sixteen factors of at least 1e-12 or so stay above the least double
+                scale += np.log(product)
+                product[:], held = 1.0, 0
+            if keep:
+                alphas.append(alpha)
+        by_segment = scale + np.log(product)
+        self.log = np.add.reduceat(by_segment[self.place], self.bounds[:-1]) if len(self.bounds) > 1 else np.zeros(0)
+        return alphas
+
+    def expected(self, p: Parameters) -> np.ndarray:
+        """Expected counts of starts, transitions and emissions over all sequences; ``log`` gets their log probabilities."""
+        # Single precision is enough for counts, which are summed in double, and takes half the time; scores are exact.
+        p = Parameters(*(x.astype(np.float32) for x in (p.initial, p.transition, p.emission)))
+        before, after = self._through(p)
+        alphas = self._forward(p, before, keep=True)
         starts, moves, emitted = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((STATES, CLASSES))
-        beta = after.copy()
+        onward = np.ascontiguousarray(p.transition.T)
+        beta = after
         for t in range(len(alphas) - 1, -1, -1):
             a = self.active[t]
-            classes = self.flat[self.starts[:a] + t]
-            gamma = alphas[t] * beta[:a]
-            gamma /= (gamma @ _ONES)[:, None]
-            for state in range(STATES):
-                emitted[state] += np.bincount(classes, gamma[:, state], CLASSES)
-            weighted = emission[classes] * beta[:a]
-            if t == 0:
-                starts += gamma[self.first[:a]].sum(axis=0)
-            source = alphas[t - 1][:a] if t else before
-            inner = None if t else ~self.first[:a]
-            source, target = (source, weighted) if t else (source[inner], weighted[inner])
-            norm = ((source @ p.transition) * target) @ _ONES
-            moves += p.transition * (source.T @ (target / norm[:, None]))
-            back = weighted @ p.transition.T
-            beta[:a] = back / (back @ _ONES)[:, None]
+            ahead = beta[:, :a]
+            gamma = alphas[t] * ahead
+            gamma /= gamma.sum(axis=0)
+            weighted = p.emission.take(self.flat[self.starts[:a] + t], axis=1)
+            weighted *= ahead
+            if t:
+                source, target = alphas[t - 1][:, :a], weighted
+            else:
+                starts += gamma[:, self.first[:a]].sum(axis=1)
+                inner = ~self.first[:a]
+                source, target = before[:, :a][:, inner], weighted[:, inner]
+            norm = ((onward @ source) * target).sum(axis=0)
+            moves += p.transition * (source @ (target / norm).T)
+            back = p.transition @ weighted
+            back /= back.sum(axis=0)
+            beta[:, :a] = back
+            alphas[t] = gamma  # its classes are counted below, all places at once
+        classes = self.flat[np.concatenate([self.starts[: self.active[t]] + t for t in range(len(alphas))])]
+        for state in range(STATES):
+            emitted[state] = np.bincount(classes, np.concatenate([g[state] for g in alphas]), CLASSES)
         return np.concatenate([starts, moves.ravel(), emitted.ravel()])
 
 
@@ -402,7 +424,7 @@ def coded(docs: DataFrame) -> tuple[DataFrame, Vocabulary]:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), text_or_empty().cast("binary").alias("text"))
     documents = rows.where(~F.col("held_out")).count()
     n = partitions(docs.sparkSession)
-    blocks = B.pack(rows, make=_maker(n))
+    blocks = checkpoint(B.pack(rows, make=_maker(n)))  # read for the questions and for their answers
     answers = checkpoint(B.ask(blocks, _questions, _read).mapInArrow(_totals, B.ANSWERS))
     shared = {r["shared"]: (r["n"], r["v"]) for r in answers.where("block = -1").mapInArrow(_class_rows, "shared long, n long, v long").groupBy("shared").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()}
     # The top words of the tasks are merged in two steps, of as many lists each; the driver gets TOP rows.
@@ -415,7 +437,9 @@ def coded(docs: DataFrame) -> tuple[DataFrame, Vocabulary]:
     for row in top:
         by_class[shared_class(bytes(row["word"])) - TOP] -= (row["n"], 1)
     vocabulary = Vocabulary({bytes(r["word"]): n for n, r in enumerate(top)}, np.array([r["n"] for r in top], dtype=np.float64), by_class[:, 0], by_class[:, 1], documents, tokens, words)
-    return checkpoint(B.resolve(blocks, answers.where("block >= 0"), _coder(vocabulary), CODED, read=_read)), vocabulary
+    out = checkpoint(B.resolve(blocks, answers.where("block >= 0"), _coder(vocabulary), CODED, read=_read))
+    forget(blocks, answers)
+    return out, vocabulary
 
 
 def _coarse(vocabulary: Vocabulary) -> np.ndarray:
