@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corpusloom.functions.normal_forms import composed, decomposed
+
 # Function words that carry no meaning in a question.
 ARABIC_STOPWORDS = [
     "من", "ما", "هو", "هي", "هم", "هن", "في", "على", "عن", "إلى", "الي",
@@ -180,20 +182,22 @@ def entity_boost(names: Column, text: Column) -> Column:
 
 
 def for_id(text: Column) -> Column:
-    """The form of a text that its identifier is made from."""
-    plain = F.translate(text, FOLD_FROM, FOLD_TO)
-    plain = F.translate(F.regexp_replace(plain, ID_MARKS, ""), LETTERS_FROM + MODIFIERS, LETTERS_TO)
+    """The form of a text that its identifier is made from: without marks, variant letters made one, in form C."""
+    bare = lambda t: F.translate(F.regexp_replace(t, ID_MARKS, ""), LETTERS_FROM + MODIFIERS, LETTERS_TO)
+    plain = let(text, lambda t: F.when(beyond_ascii(t), composed(bare(decomposed(t)))).otherwise(t))
     return F.lower(F.trim(F.regexp_replace(plain, r"(?U)\s+", " ")))
 
 
 def claim_token(text: Column) -> Column:
-    """A token as the alignment of claims compares it."""
-    low = F.lower(text)
-    arabic = F.regexp_replace(F.translate(low, "أإآء", "ااا"), "[ً-ٰٟـ]", "")
-    arabic = F.when((F.length(arabic) > 3) & arabic.rlike("^[وف]"), F.substring(arabic, 2, 1 << 20)).otherwise(arabic)
-    trimmed = F.regexp_replace(arabic, "ا+$", "")
-    arabic = F.when((F.length(arabic) > 3) & arabic.endswith("ا") & (F.length(trimmed) >= 3), trimmed).otherwise(arabic)
-    return F.when(low.rlike(f"^{ARABIC}+$"), arabic).otherwise(low)
+    """A token as the alignment of claims compares it: form KC in lower case, Arabic without marks, one letter ahead and a closing alef."""
+
+    def run(low: Column) -> Column:
+        arabic = F.regexp_replace(F.translate(low, "أإآء", "ااا"), "[ً-ٰٟـ]", "")
+        bare = let(arabic, lambda t: F.when((F.length(t) > 3) & t.rlike("^[وف]"), F.substring(t, 2, 1 << 20)).otherwise(t))
+        ended = let(bare, lambda t: let(F.regexp_replace(t, "ا+$", ""), lambda cut: F.when((F.length(t) > 3) & t.endswith("ا") & (F.length(cut) >= 3), cut).otherwise(t)))
+        return F.when(beyond_ascii(low) & low.rlike(f"^{ARABIC}+$"), ended).otherwise(low)
+
+    return let(F.lower(let(text, lambda t: F.when(beyond_ascii(t), composed(t, compatible=True)).otherwise(t))), run)
 
 
 def highlight_token(text: Column) -> Column:

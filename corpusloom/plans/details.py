@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import answers as A
-from corpusloom.functions import ids
+from corpusloom.functions import ids, normal_forms
 from corpusloom.functions import text as T
 from corpusloom.operators import catalog, layout, limits, retrieval, segment, state
 from corpusloom.plans import models
@@ -238,6 +238,19 @@ def vectors_cached(spark, d):
     return models.with_cached_vectors(asked, cache, lambda text: F.array(F.length(text).cast("double"))).select("item_id", F.get("vector", F.lit(0)).alias("first"))
 
 
+_MIXED = "replace(replace(replace(replace(replace(text, 'e', 'e' || chr(769)), 'o', 'o' || chr(770) || chr(803)), 'a', chr(8491)), 'n', chr(1575) || chr(1619)), 'i', chr(1728))"
+
+
+@query(f"SELECT doc_id, sha256(nfc_normalize({_MIXED})) AS form_c, {Q._UUID} AS id FROM (SELECT doc_id, text, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode(lower(trim(regexp_replace(translate(regexp_replace(strip_accents({_MIXED}), '[\\x{{064B}}-\\x{{0655}}\\x{{0670}}\\x{{0640}}ʿʾʼʻ]', '', 'g'), 'أإآىةؤئ', 'ااايهوي'), '\\s+', ' ', 'g'))) || '|1|2')) AS h FROM documents)")
+def composed_forms(spark, d):
+    """Documents with letters and marks apart, out of order and in variants: their form C, and the id made from them."""
+    text = F.col("text")
+    for letter, other in (("e", "e\u0301"), ("o", "o\u0302\u0323"), ("a", "\u212b"), ("n", "\u0627\u0653"), ("i", "\u06c0")):
+        text = F.replace(text, F.lit(letter), F.lit(other))
+    rows = table(spark, d, "documents").select("doc_id", text.alias("text"))
+    return rows.select("doc_id", F.sha2(normal_forms.composed(F.col("text")), 256).alias("form_c"), ids.chunk_id(F.col("text"), F.lit(1), F.lit(2)).alias("id"))
+
+
 # Retrieval and passages ----------------------------------------------------------------------------------
 
 
