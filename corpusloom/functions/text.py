@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.normal_forms import composed, decomposed
@@ -135,9 +135,20 @@ def normal(text: Column) -> Column:
     return fold_arabic(fold(F.lower(F.array_join(stripped, " "))))
 
 
-def folded_word(word: Column) -> Column:
-    """One word, its edges stripped, in the form of ``normal``."""
-    return fold_arabic(fold(F.lower(word)))
+def term_rows(texts: DataFrame, *keep: str, text: str = "text") -> DataFrame:
+    """(keep, pos, term): a row for each word of ``tokens``, its place among what white space separates ahead of it.
+
+    Words are cut first and folded as rows: compiled expressions, each step made once, instead of functions over arrays. The
+    last step is a generator, through which the optimizer pushes no filter that would make the steps again.
+    """
+    rows = texts.select(*keep, F.posexplode(split_words(F.col(text))).alias("pos", "term"))
+    rows = rows.withColumn("term", F.lower(F.btrim("term", F.lit(EDGE_CHARACTERS))))
+    term = F.col("term")
+    plain = F.regexp_replace(F.translate(term, FOLD_FROM, FOLD_TO), COMBINING, "")
+    rows = rows.withColumn("term", F.when(beyond_ascii(term), F.translate(plain, "’‘" + MODIFIERS, "''")).otherwise(term))
+    arabic = F.translate(F.regexp_replace(term, ARABIC_MARKS, ""), LETTERS_FROM, LETTERS_TO)
+    rows = rows.withColumn("term", F.when(beyond_ascii(term) & term.rlike(ARABIC), arabic).otherwise(term))
+    return rows.select(*keep, "pos", F.explode(F.array("term")).alias("term")).where("term <> ''")
 
 
 def tokens(text: Column) -> Column:

@@ -58,9 +58,7 @@ def positional_postings(passages: DataFrame, *scopes: str) -> DataFrame:
     Positions count what white space separates. All occurrences of a word in a passage are one row, made where the passage is read
     and merged by key.
     """
-    cut = T.split_words(F.col("text"))
-    placed = passages.select("id", *scopes, F.posexplode(F.transform(cut, lambda w: F.btrim(w, F.lit(T.EDGE_CHARACTERS)))).alias("pos", "word"))
-    own = placed.select("id", *scopes, "pos", F.explode(F.array(T.folded_word(F.col("word")))).alias("term")).where("term <> ''")
+    own = T.term_rows(passages, "id", *scopes)
     return own.groupBy("term", "id", *scopes).agg(F.array_sort(F.collect_list("pos")).alias("positions"))
 
 

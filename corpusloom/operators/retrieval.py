@@ -50,7 +50,7 @@ def postings(passages: DataFrame, *scopes: str, terms: DataFrame | None = None)
     With ``terms`` only those that some question has, dropped where they are read: what is
     shuffled then follows the matches, not the corpus.
     """
-    words = passages.select("id", *scopes, F.explode(T.tokens(F.col("text"))).alias("term"))
+    words = T.term_rows(passages, "id", *scopes).drop("pos")
     words = words if terms is None else _among(words, terms)
     return words.groupBy("term", "id", *scopes).agg(F.count("*").alias("tf"))
 
