@@ -17,13 +17,15 @@ def text_or_empty(column: str = "text") -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; where it is unset, a folder in the warehouse, which is shared too."""
+    """The session's ``spark.checkpoint.dir``, or the folder that was set; a local session without one takes its warehouse."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir")
     if found is None:
         current = sc._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
         sc.setCheckpointDir(found)
     return found
