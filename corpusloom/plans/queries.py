@@ -18,7 +18,7 @@ from corpusloom.functions import answers as A
 from corpusloom.functions import ids
 from corpusloom.functions import text as T
 from corpusloom.operators import catalog, citations, layout, pages, ranking, retrieval, segment, state, vectors
-from corpusloom.plans import ask, ingest
+from corpusloom.plans import ask, ingest, models
 from corpusloom.sources.index_store import IndexStore
 from corpusloom.sources.readers import split_response, table
 from corpusloom.sources.store import shared_folder, stored
@@ -892,14 +892,50 @@ def known_items(spark: SparkSession, d: str) -> DataFrame:
 
 
 
+def _letters(text):
+    """How often each letter stands in a text: a vector that both engines can make, in place of a model's."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return T.let(low, lambda t: F.array(*[(F.length(t) - F.length(F.replace(t, F.lit(c), F.lit("")))).cast("double") for c in "abcdefghijklmnopqrstuvwxyz"]))
+
+
+_LETTERS = lambda t: f"list_transform(range(97, 123), lambda c: CAST(length(lower({t})) - length(replace(lower({t}), chr(CAST(c AS INTEGER)), '')) AS DOUBLE))"
+
+
+@query(f"""
+WITH RECURSIVE {_WORDS}, {_LINES}, {_PACKED},
+passage AS (SELECT c.doc_id || ':' || chunk_no AS id, c.text, d.source AS tenant, CAST(c.doc_id AS VARCHAR) AS book FROM chunk c JOIN documents d ON c.doc_id = d.doc_id),
+tokens AS (SELECT id, tenant, book, text, {_TOKENS} AS t, {_LETTERS("text")} AS v FROM passage),
+posted AS (SELECT term, id, tenant, count(*) AS tf FROM (SELECT id, tenant, unnest(t) AS term FROM tokens) GROUP BY 1, 2, 3),
+asked AS (SELECT item_id AS q, text, {_TERMS} AS terms, {_LETTERS("text")} AS v, tenant FROM benchmark JOIN (SELECT doc_id, source AS tenant FROM documents) ON doc_id = item_id),
+terms AS (SELECT DISTINCT q, tenant, unnest(terms) AS term FROM asked),
+placed AS (SELECT q, tenant, term, row_number() OVER (PARTITION BY q ORDER BY df, term) AS pos FROM terms JOIN (SELECT term, tenant, count(*) AS df FROM posted GROUP BY 1, 2) USING (term, tenant)),
+hits AS (SELECT q, id, pos, tf, row_number() OVER (PARTITION BY q, id ORDER BY pos) AS n FROM placed JOIN posted USING (term, tenant)),
+scored AS (SELECT q, id, max(CASE WHEN n = pos THEN pos ELSE 0 END) AS tier, count(*) AS matched, CAST(sum(tf) AS BIGINT) AS tf FROM hits GROUP BY 1, 2),
+keyword AS (SELECT q, id, row_number() OVER (PARTITION BY q ORDER BY tier DESC, matched DESC, tf DESC, id) AS rank FROM scored QUALIFY rank <= 20),
+near AS (SELECT q, id, round(list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v)) / sqrt(list_dot_product(b.v, b.v)), 6) AS score FROM asked a JOIN tokens b USING (tenant) WHERE list_dot_product(b.v, b.v) > 0),
+vec AS (SELECT q, id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS rank FROM near QUALIFY rank <= 20),
+legs AS (SELECT q, id, text, rank, 1 AS leg, score FROM vec JOIN passage USING (id) UNION ALL SELECT q, id, text, rank, 2, NULL FROM keyword JOIN passage USING (id)),
+fused AS (SELECT q, text, sum(1.0::DOUBLE / (rank - 1 + 60)) AS rrf, min({{'leg': leg, 'rank': rank, 'id': id}}) AS first FROM legs GROUP BY 1, 2),
+graded AS (SELECT q, first.id AS id, book, f.text, first.leg AS leg, first.rank AS leg_rank, t, rrf, CASE WHEN len(terms) > 0 THEN len(list_filter(terms, lambda x: contains(array_to_string(t, ' '), x))) / len(terms) ELSE 0.0 END AS overlap FROM fused f JOIN tokens k ON k.id = f.first.id JOIN asked USING (q)),
+ranked AS (SELECT q, id, book, text, {_GRAMS} AS g, rrf + 0.5 * overlap AS score, row_number() OVER (PARTITION BY q ORDER BY rrf + 0.5 * overlap DESC, leg, leg_rank, id) AS n FROM graded WHERE overlap > 0 AND rrf + 0.5 * overlap >= 0.1),
+clash AS (SELECT a.q, a.n, list(b.n) AS higher FROM ranked a JOIN ranked b ON a.q = b.q AND b.n < a.n AND a.book = b.book WHERE len(a.g) > 0 AND len(list_filter(a.g, lambda x: list_contains(b.g, x))) / len(a.g) >= 0.12 GROUP BY 1, 2),
+turns AS (SELECT DISTINCT q, 0::BIGINT AS n, []::BIGINT[] AS kept FROM ranked
+          UNION ALL SELECT r.q, r.n, CASE WHEN higher IS NOT NULL AND len(list_intersect(kept, higher)) > 0 THEN kept ELSE list_append(kept, r.n) END FROM turns f JOIN ranked r ON r.q = f.q AND r.n = f.n + 1 LEFT JOIN clash c ON c.q = r.q AND c.n = r.n),
+last AS (SELECT q, arg_max(kept, n)[1:8] AS kept FROM turns GROUP BY 1),
+best AS (SELECT q, max(score) AS best, string_agg(id, ',' ORDER BY n) AS sources, arg_min(text, n) AS text, arg_min(book, n) AS book FROM ranked JOIN last USING (q) WHERE list_contains(kept, n) GROUP BY 1),
+top AS (SELECT q, max(score) AS top FROM vec GROUP BY 1),
+gated AS (SELECT q, best IS NOT NULL AND (best >= 0.3 OR coalesce(top, 0) >= 0.65) AS good, sources, array_to_string(string_split(regexp_replace(best.text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))[1:2], ' ') AS said, book FROM asked LEFT JOIN best USING (q) LEFT JOIN top USING (q))
+SELECT q, CASE WHEN good THEN 'generate' ELSE 'retry' END AS decision, CASE WHEN good THEN trim(said || ' [' || book || ', Page 1]', ' ') ELSE 'No relevant information found in the provided sources.' END AS answer, 'en' AS language, false AS needs_rewrite, NOT good AS no_result, CASE WHEN good THEN sources ELSE '' END AS sources FROM gated
+""")
 def answers(spark, d):
-    """Questions answered from document passages by both legs, with decision, answer and sources."""
+    """Questions answered from document passages by both legs, with decision, answer and sources.
+
+    Passages, vectors and postings are stored tables; the plan of the questions begins with them.
+    """
     own = ingest.passages(_page_texts(spark, d), every_line=True).withColumn("book", F.col("doc_id").cast("string")).withColumn("printed_page_start", F.lit(None).cast("int")).withColumn("printed_page_end", F.lit(None).cast("int"))
     own = stored(own.withColumn("id", F.concat_ws(":", "doc_id", "chunk_no")).join(table(spark, d, "documents").select("doc_id", F.col("source").alias("tenant")), "doc_id"))
-    vectors, postings_ = ingest.indexes(own, None, "tenant")
+    own_models = models.Models(embed=_letters)
+    vectors_, postings_ = ingest.indexes(own, own_models, "tenant")
     asked = _questions(spark, d).join(table(spark, d, "documents").select(F.col("doc_id").alias("q"), F.col("source").alias("tenant")), "q")
-    out = ask.answered(asked, own, vectors, postings_)
-    return out.select("q", "decision", "answer", "language", "needs_rewrite", "no_result", F.to_json("sources").alias("sources"))
-
-
-QUERIES["answers"] = answers
+    out = ask.answered(asked, own, vectors_, postings_, own_models)
+    return out.select("q", "decision", "answer", "language", "needs_rewrite", "no_result", F.array_join(F.transform("sources", lambda s: s["id"]), ",").alias("sources"))
