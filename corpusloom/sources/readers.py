@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.sources.calls import Again, Calls, in_order, tried
+
 OCR_SCHEMA = "level int, page_num int, block_num int, par_num int, line_num int, word_num int, left double, top double, width double, height double, conf double, text string"
 PAGES_SCHEMA = "physical_page int, page_num int, printed_page_num int, footer_extracted boolean, words array<struct<text string, bbox array<double>, line string, para_start boolean>>"
 SEPARATOR = r"\*\*Page\s+\d+\*\*|\[Page\s+\d+\]|---+"
@@ -38,43 +41,52 @@ def stored_megabytes(own: DataFrame, n_chunks: int = 0) -> DataFrame:
     return own.agg(F.round(size, 2).alias("megabytes"))
 
 
-PDF_WORDS = "path string, page int, line string, word_no int, text string, x0 double, y0 double, x1 double, y1 double"
+PDF_WORDS = "path string, page int, line string, word_no int, text string, x0 double, y0 double, x1 double, y1 double, error string"
 
 
 def pdf_words(own: DataFrame, read: Callable[[bytes], Iterable[tuple]]) -> DataFrame:
     """Words of PDF files through a decoder that a deployment brings.
 
     ``read`` takes the bytes of one file and gives (page, line, word number, text, box of four); it
-    runs where the file is read. A file that it cannot read gives no row.
+    runs where the file is read. A file that it cannot read has one row with its path and the reason in ``error``.
     """
 
     def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
                 try:
-                    rows = [(path, *row) for row in read(bytes(content))]
-                except ValueError:
-                    continue
-                yield pd.DataFrame(rows, columns=["path", "page", "line", "word_no", "text", "x0", "y0", "x1", "y1"])
+                    rows = [(path, *row, None) for row in read(bytes(content))]
+                except ValueError as reason:
+                    rows = [(path, *[None] * 8, str(reason) or "not readable")]
+                yield pd.DataFrame(rows, columns=["path", "page", "line", "word_no", "text", "x0", "y0", "x1", "y1", "error"]).astype({"page": "Int32", "word_no": "Int32"})
 
     return own.select("path", "content").mapInPandas(words, PDF_WORDS)
 
 
-def image_texts(own: DataFrame, recognise: Callable[[bytes], str], tries: int = 10) -> DataFrame:
-    """(path, text, tries) of page images, one request for each; an empty text is asked for again.
+def image_texts(own: DataFrame, recognise: Callable[[bytes], str], tries: int = 10, at_once: int = 4, pause: Callable[[float], None] = time.sleep) -> DataFrame:
+    """(path, text, tries) of page images, one request for each, several at once; an empty text is asked for again after a pause.
 
     A text that stays empty is the empty string. Files are dealt evenly, as requests take longer than reading.
     """
+    how = Calls(size=1, at_once=at_once, tries=tries, pause=pause)
+
+    def asked(contents: list[bytes]) -> list[tuple[str, int]]:
+        n = 0
+
+        def once(rows: list[bytes]) -> list[str]:
+            nonlocal n
+            n += 1
+            text = recognise(rows[0]) or ""
+            if not text.strip() and n < tries:
+                raise Again("empty text")
+            return [text if text.strip() else ""]
+
+        return [(tried(once, contents, how)[0], n)]
 
     def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for path, content in zip(batch["path"], batch["content"]):
-                text, n = "", 0
-                while not text.strip() and n < tries:
-                    text, n = recognise(bytes(content)) or "", n + 1
-                rows.append((path, text, n))
-            yield pd.DataFrame(rows, columns=["path", "text", "tries"])
+            found = list(in_order([bytes(c) for c in batch["content"]], asked, how))
+            yield pd.DataFrame({"path": list(batch["path"]), "text": [t for t, _ in found], "tries": [n for _, n in found]})
 
     return own.select("path", "content").repartition("path").mapInPandas(texts, "path string, text string, tries int")
 

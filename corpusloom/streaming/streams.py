@@ -6,12 +6,12 @@ in proportion to live keys.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
 from corpusloom.operators.limits import Limit, admit
@@ -100,6 +100,64 @@ def login_limiter(tries: DataFrame, at: str = "ts", late: str = "1 minute") -> D
     return own.groupBy("key").transformWithStateInPandas(_Limiter(), LIMIT_OUT, "Append", "EventTime")
 
 
+REAPED = StructType([StructField("key", LongType()), StructField("last_beat", LongType()), StructField("beats", LongType())])
+_BEATS = StructType([StructField("last", LongType()), StructField("beats", LongType())])
+
+
+class _Reaper(StatefulProcessor):
+    """A worker's heartbeat: a timer of processing time that each beat puts off."""
+
+    def __init__(self, milliseconds: int) -> None:
+        self.milliseconds = milliseconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("beats", _BEATS)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        last, beats = self.state.get() if self.state.exists() else (0, 0)
+        for batch in rows:  # sums and maxima: no rows are held
+            last, beats = max(int(last), int(batch["at"].max())), int(beats) + len(batch)
+        self.state.update((last, beats))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.milliseconds)
+        yield pd.DataFrame([], columns=REAPED.names)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        last, beats = self.state.get()
+        self.state.clear()
+        yield pd.DataFrame([(key[0], int(last), int(beats))], columns=REAPED.names)
+
+    def close(self) -> None:
+        pass
+
+
+def silent_workers(beats: DataFrame, seconds: float = 60.0) -> DataFrame:
+    """(key, last_beat, beats): each worker once it has not been heard of for some seconds, and again if it comes back and goes silent.
+
+    ``beats`` has key and at (microseconds). Time is that of processing: a stream that stands still counts no
+    one as silent until its next trigger. Needs the RocksDB state store.
+    """
+    own = beats.select(F.col("key").cast("long").alias("key"), F.col("at").cast("long").alias("at"))
+    return own.groupBy("key").transformWithStateInPandas(_Reaper(int(seconds * 1000)), REAPED, "Append", "ProcessingTime")
+
+
+def dispatch_batch(path: str) -> Callable[[DataFrame, int], None]:
+    """Writes a micro-batch of requests under its number; the same batch again replaces what it wrote before."""
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    return write
+
+
+def dispatch(requests: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Starts a query that writes each request once, also when a batch is repeated after a failure or restart."""
+    made = requests.writeStream.foreachBatch(dispatch_batch(path)).option("checkpointLocation", checkpoint)
+    return made.trigger(**(trigger or {"availableNow": True})).start()
+
+
 BUCKET_OUT = StructType([StructField("key", LongType()), StructField("event_id", LongType()), StructField("at", LongType()), StructField("accepted", BooleanType()), StructField("level", LongType())])
 _BUCKET_STATE = StructType([StructField("level", LongType()), StructField("last", LongType())])
 

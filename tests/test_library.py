@@ -226,8 +226,9 @@ def test_readers_with_a_decoder(spark, tmp_path):
             raise ValueError("not a PDF")
         return [(1, "0", n, w.decode(), 0.0, 0.0, 1.0, 1.0) for n, w in enumerate(content.split()[1:])]
 
-    assert [(r["page"], r["text"]) for r in readers.pdf_words(own, read).orderBy("word_no").collect()] == [(1, "two"), (1, "words")]
-    texts = {r["path"].rsplit("/", 1)[1]: (r["text"], r["tries"]) for r in readers.image_texts(own, lambda c: "" if c == b"broken" else "seen", 3).collect()}
+    assert [(r["page"], r["text"]) for r in readers.pdf_words(own, read).where("error IS NULL").orderBy("word_no").collect()] == [(1, "two"), (1, "words")]
+    assert [r["path"].rsplit("/", 1)[1] for r in readers.pdf_words(own, read).where("error IS NOT NULL").collect()] == ["b.pdf"]
+    texts = {r["path"].rsplit("/", 1)[1]: (r["text"], r["tries"]) for r in readers.image_texts(own, lambda c: "" if c == b"broken" else "seen", 3, pause=lambda seconds: None).collect()}
     assert texts == {"a.pdf": ("seen", 1), "b.pdf": ("", 3)}
     none = own.where("length < 0")
     assert readers.stored_megabytes(none, 7).first()["megabytes"] == 0.35 and readers.stored_megabytes(own).first()["megabytes"] == 0.0

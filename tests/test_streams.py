@@ -52,3 +52,37 @@ def test_job_states(spark, source):
     batch = state.job_states(spark.read.parquet(source).select(F.col("user_id").alias("job"), F.unix_micros("ts").alias("at"), F.when(F.col("event_type") == "error", "failed").otherwise("queued").alias("status"), F.lit(0).alias("progress")))
     for r in batch.collect():
         assert (found[r["job"]]["status"], found[r["job"]]["started_at"], found[r["job"]]["finished_at"]) == (r["status"], r["started_at"], r["finished_at"])
+
+
+def test_silent_workers_are_reported(spark, tmp_path):
+    import time
+
+    folder = tmp_path / "beats"
+    write = lambda rows: spark.createDataFrame(rows, "key long, at long").coalesce(1).write.mode("append").parquet(str(folder))
+    write([(1, 10), (2, 10), (1, 20)])
+    found = streams.silent_workers(spark.readStream.schema("key long, at long").parquet(str(folder)), seconds=3)
+    query = found.writeStream.format("memory").queryName("silent").outputMode("append").trigger(processingTime="500 milliseconds").start()
+    try:
+        until = time.time() + 60
+        n = 0
+        while spark.table("silent").where("key = 2").count() == 0 and time.time() < until:
+            n += 1
+            write([(1, 100 * n)])  # worker 1 goes on, worker 2 has gone silent
+            time.sleep(0.4)
+        rows = {r["key"]: (r["last_beat"], r["beats"]) for r in spark.table("silent").collect()}
+        assert rows[2] == (10, 1)
+    finally:
+        query.stop()
+
+
+def test_a_repeated_batch_dispatches_nothing_twice(spark, tmp_path):
+    source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "checkpoint"))
+    write = lambda rows: spark.createDataFrame(rows, "job long").coalesce(1).write.mode("append").parquet(source)
+    stream = lambda: spark.readStream.schema("job long").parquet(source)
+    write([(1,), (2,)])
+    streams.dispatch(stream(), out, checkpoint).awaitTermination()
+    again = streams.dispatch_batch(out)
+    again(spark.createDataFrame([(1,), (2,)], "job long"), 0)  # as after a failure between write and commit
+    write([(3,)])
+    streams.dispatch(stream(), out, checkpoint).awaitTermination()  # a restart goes on where it stopped
+    assert sorted(r["job"] for r in spark.read.parquet(out).collect()) == [1, 2, 3]
