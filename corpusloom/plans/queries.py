@@ -422,11 +422,11 @@ def hybrid_top8(spark, d):
     return scored.withColumn("rank", F.row_number().over(place)).where("rank <= 8").select("q", "id", F.round("score", 4).alias("score"), "rank")
 
 
-def _ranked(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _ranked(spark, d, page=None) -> tuple[DataFrame, DataFrame, DataFrame]:
     asked = _questions(spark, d).withColumn("other", F.lit(None).cast("string"))
     fused = _fused(spark, d)
     scored = retrieval.above_floor(retrieval.score(fused, asked))
-    books = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("book"), F.lit(1).alias("page_start"), F.lit(1).alias("page_end"))
+    books = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("book"), F.lit(1).alias("page_start") if page is None else page.alias("page_start"), F.lit(1).alias("page_end") if page is None else (page + 1).alias("page_end"))
     return asked, fused, retrieval.suppress(scored.join(books, "id"))
 
 
@@ -451,6 +451,18 @@ def suppressed_top8(spark, d):
     return _ranked(spark, d)[2].select("q", "rank", "id", F.round("score", 4).alias("score"), "book")
 
 
+_KEPT_BY_PAGE = _KEPT.replace("grams AS (SELECT doc_id AS id, source AS book,", "grams AS (SELECT doc_id AS id, doc_id % 5 AS p, source AS book,").replace("WHERE ga.book = gb.book AND", "WHERE ga.p <= gb.p + 1 AND gb.p <= ga.p + 1 AND ga.book = gb.book AND")
+
+
+@query(f"""
+WITH RECURSIVE {_KEPT_BY_PAGE}
+SELECT q, CAST(list_position(kept, n) AS INTEGER) AS rank, id, round(score, 4) AS score, book FROM ranked JOIN last USING (q) JOIN grams USING (id) WHERE list_contains(kept, n) AND list_position(kept, n) <= 8
+""")
+def suppressed_by_pages(spark, d):
+    """``suppressed_top8`` with documents on two pages each, by their id: what repeats another page stays."""
+    return _ranked(spark, d, F.col("doc_id") % 5)[2].select("q", "rank", "id", F.round("score", 4).alias("score"), "book")
+
+
 @query(f"""
 WITH {_SCORED}, best AS (SELECT q, max(score) AS best FROM graded WHERE overlap > 0 AND score >= 0.1 GROUP BY 1), top AS (SELECT q, max(score) AS top FROM legs GROUP BY 1)
 SELECT item_id AS q, CASE WHEN best IS NOT NULL AND (best >= 0.3 OR coalesce(top, 0) >= 0.65) THEN 'generate' ELSE 'retry' END AS decision FROM benchmark LEFT JOIN best ON q = item_id LEFT JOIN top ON top.q = item_id
