@@ -77,6 +77,40 @@ def cached_answers(asked: DataFrame, stored: DataFrame, now: Column, hours: int
     return asked.join(live.select("key", "answer"), "key", "left").withColumn("was_cached", F.col("answer").isNotNull())
 
 
+def served(computed: int | None, at: int, keep: int) -> tuple[bool, int]:
+    """Whether an answer computed at a moment still serves a question at another, and when the answer given was computed."""
+    return (True, computed) if computed is not None and at < computed + keep else (False, at)
+
+
+def _read_through(keep: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        who, computed = None, None
+        for batch in batches:
+            hits, times = [], []
+            for key, at in zip(batch["key"], batch["at"]):
+                if key != who:
+                    who, computed = key, None
+                hit, computed = served(computed, int(at), keep)
+                hits.append(hit)
+                times.append(computed)
+            yield pd.DataFrame({"key": batch["key"], "event_id": batch["event_id"], "at": batch["at"], "was_cached": hits, "computed_at": times})
+
+    return run
+
+
+def read_through(asked: DataFrame, hours: int = 24) -> DataFrame:
+    """(key, event_id, at, was_cached, computed_at) of questions (key, event_id, at in microseconds) against a cache with a time to live.
+
+    An answer serves for some hours from when it was computed, however often it is read; the first question after that computes
+    it again. Questions of a key go by time, then by event_id, through one task with one number of state. Rows without a key or
+    a time are left out.
+    """
+    own = asked.where("key IS NOT NULL AND at IS NOT NULL").select("key", F.col("event_id").cast("long").alias("event_id"), F.col("at").cast("long").alias("at"))
+    kind = own.schema["key"].dataType.simpleString()
+    dealt = own.repartition("key").sortWithinPartitions("key", "at", "event_id")
+    return dealt.mapInPandas(_read_through(hours * 3_600_000_000), f"key {kind}, event_id long, at long, was_cached boolean, computed_at long")
+
+
 def cache_misses(asked: DataFrame, stored: DataFrame) -> DataFrame:
     """What is still to be computed."""
     return asked.join(stored.select("key"), "key", "left_anti")

@@ -81,6 +81,18 @@ def leaky_buckets(spark, d):
     return limits.leaky_bucket(rows, limits.Limit(2, 432_000, 2))
 
 
+@query("""
+WITH RECURSIVE t AS (SELECT user_id AS key, event_id, epoch_us(ts) AS moment, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+s AS (SELECT key, n, event_id, moment, false AS was_cached, moment AS computed_at FROM t WHERE n = 1
+      UNION ALL SELECT t.key, t.n, t.event_id, t.moment, t.moment < s.computed_at + 86400000000, CASE WHEN t.moment < s.computed_at + 86400000000 THEN s.computed_at ELSE t.moment END FROM s JOIN t ON t.key = s.key AND t.n = s.n + 1)
+SELECT key, event_id, moment AS "at", was_cached, computed_at FROM s
+""")
+def cache_read_through(spark, d):
+    """Questions of users against a cache that keeps an answer for a day."""
+    rows = table(spark, d, "events").select(F.col("user_id").alias("key"), "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    return state.read_through(rows)
+
+
 # Boxes -----------------------------------------------------------------------------------------------
 
 _BOX = "CAST(l_linenumber AS VARCHAR) || ',' || CAST(l_suppkey AS VARCHAR) || ',' || CASE WHEN l_linenumber = 7 THEN 'wide' ELSE CAST(l_partkey % 4000 AS VARCHAR) END || ',' || CAST(CAST(l_quantity AS INTEGER) * 20 AS VARCHAR)"

@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
 from corpusloom.operators.limits import Limit, admit
-from corpusloom.operators.state import FAILURES, WINDOW_SECONDS
+from corpusloom.operators.state import FAILURES, WINDOW_SECONDS, served
 
 #: Monday: the epoch was a Thursday.
 MONDAY = "4 days"
@@ -100,6 +100,46 @@ def login_limiter(tries: DataFrame, at: str = "ts", late: str = "1 minute") -> D
     return own.groupBy("key").transformWithStateInPandas(_Limiter(), LIMIT_OUT, "Append", "EventTime")
 
 
+CACHE_OUT = StructType([StructField("key", LongType()), StructField("event_id", LongType()), StructField("at", LongType()), StructField("was_cached", BooleanType()), StructField("computed_at", LongType())])
+_CACHE_STATE = StructType([StructField("computed", LongType())])
+
+
+class _Cache(StatefulProcessor):
+    """When an answer was computed; a timer of event time drops it when it no longer serves."""
+
+    def __init__(self, keep: int) -> None:
+        self.keep = keep
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("computed", _CACHE_STATE)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        computed = int(self.state.get()[0]) if self.state.exists() else None
+        out = []
+        for row in pd.concat(list(rows)).sort_values(["at", "event_id"]).itertuples():
+            hit, computed = served(computed, int(row.at), self.keep)
+            out.append((key[0], int(row.event_id), int(row.at), hit, computed))
+        self.state.update((computed,))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer((computed + self.keep) // 1000 + 1)
+        yield pd.DataFrame(out, columns=CACHE_OUT.names)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        yield pd.DataFrame([], columns=CACHE_OUT.names)
+
+    def close(self) -> None:
+        pass
+
+
+def read_through(asked: DataFrame, hours: int = 24, at: str = "ts", late: str = "1 minute") -> DataFrame:
+    """The streaming form of ``operators.state.read_through`` for (key, event_id, ts); needs the RocksDB state store."""
+    own = asked.withWatermark(at, late).select(F.col("key").cast("long").alias("key"), F.col("event_id").cast("long").alias("event_id"), F.unix_micros(F.col(at)).alias("at"), F.col(at).alias("event_time"))
+    return own.groupBy("key").transformWithStateInPandas(_Cache(hours * 3_600_000_000), CACHE_OUT, "Append", "EventTime")
+
+
 REAPED = StructType([StructField("key", LongType()), StructField("last_beat", LongType()), StructField("beats", LongType())])
 _BEATS = StructType([StructField("last", LongType()), StructField("beats", LongType())])
 

@@ -86,3 +86,19 @@ def test_a_repeated_batch_dispatches_nothing_twice(spark, tmp_path):
     write([(3,)])
     streams.dispatch(stream(), out, checkpoint).awaitTermination()  # a restart goes on where it stopped
     assert sorted(r["job"] for r in spark.read.parquet(out).collect()) == [1, 2, 3]
+
+
+def test_a_cache_read_through(spark, tmp_path):
+    start = datetime(2024, 1, 3)
+    rows = [(n % 4, n, start + timedelta(minutes=191 * (n // 2))) for n in range(200)]
+    spark.createDataFrame(rows, "key long, event_id long, ts timestamp").coalesce(1).write.parquet(str(tmp_path / "in"))
+    asked = spark.readStream.schema("key long, event_id long, ts timestamp").parquet(str(tmp_path / "in"))
+    found = sorted(map(tuple, run(spark, streams.read_through(asked, 24), "cached", "append").collect()))
+    batch = spark.read.parquet(str(tmp_path / "in")).withColumn("at", F.unix_micros("ts"))
+    assert found == sorted(map(tuple, state.read_through(batch, 24).collect()))
+    computed = {}
+    for key, event, at, hit, when in sorted(found, key=lambda r: (r[2], r[1])):
+        assert hit == (key in computed and at < computed[key] + 24 * 3_600_000_000)
+        computed[key] = computed[key] if hit else at
+        assert when == computed[key]
+    assert {True, False} == {r[3] for r in found}
