@@ -5,6 +5,8 @@ Each query runs over a whole table; what the tables lack (boxes, files, OCR rows
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,8 +17,9 @@ from corpusloom.operators import catalog, layout, limits, retrieval, segment, st
 from corpusloom.plans import models
 from corpusloom.plans import queries as Q
 from corpusloom.plans.queries import query
-from corpusloom.sources import readers, sinks
+from corpusloom.sources import event_log, page_files, readers, sinks
 from corpusloom.sources.readers import table
+from corpusloom.sources.store import shared_folder
 
 _quoted = Q._quoted
 
@@ -138,6 +141,17 @@ def ocr_words_clean(spark, d):
     return readers.clean_ocr_words(rows).select("page_num", "line_key", "word_num", "text", *corners)
 
 
+@query("SELECT l_orderkey AS page_num, l_linenumber AS word_num, round(l_partkey % 700 * 0.24, 4) AS x0, round(l_suppkey % 900 * 0.24, 4) AS y0, l_returnflag || l_linestatus AS text FROM lineitem WHERE l_quantity > 5 AND CAST(l_quantity AS INTEGER) % 6 > 0")
+def ocr_file_words(spark, d):
+    """Order lines written as OCR tables, with orders as pages, and read by ranges of pages: the words that are sure and sized."""
+    path = f"{shared_folder(spark)}/ocr-{uuid.uuid4().hex}"
+    columns = {"level": "5", "page_num": "l_orderkey", "block_num": "1", "par_num": "1", "line_num": "1", "word_num": "l_linenumber", "left": "l_partkey % 700", "top": "l_suppkey % 900", "width": "int(l_quantity) % 6", "height": "3", "conf": "l_quantity - 5", "text": "concat(l_returnflag, l_linestatus)"}
+    rows = table(spark, d, "lineitem").selectExpr(*(f"{made} AS {name}" for name, made in columns.items()))
+    rows.repartitionByRange("page_num").sortWithinPartitions("page_num", "word_num").write.option("sep", "\t").option("header", True).option("quote", "").csv(path)
+    found = readers.clean_ocr_words(page_files.page_files(spark, path, readers.OCR_SCHEMA, bytes=str(1 << 20)))
+    return found.select("page_num", "word_num", F.round("x0", 4).alias("x0"), F.round("y0", 4).alias("y0"), "text")
+
+
 @query("SELECT doc_id, 1 AS page, sha256(CASE WHEN len(list_filter(string_split_regex(array_to_string(string_split(text, ' ')[1:doc_id % 20], ' '), '\\s+'), lambda w: w <> '')) < 10 THEN CASE WHEN doc_id % 7 = 0 THEN array_to_string(string_split(text, ' ')[1:doc_id % 20], ' ') ELSE text END ELSE array_to_string(string_split(text, ' ')[1:doc_id % 20], ' ') END) AS digest FROM documents WHERE text IS NOT NULL")
 def page_fallback(spark, d):
     """Pages of a first engine, from a second one where the first has fewer than ten words and the second has the page."""
@@ -154,6 +168,15 @@ def event_messages(spark, d):
     return table(spark, d, "events").select("event_id", sinks.event_message("job-update", "event_id", "event_type").alias("message"), sinks.log_line("user_id", "event_type").alias("line"))
 
 
+@query("SELECT 'event: book-update' || chr(10) || 'data: {\"o_orderkey\":' || o_orderkey || ',\"o_orderstatus\":\"' || o_orderstatus || '\"}' || chr(10) || chr(10) AS message FROM orders UNION ALL SELECT 'event: job-update' || chr(10) || 'data: {\"event_id\":' || event_id || ',\"event_type\":\"' || event_type || '\"}' || chr(10) || chr(10) FROM events")
+def published_events(spark, d):
+    """Two channels added to an event log, and all that its commits name."""
+    path = f"{shared_folder(spark)}/events-{uuid.uuid4().hex}"
+    event_log.publish(table(spark, d, "orders").select(sinks.event_message("book-update", "o_orderkey", "o_orderstatus").alias("message")), path, "books")
+    event_log.publish(table(spark, d, "events").select(sinks.event_message("job-update", "event_id", "event_type").alias("message")), path, "jobs")
+    return event_log.published(spark, path).select("message")
+
+
 @query("""
 WITH a AS (SELECT conv_id || ':' || turn AS q, text, turn % 3 = 0 AS no_result, CASE WHEN turn % 2 = 0 THEN '["a","b"]' ELSE '[]' END AS sources, string_split(text, ' ') AS w FROM conversations WHERE text IS NOT NULL)
 SELECT q, generate_subscripts(w, 1) - 1 AS n, 'token' AS kind, unnest(w) AS data FROM a
