@@ -729,7 +729,31 @@ def claim_token_weights(spark, d):
     return citations.token_weights(table(spark, d, "documents").select(F.col("source").alias("q"), "text"))
 
 
-@query()
+#: Three alignments a document: with all of its text, with its first page, with its second. ``ends`` of token j are the soonest
+#: ends of 1, 2, ... tokens of the first j in order, so a count of ends is the length of a common subsequence.
+_CLAIM_PAGE = r"""
+WITH RECURSIVE halves AS (SELECT doc_id, length(text) // 2 AS half, text FROM documents),
+tokens AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(substr(text, half + 20, 60), '[A-Za-z0-9]+'), lambda w: lower(w)), lambda w: length(w) >= 2) AS claim,
+  list_transform(['Page', '1'] || regexp_extract_all(substr(text, 1, half), '[A-Za-z0-9]+'), lambda w: lower(w)) AS one, list_transform(['Page', '2'] || regexp_extract_all(substr(text, half + 1), '[A-Za-z0-9]+'), lambda w: lower(w)) AS two FROM halves WHERE text <> ''),
+asked AS (SELECT doc_id, unnest(claim) AS token, generate_subscripts(claim, 1) AS j FROM tokens),
+standing AS (SELECT doc_id, unnest(one || two) AS token, generate_subscripts(one || two, 1) AS place, len(one) AS cut FROM tokens),
+places AS (SELECT doc_id, part, j, list_sort(list(place) FILTER (place IS NOT NULL AND (part = 0 OR (part = 1) = (place <= cut)))) AS own FROM asked CROSS JOIN (VALUES (0), (1), (2)) AS v(part) LEFT JOIN standing USING (doc_id, token) GROUP BY 1, 2, 3),
+way AS (SELECT doc_id, part, CAST(0 AS BIGINT) AS j, CAST([] AS BIGINT[]) AS ends FROM tokens CROSS JOIN (VALUES (0), (1), (2)) AS v(part)
+  UNION ALL SELECT doc_id, part, p.j, list_filter(list_transform(range(1, len(ends) + 2), lambda k: least(ends[k], list_min(list_filter(p.own, lambda x: x > coalesce(ends[k - 1], 0))))), lambda x: x IS NOT NULL)
+  FROM way JOIN places AS p USING (doc_id, part) WHERE p.j = way.j + 1),
+final AS (SELECT doc_id, part, len(claim) AS n, len(ends) AS found FROM way JOIN tokens USING (doc_id) WHERE j = len(claim)),
+back AS (SELECT doc_id, CAST(n AS BIGINT) AS j, 1099511627776 AS upto, CAST(NULL AS BIGINT) AS place FROM final WHERE part = 0 AND found >= greatest(2, n / 2)
+  UNION ALL SELECT doc_id, j - 1, coalesce(take - 1, soonest), take FROM (
+    SELECT doc_id, j, soonest, list_max(list_filter(own, lambda x: x >= soonest AND x <= upto AND len(list_filter(before, lambda e: e < x)) + 1 = length)) AS take FROM (
+      SELECT doc_id, back.j, upto, own, w.ends[len(list_filter(w.ends, lambda e: e <= upto))] AS soonest, len(list_filter(w.ends, lambda e: e <= upto)) AS length, b.ends AS before
+      FROM back JOIN way AS w USING (doc_id, j) JOIN way AS b ON b.doc_id = back.doc_id AND b.part = 0 AND b.j = back.j - 1 JOIN places AS p ON p.doc_id = back.doc_id AND p.part = 0 AND p.j = back.j WHERE w.part = 0) WHERE length > 0)),
+votes AS (SELECT doc_id, count(*) AS matched, count(*) FILTER (place <= len(one)) AS first, count(*) FILTER (place > len(one)) AS second FROM back JOIN tokens USING (doc_id) WHERE place IS NOT NULL GROUP BY 1)
+SELECT doc_id, CAST(CASE WHEN matched IS NULL THEN NULL WHEN first = 0 THEN 2 WHEN second = 0 THEN 1 WHEN b.found > a.found OR (b.found = a.found AND second > first) THEN 2 ELSE 1 END AS INTEGER) AS page, CAST(coalesce(matched, 0) AS INTEGER) AS matched
+FROM documents LEFT JOIN votes USING (doc_id) LEFT JOIN (FROM final WHERE part = 1) AS a USING (doc_id) LEFT JOIN (FROM final WHERE part = 2) AS b USING (doc_id)
+"""
+
+
+@query(_CLAIM_PAGE)
 def claim_page(spark, d):
     """A claim taken from the second half of each document, located in its page-marked text."""
     own = table(spark, d, "documents").select("doc_id", "text", (F.length("text") / 2).cast("int").alias("half"))
