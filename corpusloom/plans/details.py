@@ -14,7 +14,7 @@ from corpusloom.functions import answers as A
 from corpusloom.functions import ids, normal_forms
 from corpusloom.functions import text as T
 from corpusloom.operators import catalog, layout, limits, retrieval, segment, state
-from corpusloom.plans import models
+from corpusloom.plans import models, reprocess
 from corpusloom.plans import queries as Q
 from corpusloom.plans.queries import query
 from corpusloom.sources import event_log, page_files, readers, sinks
@@ -52,6 +52,32 @@ def jobs_retried(spark, d):
     return state.retried(jobs)
 
 
+_AGAIN = "c_custkey % 10 < 3 AND c_nationkey = 3"
+
+
+def _reprocessed(spark, d):
+    """Customers as books of their nations, orders as jobs; three in ten of one nation are done again, others' requests find nothing."""
+    books = table(spark, d, "customer").select(F.col("c_custkey").alias("book"), F.col("c_nationkey").alias("tenant"), F.col("c_mktsegment").alias("status"), F.lit(9).alias("total_chunks"), (F.col("c_custkey") % 50).cast("int").alias("total_pages"))
+    task = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("t"), F.col("o_orderkey").cast("string")))
+    jobs = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("job"), F.col("o_custkey").alias("book"), F.lit(3).alias("tenant"), F.col("o_orderstatus").alias("status"), task.alias("task_id"))
+    return reprocess.reprocessed(books, jobs, books.where("book % 10 < 3").select("book"), 3, "again")
+
+
+@query(f"SELECT c_custkey AS book, CASE WHEN {_AGAIN} THEN 'pending' ELSE c_mktsegment END AS status, CASE WHEN {_AGAIN} THEN 0 ELSE 9 END AS total_chunks, CASE WHEN {_AGAIN} THEN NULL ELSE CAST(c_custkey % 50 AS INTEGER) END AS total_pages FROM customer")
+def reprocessed_books(spark, d):
+    return _reprocessed(spark, d).books.drop("tenant")
+
+
+@query(f"WITH again AS (SELECT c_custkey FROM customer WHERE {_AGAIN}) SELECT o_custkey AS book, o_orderstatus AS status, count(*) AS n, count(*) FILTER (o_orderkey % 2 = 0) AS tasks FROM orders WHERE o_custkey NOT IN (FROM again) GROUP BY 1, 2 UNION ALL SELECT c_custkey, 'queued', 1, 0 FROM again")
+def reprocessed_jobs(spark, d):
+    return _reprocessed(spark, d).jobs.groupBy("book", "status").agg(F.countDistinct("job").alias("n"), F.count("task_id").alias("tasks"))
+
+
+@query(f"SELECT 't' || o_orderkey AS task_id FROM orders WHERE o_orderkey % 2 = 0 AND o_custkey IN (SELECT c_custkey FROM customer WHERE {_AGAIN})")
+def revoked_tasks(spark, d):
+    return _reprocessed(spark, d).revoked
+
+
 @query("SELECT l_orderkey, l_linenumber, CAST(10 + floor(l_linenumber / 7.0 * 15) AS INTEGER) AS progress, list_position(['R', 'A', 'N'], l_returnflag) - 1 AS phase FROM lineitem")
 def job_progress(spark, d):
     names = F.create_map(F.lit("R"), F.lit("queued"), F.lit("A"), F.lit("extracting"), F.lit("N"), F.lit("chunking"))
