@@ -40,6 +40,8 @@ HOT_CONTEXTS = 1 << 16
 MOST = (1 << 15) - 1
 #: Strings of hot anchors that a block compares with one another at once.
 HOT_STRINGS = 1 << 18
+#: Strings of a bucket that are sorted at once.
+STRINGS_AT_ONCE = 1 << 19
 #: Strings whose anchors are computed at once.
 CHUNK = 1 << 22
 #: Bits of an anchor's hash; the rest of the word holds its position.
@@ -161,7 +163,7 @@ def deep_shallow(buffer: np.ndarray, starts: np.ndarray, lengths: np.ndarray) ->
         sizes = np.diff(np.append(np.flatnonzero(new), len(own)))
         open_ = open_[np.repeat(sizes > 1, sizes)]
     if len(open_):
-        raw = buffer.tobytes()
+        raw = buffer.base if isinstance(buffer.base, bytes) and len(buffer.base) == len(buffer) else buffer.tobytes()
         longest = int(lengths.max()) - SHALLOW
         own = group[open_]
         edges = np.append(np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])), len(own)).tolist()
@@ -301,16 +303,20 @@ def _among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
 
 
+def _whole(words: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A hash of the whole strings at some positions."""
+    # The last eight bytes overlap those before, so that whole words cover the string.
+    own = _hash(words, at, len(at), LENGTH // 8 * 8) + words[at + LENGTH - 8].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    return own ^ (own >> np.uint64(32))
+
+
 def _alone(buffer: np.ndarray, starts: np.ndarray, counts: np.ndarray, docs: np.ndarray, shifts: np.ndarray) -> tuple[tuple, np.ndarray]:
     """((hash, document, start, 1, shift) of the strings of some contexts, runs of those that a smaller document of the block has)."""
     words, owner = _words_at(buffer), np.repeat(np.arange(len(starts), dtype=np.int32), counts)
     offset = (np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)).astype(np.uint8)
     whole = np.empty(len(owner), dtype=np.uint64)
     for low in range(0, len(owner), HOT_STRINGS):
-        at = starts[owner[low : low + HOT_STRINGS]] + offset[low : low + HOT_STRINGS]
-        # The last eight bytes overlap those before, so that whole words cover the string.
-        own = _hash(words, at, len(at), LENGTH // 8 * 8) + words[at + LENGTH - 8].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-        whole[low : low + HOT_STRINGS] = own ^ (own >> np.uint64(32))
+        whole[low : low + HOT_STRINGS] = _whole(words, starts[owner[low : low + HOT_STRINGS]] + offset[low : low + HOT_STRINGS])
     parts = len(owner) // HOT_STRINGS + 1
     gone = np.zeros(len(owner), dtype=bool)
     for part in range(parts):
@@ -361,8 +367,47 @@ def _contexts(block: int, table: pa.Table, answers: list[tuple[int, bytes]]) ->
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
+def _parts(buffer: np.ndarray, starts: np.ndarray, counts: np.ndarray, shifts: np.ndarray, at_once: int) -> Iterator[np.ndarray]:
+    """The contexts in parts of about ``at_once`` strings; strings that may be equal are in one part.
+
+    Contexts are dealt by their anchors, strings that travel alone by all of their bytes where all of their anchor do.
+    """
+    n = int(counts.sum()) // at_once + 1
+    if n == 1:
+        yield np.arange(len(starts))
+        return
+    words, key = _words_at(buffer), np.empty(len(starts), dtype=np.uint64)
+    for low in range(0, len(starts), at_once):
+        key[low : low + at_once] = _hash(words, starts[low : low + at_once] + shifts[low : low + at_once], len(starts[low : low + at_once]))
+    longer = np.unique(key[counts > 1])
+    alone = ~_among(key, longer)
+    for low in range(0, len(starts), at_once):
+        own = low + np.flatnonzero(alone[low : low + at_once])
+        key[own] = _whole(words, starts[own])
+    key = (key % np.uint64(n)).astype(np.int32)
+    by = np.argsort(key, kind="stable")
+    yield from np.split(by, np.searchsorted(key[by], np.arange(1, n)))
+
+
+def _joined(context: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, first offset, number) of the runs of neighbouring strings."""
+    new = np.flatnonzero(np.concatenate([[True], (context[1:] != context[:-1]) | (offset[1:] != offset[:-1] + 1)])) if len(context) else np.zeros(0, dtype=np.int64)
+    return context[new], offset[new], np.diff(np.append(new, len(context)))
+
+
+def _repeats(buffer: np.ndarray, starts: np.ndarray, counts: np.ndarray, docs: np.ndarray, shifts: np.ndarray, at_once: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, first offset, number) of the runs of strings that also start in a smaller document."""
+    found = []
+    for part in _parts(buffer, starts, counts, shifts, at_once):
+        done = settled(buffer, starts[part], counts[part], docs[part])
+        left = part[~done]
+        context, offset, number = _joined(*repeated_strings(buffer, starts[left], counts[left], docs[left], shifts[left]))
+        found.append((np.concatenate([part[done], left[context]]), np.concatenate([np.zeros(int(done.sum()), dtype=np.int64), offset]), np.concatenate([counts[part[done]], number])))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
 def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of repeated strings of each block, by deep-shallow sorting of all contexts of a task."""
+    """Runs of repeated strings of each block, by deep-shallow sorting of the contexts of a bucket, part by part."""
     asked = []
     for batch in batches:
         for block, bucket, data, facts in zip(*[c.to_pylist() for c in batch.columns]):
@@ -379,24 +424,20 @@ def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             high += 1
         part = asked[low:high]
         facts = [np.frombuffer(B.unsqueeze(x[3]), _CONTEXT) for x in part]
-        buffer = np.frombuffer(b"".join([B.unsqueeze(x[2]) for x in part]) + bytes(8 + ANCHOR), dtype=np.uint8)
+        buffer = np.frombuffer(b"".join([*(B.unsqueeze(x[2]) for x in part), bytes(8 + ANCHOR)]), dtype=np.uint8)
         both = np.concatenate(facts)
         row = np.repeat(np.arange(len(part)), [len(f) for f in facts])
-        docs, counts, shifts = both["doc"].astype(np.int64), both["count"].astype(np.int64), both["shift"].astype(np.int64)
-        sizes = counts + LENGTH - 1
-        starts = np.cumsum(sizes) - sizes
-        done = settled(buffer, starts, counts, docs)
-        left = np.flatnonzero(~done)
-        context, offset = repeated_strings(buffer, starts[left], counts[left], docs[left], shifts[left])
-        rows = np.concatenate([row[done], row[left][context]])
-        at = np.concatenate([both["at"][done], both["at"][left][context] + offset])
-        count = np.concatenate([counts[done], np.ones(len(offset), dtype=np.int64)])
+        counts = both["count"].astype(np.int64)
+        starts = np.cumsum(counts + LENGTH - 1) - (counts + LENGTH - 1)
+        context, offset, count = _repeats(buffer, starts, counts, both["doc"].astype(np.int64), both["shift"].astype(np.int64), STRINGS_AT_ONCE)
+        rows, at = row[context], both["at"][context] + offset
         by = np.argsort(rows, kind="stable")
         bounds = np.searchsorted(rows[by], np.arange(len(part) + 1))
         for k, (bucket, block, _, _) in enumerate(part):
             own = by[bounds[k] : bounds[k + 1]]
             runs = np.rec.fromarrays([at[own], count[own]], dtype=_RUN).tobytes()
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([bucket], pa.int32()), pa.array([B.squeeze(runs)], pa.binary())], schema=B.ANSWER_SCHEMA)
+        asked[low:high] = [None] * (high - low)
         low = high
 
 
