@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.operators import layout, pages, retrieval, segment
+from corpusloom.operators import pages, retrieval, segment
 from corpusloom.plans.models import Models
 from corpusloom.sources.store import stored
 
@@ -19,9 +19,7 @@ def numbered(page_texts: DataFrame) -> DataFrame:
 
 def passages(page_texts: DataFrame, every_line: bool = False) -> DataFrame:
     """Passages of documents given as (doc_id, page, text)."""
-    own = numbered(page_texts)
-    words = layout.text_words(own).join(own.select("doc_id", "page", "printed"), ["doc_id", "page"])
-    return segment.chunks(words, every_line)
+    return segment.text_chunks(numbered(page_texts), every_line, "printed")
 
 
 def indexes(own: DataFrame, models: Models | None = None, *scopes: str) -> tuple[DataFrame, DataFrame]:
