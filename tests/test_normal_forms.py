@@ -45,3 +45,12 @@ def test_identifier_form(texts):
         plain = re.sub(r"\s+", " ", unicodedata.normalize("NFC", plain)).strip(" ").lower()
         if not set(plain) & set("\x1c\x1d\x1e\x1f\x85ßİ"):
             assert row["v"] == plain, ascii(row["t"])
+
+
+def test_an_id_makes_its_name_once(spark):
+    from pyspark.sql import functions as F
+
+    from corpusloom.functions import ids
+
+    plan = spark.range(1).select(ids.chunk_id(F.col("id").cast("string"), F.lit(1), F.lit(2)).alias("own"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sha1(") == 1, plan
