@@ -19,7 +19,7 @@ def numbered(page_texts: DataFrame) -> DataFrame:
 
 def passages(page_texts: DataFrame, every_line: bool = False) -> DataFrame:
     """Passages of documents given as (doc_id, page, text)."""
-    return segment.text_chunks(numbered(page_texts), every_line, "printed")
+    return segment.text_chunks(page_texts, every_line, numbers=numbered(page_texts).select("doc_id", "page", "printed"))
 
 
 def indexes(own: DataFrame, models: Models | None = None, *scopes: str) -> tuple[DataFrame, DataFrame]:

@@ -52,3 +52,25 @@ def test_a_piece_inside_another_adds_no_words():
     parts = [(0, 100), (100, 300), (300, 800)]
     assert segment.chunk_ranges(parts, [], True)[0] == (0, 0, 300)
     assert all(a < b for _, a, b in segment.chunk_ranges(parts, [], True))
+
+
+def test_text_is_dealt_by_document_alone(spark):
+    plan = segment.text_chunks(pages_of(spark))._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(doc_id" in plan and "hashpartitioning(doc_id#" in plan.replace(" ", "")
+    assert not [line for line in plan.splitlines() if "Exchange" in line and "chunk_no" in line], plan
+
+
+def test_ranges_without_the_text(spark):
+    """A mark may run on into the number that the next line begins with."""
+    lines = ["one two three.", "باب", "12 more words", "رقم", "7", "a head:", "text ﴾one﴿ and", "other ﴿", "last one"]
+    pages = spark.createDataFrame([(d, 1, "\n".join(lines[d:] + lines[:d])) for d in range(len(lines))] + [(20, 1, "x\nباب\nmore"), (21, 1, "x:\ny:\nz:\n")], "doc_id long, page int, text string")
+    rows = layout.text_rows(pages).cache()
+    own = layout.row_lines(rows)
+    short = own.withColumn("line_text", layout.marked(F.col("line_text")))
+    for made in (layout.strategy, layout.number_paragraphs, layout.split_before, layout.split_after):
+        one, other = (sorted(map(str, made(x).drop("line_text").collect())) for x in (own, short))
+        assert one == other, made
+    assert {r["strategy"] for r in layout.strategy(short).collect()} >= {"hadith", "fiqh"}
+    made = segment.text_chunks(pages)
+    other = segment.chunks(layout.text_words(pages))
+    assert sorted(map(str, made.select(*sorted(made.columns)).collect())) == sorted(map(str, other.select(*sorted(made.columns)).collect()))
