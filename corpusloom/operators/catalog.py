@@ -51,7 +51,13 @@ def tenant_totals(books: DataFrame, tenant: str, amount: str) -> DataFrame:
 
 
 def hit_rate(hits: Column, misses: Column) -> Column:
-    return F.when(hits + misses > 0, F.round(hits / (hits + misses), 4)).otherwise(F.lit(0.0))
+    """The part of requests that were hits, to four places: ten thousandths are rounded as a double, not the share's shortest decimal form."""
+    return F.when(hits + misses > 0, F.round(hits / (hits + misses) * 10000) / 10000).otherwise(F.lit(0.0))
+
+
+def exact_sum(values: Column) -> Column:
+    """The sum of doubles as decimals of up to ten places: it depends neither on their order nor on how they are dealt."""
+    return F.sum(values.cast("decimal(28,10)"))
 
 
 def whole_mean(total: Column, count: Column) -> Column:
