@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 from corpusloom.functions import answers
 from corpusloom.functions import text as T
 from corpusloom.operators import vectors
+from corpusloom.sources.store import stored
 
 TERMS_AT_ONCE = 200_000
+#: Hits that are sent to the passages; with more of them both are shuffled.
+HITS_AT_ONCE = 200_000
 RRF = 60
 NGRAM, COVERAGE = 6, 0.12
 FLOOR, TOP = 0.10, 8
@@ -90,6 +93,13 @@ def keyword_leg(questions: DataFrame, own: DataFrame, k: int = 20, strict: bool
     return _top(scored, k, F.desc("tier"), F.desc("matched"), F.desc("tf"), F.col("id"))
 
 
+def at_hits(hits: DataFrame, passages: DataFrame) -> DataFrame:
+    """``hits`` with the columns of their passages, by id. Up to ``HITS_AT_ONCE`` hits go to the passages: these are not shuffled."""
+    hits = stored(hits)
+    few = hits.limit(HITS_AT_ONCE + 1).count() <= HITS_AT_ONCE
+    return passages.join(F.broadcast(hits) if few else hits, "id")
+
+
 def merge_keyword_legs(first: DataFrame, second: DataFrame, k: int = 20) -> DataFrame:
     """Hits of the first query, then those only the second has, up to ``k``."""
     both = first.withColumn("leg", F.lit(1)).unionByName(second.withColumn("leg", F.lit(2)))
@@ -129,7 +139,7 @@ def above_floor(scored: DataFrame) -> DataFrame:
 def grams(tokens: Column, n: int = NGRAM) -> Column:
     """The runs of ``n`` tokens, each as one text."""
     none = F.array().cast("array<string>")
-    return T.let(tokens, lambda own: F.when(F.size(own) >= n, F.transform(F.sequence(F.lit(1), F.size(own) - n + 1), lambda i: F.array_join(F.slice(own, i, n), " "))).otherwise(none))
+    return T.let(tokens, lambda own: F.when(F.size(own) >= n, F.transform(F.sequence(F.lit(0), F.size(own) - n), lambda i: F.concat_ws(" ", *[F.get(own, i + k) for k in range(n)]))).otherwise(none))
 
 
 def coverage(own: Column, kept: Column) -> Column:
@@ -143,14 +153,22 @@ def covered(passages: DataFrame, scope: str) -> DataFrame:
     ``passages`` has id, text and ``scope``; earlier is what has a smaller id. ``best`` is the passage that was first to
     have most of the n-grams, of equals the earliest, null if none are shared; passages without an n-gram have no row.
     Every n-gram is met with its first holder alone, so work and result grow with the text, not with pairs of passages.
+    N-grams are shuffled once, as two numbers (the halves of the MD5 of scope and n-gram) and the id; what is
+    held first by the passage itself is counted where the text is read and goes no further.
     """
-    each = passages.select("id", scope, F.explode(grams(T.tokens(F.coalesce("text", F.lit(""))))).alias("gram"))
-    per = each.select("id", scope, F.unhex(F.md5(F.col("gram").cast("binary"))).alias("gram")).groupBy(scope, "gram", "id").agg(F.count("*").alias("n"))
-    first = per.groupBy(F.col(scope).alias("_scope"), F.col("gram").alias("_gram")).agg(F.min("id").alias("first"))
-    met = per.join(first, F.col(scope).eqNullSafe(F.col("_scope")) & (F.col("gram") == F.col("_gram"))).groupBy("id", "first").agg(F.sum("n").alias("n"))
+    # The number of n-grams goes with the first of them, so that no passage is cut twice.
+    own = passages.select("id", scope, grams(T.tokens(F.coalesce("text", F.lit("")))).alias("grams"))
+    each = own.select("id", scope, F.size("grams").alias("size"), F.posexplode("grams").alias("pos", "gram"))
+    # A null scope is one of its own, apart from the empty one.
+    named = F.coalesce(F.concat(F.lit("="), F.col(scope).cast("string")), F.lit(""))
+    digest = each.select("id", F.when(F.col("pos") == 0, F.col("size")).alias("size"), F.md5(F.concat_ws(" ", named, "gram").cast("binary")).alias("m"))
+    half = lambda at: F.conv(F.substring("m", at, 16), 16, -10).cast("long")
+    dealt = digest.select("id", "size", half(1).alias("a"), half(17).alias("b")).repartition("a", "b")
+    held = dealt.withColumn("first", F.min("id").over(Window.partitionBy("a", "b")))
     earlier = F.col("first") < F.col("id")
-    best = F.max(F.when(earlier, F.struct("n", (-F.col("first")).alias("first"))))
-    out = met.groupBy("id").agg(F.sum("n").alias("size"), F.coalesce(F.sum(F.when(earlier, F.col("n"))), F.lit(0)).alias("shared"), best.alias("b"))
+    met = held.where(earlier | F.col("size").isNotNull()).groupBy("id", "first").agg(F.count(F.when(earlier, 1)).alias("n"), F.sum("size").alias("size"))
+    best = F.max(F.when(F.col("n") > 0, F.struct("n", (-F.col("first")).alias("first"))))
+    out = met.groupBy("id").agg(F.sum("size").alias("size"), F.sum("n").alias("shared"), best.alias("b"))
     return out.select("id", "size", "shared", F.round(F.col("shared") / F.col("size"), 6).alias("coverage"), (-F.col("b.first")).alias("best"), F.round(F.col("b.n") / F.col("size"), 6).alias("by_best"))
 
 
