@@ -1,8 +1,9 @@
 """Files of pages as a data source: ``spark.read.format("page_files").option("decoder", ...).load(folder)``.
 
 Tasks are planned from the sizes of files alone. Small files share a task; a large one is read by several, each of
-which takes an equal range of its pages. What a page holds is a decoder's matter: the one for OCR tables is here,
-those for PDF files or images are brought by a deployment and named in an option. A schema given to the reader
+which takes an equal range of its pages or, where a decoder reads lines, the lines that begin in an equal range of its
+bytes. What a page holds is a decoder's matter: the one for OCR tables is here, those for PDF files or images are
+brought by a deployment and named in an option. A schema given to the reader
 (``.schema("path string, page_num int, text string")``) is what the decoder is asked for, so columns that are not
 wanted are not decoded.
 """
@@ -14,10 +15,14 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from fnmatch import fnmatch
 from importlib import import_module
+from itertools import batched
 from typing import BinaryIO, Protocol
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from corpusloom.sources.files import listed, opened
@@ -25,6 +30,8 @@ from corpusloom.sources.readers import OCR_SCHEMA
 
 #: Bytes that a task reads, from small files together or from a part of a large one.
 BYTES_A_TASK = 32 << 20
+#: Lines whose fields are held at once.
+LINES_AT_ONCE = 8192
 
 
 class Decoder(Protocol):
@@ -40,57 +47,81 @@ class Decoder(Protocol):
         """The values of ``columns`` for the pages from the ``first``-th (0 is the start of the file) up to ``end``, or to the last."""
 
 
+class LineDecoder(Protocol):
+    """Reads files of lines, from any byte on. ``ValueError`` says that a file, or a part of it, cannot be read."""
+
+    columns: dict[str, str]
+
+    def check(self, file: BinaryIO, first: int, end: int) -> None:
+        """Raises for lines that begin in the bytes ``first`` to ``end`` and make the whole file unreadable; asked only of files that several tasks read."""
+
+    def batches(self, file: BinaryIO, first: int, end: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+        """The columns of ``schema`` for the lines that begin in the bytes ``first`` to ``end``."""
+
+
 class OcrTable:
-    """OCR output in tab-separated form; a new page begins where ``page_num`` changes."""
+    """OCR output in tab-separated form, one word a line."""
 
     columns = dict(column.split() for column in OCR_SCHEMA.split(", "))
     kinds: dict[str, Callable[[str], object]] = {"int": int, "double": float, "string": str}
 
-    def _lines(self, file: BinaryIO) -> Iterator[tuple[int, list[str], dict[str, int]]]:
-        """(number of the page in the file, fields, place of each column), one line at a time."""
-        lines = io.TextIOWrapper(file, encoding="utf-8", newline="\n")
-        places = {name: n for n, name in enumerate(lines.readline().rstrip("\r\n").split("\t"))}
+    def _lines(self, file: BinaryIO, first: int, end: int) -> tuple[dict[str, int], Iterator[list[str]]]:
+        """The place of each column, and the fields of each line that begins in the bytes ``first`` to ``end`` below the header."""
+        own = io.BufferedReader(file)
+        header = own.readline()
+        places = {name: n for n, name in enumerate(header.decode().rstrip("\r\n").split("\t"))}
         if "page_num" not in places:
             raise ValueError("no column page_num in the first line")
-        page, number = None, -1
+        at = len(header)
+        if first > at:  # what is left of the line that began before is another task's
+            own.seek(first - 1)
+            at = first - 1 + len(own.readline())
+        data = own.read(end - at) if at < end else b""
+        if data and not data.endswith(b"\n"):
+            data += own.readline()
+        return places, self._fields(data.decode().split("\n"), places["page_num"])
+
+    def _fields(self, lines: list[str], page_num: int) -> Iterator[list[str]]:
         for line in lines:
-            fields = line.rstrip("\r\n").split("\t")
+            fields = line.rstrip("\r").split("\t")
             if fields == [""]:
                 continue
-            if len(fields) <= places["page_num"]:
+            if len(fields) <= page_num:
                 raise ValueError(f"a line of {len(fields)} fields")
-            if fields[places["page_num"]] != page:
-                page, number = fields[places["page_num"]], number + 1
-            yield number, fields, places
+            yield fields
 
-    def count(self, file: BinaryIO) -> int:
-        number = -1
-        for number, _, _ in self._lines(file):
+    def check(self, file: BinaryIO, first: int, end: int) -> None:
+        for _ in self._lines(file, first, end)[1]:
             pass
-        return number + 1
 
-    def rows(self, file: BinaryIO, first: int, end: int | None, columns: Sequence[str]) -> Iterator[tuple]:
-        for number, fields, places in self._lines(file):
-            if end is not None and number >= end:
-                return
-            if number >= first:
-                yield tuple(self._value(c, fields, places) for c in columns)
+    def batches(self, file: BinaryIO, first: int, end: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+        places, lines = self._lines(file, first, end)
+        for some in batched(lines, LINES_AT_ONCE):
+            try:
+                values = [pa.array(self._values(own.name, some, places), own.type) for own in schema]
+            except OverflowError as reason:
+                raise ValueError(str(reason)) from reason
+            yield pa.RecordBatch.from_arrays(values, schema=schema)
 
-    def _value(self, column: str, fields: list[str], places: dict[str, int]) -> object:
-        at = places.get(column, len(fields))
-        if at >= len(fields) or (fields[at] == "" and column != "text"):
-            return None
-        return self.kinds[self.columns[column]](fields[at])
+    def _values(self, column: str, lines: Sequence[list[str]], places: dict[str, int]) -> list[object]:
+        kind, at = self.kinds[self.columns[column]], places.get(column)
+        if at is None:
+            return [None] * len(lines)
+        return [None if at >= len(f) or (f[at] == "" and column != "text") else kind(f[at]) for f in lines]
 
 
 @dataclass
 class Part(InputPartition):
-    """Files read whole, or one ``share`` of the pages of one file cut in ``shares``."""
+    """Files read whole, or one ``share`` of the pages, or bytes, of one file cut in ``shares``."""
 
     paths: list[str]
     share: int = 0
     shares: int = 1
 
+    def range(self, units: int) -> tuple[int, int]:
+        """Where the share begins and ends in so many pages or bytes."""
+        return units * self.share // self.shares, units * (self.share + 1) // self.shares
+
 
 def planned(sizes: Sequence[tuple[str, int]], most: int = BYTES_A_TASK) -> list[Part]:
     """Parts for (path, bytes): files of at most ``most`` bytes fill a part together, larger ones are cut evenly."""
@@ -110,24 +141,52 @@ def planned(sizes: Sequence[tuple[str, int]], most: int = BYTES_A_TASK) -> list[
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, folder: str, pattern: str, most: int, decoder: Decoder, columns: list[str]) -> None:
-        self.folder, self.pattern, self.most, self.decoder, self.columns = folder, pattern, most, decoder, columns
-        self.asked = [c for c in columns if c not in ("path", "error")]
+    def __init__(self, folder: str, pattern: str, most: int, decoder: Decoder | LineDecoder, schema: StructType, checks: bool) -> None:
+        self.folder, self.pattern, self.most, self.decoder, self.columns, self.checks = folder, pattern, most, decoder, schema.fieldNames(), checks
+        self.asked = [c for c in self.columns if c not in ("path", "error")]
+        self.schema = to_arrow_schema(schema)
 
     def partitions(self) -> Sequence[InputPartition]:
         parts = planned([(f.path, f.size) for f in listed(self.folder) if fnmatch(f.base_name, self.pattern)], self.most)
-        return parts or [Part([])]
+        return [p for p in parts if not self.checks or p.shares > 1] or [Part([])]
+
+    def read(self, partition: Part) -> Iterator[tuple] | Iterator[pa.RecordBatch]:
+        """Rows of the part. A file, or a share of it, that cannot be read has one row with the reason and no others."""
+        if self.checks:
+            return self._checked(partition)
+        return self._batches(partition) if hasattr(self.decoder, "batches") else self._rows(partition)
 
-    def read(self, partition: Part) -> Iterator[tuple]:
-        """Rows of the part. A file, or a share of its pages, that cannot be read has one row with the reason and no others."""
+    def _checked(self, partition: Part) -> Iterator[tuple]:
+        """The reason why the file of a share cannot be read, if this share has one."""
+        system, _ = opened(self.folder)
+        for path in partition.paths:
+            try:
+                with system.open_input_file(path) as file:
+                    self.decoder.check(file, *partition.range(file.size()))
+            except ValueError as reason:
+                yield self._row(path, [None] * len(self.asked), str(reason) or "not readable")
+
+    def _batches(self, partition: Part) -> Iterator[pa.RecordBatch]:
+        system, _ = opened(self.folder)
+        wanted = pa.schema([self.schema.field(c) for c in self.asked])
+        for path in partition.paths:
+            try:  # the batches of a share are held until all of it is known to be good
+                with system.open_input_file(path) as file:
+                    found, error = list(self.decoder.batches(file, *partition.range(file.size()), wanted)), None
+            except ValueError as reason:
+                found, error = [pa.RecordBatch.from_arrays([pa.nulls(1, own.type) for own in wanted], schema=wanted)], str(reason) or "not readable"
+            for batch in found:
+                said = {"path": pa.array([path] * batch.num_rows, pa.string()), "error": pa.array([error] * batch.num_rows, pa.string())}
+                yield pa.RecordBatch.from_arrays([said[c] if c in said else batch.column(self.asked.index(c)) for c in self.columns], schema=self.schema)
+
+    def _rows(self, partition: Part) -> Iterator[tuple]:
         system, _ = opened(self.folder)
         for path in partition.paths:
             try:
                 first, end = 0, None
                 if partition.shares > 1:
                     with system.open_input_file(path) as file:
-                        pages = self._counted(file, partition)
-                    first, end = (pages * n // partition.shares for n in (partition.share, partition.share + 1))
+                        first, end = partition.range(self._counted(file, partition))
                     if first == end:
                         continue
                 # A share has BYTES_A_TASK at most, pages being alike: its rows are held until all of them are known to be good.
@@ -153,20 +212,25 @@ class _Reader(DataSourceReader):
         return tuple(known[c] for c in self.columns)
 
 
+def _decoder(named: str | None) -> Decoder | LineDecoder:
+    module, _, name = (named or f"{__name__}:OcrTable").partition(":")
+    return getattr(import_module(module), name)()
+
+
 class PageFiles(DataSource):
     """``path`` (within its file system), the decoder's columns, ``error``.
 
     Options: ``path``; ``decoder``, as ``module:name`` (OCR tables where none is named); ``pattern`` of file names;
-    ``bytes``, how many a task reads. An empty folder has no rows; one that is not there is an error.
+    ``bytes``, how many a task reads; ``checks``, for a decoder of lines: rows of nothing but the reasons why files that
+    several tasks read cannot be read. An empty folder has no rows; one that is not there is an error.
     """
 
     @classmethod
     def name(cls) -> str:
         return "page_files"
 
-    def _decoder(self) -> Decoder:
-        module, _, name = self.options.get("decoder", f"{__name__}:OcrTable").partition(":")
-        return getattr(import_module(module), name)()
+    def _decoder(self) -> Decoder | LineDecoder:
+        return _decoder(self.options.get("decoder"))
 
     def schema(self) -> str:
         return ", ".join(f"{name} {kind}" for name, kind in ({"path": "string"} | self._decoder().columns | {"error": "string"}).items())
@@ -175,11 +239,23 @@ class PageFiles(DataSource):
         decoder = self._decoder()
         if unknown := [c for c in schema.fieldNames() if c not in {"path", "error", *decoder.columns}]:
             raise ValueError(f"the decoder has no columns {unknown}")
-        return _Reader(self.options["path"], self.options.get("pattern", "*"), int(self.options.get("bytes", BYTES_A_TASK)), decoder, schema.fieldNames())
+        return _Reader(self.options["path"], self.options.get("pattern", "*"), int(self.options.get("bytes", BYTES_A_TASK)), decoder, schema, self.options.get("checks") == "true")
 
 
 def page_files(spark: SparkSession, path: str, columns: str | None = None, **options: str) -> DataFrame:
-    """The pages of files below ``path``; ``columns`` (DDL) are those to decode, all where none are given."""
+    """The pages of files below ``path``; ``columns`` (DDL) are those to decode, all where none are given.
+
+    A file that several tasks read by ranges of bytes is checked in a pass of its own: if one of them meets a
+    fault the file has one row, and what the others read of it is dropped.
+    """
     spark.dataSource.register(PageFiles)
     reader = spark.read.format("page_files").options(**options)
-    return (reader.schema(columns) if columns else reader).load(path)
+    found = (reader.schema(columns) if columns else reader).load(path)
+    if not hasattr(_decoder(options.get("decoder")), "check"):
+        return found
+    wanted = [f for f in found.schema if f.name not in ("path", "error")]
+    whole = spark.read.format("page_files").options(**options).schema(StructType(wanted).add("path", "string").add("error", "string")).load(path)
+    faults = spark.read.format("page_files").options(**options, checks="true").schema("path string, error string").load(path)
+    broken = faults.groupBy("path").agg(F.min("error").alias("error"))
+    good = whole.join(F.broadcast(broken.select("path")), "path", "left_anti")
+    return good.unionByName(broken, allowMissingColumns=True).select(*found.columns)

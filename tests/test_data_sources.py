@@ -1,11 +1,13 @@
 """Data sources in Python: page files by ranges of pages, and the event log with commit and abort."""
 
+import io
 import os
 import subprocess
 import sys
 from datetime import datetime
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,6 +91,32 @@ def test_a_broken_file_is_one_row(spark, folder, most):
     assert found.where("error IS NOT NULL").count() == 2 and found.where("error IS NULL").count() == 43 * 7
 
 
+def test_a_share_reads_its_own_bytes_and_no_more_than_a_line_of_others(tmp_path):
+    """Shares that read the file from its start would make the work grow with the square of its size."""
+    (tmp_path / "a.tsv").write_text(lines(4000))
+    size = (tmp_path / "a.tsv").stat().st_size
+    (part,) = {p.shares for p in page_files.planned([("a", size)], 30_000)}
+    schema, read, found = pa.schema([("page_num", pa.int32()), ("word_num", pa.int32())]), 0, []
+
+    class Counted(io.FileIO):
+        def readinto(self, into):
+            nonlocal read
+            read += (got := super().readinto(into))
+            return got
+
+        def read(self, n=-1):
+            nonlocal read
+            read += len(got := super().read(n))
+            return got
+
+    for share in range(part):
+        with Counted(str(tmp_path / "a.tsv")) as file:
+            for batch in page_files.OcrTable().batches(file, *page_files.Part(["a"], share, part).range(size), schema):
+                found += map(tuple, zip(*(c.to_pylist() for c in batch.columns)))
+    assert found == [(p, n) for p in range(1, 4001) for n in range(7)]
+    assert part > 20 and read < 3 * size
+
+
 def test_no_files_no_rows(spark, tmp_path):
     assert page_files.page_files(spark, str(tmp_path)).count() == 0
     with pytest.raises(Exception, match="gone"):
