@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 BUCKETS = 256
+#: Keys that are sent to the stored rows they replace; with more of them both are shuffled.
+KEYS_AT_ONCE = 1_000_000
 
 
 class Conflict(RuntimeError):
@@ -102,37 +104,60 @@ class IndexStore:
 
     # Writing.
 
+    def deal(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with ``_bucket``, in partitions by bucket and key.
+
+        What is made of them by key and keeps ``_bucket`` needs no exchange, neither to be grouped nor in ``replace``.
+        """
+        before, key = self.manifest(), F.col(self.key)
+        placed = rows.withColumn("_bucket", self.bucket(key, before.buckets if before else self.buckets))
+        return placed.repartitionByRange(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "_bucket", self.key)
+
     def replace(self, rows: DataFrame, touched: DataFrame) -> Manifest:
         """The rows of all keys in ``touched`` replaced by those in ``rows``; a key without new rows is gone.
 
-        ``rows`` whose key is not in ``touched`` are put in too. The first call makes the index.
+        ``rows`` whose key is not in ``touched`` are put in too; those that have the ``_bucket`` of ``deal`` are not
+        dealt again. They are made once. The first call makes the index.
         Raises ``Conflict``, and changes nothing, if another update is committed meanwhile.
         """
         before = self.manifest()
         buckets = before.buckets if before else self.buckets
-        key = F.col(self.key)
-        names = [c for c in (StructType.fromJson(json.loads(before.columns)).names if before else rows.columns)]
-        keys = touched.select(key).unionByName(rows.select(key)).distinct()
-        # At most as many numbers as there are buckets.
-        dirty = sorted(r[0] for r in keys.select(self.bucket(key, buckets).alias("b")).distinct().collect())
-        both = rows.select(*names)
-        if before and set(dirty) & set(before.folders):
-            gone = keys.select(key.alias("_gone"))
-            old = self.read(before.version, dirty)
-            both = old.join(gone, F.col(self.key).eqNullSafe(F.col("_gone")), "left_anti").unionByName(both)
-        folder = f"data/{uuid.uuid4().hex}"
-        placed = both.withColumn("_bucket", self.bucket(key, buckets))
-        # Large buckets are split over tasks and files, small ones put together.
-        placed = placed.hint("rebalance", "_bucket").sortWithinPartitions("_bucket", *self.sort)
-        placed.write.partitionBy("_bucket").parquet(f"{self.path}/{folder}")
+        key, folder = F.col(self.key), f"data/{uuid.uuid4().hex}"
+        columns = before.columns if before else rows.drop("_bucket").schema.json()
+        stored = StructType.fromJson(json.loads(columns))
+        typed = [F.col(f.name).cast(f.dataType).alias(f.name) for f in stored]
+        if "_bucket" in rows.columns:
+            self._write(rows.select(*typed, "_bucket"), folder)
+        else:
+            self._write(self._rebalanced(rows.select(*typed).withColumn("_bucket", self.bucket(key, buckets))), folder)
+        dirty: set[int] = set()
+        if before:
+            put = self.spark.read.schema(stored).parquet(f"{self.path}/{folder}")
+            keys = touched.select(key).unionByName(put.select(key)).distinct()
+            # At most as many rows as there are buckets.
+            counts = {r["b"]: r["count"] for r in keys.groupBy(self.bucket(key, buckets).alias("b")).count().collect()}
+            dirty = set(counts)
+            if dirty & set(before.folders):
+                few = sum(counts.values()) <= KEYS_AT_ONCE
+                gone = keys.select(key.alias("_gone"))
+                old = self.read(before.version, dirty)
+                old = old.join(F.broadcast(gone) if few else gone, key.eqNullSafe(F.col("_gone")), "left_anti").withColumn("_bucket", self.bucket(key, buckets))
+                # Stored rows lie by bucket: where they have not been shuffled they are written where they are read.
+                self._write(old if few else self._rebalanced(old), folder)
         files, root = self._file(f"{self.path}/{folder}")
         written = {int(f.getPath().getName().split("=")[1]): f"{folder}/{f.getPath().getName()}" for f in files.listStatus(root) if f.getPath().getName().startswith("_bucket=")}
         kept = {b: f for b, f in (before.folders if before else {}).items() if b not in dirty}
-        columns = before.columns if before else both.schema.json()
         made = Manifest(before.version + 1 if before else 1, buckets, columns, kept | written)
         self._commit(made)
         return made
 
+    def _rebalanced(self, placed: DataFrame) -> DataFrame:
+        """Large buckets split over tasks and files, small ones put together."""
+        return placed.hint("rebalance", "_bucket")
+
+    def _write(self, placed: DataFrame, folder: str) -> None:
+        placed.sortWithinPartitions("_bucket", *self.sort).write.partitionBy("_bucket").mode("append").parquet(f"{self.path}/{folder}")
+
     def upsert(self, rows: DataFrame, latest: str) -> Manifest:
         """One row a key: of the rows with a key, stored or new, the one with the greatest ``latest`` (a new one among equals) stays.
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.operators import retrieval
+from corpusloom.sources import index_store
 from corpusloom.sources.index_store import Conflict, IndexStore
 
 
@@ -87,3 +88,36 @@ def test_upserts_keep_the_latest_row(spark, tmp_path):
     held = files(store.path)
     assert store.clean(1) > 0 and len(files(store.path)) < len(held) and store.versions() == [3]
     assert {r["id"] for r in store.read().collect()} == {99, None}
+
+
+def test_rows_of_an_update_are_made_once(spark, store):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(book):
+        made.add(1)
+        return book
+
+    rows = [(n, f"b{n % 20}", f"one two{n} three three") for n in range(60)]
+    for book, texts in ((None, rows), ("b3", [(3, "b3", "other words")])):
+        made.value = 0
+        own = passages(spark, texts)
+        store.replace(retrieval.postings(own, "book").withColumn("book", counted.asNondeterministic()("book")), own)
+        assert made.value == retrieval.postings(own, "book").count(), book
+    assert contents(store) == of(spark, [r for r in rows if r[1] != "b3"] + [(3, "b3", "other words")])
+
+
+@pytest.mark.parametrize("few", [0, 1_000_000])
+def test_dealt_rows_and_shuffled_keys_make_the_same_index(spark, store, monkeypatch, few):
+    monkeypatch.setattr(index_store, "KEYS_AT_ONCE", few)
+    rows = [(n, f"b{n % 20}" if n % 13 else None, f"one two{n} three three") for n in range(200)]
+    own = passages(spark, rows)
+    dealt = retrieval.postings(store.deal(own), "book", "_bucket")
+    plan = dealt._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Exchange rangepartitioning" in plan, plan
+    store.replace(dealt, own)
+    assert contents(store) == of(spark, rows) and store.read().columns == ["term", "id", "book", "tf"]
+    changed = passages(spark, [(1, "b1", "other words"), (2, None, "more")])
+    # The counts as another type: what is stored keeps its own.
+    store.replace(retrieval.postings(store.deal(changed), "book", "_bucket").withColumn("tf", F.col("tf").cast("int")), changed.unionByName(passages(spark, [(0, "b4", "")])))
+    assert contents(store) == of(spark, [r for r in rows if r[1] not in ("b1", "b4", None)] + [(1, "b1", "other words"), (2, None, "more")])
