@@ -19,7 +19,8 @@ def footer_number(text: Column) -> Column:
     A number that occurs more than once wins (of several the first seen), else the last.
     """
     own = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\r\n|[\n\r]"), lambda x: F.trim(x)), lambda x: x != "")
-    edge = F.concat(F.when(F.size(own) > 5, F.slice(own, -5, 5)).otherwise(own), F.slice(own, 1, 2))
+    # The lines are cut once, not for each use.
+    edge = T.let(own, lambda rows: F.concat(F.when(F.size(rows) > 5, F.slice(rows, -5, 5)).otherwise(rows), F.slice(rows, 1, 2)))
 
     def plain(line: Column) -> Column:
         dated = F.lit(False)

@@ -19,11 +19,16 @@ def numbered(page_texts: DataFrame) -> DataFrame:
 
 def passages(page_texts: DataFrame, every_line: bool = False) -> DataFrame:
     """Passages of documents given as (doc_id, page, text)."""
-    return segment.text_chunks(page_texts, every_line, numbers=numbered(page_texts).select("doc_id", "page", "printed"))
+    # Found once and stored without the text: filling in reads them twice.
+    found = stored(page_texts.select("doc_id", F.col("page").alias("physical"), pages.footer_number(F.col("text")).alias("printed")))
+    return segment.text_chunks(page_texts, every_line, numbers=pages.impute(found).select("doc_id", F.col("physical").alias("page"), "printed"))
+
+
+def vectors(own: DataFrame, models: Models | None = None, *scopes: str) -> DataFrame:
+    """The vectors of ``indexes`` alone."""
+    return stored(own.select("id", *scopes, (models or Models()).embed(F.col("text")).alias("vector")))
 
 
 def indexes(own: DataFrame, models: Models | None = None, *scopes: str) -> tuple[DataFrame, DataFrame]:
     """(vectors, postings) of passages, with scopes such as the tenant, as stored tables; ``own`` should be stored."""
-    models = models or Models()
-    vectors = own.select("id", *scopes, models.embed(F.col("text")).alias("vector"))
-    return stored(vectors), stored(retrieval.postings(own, *scopes), "term")
+    return vectors(own, models, *scopes), stored(retrieval.postings(own, *scopes), "term")
